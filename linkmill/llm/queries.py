@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, sharding, urlfilter, warc
+from linkmill.llm import decontaminate, sharding, substrings, urlfilter, warc
 from linkmill.llm.common import scratch
 
 SHARD_BYTES = 1 << 20
@@ -38,6 +38,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP1_SQL = f"""
 with d as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as n_bytes,
                   ('0x' || substr(md5(coalesce(cast(doc_id as varchar), chr(0) || 'null')), 1, 15))::bigint as h from documents),
@@ -71,6 +75,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_url_filters": OP5_SQL, "op7_warc": OP7_SQL}
+OP10_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, i, array_to_string(words[i : i + 34], ' ') as seq from (select *, unnest(range(1, len(words) - 33)) as i from w)),
+r as (select doc_id, i from (select *, count(*) over (partition by md5(seq)) as n from s) where n > 1),
+g as (select doc_id, list_distinct(flatten(list(range(i, i + 35)))) as gone from r group by 1),
+k as (select w.doc_id, words, coalesce(gone, []) as gone from w left join g using (doc_id)),
+t as (select doc_id, len(words) as n_words, len(gone) as n_removed, list_filter(words, lambda x, i: not list_contains(gone, i)) as kept from k)
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from t
+"""
+
+SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_url_filters": OP5_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}
