@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, sharding, substrings, urlfilter, warc
+from linkmill.llm import decontaminate, jaccard, sharding, substrings, urlfilter, warc
 from linkmill.llm.common import scratch
 
 SHARD_BYTES = 1 << 20
@@ -23,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, RULES))
 
@@ -72,6 +76,7 @@ select page_id, payload_bytes, payload_digest,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filters": op5_url_filters,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
