@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, jaccard, sharding, substrings, urlfilter, warc
+from linkmill.llm import decontaminate, jaccard, packing, sharding, substrings, urlfilter, warc
 from linkmill.llm.common import scratch
 
 SHARD_BYTES = 1 << 20
@@ -31,6 +31,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, RULES))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filters": op5_url_filters,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
