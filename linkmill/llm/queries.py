@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, jaccard, packing, sharding, substrings, urlfilter, warc
-from linkmill.llm.common import scratch
+from linkmill.llm import decontaminate, jaccard, packing, rollup, sharding, substrings, topk, urlfilter, warc
+from linkmill.llm.common import scratch, written
+from linkmill.llm.tokens import vocabulary
 
 SHARD_BYTES = 1 << 20
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,6 +24,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.nearest(codes, codes.where("id % 20 = 0"), 10)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, the second sent twice: all documents under a BPE vocabulary; all of them again
+    with the end token counted (revisions) and by white space (inserts); those labelled toxic go."""
+    docs = table(spark, sf_dir, "documents")
+    bpe = written(rollup.token_counts(docs, vocabulary("byte_bpe_50k.tiktoken"), "byte_bpe_50k"), "token-counts")
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)).cast("long")
+    spaces = docs.select("doc_id", "source", "lang", F.lit("white_space").alias("tokenizer_version"), words.alias("n_tokens"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("white_space"))).alias("tokenizer_version"), F.lit(None).cast("long").alias("n_tokens"))
+    totals = rollup.Rollup(spark, scratch(spark, "rollup"))
+    second = bpe.withColumn("n_tokens", F.col("n_tokens") + 1).unionByName(spaces)
+    for batch, changes in ((1, bpe), (2, second), (2, second), (3, toxic)):
+        totals.commit(batch, changes.withColumn("seq", F.lit(0)))
+    return totals.totals()
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -60,6 +81,14 @@ fits as (select l.doc_id, min(l.depth) as depth from levels l join sums s on s.d
 select d.doc_id, d.n_bytes, f.depth, d.h >> (60 - f.depth) as shard, 0::bigint as page from d join fits f using (doc_id)
 """
 
+OP2_SQL = """
+with d as (select q.vec_id as query_id, n.vec_id as neighbor_id,
+                  list_sum(list_transform(range(1, len(n.embedding) + 1), lambda i: ((q.embedding[i] > 0) <> (n.embedding[i] > 0))::int))::int as distance
+           from embeddings q, embeddings n where q.vec_id % 20 = 0 and q.vec_id <> n.vec_id)
+select query_id, rank::int as rank, neighbor_id, distance
+from (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from d) where rank <= 10
+"""
+
 OP5_SQL = """
 with r as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -80,6 +109,8 @@ select page_id, payload_bytes, payload_digest,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_topk_search": op2_topk_search,
+    "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filters": op5_url_filters,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -98,4 +129,4 @@ t as (select doc_id, len(words) as n_words, len(gone) as n_removed, list_filter(
 select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from t
 """
 
-SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_url_filters": OP5_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_url_filters": OP5_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}
