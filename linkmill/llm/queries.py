@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, jaccard, packing, rollup, sharding, substrings, topk, urlfilter, warc
+from linkmill.llm import decontaminate, jaccard, packing, quality, rollup, sharding, substrings, topk, urlfilter, warc
 from linkmill.llm.common import scratch, written
 from linkmill.llm.tokens import vocabulary
 
 SHARD_BYTES = 1 << 20
+QUALITY_THRESHOLD = 0.7
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -62,6 +63,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read_archive(spark, path))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
