@@ -83,6 +83,21 @@ def texts_of(blob: bytes, sizes) -> list[bytes | None]:
     return out
 
 
+def unpacked(blocks: DataFrame, schema: T.StructType, text: str) -> DataFrame:
+    """The rows at `places` of each block, in the given schema."""
+    arrow = pa.schema([(f.name, to_arrow(f.dataType)) for f in schema.fields])
+
+    def unpack(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                texts = texts_of(row["blob"], row["sizes"])
+                at = row["places"]
+                cols = [pa.array([texts[i] for i in at], pa.binary()).cast(pa.string()) if f.name == text else pa.array([row[f"c_{f.name}"][i] for i in at], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    return blocks.mapInArrow(unpack, schema)
+
+
 def by_range(block_id: int, hashes: np.ndarray, n_ranges: int, counts: np.ndarray | None = None) -> Iterator[tuple]:
     """(range, block_id, base, hashes, counts) for each range of hash values that has some; hashes ascend."""
     r = ((hashes >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)

@@ -65,27 +65,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     4. Of the rest, pairs in different components meet on one rare n-gram, or on a combination of two
        frequent ones. Each pair is verified on the whole sets.
     """
-    spark = docs.sparkSession
-    known = {}
+    keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    named = _named(_packed(keyed, "key", "text", ["key"], width), "key", width, percent, rare)
+    return named.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id", "is_first")
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() marks as the first of their component."""
+    table = _packed(docs, key, text, [c for c in docs.columns if c != text], width)
+    kept = _named(table, key, width, percent, rare).where("is_first").select(F.shiftright("uid", B.PLACE_BITS).alias("block_id"), (F.col("uid") - F.shiftleft(F.shiftright("uid", B.PLACE_BITS), B.PLACE_BITS)).cast("int").alias("place"))
+    kept = kept.groupBy("block_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return B.unpacked(table.join(kept, "block_id"), docs.schema, text)
+
+
+def _packed(docs: DataFrame, key: str, text: str, carry: list[str], width: int) -> DataFrame:
+    known: dict = {}
 
     def signed(texts):
-        hashes = known.setdefault("h", WordHashes())
-        return _signed(shingle_sets(texts, hashes, width))
+        return _signed(shingle_sets(texts, known.setdefault("h", WordHashes()), width))
 
-    keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    table = B.packed(keyed, "text", ["key"], signed, "n array<int>, s1 array<long>, s2 array<long>")
-    rows = table.select("block_id", F.posexplode(F.arrays_zip(F.col("c_key").alias("key"), "n", "s1", "s2")).alias("place", "x"))
+    return B.packed(docs, text, carry, signed, "n array<int>, s1 array<long>, s2 array<long>")
+
+
+def _named(table: DataFrame, key: str, width: int, percent: int, rare: int) -> DataFrame:
+    """Per row of the blocks: uid, key, n, component_id, is_first."""
+    rows = table.select("block_id", F.posexplode(F.arrays_zip(F.col(f"c_{key}").cast("array<bigint>").alias("key"), "n", "s1", "s2")).alias("place", "x"))
     rows = rows.select((F.shiftleft("block_id", B.PLACE_BITS) + F.col("place")).alias("uid"), "x.*")
     classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid")).alias("first"), F.count("*").alias("copies")), "classes")
-    sets = _indexed(spark, table, classes, width, percent)
-    links = _links(sets, percent, rare)
-    labels = written(components(links), "components")
+    sets = _indexed(table.sparkSession, table, classes, width, percent)
+    labels = written(components(_links(sets, percent, rare)), "components")
     labelled = classes.join(labels.select(F.col("v").alias("uid"), "c"), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
-    groups = written(labelled.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first")), "groups")
-    named = written(labelled.join(groups.select("c", "component_id", F.col("first.uid").alias("first_uid")), "c").select("n", "s1", "s2", "component_id", "first_uid"), "named")
-    filled = rows.where("n > 0").join(named, ["n", "s1", "s2"]).select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first_uid")).alias("is_first"))
-    empty = rows.where("n = 0").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.col("key").alias("component_id"), F.lit(True).alias("is_first"))
-    return filled.unionByName(empty)
+    groups = labelled.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    groups = written(groups.select("c", "component_id", F.col("first.uid").alias("first_uid")), "groups")
+    named = written(labelled.join(groups, "c").select("n", "s1", "s2", "component_id", "first_uid"), "named")
+    filled = rows.where("n > 0").join(named, ["n", "s1", "s2"]).select("uid", "key", "n", "component_id", (F.col("uid") == F.col("first_uid")).alias("is_first"))
+    return filled.unionByName(rows.where("n = 0").select("uid", "key", "n", F.col("key").alias("component_id"), F.lit(True).alias("is_first")))
 
 
 def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
