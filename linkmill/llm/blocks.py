@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmill.llm.common import deltas, undeltas, written
+from linkmill.llm.common import bounded_batches, deltas, undeltas, written
 
 BLOCK_BYTES = 1 << 20
 #: A document's number is its block's, shifted by this many bits, plus its place in the block.
@@ -65,7 +65,7 @@ def packed(df: DataFrame, text: str, carry: list[str], extra: Callable[[list[byt
         if texts:
             yield row()
 
-    return written(df.select(text, *[c for c in carry if c != text]).mapInArrow(pack, head), "blocks")
+    return written(bounded_batches(df).select(text, *[c for c in carry if c != text]).mapInArrow(pack, head), "blocks")
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:

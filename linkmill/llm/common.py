@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,6 +39,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are bounded to 8 MB and 2,000 rows, so that long texts need no more memory.
+
+    Limits that the session has already and that are lower stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key, None)
+        if now is None or not 0 < int(re.sub(r"\D", "", now) or 0) <= most:
+            conf.set(key, most)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmill.llm.common import written
+from linkmill.llm.common import bounded_batches, written
 
 WINDOW = 13
 #: Most bytes of benchmark text that one set of shift tables may cover; more items go to more sets.
@@ -100,7 +100,7 @@ def _searched(docs: DataFrame, items: list, window: int, keep: list[str], text:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_words long, spans array<int>, items array<long>"
-    return docs.mapInArrow(search, schema)
+    return bounded_batches(docs).mapInArrow(search, schema)
 
 
 @F.udf(T.ArrayType(T.IntegerType()))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import written
+from linkmill.llm.common import bounded_batches, written
 from linkmill.llm.tokens import encoder, vocabulary
 
 LIMIT, END = 1024, 2
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, limit: int = LIMIT,
             yield pa.RecordBatch.from_arrays([*out, pa.array([block] * len(keys), pa.int64())], names=["key", "piece", "start", "length", "ids_crc32", "ids", "nth", "block"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long, ids binary, nth long, block long")
+    return bounded_batches(rows).mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long, ids binary, nth long, block long")
 
 
 def fitted(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import WordHashes
+from linkmill.llm.common import WordHashes, bounded_batches
 
 PASSAGE_WORDS = 64
 WORD_BINS = 64
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             model.fit(np.concatenate(xs).astype(float), np.array([len(v) for v in xs]), y)
         return pd.DataFrame({"name": list(model.p), "values": [np.asarray(v, float).ravel().tolist() for v in model.p.values()]})
 
-    features = rows.select("k", "y", "text").mapInArrow(encoded, "k long, y int, x binary")
+    features = bounded_batches(rows).select("k", "y", "text").mapInArrow(encoded, "k long, y int, x binary")
     parts = features.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(trained, "name string, values array<double>").collect()  # a few thousand numbers
     return {r["name"]: np.array(r["values"]).reshape(GatedAttention.SHAPES.get(r["name"], (FEATURES,))) for r in parts}
 
@@ -181,4 +181,4 @@ def score(docs: DataFrame, parameters: dict, keep: list[str], text: str = "text"
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*keep, "score"])
 
     rows = docs.select(*keep, *([text] if text not in keep else []))
-    return rows.mapInArrow(scored, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return bounded_batches(rows).mapInArrow(scored, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")

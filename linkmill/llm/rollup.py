@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkmill.llm.common import bounded_batches
 from linkmill.llm.tokens import encoder
 
 DIMS = ["source", "lang", "tokenizer_version"]
@@ -21,7 +22,7 @@ def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["doc_id", *DIMS, "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "source", "lang", F.col(text).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    return bounded_batches(rows).mapInArrow(count, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
 
 
 class Rollup:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import written
+from linkmill.llm.common import bounded_batches, written
 
 #: Rows of the index, and queries, that one task holds.
 INDEX_ROWS, QUERY_ROWS = 16_384, 2_048
@@ -29,7 +29,7 @@ def sign_codes(df: DataFrame, key: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c if c is None else c + b"\0" * (len(c) % 2) for c in codes], pa.binary())], names=["id", "code"])
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.mapInArrow(coded, "id long, code binary")
+    return bounded_batches(rows).mapInArrow(coded, "id long, code binary")
 
 
 def flips(weight: int) -> np.ndarray:

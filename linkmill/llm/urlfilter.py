@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import scratch, written
+from linkmill.llm.common import bounded_batches, scratch, written
 
 #: Most bytes of rules that one array may hold; more rules go to more arrays.
 BLOCK_BYTES = 64 << 20
@@ -128,7 +128,7 @@ def _probed(rows: DataFrame, rules: list, keep: list[str]) -> DataFrame:
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", rank struct<n:int,host_n:int,rule:string,verdict:string>"
-    return rows.mapInArrow(probe, schema)
+    return bounded_batches(rows).mapInArrow(probe, schema)
 
 
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
