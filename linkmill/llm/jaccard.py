@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmill.llm import blocks as B
-from linkmill.llm.common import WordHashes, mixed, partitions, window_hashes, written
+from linkmill.llm.common import WordHashes, bounded_batches, mixed, partitions, window_hashes, written
 from linkmill.llm.components import components
 
 WIDTH, PERCENT = 5, 75
 #: A token that more sets than this have in their prefixes belongs to the frequent class.
 RARE = 16
 #: Rounds that link each posting to one document of it, before all its pairs are looked at.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def shingle_sets(texts: list, hashes: WordHashes, width: int) -> list[np.ndarray]:
@@ -40,6 +40,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def needed_alike(n: int, percent: int = PERCENT) -> int:
+    """The least overlap of a set of n with a similar one of n or more."""
+    return -(-2 * n * percent // (100 + percent))
+
+
 def _signed(sets: list[np.ndarray]) -> dict:
     """Sizes and two sums over mixed members: equal sets have equal ones, others differ but by 128-bit chance."""
     with np.errstate(over="ignore"):
@@ -103,7 +108,11 @@ def _named(table: DataFrame, key: str, width: int, percent: int, rare: int) -> D
 
 
 def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of each class with an n-gram in its prefix that others have too: uid, n, tokens (these), members (the set)."""
+    """Of each class that may have a partner: uid, n, m, near, far, members.
+
+    near and far are the n-grams of its prefix that another class has too: near those that it can share
+    with a set of its size or more, far the others. members is the whole set, m how many of these
+    another class has: no overlap is larger, so a class with too few of them is left out."""
     total = table.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)"))).first()[0] or 0
     n_ranges = B.n_ranges(total, partitions(spark))
 
@@ -129,75 +138,86 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
                 _, at = np.unique(np.concatenate(sets), return_inverse=True)
                 df = np.maximum(B.counts_of(row["parts"], int(at.max(initial=-1)) + 1), 1)[at]
                 ends = np.cumsum([len(s) for s in sets])
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for r in row["reps"]:
                     s = sets[r["place"]]
                     n = len(s)
                     f = df[ends[r["place"]] - n : ends[r["place"]]]
                     prefix = np.lexsort((s, f))[: min(n, n - needed(n, percent) + 2)]
-                    shared = s[prefix[f[prefix] > r["copies"]]]
-                    if n > 1 and len(shared):  # a set of one is similar to equal ones only
-                        for column, v in zip(out, ((row["block_id"] << B.PLACE_BITS) + r["place"], n, shared.view(np.int64), s.tobytes()), strict=True):
+                    others = f[prefix] > r["copies"]
+                    shared = s[prefix[others]].view(np.int64)
+                    near = int(others[: n - needed_alike(n, percent) + 2].sum())
+                    m = int((f > r["copies"]).sum())
+                    if n > 1 and len(shared) and m >= needed(n, percent):  # a set of one is similar to equal ones only
+                        for column, v in zip(out, ((row["block_id"] << B.PLACE_BITS) + r["place"], n, m, shared[:near], shared[near:], s.tobytes()), strict=True):
                             column.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["uid", "n", "tokens", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["uid", "n", "m", "near", "far", "members"])
 
-    return written(B.with_totals(thin, counts).join(reps, "block_id").mapInArrow(prefixes, "uid long, n int, tokens array<long>, members binary"), "sets")
+    return written(B.with_totals(thin, counts).join(reps, "block_id").mapInArrow(prefixes, "uid long, n int, m int, near array<long>, far array<long>, members binary"), "sets")
 
 
-def _sized(a: str, b: str, percent: int):
-    """Whether two sizes allow the similarity at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _possible(na: str, ma: str, nb: str, mb: str, percent: int):
+    """Whether two sizes, and the n-grams that each shares with any other class, allow the similarity at all."""
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & (F.least(ma, mb) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
 
 
 def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Verified links (a, b) that connect all that is connected; within a component not all of them."""
-    post = written(sets.select("uid", "n", F.explode("tokens").alias("token")), "postings")
-    shared = written(post.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "tokens")
-    post = written(post.join(shared, "token"), "postings")
-    comp = post.sparkSession.createDataFrame([], "v long, c long")
+    """Verified links (a, b) that connect all that is connected; within a component not all of them.
+
+    The stars of the first round have the set that shares the largest part of its n-grams as their hub,
+    those of later rounds another one for each token. What they leave unlinked is looked at in full."""
+    flagged = lambda c, near: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(near).alias("near")))
+    post = written(sets.select("uid", "n", "m", F.explode(F.concat(flagged("near", True), flagged("far", False))).alias("t")).select("uid", "n", "m", "t.*"), "postings")
+    size = written(post.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "tokens")
+    post = written(post.join(size, "token"), "postings")
     links = tested = None
-    for _ in range(STAR_ROUNDS):
-        now = _open(post, comp)
-        ends = written(now.groupBy("token").agg(F.min(F.struct("c", "uid", "n")).alias("lo"), F.max(F.struct("c", "uid", "n")).alias("hi")), "ends")
-        at = now.join(ends, "token")
-        hub = F.when(F.col("c") == F.col("lo.c"), F.col("hi")).otherwise(F.col("lo"))
-        pairs = at.withColumn("hub", hub).where(_sized("n", "hub.n", percent)).select(F.least("uid", "hub.uid").alias("a"), F.greatest("uid", "hub.uid").alias("b")).distinct()
-        found, tested = _verified(pairs, tested, sets, percent)
-        if found is None:
+    now = post.withColumn("c", F.col("uid"))
+    for n_round in range(STAR_ROUNDS):
+        rank = F.col("m") / F.col("n") if n_round == 0 else F.xxhash64("token", "uid", F.lit(n_round)) / F.lit(2.0**63)
+        ends = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct(rank.alias("rank"), (-F.col("uid")).alias("u"), F.col("uid").alias("hu"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("c").alias("hc"))).alias("x"))
+        ends = written(ends.where("lo < hi").select("token", "x.hu", "x.hn", "x.hm", "x.hc"), "hubs")
+        at = now.join(ends, "token").where(F.col("c") != F.col("hc")).where(_possible("n", "m", "hn", "hm", percent))
+        found, tested = _verified(at.select(F.least("uid", "hu").alias("a"), F.greatest("uid", "hu").alias("b")).distinct(), tested, sets, percent)
+        if found is None and n_round:
             break
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-    now = _open(post, comp)
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            now = _labelled(post, components(links))
+    parted = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "parted")
+    now = written(now.join(parted, "token"), "open")
     if not now.isEmpty():
-        few = now.where(F.col("size") <= rare).select("token", F.lit(0).cast("long").alias("token2"), "uid", "n", "c")
-        many = now.where(F.col("size") > rare).groupBy("uid", "n", "c").agg(F.array_sort(F.collect_list("token")).alias("t"))
-        two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x as token, y as token2))))")
-        many = many.select("uid", "n", "c", F.explode(two).alias("p")).select("p.token", "p.token2", "uid", "n", "c")
-        pairs = _across(written(few.unionByName(many), "combinations"), percent)
-        found, tested = _verified(pairs, tested, sets, percent)
+        few = now.where(F.col("size") <= rare).select("token", F.lit(0).cast("long").alias("token2"), "uid", "n", "m", "c", "near")
+        many = now.where(F.col("size") > rare).groupBy("uid", "n", "m", "c").agg(F.array_sort(F.collect_list(F.struct("token", "near"))).alias("t"))
+        two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x.token as token, y.token as token2, x.near and y.near as near))))")
+        many = many.select("uid", "n", "m", "c", F.explode(two).alias("p")).select("p.token", "p.token2", "uid", "n", "m", "c", "p.near")
+        found, tested = _verified(_across(written(few.unionByName(many), "combinations"), percent), tested, sets, percent)
         if found is not None:
             links = found if links is None else links.unionByName(found)
     return links if links is not None else post.sparkSession.createDataFrame([], "a long, b long")
 
 
-def _open(post: DataFrame, comp: DataFrame) -> DataFrame:
-    """The postings whose documents are in more than one component, with the component c."""
-    now = post.join(comp, post["uid"] == comp["v"], "left").select("token", "size", "uid", "n", F.coalesce("c", "uid").alias("c"))
-    now = written(now, "open")
-    mixed_tokens = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "mixed")
-    return written(now.join(mixed_tokens, "token"), "open")
+def _labelled(post: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings with the component c of their documents, written."""
+    now = post.join(comp, post["uid"] == comp["v"], "left")
+    return written(now.select("token", "size", "uid", "n", "m", "near", F.coalesce("c", "uid").alias("c")), "postings")
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key: documents outside a key's largest component, with all."""
+    """Pairs of different components that share a key: documents outside a key's largest component, with all.
+
+    The smaller set of a pair has its key among its near n-grams, of equal ones both have."""
     key = ["token", "token2"]
-    sizes = index.groupBy(*key, "c").agg(F.count("*").alias("m"))
-    top = written(sizes.groupBy(*key).agg(F.max(F.struct("m", "c")).alias("t"), F.count("*").alias("parts")).where("parts > 1").select(*key, F.col("t.c").alias("top")), "largest")
-    live = written(index.join(top, key), "live")
-    a = live.where("c != top").select(*key, F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = live.select(*key, F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    return a.join(b, key).where((F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+    sizes = index.groupBy(*key, "c").agg(F.count("*").alias("members"), F.min(F.when(F.col("near"), F.col("n"))).alias("least"))
+    top = sizes.groupBy(*key).agg(F.max(F.struct("members", "c")).alias("t"), F.count("*").alias("parts"), F.min("least").alias("least"))
+    top = written(top.where("parts > 1 and least is not null").select(*key, F.col("t.c").alias("top"), "least"), "largest")
+    live = written(index.join(top, key).where("near or n > least"), "live")
+    a = live.where("c != top").select(*key, F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("c").alias("ca"), F.col("near").alias("neara"))
+    b = live.select(*key, F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("c").alias("cb"), F.col("near").alias("nearb"))
+    near = ((F.col("na") > F.col("nb")) | F.col("neara")) & ((F.col("nb") > F.col("na")) | F.col("nearb"))
+    pairs = a.join(b, key).where((F.col("ca") != F.col("cb")) & near & _possible("na", "ma", "nb", "mb", percent))
+    return pairs.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, tested: DataFrame | None, sets: DataFrame, percent: int):
@@ -216,6 +236,6 @@ def _verified(pairs: DataFrame, tested: DataFrame | None, sets: DataFrame, perce
                 keep.append(100 * both_n >= percent * (len(u) + len(v) - both_n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = written(both.select("a", "b", "ma", "mb").mapInArrow(verify, "a long, b long"), "links")
+    links = written(bounded_batches(both).select("a", "b", "ma", "mb").mapInArrow(verify, "a long, b long"), "links")
     tested = pairs if tested is None else tested.unionByName(pairs)
     return (None if links.isEmpty() else links), tested
