@@ -15,37 +15,37 @@ RANGES = 64
 
 
 def value_ranks(df: DataFrame, metric: str, of: str | None = None) -> DataFrame:
-    """Distinct values v with n rows, and below: rows with a smaller one. Nulls are left out.
+    """Distinct values _v with _n rows, and _below: rows with a smaller one. Nulls are left out.
 
-    of: a boolean column; only its true rows count in n and below, but each value of df has a row."""
+    of: a boolean column; only its true rows count in _n and _below, but each value of df has a row."""
     flag = F.col(of) if of else F.lit(True)
-    counts = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("v")).agg(F.count_if(flag).alias("n"))
-    cut = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("_v")).agg(F.count_if(flag).alias("_n"))
+    cut = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")).cast("double") / RANGES).otherwise(1.0)
-    dealt = counts.join(F.broadcast(cut)).withColumn("part", F.least(F.floor((F.col("v") - F.col("lo")).cast("double") / width), F.lit(RANGES - 1)).cast("int")).select("v", "n", "part")
-    sums = dealt.groupBy("part").agg(F.sum("n").alias("s"))  # RANGES rows at most
+    dealt = counts.join(F.broadcast(cut)).withColumn("part", F.least(F.floor((F.col("_v") - F.col("lo")).cast("double") / width), F.lit(RANGES - 1)).cast("int")).select("_v", "_n", "part")
+    sums = dealt.groupBy("part").agg(F.sum("_n").alias("s"))  # RANGES rows at most
     before = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("v", "n", (F.col("inside") + F.col("before")).alias("below"))
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy("part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("_v", "_n", (F.col("inside") + F.col("before")).alias("_below"))
 
 
 def percentile_rank(df: DataFrame, metric: str, name: str = "pct") -> DataFrame:
     """df with the percentile rank of metric, ties averaged, 100 for the single greatest; null for null."""
     ranks = value_ranks(df, metric)
-    total = ranks.agg(F.sum("n").alias("total"))
-    scored = ranks.join(F.broadcast(total)).select("v", ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total") * 100).alias(name))
-    return df.join(scored, df[metric] == scored["v"], "left").drop("v")
+    total = ranks.agg(F.sum("_n").alias("_total"))
+    scored = ranks.join(F.broadcast(total)).select("_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total") * 100).alias(name))
+    return df.join(scored, df[metric] == scored["_v"], "left").drop("_v")
 
 
 def tier_percentile(df: DataFrame, metric: str, tier: str, name: str = "pct") -> DataFrame:
     """Percentiles against the rows of a tier: these by averaged ranks, others by the share of the tier that
     is below them. Missing values, and all values where the tier is empty, have 50."""
     ranks = value_ranks(df, metric, tier)
-    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = ranks.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     scored = ranks.join(F.broadcast(total))
-    joined = df.join(scored, df[metric] == scored["v"], "left")
-    pct = F.when(F.col("v").isNull() | (F.col("total") == 0), 50.0).when(F.col(tier), (F.col("below") + (F.col("n") + 1) / 2) / F.col("total") * 100).otherwise(F.col("below") / F.col("total") * 100)
-    return joined.withColumn(name, pct).drop("v", "n", "below", "total")
+    joined = df.join(scored, df[metric] == scored["_v"], "left")
+    pct = F.when(F.col("_v").isNull() | (F.col("_total") == 0), 50.0).when(F.col(tier), (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total") * 100).otherwise(F.col("_below") / F.col("_total") * 100)
+    return joined.withColumn(name, pct).drop("_v", "_n", "_below", "_total")
 
 
 def outside_ranks(values: DataFrame, population: DataFrame, metrics: list[str]) -> DataFrame:

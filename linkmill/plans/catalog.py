@@ -25,15 +25,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, rounded: tuple[str, ...] = ()):
+def query(sql: str | None = None, rounded: tuple[str, ...] = (), digits: int = 6):
     """Registers a function under its name, with the SQL that gives the same rows.
 
-    Columns in `rounded` are compared to six decimals, since two engines add up in different orders."""
+    Columns in `rounded` are compared to `digits` decimals, since two engines add up in different orders."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({x: F.round(x, 6) for x in rounded})) if rounded else f
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({x: F.round(x, digits) for x in rounded})) if rounded else f
         if sql:
-            SQL[f.__name__] = f"select * replace ({', '.join(f'round({x}, 6) as {x}' for x in rounded)}) from ({sql})" if rounded else sql
+            SQL[f.__name__] = f"select * replace ({', '.join(f'round({x}, {digits}) as {x}' for x in rounded)}) from ({sql})" if rounded else sql
         return f
 
     return add
@@ -83,7 +83,7 @@ s as (select author, count(*) as pub_count, sum(citations)::bigint as citations,
 select c_custkey as author, coalesce(pub_count, 0) as pub_count, coalesce(s.citations, 0)::bigint as citations, coalesce(i10_index, 0) as i10_index, fwci_mean, fwci_median, coalesce(oa_rate, 0) as oa_rate,
        coalesce(first_rate, 0) as first_rate, coalesce(last_rate, 0) as last_rate, coalesce(first_year, 0) as first_year, coalesce(last_year, 0) as last_year, coalesce(h_index, 0) as h_index
 from customer left join s on c_custkey = s.author left join h on c_custkey = h.author
-""", ("fwci_mean", "fwci_median", "oa_rate", "first_rate", "last_rate",))
+""", ("fwci_mean", "fwci_median", "oa_rate", "first_rate", "last_rate"), 9)
 def author_stats(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     works = o.select(c("o_orderkey").alias("work"), F.floor(c("o_totalprice") / 50000).alias("citations"), F.year("o_orderdate").alias("year"), (c("o_totalprice") / 100000).alias("fwci"), F.when(c("o_orderstatus") == "F", True).when(c("o_orderstatus") == "O", False).alias("is_oa"))
