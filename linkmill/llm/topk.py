@@ -69,7 +69,7 @@ class SegmentIndex:
                 got = np.concatenate(new)
                 got = np.unique(got[~seen[got]])
                 seen[got] = True
-                got = got[self.ids[got] != skip]
+                got = got if skip is None else got[self.ids[got] != skip]
                 d = np.bitwise_count(self.codes[got] ^ query).sum(axis=1, dtype=np.int64)
                 rows, dist = np.concatenate([rows, got]), np.concatenate([dist, d])
                 best = np.lexsort((self.ids[rows], dist))[:k]
@@ -90,9 +90,10 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     its own segment tables, and the k best of each query over all blocks are kept. Each block's
     answer is exact, so the merged one is.
     """
-    last = (1 << 63) - 1
-    idx = written(index.withColumn("uid", F.monotonically_increasing_id()), "codes")
-    qs = written(queries.withColumn("uid", F.monotonically_increasing_id()), "queries")
+    last = (1 << 63) - 1  # stands for null, so that pandas keeps ids whole
+    held = lambda df: df.select(F.coalesce("id", F.lit(last)).alias("id"), "code")
+    idx = written(held(index).withColumn("uid", F.monotonically_increasing_id()), "codes")
+    qs = written(held(queries).withColumn("uid", F.monotonically_increasing_id()), "queries")
     n_i, n_q = max(1, -(-idx.count() // index_rows)), max(1, -(-qs.count() // query_rows))
     block = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     i = idx.withColumn("ib", block(n_i)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
@@ -104,14 +105,14 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asked):
-            ids = rows["id"].fillna(last).astype(np.int64).to_numpy()
+            ids = rows["id"].to_numpy()
             table = SegmentIndex(segments(rows["code"]), ids)
             for uid, qid, code in zip(asked["uid"], asked["id"], segments(asked["code"]), strict=True):
-                skip = None if pd.isna(qid) else int(qid)
-                got, d = table.search(code, skip, k)
-                out += [(uid, skip, None if ids[g] == last else int(ids[g]), int(x)) for g, x in zip(got, d, strict=True)]
-        return pd.DataFrame(out, columns=["uid", "query_id", "neighbor_id", "distance"]).astype({"query_id": "Int64", "neighbor_id": "Int64"})
+                got, d = table.search(code, None if qid == last else qid, k)
+                out += [(uid, qid, ids[g], x) for g, x in zip(got, d, strict=True)]
+        return pd.DataFrame(out, columns=["uid", "query_id", "neighbor_id", "distance"])
 
     found = i.groupBy("ib", "qb").cogroup(q.groupBy("ib", "qb")).applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy("distance", F.col("neighbor_id").asc_nulls_last()))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("distance", "neighbor_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select(F.nullif("query_id", F.lit(last)).alias("query_id"), "rank", F.nullif("neighbor_id", F.lit(last)).alias("neighbor_id"), "distance")
