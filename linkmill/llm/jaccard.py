@@ -13,7 +13,7 @@ from linkmill.llm.components import components
 
 WIDTH, PERCENT = 5, 75
 #: A token that more sets than this have in their prefixes belongs to the frequent class.
-RARE = 16
+RARE = 128
 #: Rounds that link each posting to one document of it, before all its pairs are looked at.
 STAR_ROUNDS = 2
 
@@ -188,10 +188,13 @@ def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
     parted = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "parted")
     now = written(now.join(parted, "token"), "open")
     if not now.isEmpty():
-        few = now.where(F.col("size") <= rare).select("token", F.lit(0).cast("long").alias("token2"), "uid", "n", "m", "c", "near")
+        nothing = F.array().cast("array<bigint>")
+        few = now.where(F.col("size") <= rare).select("token", F.lit(0).cast("long").alias("token2"), "uid", "n", "m", "c", "near", nothing.alias("before_near"), nothing.alias("before_far"))
         many = now.where(F.col("size") > rare).groupBy("uid", "n", "m", "c").agg(F.array_sort(F.collect_list(F.struct("token", "near"))).alias("t"))
-        two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x.token as token, y.token as token2, x.near and y.near as near))))")
-        many = many.select("uid", "n", "m", "c", F.explode(two).alias("p")).select("p.token", "p.token2", "uid", "n", "m", "c", "p.near")
+        before = "filter(concat(slice(t, 1, i), slice(t, i + 2, j)), z -> {}).token as before_{}"
+        two = f"struct(x.token as token, y.token as token2, x.near and y.near as near, {before.format('z.near', 'near')}, {before.format('not z.near', 'far')})"
+        two = F.expr(f"flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), (y, j) -> {two})))")
+        many = many.select("uid", "n", "m", "c", F.explode(two).alias("p")).select("p.token", "p.token2", "uid", "n", "m", "c", "p.near", "p.before_near", "p.before_far")
         found, tested = _verified(_across(written(few.unionByName(many), "combinations"), percent), tested, sets, percent)
         if found is not None:
             links = found if links is None else links.unionByName(found)
@@ -207,16 +210,18 @@ def _labelled(post: DataFrame, comp: DataFrame) -> DataFrame:
 def _across(index: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a key: documents outside a key's largest component, with all.
 
-    The smaller set of a pair has its key among its near n-grams, of equal ones both have."""
+    The smaller set of a pair has its key among its near n-grams, of equal ones both have. Of the
+    combinations that two documents share so only the first gives the pair: before it they share nothing."""
     key = ["token", "token2"]
     sizes = index.groupBy(*key, "c").agg(F.count("*").alias("members"), F.min(F.when(F.col("near"), F.col("n"))).alias("least"))
     top = sizes.groupBy(*key).agg(F.max(F.struct("members", "c")).alias("t"), F.count("*").alias("parts"), F.min("least").alias("least"))
     top = written(top.where("parts > 1 and least is not null").select(*key, F.col("t.c").alias("top"), "least"), "largest")
     live = written(index.join(top, key).where("near or n > least"), "live")
-    a = live.where("c != top").select(*key, F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("c").alias("ca"), F.col("near").alias("neara"))
-    b = live.select(*key, F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("c").alias("cb"), F.col("near").alias("nearb"))
+    a = live.where("c != top").select(*key, F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("c").alias("ca"), F.col("near").alias("neara"), F.col("before_near").alias("bna"), F.col("before_far").alias("bfa"))
+    b = live.select(*key, F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("c").alias("cb"), F.col("near").alias("nearb"), F.col("before_near").alias("bnb"), F.col("before_far").alias("bfb"))
     near = ((F.col("na") > F.col("nb")) | F.col("neara")) & ((F.col("nb") > F.col("na")) | F.col("nearb"))
-    pairs = a.join(b, key).where((F.col("ca") != F.col("cb")) & near & _possible("na", "ma", "nb", "mb", percent))
+    first = ~F.arrays_overlap("bna", "bnb") & ((F.col("na") >= F.col("nb")) | ~F.arrays_overlap("bna", "bfb")) & ((F.col("nb") >= F.col("na")) | ~F.arrays_overlap("bfa", "bnb"))
+    pairs = a.join(b, key).where((F.col("ca") != F.col("cb")) & near & _possible("na", "ma", "nb", "mb", percent) & first)
     return pairs.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
 
 
