@@ -143,12 +143,15 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
                     s = sets[r["place"]]
                     n = len(s)
                     f = df[ends[r["place"]] - n : ends[r["place"]]]
+                    also = (f > r["copies"]) | (f == 65535)  # counts stop there
+                    m = int(also.sum())
+                    if n < 2 or m < needed(n, percent):  # a set of one is similar to equal ones only
+                        continue
                     prefix = np.lexsort((s, f))[: min(n, n - needed(n, percent) + 2)]
-                    others = f[prefix] > r["copies"]
+                    others = also[prefix]
                     shared = s[prefix[others]].view(np.int64)
                     near = int(others[: n - needed_alike(n, percent) + 2].sum())
-                    m = int((f > r["copies"]).sum())
-                    if n > 1 and len(shared) and m >= needed(n, percent):  # a set of one is similar to equal ones only
+                    if len(shared):
                         for column, v in zip(out, ((row["block_id"] << B.PLACE_BITS) + r["place"], n, m, shared[:near], shared[near:], s.tobytes()), strict=True):
                             column.append(v)
                 if out[0]:
