@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from linkmill.functions import names as N
 from linkmill.functions import similarity as S
 from linkmill.functions import vocab as V
-from linkmill.operators import cohort, flatten, gates, graph, linkage, merge, metrics, ranks, similar_texts
+from linkmill.operators import cohort, flatten, gates, graph, linkage, members, merge, metrics, ranks, similar_texts
 from linkmill.sources import tables
 
 c = F.col
@@ -527,6 +527,47 @@ def common_names(spark, sf_dir):
     return linkage.common_names(p, "p_name", "ok", []).select("p_partkey", "risk")
 
 
+# Members
+
+
+@query("select c_custkey, c_name, coalesce(n_name, 'Unknown') as n_name from customer left join (select * from nation where n_regionkey <> 0) on c_nationkey = n_nationkey")
+def state_of_member(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").where("n_regionkey <> 0").select(c("n_nationkey").alias("c_nationkey"), "n_name")
+    return members.mapped(t(spark, sf_dir, "customer"), "c_nationkey", n, "n_name").select("c_custkey", "c_name", "n_name")
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'Prof ' || c_name when c_custkey % 5 = 0 then 'Dr ' || c_name else c_name end as new_name from customer")
+def retitled_members(spark, sf_dir):
+    cust = t(spark, sf_dir, "customer")
+    found = cust.where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select("c_name", F.lit("Dr").alias("title"))
+    manual = cust.where("c_custkey % 3 = 0").select("c_name", F.lit("Prof").alias("title"))
+    return members.retitled(cust, found, "c_name", manual).select("c_custkey", "new_name")
+
+
+@query("select o_orderkey, o_custkey, case when o_orderstatus = 'F' and exists (select 1 from supplier where s_suppkey = o_custkey) then 'REVIEW' when o_orderstatus = 'F' then 'HIGH' else 'LOW' end as tier from orders")
+def demoted_links(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey"), F.when(c("o_orderstatus") == "F", "HIGH").otherwise("LOW").alias("tier"))
+    listed = o.join(t(spark, sf_dir, "supplier"), c("o_custkey") == c("s_suppkey")).select(c("o_orderkey").alias("name"), c("o_custkey").alias("id"))
+    return members.demoted(o, listed, listed.limit(0), "o_orderkey", "o_custkey")[0]
+
+
+@query("""
+select p_partkey, 40 + case when p_size > 25 then 20 else 0 end + case when p_size % 2 = 0 then 25 else 0 end + case when contains(p_type, 'BRASS') then 15 else 0 end + case when p_size between 5 and 500 then 10 else 0 end + case when p_size >= 10 then 5 else 0 end as contained,
+       case when p_size % 3 = 0 then 0 when p_size % 2 <> 0 and not contains(p_type, 'BRASS') then 0 else 40 + case when p_size > 25 then 30 else 0 end + case when p_size % 2 = 0 then 25 else 15 end + case when p_size >= 20 then 5 when p_size >= 5 then 2 else 0 end end as first_last
+from part
+""")
+def score_variants(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_size", c("p_type").contains("BRASS").alias("on"), (c("p_size") % 2 == 0).alias("now"), (c("p_size") % 3 != 0).alias("ever"))
+    p = p.withColumn("member", F.when(c("p_size") > 25, "Dr Ann Lee").otherwise("Dr Zoe Lee")).withColumn("first", F.when(c("p_size") > 25, "Ann").otherwise("Zoe"))
+    return p.select("p_partkey", members.score_contained(c("member"), F.lit("A. Lee"), c("now"), c("on"), c("p_size"), c("p_size")).alias("contained"), members.score_first_last(c("first"), F.lit("Lee"), F.lit("A. Lee"), c("ever"), c("now"), c("on").cast("int"), c("p_size")).alias("first_last"))
+
+
+@query("select o_custkey as member, o_orderkey as text, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r = 1 and o_totalprice >= 45")
+def accepted_variants(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(c("o_custkey").alias("member"), c("o_orderkey").alias("text"), "o_totalprice", F.lit(0).alias("rank"))
+    return members.accepted_variant(o, "topical", "member", "o_totalprice", "rank", "text").drop("rank")
+
+
 # Merges
 
 EVEN = "o_custkey % 2 = 0"
