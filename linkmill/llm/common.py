@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -32,13 +34,32 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/linkmill/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and fixes the rows."""
+_PASSING: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and fixes the rows.
+
+    Within passing_tables() it lives as long as that block, unless it is to keep."""
     path = scratch(df.sparkSession, label)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that written() makes inside, at the end: nothing lazy may read them after it."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches are bounded to 8 MB and 2,000 rows, so that long texts need no more memory.
 
@@ -59,7 +80,7 @@ def partitions(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it holds `most` words, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

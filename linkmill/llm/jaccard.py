@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmill.llm import blocks as B
-from linkmill.llm.common import WordHashes, bounded_batches, mixed, partitions, window_hashes, written
+from linkmill.llm.common import WordHashes, bounded_batches, mixed, partitions, passing_tables, window_hashes, written
 from linkmill.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -96,13 +96,14 @@ def _named(table: DataFrame, key: str, width: int, percent: int, rare: int) -> D
     """Per row of the blocks: uid, key, n, component_id, is_first."""
     rows = table.select("block_id", F.posexplode(F.arrays_zip(F.col(f"c_{key}").cast("array<bigint>").alias("key"), "n", "s1", "s2")).alias("place", "x"))
     rows = rows.select((F.shiftleft("block_id", B.PLACE_BITS) + F.col("place")).alias("uid"), "x.*")
-    classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid")).alias("first"), F.count("*").alias("copies")), "classes")
-    sets = _indexed(table.sparkSession, table, classes, width, percent)
-    labels = written(components(_links(sets, percent, rare)), "components")
-    labelled = classes.join(labels.select(F.col("v").alias("uid"), "c"), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
-    groups = labelled.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    groups = written(groups.select("c", "component_id", F.col("first.uid").alias("first_uid")), "groups")
-    named = written(labelled.join(groups, "c").select("n", "s1", "s2", "component_id", "first_uid"), "named")
+    with passing_tables(table.sparkSession):
+        classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid")).alias("first"), F.count("*").alias("copies")), "classes")
+        sets = _indexed(table.sparkSession, table, classes, width, percent)
+        labels = written(components(_links(sets, percent, rare)), "components")
+        labelled = classes.join(labels.select(F.col("v").alias("uid"), "c"), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
+        groups = labelled.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        groups = written(groups.select("c", "component_id", F.col("first.uid").alias("first_uid")), "groups")
+        named = written(labelled.join(groups, "c").select("n", "s1", "s2", "component_id", "first_uid"), "named", keep=True)
     filled = rows.where("n > 0").join(named, ["n", "s1", "s2"]).select("uid", "key", "n", "component_id", (F.col("uid") == F.col("first_uid")).alias("is_first"))
     return filled.unionByName(rows.where("n = 0").select("uid", "key", "n", F.col("key").alias("component_id"), F.lit(True).alias("is_first")))
 
