@@ -396,13 +396,15 @@ def page_links(spark, sf_dir):
     return flatten.page_links(t(spark, sf_dir, "pages"), "page_id", "html")
 
 
-# Records of pages: the digits that a page's address ends with stand for the registry's ids.
-
-
-@query(r"select page_id, regexp_extract(html, '(?is)<p\b.*?</p>') as row, regexp_extract(row, '(\d{5,})', 1) as id, '' as title, '' as href from pages where false")
+@query(r"""
+with r as (select page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?is)(<p\b.*?</p>)', 1)) as row from pages),
+x as (select page_id, row, regexp_extract(row, '(\d{3,})', 1) as id from r)
+select page_id, id, trim(regexp_replace(regexp_replace(regexp_extract(row, '(?is)<a\b[^>]*>(.*?)</a>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as title,
+       regexp_extract(row, '(?is)<a\b[^>]*href=["'']([^"'']*)', 1) as href from x where id <> ''
+""")
 def page_ids(spark, sf_dir):
-    rows = flatten.page_rows(t(spark, sf_dir, "pages"), "page_id", "html", r"\d{14,}", "tr")
-    return rows.select("page_id", F.lit("").alias("row"), "id", "title", "href")
+    """Paragraphs that hold a number stand for the rows of a registry's result pages."""
+    return flatten.page_rows(t(spark, sf_dir, "pages"), "page_id", "html", r"\d{3,}", "p")
 
 
 # Names and linkage
@@ -415,14 +417,6 @@ def name_normalise(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", N.normalise_name(F.concat(F.lit("Dr. "), F.replace(c("c_name"), F.lit("#"), F.lit(" ")), F.lit(", PhD"))).alias("norm"))
 
 
-def _lcs_sql(a: str, b: str) -> str:
-    row = f"list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, case when substr({b}, j::int, 1) = ch then row[j] + 1 else greatest(row[j + 1], acc[-1]) end), [0::bigint])"
-    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: substr({a}, i::int, 1)), lambda row, ch: {row}, list_transform(range(0, length({b}) + 1), lambda z: 0::bigint))[-1]"
-
-
-DISTINCT_PARTS = "select distinct lower(p_name) as norm, string_split(lower(p_name), ' ')[-1] as last from part"
-
-
 @query(None)
 def fuzzy_matches(spark, sf_dir):
     p = t(spark, sf_dir, "part")
@@ -436,6 +430,27 @@ def distinct_pairs(spark, sf_dir) -> DataFrame:
     return d.select(c("norm").alias("a"), "last").join(d.select(c("norm").alias("b"), "last"), "last").where("a < b").drop("last")
 
 
+def _lcs_sql(a: str, b: str) -> str:
+    row = f"list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, case when substr({b}, j::int, 1) = ch then row[j] + 1 else greatest(row[j + 1], acc[-1]) end), [0::bigint])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: substr({a}, i::int, 1)), lambda row, ch: {row}, list_transform(range(0, length({b}) + 1), lambda z: 0::bigint))[-1]"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"200.0 * {_lcs_sql(a, b)} / (length({a}) + length({b}))"
+
+
+NAME_PAIRS = """
+with d as (select distinct lower(p_name) as norm, string_split(lower(p_name), ' ')[-1] as last, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') as s from part)
+select x.norm as a, y.norm as b, x.s as sa, y.s as sb from d x join d y on x.last = y.last and x.norm < y.norm
+"""
+
+
+@query(f"select a, b, {_ratio_sql('a', 'b')} as ratio, {_ratio_sql('sa', 'sb')} as sorted from ({NAME_PAIRS})", ("ratio", "sorted"))
+def name_ratios(spark, sf_dir):
+    p = distinct_pairs(spark, sf_dir)
+    return p.select("a", "b", S.ratio(c("a"), c("b")).alias("ratio"), S.token_sort_ratio(c("a"), c("b")).alias("sorted"))
+
+
 @query(None)
 def fuzzy_pairs(spark, sf_dir):
     p = distinct_pairs(spark, sf_dir)
@@ -570,9 +585,6 @@ def accepted_variants(spark, sf_dir):
 
 # Merges
 
-EVEN = "o_custkey % 2 = 0"
-
-
 @query("select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) where r = 1 and o_custkey not in (select s_suppkey from supplier)")
 def keyed_append(spark, sf_dir):
     new = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
