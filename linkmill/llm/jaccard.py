@@ -189,8 +189,9 @@ def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
         if found is not None:
             links = found if links is None else links.unionByName(found)
             now = _labelled(post, components(links))
-    parted = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"), "parted")
-    now = written(now.join(parted, "token"), "open")
+    # A token that is far in a set only helps it to meet smaller sets that have the token near.
+    parted = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("near"), F.col("n"))).alias("least")).where("lo < hi and least is not null")
+    now = written(now.join(written(parted.select("token", "least"), "parted"), "token").where("near or n > least").drop("least"), "open")
     if not now.isEmpty():
         nothing = F.array().cast("array<bigint>")
         few = now.where(F.col("size") <= rare).select("token", F.lit(0).cast("long").alias("token2"), "uid", "n", "m", "c", "near", nothing.alias("before_near"), nothing.alias("before_far"))
