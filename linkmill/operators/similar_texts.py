@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A key with more rows than this is dealt out to several tasks in a join.
+HOT_ROWS = 2_000
 
-def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): words and pairs of words, weight (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), each text's weights of length 1."""
+
+def terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, term): a row for each word and pair of words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 2)
     rows = df.select(F.col(key).alias("k"), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = rows.select("k", F.explode(F.concat("w", pairs)).alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
+    return rows.select("k", F.explode(F.concat("w", pairs)).alias("term"))
+
+
+def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight): words and pairs of words, weight (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), each text's weights of length 1."""
+    tf = terms(df, key, text).groupBy("k", "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*").alias("n_docs"))
     docs = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (1 + F.log((1 + F.col("n_docs")) / (1 + F.col("df")))).alias("idf"))
     raw = tf.join(docs, "term").select("k", "term", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
@@ -19,13 +27,45 @@ def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(norm, "k").select(F.col("k").alias(key), "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def similarity(weights: DataFrame, key: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs (a, b) with their cosine: only terms that both have meet."""
-    x = pairs.join(weights.select(F.col(key).alias(a), "term", F.col("weight").alias("wa")), a)
-    both = x.join(weights.select(F.col(key).alias(b), "term", F.col("weight").alias("wb")), [b, "term"])
+def similarity(weights: DataFrame, key: str, pairs: DataFrame, a: str, b: str, others: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) with their cosine: only terms that both have meet. others has the weights of b, if weights has not."""
+    x = _dealt(pairs, weights.select(F.col(key).alias(a), "term", F.col("weight").alias("wa")), a, b)
+    both = x.join((weights if others is None else others).select(F.col(key).alias(b), "term", F.col("weight").alias("wb")), [b, "term"])
     return both.groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+def alike(left: DataFrame, right: DataFrame, key: str, a: str, b: str, least: float) -> DataFrame:
+    """(a, b, cosine): all pairs of a left and a right text with a cosine of at least `least` (> 0).
+
+    left and right are tables of tf_idf() weights that can be read again; terms that no left text has
+    may be missing on the right. In one order of all terms, the frequent ones last, each text leaves out
+    as many at its end as cannot reach `least` alone: their part of its length is smaller, or the
+    products with the other side's largest weights are. Where two texts share none of the terms that are
+    left, all shared ones lie at the end of one of the two, so the pair is below `least`. A term
+    that is frequent is dealt out by the right texts' keys.
+    """
+    bound = least - 1e-9
+    of = lambda df, side: df.groupBy("term").agg(F.max("weight").alias(f"top_{side}"), F.count("*").alias(f"n_{side}"))
+    terms = of(left, a).join(of(right, b), "term")
+
+    def prefix(df, side, other):
+        last = Window.partitionBy(key).orderBy(F.desc(f"n_{b}"), "term").rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.join(terms, "term").select(F.col(key).alias(side), "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(last)).alias("part"), F.sum(F.col("weight") * F.col(f"top_{other}")).over(last).alias("most"))
+        return rows.where(F.least("part", "most") >= bound).select(side, "term")
+
+    pairs = _dealt(prefix(right, b, a), prefix(left, a, b), "term", b).select(a, b).distinct()
+    return similarity(left, key, pairs, a, b, right).where(F.col("cosine") >= least)
+
+
+def _dealt(many: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
+    """The join of both on a column; a value with many rows in `many` goes to several tasks by the hash of `by`."""
+    hot = many.groupBy(on).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    many = many.join(F.broadcast(hot), on, "left").withColumn("part_no", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    few = few.join(F.broadcast(hot), on, "left").withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
+    return many.join(few, [on, "part_no"]).drop("part_no")
+
+
 def points(cosine, bands: tuple = ((0.35, 15), (0.20, 8))):
     out = F.lit(0)
     for least, p in sorted(bands):

@@ -655,12 +655,12 @@ def snapshot_report(spark, sf_dir):
 
 @query(None)
 def tfidf_similarity(spark, sf_dir):
-    """Benchmark items with the documents that share a rare word pair with them, and their cosine."""
+    """All pairs of a benchmark item and a document with a cosine of 0.20 or more, the least that gives points."""
     docs = t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), c("doc_id")).alias("k"), "text")
     items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), c("item_id")).alias("k"), "text")
     w = similar_texts.tf_idf(docs.unionByName(items), "k", "text")
-    two = w.where("term like '% %'")
-    rare = two.groupBy("term").agg(F.count("*").alias("n")).where("n between 2 and 20")
-    block = two.join(rare, "term", "left_semi").select("k", "term")
-    pairs = block.where("k like 'b%'").select(c("k").alias("item"), "term").join(block.where("k like 'd%'").select(c("k").alias("doc"), "term"), "term").select("item", "doc").distinct()
-    return similar_texts.similarity(w, "k", pairs, "item", "doc").withColumn("points", similar_texts.points(c("cosine")))
+    path = shared(spark)
+    w.join(similar_texts.terms(items, "k", "text").select("term").distinct(), "term", "left_semi").write.parquet(path)  # no other term adds to a cosine
+    w = spark.read.parquet(path)
+    pairs = similar_texts.alike(w.where("k like 'b%'"), w.where("k like 'd%'"), "k", "item", "doc", 0.20)
+    return pairs.withColumn("points", similar_texts.points(c("cosine")))
