@@ -53,26 +53,29 @@ def _signed(sets: list[np.ndarray]) -> dict:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id, is_first.
+    """One row per row of docs: key, n_shingles, component_id, is_first, n_links.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a document's set has its distinct
     n-grams of `width` words, the whole sequence as one where it has fewer words, nothing without
     words. Two rows link when 100 * overlap >= percent * union; empty sets link with nothing.
     component_id is the smallest key that a row reaches by links, its own included; is_first marks
     one row of each component (of rows with the smallest key one). Null keys are never the smallest.
+    n_links is the number of other rows that a row links with, those with an equal set included.
 
     1. Rows are packed into blocks; rows with equal sets form a class, and one of each class goes on.
     2. The frequency of each n-gram over all rows is counted by ranges of hash values. N-grams in
        ascending frequency give each set its order; sets that are similar enough share k n-grams in
        the prefixes that are k - 1 longer than one shared n-gram needs. k is 2.
-    3. N-grams that no other class has are left out. Postings of the others are linked as stars, and
-       verified links merge; postings within one component are then done, as they add no component.
-    4. Of the rest, pairs in different components meet on one rare n-gram, or on a combination of two
-       frequent ones. Each pair is verified on the whole sets.
+    3. N-grams that no other class has are left out. All pairs of classes that share a rare n-gram or
+       a combination of two frequent ones are verified on the whole sets. A class's links count as
+       many times as the other class has rows.
+
+    distinct_documents() needs the components alone: there postings are linked as stars first, verified
+    links merge, and only pairs in different components are looked at.
     """
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    named = _named(_packed(keyed, "key", "text", ["key"], width), "key", width, percent, rare)
-    return named.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id", "is_first")
+    named = _named(_packed(keyed, "key", "text", ["key"], width), "key", width, percent, rare, every=True)
+    return named.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id", "is_first", "n_links")
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
@@ -92,20 +95,26 @@ def _packed(docs: DataFrame, key: str, text: str, carry: list[str], width: int)
     return B.packed(docs, text, carry, signed, "n array<int>, s1 array<long>, s2 array<long>")
 
 
-def _named(table: DataFrame, key: str, width: int, percent: int, rare: int) -> DataFrame:
-    """Per row of the blocks: uid, key, n, component_id, is_first."""
+def _named(table: DataFrame, key: str, width: int, percent: int, rare: int, every: bool = False) -> DataFrame:
+    """Per row of the blocks: uid, key, n, component_id, is_first, n_links (null without every link)."""
     rows = table.select("block_id", F.posexplode(F.arrays_zip(F.col(f"c_{key}").cast("array<bigint>").alias("key"), "n", "s1", "s2")).alias("place", "x"))
     rows = rows.select((F.shiftleft("block_id", B.PLACE_BITS) + F.col("place")).alias("uid"), "x.*")
     with passing_tables(table.sparkSession):
         classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "uid")).alias("first"), F.count("*").alias("copies")), "classes")
         sets = _indexed(table.sparkSession, table, classes, width, percent)
-        labels = written(components(_links(sets, percent, rare)), "components")
+        links = _links(sets, percent, rare, every)
+        labels = written(components(links), "components")
         labelled = classes.join(labels.select(F.col("v").alias("uid"), "c"), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
+        n_links = F.lit(None).cast("long")
+        if every:
+            ends = links.select(F.col("a").alias("uid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("uid"), F.col("a").alias("other")))
+            linked = ends.join(classes.select(F.col("uid").alias("other"), "copies"), "other").groupBy("uid").agg(F.sum("copies").alias("linked"))
+            labelled, n_links = labelled.join(linked, "uid", "left"), F.coalesce("linked", F.lit(0)) + F.col("copies") - 1
         groups = labelled.groupBy("c").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
         groups = written(groups.select("c", "component_id", F.col("first.uid").alias("first_uid")), "groups")
-        named = written(labelled.join(groups, "c").select("n", "s1", "s2", "component_id", "first_uid"), "named", keep=True)
-    filled = rows.where("n > 0").join(named, ["n", "s1", "s2"]).select("uid", "key", "n", "component_id", (F.col("uid") == F.col("first_uid")).alias("is_first"))
-    return filled.unionByName(rows.where("n = 0").select("uid", "key", "n", F.col("key").alias("component_id"), F.lit(True).alias("is_first")))
+        named = written(labelled.join(groups, "c").select("n", "s1", "s2", "component_id", "first_uid", n_links.alias("n_links")), "named", keep=True)
+    filled = rows.where("n > 0").join(named, ["n", "s1", "s2"]).select("uid", "key", "n", "component_id", (F.col("uid") == F.col("first_uid")).alias("is_first"), "n_links")
+    return filled.unionByName(rows.where("n = 0").select("uid", "key", "n", F.col("key").alias("component_id"), F.lit(True).alias("is_first"), F.lit(0 if every else None).cast("long").alias("n_links")))
 
 
 def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -167,10 +176,10 @@ def _possible(na: str, ma: str, nb: str, mb: str, percent: int):
     return sizes & (F.least(ma, mb) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
 
 
-def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Verified links (a, b) that connect all that is connected; within a component not all of them.
+def _links(sets: DataFrame, percent: int, rare: int, every: bool) -> DataFrame:
+    """Verified links (a, b): every one, or enough of them to connect all that is connected.
 
-    The stars of the first round have the set that shares the largest part of its n-grams as their hub,
+    Without `every`, the stars of the first round have the set that shares the largest part of its n-grams as their hub,
     those of later rounds another one for each token. What they leave unlinked is looked at in full."""
     flagged = lambda c, near: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(near).alias("near")))
     post = written(sets.select("uid", "n", "m", F.explode(F.concat(flagged("near", True), flagged("far", False))).alias("t")).select("uid", "n", "m", "t.*"), "postings")
@@ -178,7 +187,7 @@ def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
     post = written(post.join(size, "token"), "postings")
     links = tested = None
     now = post.withColumn("c", F.col("uid"))
-    for n_round in range(STAR_ROUNDS):
+    for n_round in range(0 if every else STAR_ROUNDS):  # with every link, each set stays a component of its own
         rank = F.col("m") / F.col("n") if n_round == 0 else F.xxhash64("token", "uid", F.lit(n_round)) / F.lit(2.0**63)
         ends = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct(rank.alias("rank"), (-F.col("uid")).alias("u"), F.col("uid").alias("hu"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("c").alias("hc"))).alias("x"))
         ends = written(ends.where("lo < hi").select("token", "x.hu", "x.hn", "x.hm", "x.hc"), "hubs")
