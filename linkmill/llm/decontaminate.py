@@ -58,7 +58,7 @@ class WuManber:
             at += 1
 
 
-def _patterns(items: list[tuple[int, str]], window: int) -> list[WuManber]:
+def _patterns(items: list[tuple[int | None, str]], window: int) -> list[WuManber]:
     by_length: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         words = words_of((text or "").encode())
@@ -92,7 +92,7 @@ def _searched(docs: DataFrame, items: list, window: int, keep: list[str], text:
                 for f in finders:
                     for start, its in f.find(words):
                         hit.append((start, start + f.length))
-                        ids.update(its)
+                        ids.update(i for i in its if i is not None)
                 counts.append(len(words))
                 spans.append([x for s in _merged(hit) for x in s])
                 found.append(sorted(ids))
@@ -114,12 +114,13 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, keep: list[str], tex
 
     A window is `window` consecutive words of a benchmark item; an item with fewer words, but some, is
     one window. A document word within any occurrence of a window is hit. Contaminated: n_hit > 0 and
-    20 * n_hit >= n_words. Null or wordless texts have no words and no hits; null item ids are left out.
+    20 * n_hit >= n_words. Null or wordless texts have no words and no hits; items with null
+    ids are hit like others, but are not among n_items, items and items_sha256.
 
     The benchmark is read in blocks of at most block_bytes of text (one block unless it is larger);
     each is broadcast and all documents are searched for it where they lie, without a shuffle.
     """
-    bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("b_text"))
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("b_text"))
     size = bench.agg(F.sum(F.octet_length("b_text") + 64)).first()[0] or 0
     n_blocks = max(1, -(-2 * size // block_bytes))
     part = lambda k: [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "b_text"), F.lit(n_blocks)) == k).collect()]
