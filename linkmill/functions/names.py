@@ -166,3 +166,9 @@ def keyword_match(state: Column, text: Column, keywords: dict[str, list[str]]) -
     low = F.lower(F.coalesce(text, F.lit("")))
     own = F.coalesce(F.try_element_at(table, F.upper(F.trim(state))), F.array(F.lower(F.trim(state))))
     return (F.coalesce(F.trim(state), F.lit("")) != "") & F.exists(own, lambda k: low.contains(k))
+
+
+def url(template: str, key: Column) -> Column:
+    """A template with the key in place of {}; empty text without a key."""
+    before, after = template.split("{}")
+    return F.when(F.coalesce(key, F.lit("")) != "", F.concat(F.lit(before), key, F.lit(after))).otherwise("")

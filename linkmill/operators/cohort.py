@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkmill.operators.ranks import quantiles
+
 c = F.col
 
 
@@ -92,7 +94,7 @@ def matrix(df: DataFrame, row: str, col: str, k_rows: int, k_cols: int | None =
     rows = top_groups(df.where(c(row).isNotNull()), row, k_rows).select(row)
     cols = (top_groups(df.where(c(col).isNotNull()), col, k_cols) if k_cols else df.where(c(col).isNotNull()).join(rows, row, "left_semi").select(col).distinct()).select(col)
     counts = df.join(F.broadcast(rows), row, "left_semi").groupBy(row, col).agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(cols)).join(counts, [row, col], "left").na.fill(0, ["n"])
+    return cols.join(F.broadcast(rows)).join(counts, [row, col], "left").na.fill(0, ["n"])
 
 
 def pivoted(long: DataFrame, row: str, col: str, values: list) -> DataFrame:
@@ -104,8 +106,10 @@ def pivoted(long: DataFrame, row: str, col: str, values: list) -> DataFrame:
 def quantile_bands(df: DataFrame, metrics: list[str], points: tuple = (0.25, 0.5, 0.75, 0.95), approximate: bool = False) -> DataFrame:
     """Per metric: n and its quantiles, interpolated; approximate ones need bounded memory."""
     long = df.select(*[c(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
-    f = F.percentile_approx if approximate else F.percentile
-    out = long.groupBy("metric").agg(F.count("value").alias("n"), f("value", F.array(*map(F.lit, points))).alias("q"))
+    if approximate:
+        out = long.groupBy("metric").agg(F.count("value").alias("n"), F.percentile_approx("value", F.array(*map(F.lit, points))).alias("q"))
+    else:
+        out = quantiles(long, ["metric"], "value", points)
     return out.select("metric", "n", *[c("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
@@ -132,9 +136,11 @@ def smoothed(hist: DataFrame, sigma: float = 1.2, reach: int = 5) -> DataFrame:
 
 
 def box(df: DataFrame, by: str, metric: str) -> DataFrame:
-    """Per group: n, least, quartiles, greatest, mean, standard deviation."""
-    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.where(c(metric).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(metric).alias("lo"), q.alias("q"), F.max(metric).alias("hi"), F.avg(metric).alias("mean"), F.stddev(metric).alias("sd")).select(by, "n", "lo", c("q")[0].alias("q1"), c("q")[1].alias("median"), c("q")[2].alias("q3"), "hi", "mean", "sd")
+    """Per group: n, least, quartiles, greatest, mean, standard deviation; rows without a group are left out."""
+    rows = df.where(c(metric).isNotNull())
+    sums = rows.groupBy(by).agg(F.min(metric).alias("lo"), F.max(metric).alias("hi"), F.avg(metric).alias("mean"), F.stddev(metric).alias("sd"))
+    q = quantiles(rows, [by], metric, (0.25, 0.5, 0.75))
+    return q.join(sums, by).select(by, "n", "lo", c("q")[0].alias("q1"), c("q")[1].alias("median"), c("q")[2].alias("q3"), "hi", "mean", "sd")
 
 
 def enough(df: DataFrame, metrics: list[str], least: int = 5) -> DataFrame:
@@ -221,3 +227,76 @@ def worklist(review: DataFrame, flagged: DataFrame, resolved: DataFrame, decisio
     r, g = review.select(name).distinct().withColumn("in_review", F.lit(True)), flagged.select(name).distinct().withColumn("is_flagged", F.lit(True))
     out = r.join(g, name, "full").na.fill(False, ["in_review", "is_flagged"]).join(resolved, name, "left").join(decisions, name, "left")
     return out.withColumn("decided", c("action").isNotNull())
+
+
+def eligible(links: DataFrame, tier: str, id_: str, priority: str, name: str, tiers: tuple = ("HIGH", "REVIEW"), must_only: bool = False) -> DataFrame:
+    """Links whose works are fetched: of these tiers, with an id; must before nice, then by name."""
+    out = links.where(c(tier).isin(*tiers) & (F.coalesce(F.trim(id_), F.lit("")) != ""))
+    out = out.where(c(priority) == "must") if must_only else out
+    return out.orderBy(F.when(c(priority) == "must", 0).when(c(priority) == "nice", 1).otherwise(2), name)
+
+
+def stage_names(links: DataFrame, tier: str, name: str, tiers: tuple = ("HIGH",)) -> DataFrame:
+    """Links of these tiers whose normalised name isn't empty."""
+    from linkmill.functions.names import normalise_name
+
+    return links.where(c(tier).isin(*tiers) & (normalise_name(c(name)) != ""))
+
+
+def lacking(links: DataFrame, id_: str, metric: str) -> DataFrame:
+    """Links with an id whose metric is null or 0."""
+    return links.where((F.coalesce(F.trim(id_), F.lit("")) != "") & (F.coalesce(c(metric), F.lit(0)) == 0))
+
+
+def scatter(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """key and metrics of the rows that have all of them."""
+    return df.select(key, *metrics).na.drop(subset=metrics)
+
+
+def concentration(df: DataFrame, value: str, key: str, k: int = 60) -> DataFrame:
+    """The k rows with the largest positive value; ties by key."""
+    return df.where(c(value) > 0).orderBy(F.desc(value), key).limit(k)
+
+
+def impact(df: DataFrame, h: str, fwci: str, citations: str) -> DataFrame:
+    """One row: rows, the median of h (exact, from running counts), the mean of fwci, all citations."""
+    median = quantiles(df, [], h, (0.5,)).select(c("q")[0].alias("median_h"))
+    sums = df.agg(F.count("*").alias("n"), F.avg(fwci).alias("mean_fwci"), F.coalesce(F.sum(citations), F.lit(0)).alias("citations"))
+    return sums.join(F.broadcast(median)).select("n", "median_h", "mean_fwci", "citations")  # one row each
+
+
+def trial_report(df: DataFrame, trial: str, member: str, status: str, start: str, k: int = 15) -> DataFrame:
+    """Rows (section, label, n): trials in all, members, trials by status and by start year, the k members with most."""
+    none = F.lit(None).cast("string")
+    n = F.count_distinct(trial).alias("n")
+    by = lambda section, label: df.groupBy(label.alias("label")).agg(n).select(F.lit(section).alias("section"), "label", "n")
+    out = df.agg(n).select(F.lit("total").alias("section"), none.alias("label"), "n")
+    out = out.unionByName(df.agg(F.count_distinct(member).alias("n")).select(F.lit("members").alias("section"), none.alias("label"), "n"))
+    out = out.unionByName(by("status", c(status))).unionByName(by("year", F.left(start, F.lit(4))))
+    most = df.groupBy(member).agg(n).orderBy(F.desc("n"), member).limit(k)
+    return out.unionByName(most.select(F.lit("investigator").alias("section"), c(member).cast("string").alias("label"), "n"))
+
+
+def heat_rows(df: DataFrame, member: str, year: str, topic: str) -> DataFrame:
+    """Works by member, year and topic, in long form."""
+    return df.groupBy(member, year, topic).agg(F.count("*").alias("n"))
+
+
+def of_member(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one member."""
+    return df.where(c(key) == value)
+
+
+def works_of_hits(works_: DataFrame, hits: DataFrame, work: str) -> DataFrame:
+    """Works that a search of the index found."""
+    return works_.join(hits.select(work).distinct(), work, "left_semi")
+
+
+def grid_figures(df: DataFrame, citations: str, is_open: str) -> DataFrame:
+    """One row: works, citations, open ones."""
+    return df.agg(F.count("*").alias("works"), F.coalesce(F.sum(citations), F.lit(0)).alias("citations"), F.count_if(is_open).alias("open"))
+
+
+def with_members(found: DataFrame, members_: DataFrame, stats: DataFrame, name: str) -> DataFrame:
+    """Search results with each member's columns and figures, one row a member."""
+    return found.join(members_.dropDuplicates([name]), name, "left").join(stats.dropDuplicates([name]), name, "left")

@@ -96,7 +96,7 @@ def study_rows(studies: DataFrame, members: DataFrame, member: str) -> DataFrame
     m = members.select(c(member), N.normalise_name(c(member)).alias("_m")).withColumn("_last", F.element_at(F.split("_m", " "), -1)).where("_m != ''")
     hit = s.join(m, "_last").where(N.names_gate(c("_m"), c("_norm")))
     status = f"{p}.statusModule"
-    joined = lambda x: F.array_join(F.filter(F.transform(x, F.trim), lambda v: v.isNotNull() & (v != "")), "|")
+    joined = lambda x: F.array_join(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")), "|")
     cols = {
         "trial_id": c("_id"), "title": N.first_nonempty(c(f"{p}.identificationModule.briefTitle"), c(f"{p}.identificationModule.officialTitle")), "status": c(f"{status}.overallStatus"),
         "condition": joined(c(f"{p}.conditionsModule.conditions")), "intervention": joined(c(f"{p}.armsInterventionsModule.interventions.name")), "phase": joined(c(f"{p}.designModule.phases")),
@@ -178,3 +178,18 @@ def aliases(df: DataFrame, new_to_old: dict[str, str]) -> DataFrame:
         elif new in df.columns and old not in df.columns:
             df = df.withColumn(old, c(new))
     return df
+
+
+def investigators(df: DataFrame, role: str, country: str, wanted: str, place: str) -> DataFrame:
+    """Rows of the wanted role whose country text holds the place, without regard to case."""
+    return df.where((F.trim(role) == wanted) & F.lower(F.coalesce(c(country), F.lit(""))).contains(place.lower()))
+
+
+def united(*lists: Column) -> Column:
+    """The entries of several lists, each once, in the order in which they come first."""
+    return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
+
+
+def number(x: Column) -> Column:
+    """A number from text; null for anything else."""
+    return F.trim(x.cast("string")).try_cast("double")

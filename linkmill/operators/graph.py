@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Members of a work, about, in one part of its join.
+PART = 1_000
+
 
 def coauthor_edges(links: DataFrame, member: str, work: str, least: int = 1, most_members: int | None = None) -> DataFrame:
     """Unordered pairs of members (a < b) with the number of works they share, if that is `least` or more.
 
-    A work gives a row for each pair of its members: the result itself needs them, works have few members.
+    Members meet in a join on the work. A work with more than PART members is dealt into parts: each member
+    stands in one part on the left and in all on the right, so no list of a work is gathered in one row.
     most_members leaves out works with more (a consortium list says little about two members)."""
     rows = links.select(F.col(work).alias("w"), F.col(member).alias("m")).where("w is not null and m is not null").distinct()
-    lists = rows.groupBy("w").agg(F.array_sort(F.collect_list("m")).alias("ms")).where("size(ms) > 1")
+    size = rows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     if most_members:
-        lists = lists.where(F.size("ms") <= most_members)
-    pairs = lists.select(F.explode(F.expr("flatten(transform(ms, (x, i) -> transform(slice(ms, i + 2, size(ms)), y -> struct(x as a, y as b))))")).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+        size = size.where(F.col("n") <= most_members)
+    rows = rows.join(size.select("w", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "w")
+    left = rows.select("w", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), F.col("m").alias("a"))
+    right = rows.select("w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m").alias("b"))
+    pairs = left.join(right, ["w", "part"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def degrees(edges: DataFrame, hub: int = 15, strong: int = 6) -> DataFrame:

@@ -54,7 +54,7 @@ MODELS = {
     "library": Rules(bands=((85, 25),), set_ratio=True, gated=True, local_now=30, local_before=30, catalog=0, state=10, hospital=0, topic=0, concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0), bonus=True),
     "strict": Rules(bands=((92, 30), (80, 15)), drop_below=60, catalog=0, state=0, hospital=0, concept=0, works_over=(10**12, 0), h_over=(10**12, 0)),
     "loose": Rules(bands=((92, 30), (80, 15), (60, 5)), drop_below=60, catalog=0, state=0, hospital=0, concept=0, works_over=(10**12, 0), h_over=(10**12, 0)),
-    "graded": Rules(exact=40, bands=((95, 35), (85, 25), (75, 15)), drop_below=75, catalog=0, state=0, hospital=0, topic=10, topic_many=(3, 20), concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0)),
+    "graded": Rules(exact=40, bands=((92, 35), (85, 25), (75, 15)), drop_below=75, catalog=15, state=0, hospital=0, topic=10, topic_many=(3, 20), concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0)),
     "topical": Rules(exact=30, bands=((85, 15),), local_now=50, local_before=50, catalog=0, state=0, hospital=0, topic=40, concept=0, works=((1, 10**12, 10),), works_over=(10**12, 0), h_over=(10**12, 0)),
 }
 ACCEPT = {"pass1": 110, "pass2": 100, "review": 60}
@@ -176,11 +176,13 @@ def false_positive_flags(code: Column, ever_local: Column, name: Column, found:
 
 def name_points(a: Column, b: Column, r: Rules) -> tuple[Column, Column]:
     """(similarity, points) of two normalised names."""
-    sim = S.token_set_ratio(a, b) if r.set_ratio else F.when(S.longest_possible(a, b) < min((x for x, _ in r.bands), default=0), 0.0).otherwise(S.token_sort_ratio(a, b))
-    sim = F.when((a == "") | (b == ""), 0.0).when(a == b, 100.0).otherwise(sim)
+    whole = lambda x: F.when((a == "") | (b == ""), 0.0).when(a == b, 100.0).otherwise(x)
+    sim = whole(S.token_set_ratio(a, b) if r.set_ratio else S.token_sort_ratio(a, b))
+    least_of_use = min((x for x, _ in r.bands), default=0)
+    near = sim if r.set_ratio else F.when(S.longest_possible(a, b) < least_of_use, 0.0).otherwise(sim)  # no points below
     points = F.lit(0)
     for least, p in sorted(r.bands):
-        points = F.when(sim >= least, p).otherwise(points)
+        points = F.when(near >= least, p).otherwise(points)
     points = F.when((a == b) & (a != ""), r.exact).otherwise(points)
     return sim, F.when(N.names_gate(a, b), points).otherwise(0) if r.gated else points
 
@@ -212,11 +214,22 @@ def scored(pairs: DataFrame, rules: Rules, on: list[str]) -> DataFrame:
         "score_abroad": F.when(~F.col("ever_local"), rules.abroad).otherwise(0),
     }
     out = pairs.withColumn("similarity", sim)
-    out = out.where(F.col("similarity") >= rules.drop_below) if rules.drop_below else out
+    if rules.drop_below:  # the bound on lengths is cheap and comes first
+        out = out.where(S.longest_possible(F.col("m_norm"), F.col("a_norm")) >= rules.drop_below) if not rules.set_ratio else out
+        out = out.where(F.col("similarity") >= rules.drop_below)
     out = out.withColumns({k: v.cast("int") for k, v in parts.items()})
     return out.withColumn("total_score", sum((F.col(k) for k in parts), F.lit(0)).cast("int"))
 
 
+def institution_match(roster: Column, found: Column, least: float = 80) -> Column:
+    """Whether two institutions' names are alike in part; for in_catalog of the graded model."""
+    return (F.coalesce(roster, F.lit("")) != "") & (F.coalesce(found, F.lit("")) != "") & (S.partial_ratio(F.lower(roster), F.lower(found)) > least)
+
+
+def graded_tier(score: Column) -> Column:
+    return F.when(score >= 85, "HIGH").when(score >= 70, "MEDIUM").otherwise("REJECTED")
+
+
 def best(pairs: DataFrame, member: str, rank: str, author: str) -> DataFrame:
     """The candidate with the highest total of each member; ties go to the smaller rank, then id."""
     return top_per_group(pairs, [member], [F.desc("total_score"), rank, author], 1)
@@ -236,7 +249,7 @@ def banded(pairs: DataFrame, member: str, author: str, gap: int = 10) -> DataFra
     close = pairs.withColumn("top", top).where(F.col("top") - F.col("total_score") <= gap)
     out = close.groupBy(member, "top").agg(F.array_sort(F.collect_list(F.struct((-F.col("total_score")).alias("s"), F.col(author).alias("id")))).alias("all"))
     band = F.when(F.col("top") >= 70, "high").when(F.col("top") >= 50, "medium").when(F.col("top") >= 30, "low").otherwise("not_found")
-    return out.select(member, F.col("all")[0]["id"].alias("winner"), F.col("top").alias("score"), band.alias("band"), F.transform(F.slice("all", 2, 1000), lambda x: x["id"]).alias("alternatives"))
+    return out.select(member, F.col("all")[0]["id"].alias("winner"), F.col("top").alias("score"), band.alias("band"), F.transform(F.expr("slice(all, 2, size(all))"), lambda x: x["id"]).alias("alternatives"))
 
 
 def with_overrides(links: DataFrame, overrides: DataFrame, member: str, author: str) -> DataFrame:
@@ -280,13 +293,13 @@ def audited(links: DataFrame, member: str, author: str) -> DataFrame:
 
 
 def common_names(all_links: DataFrame, name: str, accepted: str, common_given: list[str], keep: int = 3) -> DataFrame:
-    """Accepted rows whose name is common: surname on three rows or more 3 points, on two 2, a short given name 2,
+    """Accepted rows whose name is common: surname on three rows or more 3 points, on two 1, a short given name 2,
     a listed one 2. Surnames are counted over all rows, accepted or not."""
     rows = prepared(all_links, name)
     counts = rows.groupBy("last").agg(F.count("*").alias("same_last"))
     rows = rows.where(F.col(accepted)).join(counts, "last")
     given = F.trim(F.regexp_replace("norm", "\\S+$", ""))
-    a = F.when(F.col("same_last") >= 3, 3).when(F.col("same_last") == 2, 2).otherwise(0)
+    a = F.when(F.col("same_last") >= 3, 3).when(F.col("same_last") == 2, 1).otherwise(0)
     b, c = F.when(F.length(given) <= 3, 2).otherwise(0), F.when(F.element_at(F.split(given, " "), 1).isin(common_given) if common_given else F.lit(False), 2).otherwise(0)
     why = F.array_join(F.filter(F.array(F.when(a > 0, "surname"), F.when(b > 0, "short_given"), F.when(c > 0, "common_given")), lambda x: x.isNotNull()), ";")
     return rows.withColumn("risk", a + b + c).withColumn("why", why).where(F.col("risk") >= keep)
@@ -316,3 +329,36 @@ def split_profiles(members: DataFrame, authors: DataFrame, name: str, own: str,
     a = a.select(F.col("id").alias("other_id"), "last", F.col("norm").alias("other_norm"))
     pairs = m.join(a, "last").where(F.col("own_id") != F.col("other_id"))
     return pairs.where(F.exists(F.split("other_norm", " "), lambda t: t.startswith(F.col("initial")))).select("member", "own_id", "other_id", "other_norm")
+
+
+def by_orcid(members: DataFrame, authors: DataFrame, member: str, orcid: str) -> DataFrame:
+    """Members and authors with the same ORCID, whatever its prefix: the first source of candidates."""
+    same = lambda x: F.lower(N.strip_id(F.trim(x)))
+    m = members.where(F.coalesce(F.trim(orcid), F.lit("")) != "").select(member, same(F.col(orcid)).alias("_o"))
+    a = authors.where(F.coalesce(F.trim(orcid), F.lit("")) != "").select(*[x for x in authors.columns if x != orcid], same(F.col(orcid)).alias("_o"))
+    return m.join(a, "_o").drop("_o")
+
+
+def ambiguity_flags(works: Column, exact: Column, ever_local: Column, n_on: Column, score_country: Column, score_history: Column, many: int = 300) -> Column:
+    """What makes a candidate doubtful, as an array."""
+    marks = [
+        F.when((works > many) & ~exact, "suspicious_volume"),
+        F.when(~ever_local, "no_local_history"),
+        F.when(n_on == 0, "specialty_weak"),
+        F.when((score_country == 0) & (score_history == 0), "country_mismatch"),
+    ]
+    return F.filter(F.array(*marks), lambda x: x.isNotNull())
+
+
+def recheck(links: DataFrame, author: str, on: list[str], many: int = 20) -> DataFrame:
+    """Links under review with many works and no topic of the domain become NOT_FOUND. Needs tier, works, labels."""
+    bad = (F.col("tier") == "REVIEW") & F.col(author).isNotNull() & (F.col("works") > many) & (V.count_on(F.col("labels"), on) == 0)
+    return links.withColumn("tier", F.when(bad, "NOT_FOUND").otherwise(F.col("tier")))
+
+
+def to_resolve_again(links: DataFrame, overrides: DataFrame, members: DataFrame, member: str, few: int = 3) -> DataFrame:
+    """Members without an accepted link, with one of few works and no override, or with none at all."""
+    forced = overrides.select(member).distinct().withColumn("_forced", F.lit(True))
+    doubt = (F.col("tier") != "HIGH") | ((F.coalesce("works", F.lit(0)) <= few) & F.col("_forced").isNull())
+    again = links.join(forced, member, "left").where(doubt).select(member)
+    return again.unionByName(members.select(member).join(links.select(member), member, "left_anti")).distinct()

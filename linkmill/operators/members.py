@@ -180,9 +180,9 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n"))
 
 
-def works_titles(works: DataFrame, author: str, title: str, abstract: str, cites: str, k: int = 5) -> DataFrame:
-    """Each author's k most cited works as `title. abstract`."""
-    w = W.partitionBy(author).orderBy(F.desc(cites), title)
+def works_titles(works: DataFrame, author: str, title: str, abstract: str, cites: str, k: int = 5, order: list | None = None) -> DataFrame:
+    """Each author's k most cited works as `title. abstract`; ties by `order`, else by title."""
+    w = W.partitionBy(author).orderBy(F.desc(cites), *(order or [title]))
     rows = works.withColumn("_r", F.row_number().over(w)).where(c("_r") <= k)
     return rows.select(author, F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(abstract, F.lit("")))).alias("text"))
 

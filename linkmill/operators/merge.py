@@ -14,8 +14,8 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def new_rows(new: DataFrame, existing: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """Rows of new whose key is not there yet; of equal keys the first by order."""
-    w = W.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
+    """Rows of new whose key is not there yet; of equal keys the first by order, else by all other columns."""
+    w = W.partitionBy(*keys).orderBy(*(order or [c for c in new.columns if c not in keys] or keys))
     first = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     have = existing.select(*keys).distinct()
     return first.join(have, _same(first, have, keys), "left_anti")
@@ -97,3 +97,9 @@ def add_missing(base: DataFrame, names: DataFrame, key: str, defaults: dict[str,
     """Rows with defaults for names that base lacks."""
     missing = names.select(key).distinct().join(base, key, "left_anti").select(key, *[v.alias(k) for k, v in defaults.items()])
     return base.unionByName(missing, allowMissingColumns=True)
+
+
+def audit(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Each row's columns now and, as <name>_before, as they were; rows that came or went have nulls on one side."""
+    old = before.select(*keys, *[F.col(c).alias(f"{c}_before") for c in cols])
+    return after.select(*keys, *cols).join(old, keys, "full")

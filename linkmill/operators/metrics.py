@@ -79,7 +79,10 @@ def relevance(df: DataFrame, by: str, flag: str) -> DataFrame:
 
 
 def one_per_key(df: DataFrame, by: list[str], key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in a group: keys are the first of the given texts that is not empty."""
+    """The first row of each key in a group: keys are the first of the given texts that is not empty.
+
+    order should be a total order: of rows that tie in all of it any may stay. Rows without any key
+    share the null key, so a group keeps one of them."""
     k = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in key])
     w = W.partitionBy(*by, "_k").orderBy(*order)
     return df.withColumn("_k", k).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_k", "_r")

@@ -14,19 +14,50 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def with_below(counts: DataFrame, by: list[str], value: str, n: str = "_n") -> DataFrame:
+    """Distinct values with counts n, and _below: the sum of n over the smaller values of the same `by`.
+
+    Values are dealt into RANGES by their approximate quantiles, so that a long tail fills no range alone."""
+    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cut = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10 * RANGES)).alias("_cuts"))
+    dealt = counts.join(cut, by) if by else counts.join(F.broadcast(cut))  # one row
+    at = F.size(F.filter("_cuts", lambda x: x < F.col(value).cast("double")))
+    dealt = dealt.withColumn("_part", at).drop("_cuts")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum(n).alias("_s"))  # RANGES rows for each `by` at most
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(earlier(W.partitionBy(*by).orderBy("_part"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(n).over(earlier(W.partitionBy(*by, "_part").orderBy(value))), F.lit(0))
+    out = dealt.withColumn("_inside", inside).join(before, [*by, "_part"])
+    return out.withColumn("_below", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
 def value_ranks(df: DataFrame, metric: str, of: str | None = None) -> DataFrame:
     """Distinct values _v with _n rows, and _below: rows with a smaller one. Nulls are left out.
 
     of: a boolean column; only its true rows count in _n and _below, but each value of df has a row."""
     flag = F.col(of) if of else F.lit(True)
     counts = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("_v")).agg(F.count_if(flag).alias("_n"))
-    cut = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")).cast("double") / RANGES).otherwise(1.0)
-    dealt = counts.join(F.broadcast(cut)).withColumn("part", F.least(F.floor((F.col("_v") - F.col("lo")).cast("double") / width), F.lit(RANGES - 1)).cast("int")).select("_v", "_n", "part")
-    sums = dealt.groupBy("part").agg(F.sum("_n").alias("s"))  # RANGES rows at most
-    before = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("_n").over(W.partitionBy("part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("_v", "_n", (F.col("inside") + F.col("before")).alias("_below"))
+    return with_below(counts, [], "_v").select("_v", "_n", "_below")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """Per group: by, n, and q, the exact quantiles as doubles, interpolated between neighbours; nulls are left out.
+
+    The rows at the wanted places are found by running counts over distinct values, so no group's values are
+    held in one buffer."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    rows = with_below(counts, by, "_v")
+    rows = rows.join(total, by) if by else rows.join(F.broadcast(total))
+    found = []
+    for i, p in enumerate(points):
+        place = F.lit(p) * (F.col("_total") - 1)
+        for name, at in ((f"_lo{i}", F.floor(place)), (f"_hi{i}", F.ceil(place))):
+            found.append(F.max(F.when((F.col("_below") <= at) & (at < F.col("_below") + F.col("_n")), F.col("_v"))).alias(name))
+    out = rows.groupBy(*by).agg(F.max("_total").alias("n"), *found)
+    share = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
+    q = [F.col(f"_lo{i}") + share(p) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, p in enumerate(points)]
+    return out.select(*by, "n", F.array(*q).alias("q"))
 
 
 def percentile_rank(df: DataFrame, metric: str, name: str = "pct") -> DataFrame:
@@ -58,8 +89,8 @@ def outside_ranks(values: DataFrame, population: DataFrame, metrics: list[str])
     have = population.unpivot([], metrics, "metric", "value").where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("n"))
     both = have.select("metric", "value", "n").unionByName(ask.select("metric", "value").where("value is not null").distinct().withColumn("n", F.lit(0).cast("long")))
     both = both.groupBy("metric", "value").agg(F.sum("n").alias("n"))
-    w = W.partitionBy("metric").orderBy("value")
-    ranked = both.withColumn("below", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy("metric")))
+    ranked = with_below(both, ["metric"], "value", "n").withColumnRenamed("_below", "below")
+    ranked = ranked.join(both.groupBy("metric").agg(F.sum("n").alias("total")), "metric")
     out = ask.join(ranked, ["metric", "value"], "left")
     above = F.col("total") - F.col("below") - F.col("n")
     return out.select(*keep, "metric", "value", (100 * F.col("below") / F.col("total")).alias("pct"), (above + 1).alias("rank"), F.col("total").alias("n"), (100 * (above + 1) / F.col("total")).alias("top_share"))

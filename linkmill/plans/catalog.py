@@ -117,15 +117,15 @@ def relevance_share(spark, sf_dir):
 
 
 @query("""
-with k as (select l_suppkey, l_orderkey, l_linenumber, floor(l_extendedprice / 10000)::bigint as cites, l_partkey % 50 as key from lineitem),
-o as (select * from (select *, row_number() over (partition by l_suppkey, key order by l_orderkey, l_linenumber) as r from k) where r = 1),
+with k as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, floor(l_extendedprice / 10000)::bigint as cites, l_partkey % 50 as key from lineitem),
+o as (select * from (select *, row_number() over (partition by l_suppkey, key order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as r from k) where r = 1),
 h as (select l_suppkey, max(case when cites >= rn then rn else 0 end)::bigint as h_index from (select *, row_number() over (partition by l_suppkey order by cites desc) as rn from o) group by 1)
 select l_suppkey, count(*) as works, sum(cites)::bigint as citations, any_value(h_index) as h_index from o join h using (l_suppkey) group by 1
 """)
 def profiles_merged(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.floor(c("l_extendedprice") / 10000).alias("cites"), (c("l_partkey") % 50).cast("string").alias("doi"), F.lit("").alias("title"))
+    li = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.floor(c("l_extendedprice") / 10000).alias("cites"), (c("l_partkey") % 50).cast("string").alias("doi"), F.lit("").alias("title"))
     own = t(spark, sf_dir, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_suppkey").alias("member"))
-    return metrics.profiles_merged(li, own, "member", "l_suppkey", "doi", "title", "cites", [c("l_orderkey"), c("l_linenumber")]).withColumnRenamed("member", "l_suppkey")
+    return metrics.profiles_merged(li, own, "member", "l_suppkey", "doi", "title", "cites", [c("l_orderkey"), c("l_linenumber"), c("l_partkey"), c("l_extendedprice")]).withColumnRenamed("member", "l_suppkey")
 
 
 @query("select o_orderpriority, median(o_totalprice) as median, list_sort(list(o_totalprice))[(count(*) // 2 + 1)::bigint] as upper_median from orders group by 1", ("median", "upper_median",))
@@ -238,7 +238,7 @@ LINES = "select l_suppkey, l_orderkey, l_linenumber, floor(l_extendedprice / 100
 
 def lines(spark, sf_dir) -> DataFrame:
     li = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey")).join(t(spark, sf_dir, "supplier"), c("l_suppkey") == c("s_suppkey")).join(t(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey"))
-    return li.select("l_suppkey", "l_orderkey", "l_linenumber", F.floor(c("l_extendedprice") / 10000).alias("cites"), "p_type", "p_brand", "p_name", F.year("l_shipdate").alias("year"), c("n_name").alias("state"))
+    return li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.floor(c("l_extendedprice") / 10000).alias("cites"), "p_type", "p_brand", "p_name", F.year("l_shipdate").alias("year"), c("n_name").alias("state"))
 
 
 @query(f"select l_suppkey, p_type, count(*) as works, sum(cites)::bigint as citations from ({LINES}) group by 1, 2")
@@ -417,13 +417,6 @@ def name_normalise(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", N.normalise_name(F.concat(F.lit("Dr. "), F.replace(c("c_name"), F.lit("#"), F.lit(" ")), F.lit(", PhD"))).alias("norm"))
 
 
-@query(None)
-def fuzzy_matches(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
-    left = p.where("p_size <= 25").select("p_name")
-    return linkage.fuzzy_matches(left, p.where("p_size > 25").select("p_name"), "p_name", "p_name", 80)
-
-
 def distinct_pairs(spark, sf_dir) -> DataFrame:
     """Blocked pairs of distinct part names: the pairs grow with the names, not with the rows."""
     d = linkage.prepared(t(spark, sf_dir, "part").select("p_name").distinct(), "p_name").select("norm", "last").distinct()
@@ -451,7 +444,33 @@ def name_ratios(spark, sf_dir):
     return p.select("a", "b", S.ratio(c("a"), c("b")).alias("ratio"), S.token_sort_ratio(c("a"), c("b")).alias("sorted"))
 
 
-@query(None)
+def _sets_sql(pairs: str, keep: str) -> str:
+    """Token-set ratios of the columns a and b of pairs, which have single spaces between words; `keep` are other columns."""
+    words = "string_split({}, ' ')"
+    only = lambda x, y: f"array_to_string(list_sort(list_distinct(list_filter({words.format(x)}, lambda w: not list_contains({words.format(y)}, w)))), ' ')"
+    return f"""
+    (select {keep}, case when sh <> '' and (l = '' or r = '') then 100.0 when sh <> '' then greatest({_ratio_sql('ia', 'ib')}, {_ratio_sql('sh', 'ia')}, {_ratio_sql('sh', 'ib')}) else {_ratio_sql('ia', 'ib')} end as sets
+     from (select *, trim(sh || ' ' || l) as ia, trim(sh || ' ' || r) as ib from
+           (select *, array_to_string(list_sort(list_intersect({words.format('a')}, {words.format('b')})), ' ') as sh, {only('a', 'b')} as l, {only('b', 'a')} as r from ({pairs}))))"""
+
+
+SHORT, LONG = "case when length(a) <= length(b) then a else b end", "case when length(a) <= length(b) then b else a end"
+PARTIAL = f"""(select a, b, list_max(list_transform(range(1, length(y) - length(x) + 2), lambda p: {_ratio_sql('x', 'substr(y, p::int, length(x))')})) as partial from (select a, b, {SHORT} as x, {LONG} as y from ({NAME_PAIRS})))"""
+FUZZY = f"""
+with l as (select distinct lower(p_name) as a from part where p_size <= 25), r as (select distinct lower(p_name) as b from part where p_size > 25),
+p as (select a, b from l join r on string_split(a, ' ')[-1] = string_split(b, ' ')[-1] where a not in (select b from r))
+select a as left_norm, a as right_norm, 100.0 as score from l where a in (select b from r) union all select a, b, sets from {_sets_sql('select * from p', 'a, b')} where sets >= 80
+"""
+
+
+@query(FUZZY, ("score",))
+def fuzzy_matches(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    left = p.where("p_size <= 25").select("p_name")
+    return linkage.fuzzy_matches(left, p.where("p_size > 25").select("p_name"), "p_name", "p_name", 80)
+
+
+@query(f"select a, b, {_ratio_sql('a', 'b')} as ratio, {_ratio_sql('sa', 'sb')} as sorted, sets, partial from {_sets_sql(NAME_PAIRS, 'a, b, sa, sb')} join {PARTIAL} using (a, b)", ("ratio", "sorted", "sets", "partial"))
 def fuzzy_pairs(spark, sf_dir):
     p = distinct_pairs(spark, sf_dir)
     return p.select("a", "b", S.ratio(c("a"), c("b")).alias("ratio"), S.token_sort_ratio(c("a"), c("b")).alias("sorted"), S.token_set_ratio(c("a"), c("b")).alias("sets"), S.partial_ratio(c("a"), c("b")).alias("partial"))
@@ -468,14 +487,45 @@ def pairs_to_link(spark, sf_dir) -> DataFrame:
     return pairs.select(c("m_name").alias("member"), "m_norm", "a_norm", c("a_id").alias("id"), c("a_source_rank").alias("rank"), c("a_is_local").alias("now_local"), c("a_is_local").alias("ever_local"), F.lit(False).alias("in_catalog"), F.lit(False).alias("in_state"), F.lit(False).alias("in_hospital"), F.array(F.lower("a_topic")).alias("labels"), none.alias("concepts"), c("a_works").alias("works"), c("a_h").alias("h"), F.lit(False).alias("known"))
 
 
-@query(None)
+LINK_PAIRS = """
+m as (select p_name as name, lower(p_name) as a from part group by 1),
+r as (select min(p_partkey) as id, count(*) as works, max(p_size) as h, contains(lower(min(p_type)), 'brass') as topic, min(p_size) <= 3 as here, lower(p_name) as b from part group by p_name),
+pr as (select 'Dr ' || name as member, id, works, h, topic, here, a, b, a = b as exact, array_to_string(list_sort(string_split(a, ' ')), ' ') as sa, array_to_string(list_sort(string_split(b, ' ')), ' ') as sb
+       from m join r on string_split(a, ' ')[-1] = string_split(b, ' ')[-1] and left(a, 1) = left(b, 1)),
+sm as (select *, case when exact then 100.0 else {ratio} end as sim from pr)
+"""
+_LINK_PAIRS = LINK_PAIRS.replace("{ratio}", _ratio_sql("sa", "sb"))
+_SETS = f"sets as (select member, id, case when a = b then 100.0 else sets end as sets from {_sets_sql('select * from pr', 'member, id, a, b')})"
+_FEW = "case when works > 300 and not exact then -20 when works between 1 and 50 then 8 when works between 51 and 150 then 5 when works between 151 and 300 then 2 else 0 end"
+_PLAIN = "case when works between 1 and 50 then 8 when works between 51 and 150 then 5 when works between 151 and 300 then 2 else 0 end"
+_MANY_H = "case when h > 50 and not exact then -10 else 0 end"
+_NAME = "case when exact then 40 when sim >= 92 then 30 when sim >= 80 then 15 else 0 end"
+MODEL_SQL = {
+    "main": f"{_NAME} + here::int * 25 + topic::int * 15 + {_FEW} + {_MANY_H}",
+    "main_wide": f"{_NAME} + here::int * 25 + topic::int * 15 + {_FEW} + {_MANY_H} + (not here)::int * -30",
+    "library": "case when exact then 40 when sets >= 85 then 25 else 0 end + here::int * 30 + case when works > 0 then 10 + least(20, floor(log2(works + 1))) else 0 end",
+    "strict": f"{_NAME} + here::int * 25 + topic::int * 15 + {_PLAIN}",
+    "loose": f"case when exact then 40 when sim >= 92 then 30 when sim >= 80 then 15 when sim >= 60 then 5 else 0 end + here::int * 25 + topic::int * 15 + {_PLAIN}",
+    "graded": "case when exact then 40 when sim >= 92 then 35 when sim >= 85 then 25 when sim >= 75 then 15 else 0 end + here::int * 25 + topic::int * 10",
+    "topical": "case when exact then 30 when sim >= 85 then 15 else 0 end + here::int * 50 + topic::int * 40 + least(10, works)",
+}
+MODEL_LEAST = {"strict": 60, "loose": 60, "graded": 75}
+_SCORES = " union all ".join(f"select '{k}' as model, member, id, ({v})::int as total_score from sm join sets using (member, id) where sim >= {MODEL_LEAST.get(k, 0)}" for k, v in MODEL_SQL.items())
+_BEST = f"""
+with {_LINK_PAIRS}, {_SETS}, scores as ({_SCORES}), f as (select *, row_number() over (partition by model, member order by total_score desc, id) as r from scores),
+x as (select member, id, total_score, 'HIGH' as tier, 1 as pass_no from f where model = 'main' and r = 1 and total_score >= 110)
+select * from x union all select member, id, total_score, case when total_score >= 100 then 'HIGH' when total_score >= 60 then 'REVIEW' else 'NOT_FOUND' end, 2 from f where model = 'main_wide' and r = 1 and member not in (select member from x)
+"""
+
+
+@query(_BEST)
 def link_best(spark, sf_dir):
     pairs = pairs_to_link(spark, sf_dir)
     out = linkage.resolved(linkage.scored(pairs, linkage.MODELS["main"], ["brass"]), linkage.scored(pairs, linkage.MODELS["main_wide"], ["brass"]), "member", "rank", "id")
     return out.select("member", "id", "total_score", "tier", "pass_no")
 
 
-@query(None)
+@query(f"with {_LINK_PAIRS}, {_SETS} {_SCORES}")
 def score_models(spark, sf_dir):
     pairs = pairs_to_link(spark, sf_dir)
     out = None
@@ -534,8 +584,8 @@ def verdict_rules(spark, sf_dir):
 
 @query("""
 with x as (select p_partkey, lower(p_name) as norm, string_split(lower(p_name), ' ') as w, p_size > 10 as ok from part), n as (select w[-1] as last, count(*) as n from x group by 1)
-select p_partkey, (case when n >= 3 then 3 when n = 2 then 2 else 0 end + case when length(array_to_string(w[:-2], ' ')) <= 3 then 2 else 0 end)::int as risk from x join n on w[-1] = last
-where ok and case when n >= 3 then 3 when n = 2 then 2 else 0 end + case when length(array_to_string(w[:-2], ' ')) <= 3 then 2 else 0 end >= 3
+select p_partkey, (case when n >= 3 then 3 when n = 2 then 1 else 0 end + case when length(array_to_string(w[:-2], ' ')) <= 3 then 2 else 0 end)::int as risk from x join n on w[-1] = last
+where ok and case when n >= 3 then 3 when n = 2 then 1 else 0 end + case when length(array_to_string(w[:-2], ' ')) <= 3 then 2 else 0 end >= 3
 """)
 def common_names(spark, sf_dir):
     p = t(spark, sf_dir, "part").select("p_partkey", "p_name", (c("p_size") > 10).alias("ok"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +20,25 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", strict: bool = False) -> DataFrame:
-    """A CSV table with a header; a missing path gives an empty table. strict fails on bad rows and on another header."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8, or ISO-8859-1 where some line isn't UTF-8: one look over the lines, which ends at the first such one."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+
+
+def csv(spark: SparkSession, path: str, schema: str, encoding: str | None = None, strict: bool = False) -> DataFrame:
+    """A CSV table with a header, in UTF-8 or else Latin-1 unless an encoding is given.
+
+    A missing path gives an empty table, as does an unreadable one. strict raises for it instead, and fails on
+    bad rows and on another header."""
     if not exists(spark, path):
         return empty(spark, schema)
+    try:
+        encoding = encoding or encoding_of(spark, path)
+    except PySparkException:
+        if strict:
+            raise
+        return empty(spark, schema)
     reader = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
     return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("enforceSchema", not strict).csv(path)
 
@@ -37,18 +53,32 @@ def some_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def first_available(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """The first Parquet table that exists, else an empty one."""
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, or a CSV one with a header as text where the path ends in .csv."""
+    return spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+def first_available(spark: SparkSession, paths: list[str], schema: str, alternates: dict[str, list[str]] | None = None) -> DataFrame:
+    """The first table that exists, in the given schema, else an empty one.
+
+    A column that the table lacks is taken from the first of its alternates that is there, else null; text that
+    isn't of its type becomes null."""
+    wanted = T.StructType.fromDDL(schema)
     for p in paths:
         if exists(spark, p):
-            return spark.read.parquet(p)
+            df = table(spark, p)
+            cols = []
+            for f in wanted.fields:
+                name = next((x for x in [f.name, *(alternates or {}).get(f.name, [])] if x in df.columns), None)
+                cols.append((F.col(f"`{name}`").try_cast(f.dataType) if name else F.lit(None).cast(f.dataType)).alias(f.name))
+            return df.select(*cols)
     return empty(spark, schema)
 
 
 def optional(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one where it is missing or lacks its key."""
+    """A Parquet or CSV table, or an empty one where it is missing or lacks its key."""
     if exists(spark, path):
-        df = spark.read.parquet(path)
+        df = table(spark, path)
         if key in df.columns:
             return df
     return empty(spark, schema)
@@ -124,3 +154,8 @@ def export_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files with headers; arrays joined by pipes, nulls as empty text."""
     flat = [F.array_join(F.transform(f.name, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields]
     df.select(*flat).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def log_errors(errors: DataFrame, path: str) -> None:
+    """Appends (key, message) rows with the time; a row that is logged already isn't logged again."""
+    append_new(errors.withColumn("at", F.current_timestamp()), path, ["key", "message"])
