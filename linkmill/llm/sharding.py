@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from linkmill.llm.common import written
 
 HASH_BITS = 60
+#: Buckets of fewer hash bits than this (4,095 of them) are looked up by broadcast.
+BROAD = 12
 
 
 def hash60(key: Column) -> Column:
@@ -65,7 +67,11 @@ def _split(rows: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
     sums = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     fits = sums.where((F.col("b") <= limit) | (F.col("c") == 1)).select("depth", "prefix")
-    first = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    # A short prefix has very many cells: the few buckets of the first depths, 2**BROAD at most, go to the cells instead.
+    broad = levels.where(F.col("depth") < base + BROAD).join(F.broadcast(fits.where(F.col("depth") < base + BROAD)), ["depth", "prefix"]) if base == 0 else None
+    narrow = levels.where(F.col("depth") >= base + BROAD) if base == 0 else levels
+    narrow = narrow.join(fits, ["depth", "prefix"])
+    first = (narrow if broad is None else broad.unionByName(narrow)).groupBy("cell").agg(F.min("depth").alias("depth"))
     return cells.select("cell").join(first, "cell", "left").withColumn("bits", F.lit(bits))
 
 
@@ -84,7 +90,9 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, n_bytes: Column, limit_bytes: int, path: str) -> None:
-    """df written as Parquet with one folder per shard. Keys must be unique; rows keep all their columns."""
+    """df written as Parquet with one folder per shard; rows keep all their columns. A key on several rows raises."""
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
     shards = assign_shards(df, key, n_bytes, limit_bytes).select(F.col(key).alias("_key"), F.concat_ws("-", "depth", "shard", "page").alias("_shard"))
     out = df.join(shards, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     out.repartition("_shard").write.partitionBy("_shard").parquet(path)
