@@ -5,11 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkmill.llm.common import bounded_batches
 from linkmill.llm.tokens import encoder
 
 DIMS = ["source", "lang", "tokenizer_version"]
+#: Folders of records by a hash of the document's id; fixed for the life of a rollup.
+BUCKETS = 64
 
 
 def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,13 +31,14 @@ def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id",
 class Rollup:
     """Totals in a shared folder, changed by batches that each take effect once.
 
-    records/batch=B: signed rows by document; totals/batch=B: the totals after B; commits/batch=B: the
-    mark that makes B count, written last. A batch that broke off leaves no mark; its folders are
-    overwritten when it comes again. A batch with a mark is skipped. One writer at a time.
+    records/batch=B: signed rows by document, in folders by a hash of the id; totals/batch=B: the totals
+    after B; commits: the marks that make batches count, written last. A batch that broke off leaves no
+    mark; its folders are overwritten when it comes again. A batch with a mark is skipped. One writer at a
+    time. A batch reads the records of the hash buckets that its documents fall into, and the last totals.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root, buckets
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,9 +52,12 @@ class Rollup:
 
     def _read(self, table: str, batches: list[int], schema: str) -> DataFrame:
         paths = [f"{self.root}/{table}/batch={b}" for b in batches]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        names = T.StructType.fromDDL(schema).names
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).select(*names)
 
-    RECORD = "doc_id long, source string, lang string, tokenizer_version string, docs long, tokens long"
+    RECORD = "doc_id long, source string, lang string, tokenizer_version string, docs long, tokens long, bucket int"
     TOTAL = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
@@ -67,11 +74,14 @@ class Rollup:
         key = ["doc_id", "tokenizer_version"]
         last = changes.groupBy(*key).agg(F.max(F.struct("seq", F.col("n_tokens").isNotNull().alias("stays"), "n_tokens", "source", "lang")).alias("x")).select(*key, "x.*")
         last = last.select(F.col("doc_id").alias("k"), F.col("tokenizer_version").alias("v"), "n_tokens", F.col("source").alias("s"), F.col("lang").alias("l"))
-        held = self._read("records", done, self.RECORD).groupBy("doc_id", *DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in last.select(bucket("k")).distinct().collect()]  # numbers below `buckets`
+        held = self._read("records", done, self.RECORD).where(F.col("bucket").isin(touched) if touched else F.lit(False)).groupBy("doc_id", *DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
         same = F.col("doc_id").eqNullSafe(F.col("k")) & F.col("tokenizer_version").eqNullSafe(F.col("v"))
         minus = held.join(last.select("k", "v"), same, "left_semi").select("doc_id", *DIMS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         plus = last.where("n_tokens is not null").select(F.col("k").alias("doc_id"), F.col("s").alias("source"), F.col("l").alias("lang"), F.col("v").alias("tokenizer_version"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").cast("long").alias("tokens"))
-        minus.unionByName(plus).write.mode("overwrite").parquet(f"{self.root}/records/batch={batch}")
+        rows = minus.unionByName(plus).withColumn("bucket", bucket("doc_id"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/records/batch={batch}")
         delta = self._read("records", [batch], self.RECORD).groupBy(*DIMS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         before = self._read("totals", done[-1:], self.TOTAL)
         after = before.unionByName(delta).groupBy(*DIMS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0")
