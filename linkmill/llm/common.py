@@ -10,7 +10,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,16 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def carried(docs: DataFrame, keep: list[str], text: str, results: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """The columns `keep` and text under reserved names, so that no column of docs clashes with one of an operator.
+
+    Gives the rows (text as _text), the reserved names of `keep`, and the columns that give `keep` its own names
+    back; one that has the name of a result comes back as <name>_of_row."""
+    own = ["_text" if k == text else f"_own{i}" for i, k in enumerate(keep)]
+    rows = docs.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keep, own, strict=True) if o != "_text"), F.col(f"`{text}`").alias("_text"))
+    return rows, own, [F.col(o).alias(f"{k}_of_row" if k in results else k) for k, o in zip(keep, own, strict=True)]
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches are bounded to 8 MB and 2,000 rows, so that long texts need no more memory.
 

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import WordHashes, bounded_batches
+from linkmill.llm.common import WordHashes, bounded_batches, carried, written
 
 PASSAGE_WORDS = 64
 WORD_BINS = 64
 #: Labelled documents, at most, that the model is fitted on: those first by a hash of their id.
 SAMPLE = 4_000
-#: Passages of one document, at most, that go into a fitting step; scoring takes all.
-FIT_PASSAGES = 32
+#: Passages, at most, that these documents may have together: the sample ends before the one that exceeds it.
+SAMPLE_PASSAGES = 80_000
 FEATURES = 128 + 8 + WORD_BINS
 
 
@@ -100,11 +100,11 @@ class GatedAttention:
 
     def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-3) -> GatedAttention:
         """Adam on the cross-entropy of the documents' labels."""
-        self.p["mean"], self.p["scale"] = x.mean(axis=0), x.std(axis=0) + 0.02
+        self.p["mean"], self.p["scale"] = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 0.02
         r, first = np.random.default_rng(11), np.cumsum(count) - count
         m = {k: np.zeros(s) for k, s in self.SHAPES.items()}
         s2 = {k: np.zeros(s) for k, s in self.SHAPES.items()}
-        t, epochs = 0, max(2, round(steps * batch / len(label)))
+        t, epochs = 0, max(2, round(steps / -(-len(label) // batch)))
         for epoch in range(epochs):
             order = r.permutation(len(label))
             for i in range(0, len(order), batch):
@@ -120,27 +120,25 @@ class GatedAttention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES) -> dict:
     """A model's parameters, learnt from at most `sample` labelled rows that are not held out.
 
     Labels of rows with several different ones, or none, are left out. The sample is the rows first
-    by a hash of the id; it is fitted in one task, since it is bounded. Without both labels the
-    model scores all documents alike.
+    by a hash of the id, all passages of each, as long as they have at most most_passages together; it is
+    fitted in one task, since it is bounded. Without both labels the model scores all documents alike.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
     known = known.select("k", F.col("lo").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.join(F.broadcast(known), docs[key] == known["k"]).groupBy("k").agg(F.min(F.col(text)).alias("text"), F.first("y").alias("y"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k")
+    rows = rows.groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def encoded(batches):
         hashes = WordHashes()
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             x, count = passages(texts, hashes)
-            at, out = 0, []
-            for n in count:
-                step = max(1, -(-n // FIT_PASSAGES))
-                out.append(np.ascontiguousarray(x[at : at + n : step]).tobytes())
-                at += n
+            ends = np.cumsum(count)
+            out = [x[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(out, pa.binary())], names=["k", "y", "x"])
 
     def trained(pdf):
@@ -151,25 +149,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model = GatedAttention()
         y = pdf["y"].to_numpy(float)
         if 0 < y.sum() < len(y):
-            model.fit(np.concatenate(xs).astype(float), np.array([len(v) for v in xs]), y)
+            model.fit(np.concatenate(xs), np.array([len(v) for v in xs]), y)
         return pd.DataFrame({"name": list(model.p), "values": [np.asarray(v, float).ravel().tolist() for v in model.p.values()]})
 
-    features = bounded_batches(rows).select("k", "y", "text").mapInArrow(encoded, "k long, y int, x binary")
-    parts = features.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(trained, "name string, values array<double>").collect()  # a few thousand numbers
+    features = written(bounded_batches(rows).select("k", "y", "text").mapInArrow(encoded, "k long, y int, x binary"), "features")
+    n = (F.length("x") / (4 * FEATURES)).cast("long")
+    sizes = features.select("k", n).orderBy(F.xxhash64("k"), "k").collect()  # a number for each row of the sample
+    total, kept = 0, []
+    for k, size in sizes:
+        if (total := total + size) > most_passages:
+            break
+        kept.append((k,))
+    kept = docs.sparkSession.createDataFrame(kept, "k long")
+    parts = features.join(F.broadcast(kept), "k").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(trained, "name string, values array<double>").collect()  # a few thousand numbers
     return {r["name"]: np.array(r["values"]).reshape(GatedAttention.SHAPES.get(r["name"], (FEATURES,))) for r in parts}
 
 
 def score(docs: DataFrame, parameters: dict, keep: list[str], text: str = "text") -> DataFrame:
     """Per row of docs: the columns `keep` and score, from the whole text. Null texts count as empty.
 
-    Without parameters (no labelled rows) each score is 0.5."""
+    A kept column named score comes back as score_of_row. Without parameters (no labelled rows) each score is 0.5."""
     shipped = docs.sparkSession.sparkContext.broadcast(parameters)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    rows, own, back = carried(docs, keep, text, ["score"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), GatedAttention(shipped.value) if shipped.value else None
         for b in batches:
-            texts = [t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in b.column("_text").cast(pa.binary()).to_pylist()]
             out, at = [], 0
             while at < len(texts):  # a few megabytes at a time
                 end, size = at, 0
@@ -178,7 +185,7 @@ def score(docs: DataFrame, parameters: dict, keep: list[str], text: str = "text"
                     end += 1
                 out.append(model.forward(*passages(texts[at:end], hashes))[0] if model else np.full(end - at, 0.5))
                 at = end
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*own, "score"])
 
-    rows = docs.select(*keep, *([text] if text not in keep else []))
-    return bounded_batches(rows).mapInArrow(scored, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    out = bounded_batches(rows).mapInArrow(scored, ", ".join(f"{k} {kinds[k]}" for k in own) + ", score double")
+    return out.select(*back, "score")
