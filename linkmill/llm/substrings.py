@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmill.llm import blocks as B
-from linkmill.llm.common import WordHashes, partitions, window_hashes
+from linkmill.llm.common import WordHashes, carried, partitions, window_hashes
 
 WINDOW = 35
 
@@ -40,7 +40,8 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
     its document whose word sequence starts anywhere else too, in the same document or another.
     spans lists the maximal removed intervals as start, end, start, end, ... in words. kept_text is
     the text itself where nothing goes, else the kept words joined by one space; kept_sha256 is of the
-    kept words joined by one space. Null texts stay null and count as no words.
+    kept words joined by one space. Null texts stay null and count as no words. A carried column that has
+    the name of a result comes back as <name>_of_row.
 
     Every window is hashed. A block of documents sends its distinct hashes with their counts to ranges
     of hash values; the counts over all blocks come back to the block, which then marks its repeated
@@ -48,11 +49,13 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
     by 64-bit hashes: two different ones agree with a chance of 2**-64.
     """
     spark = docs.sparkSession
+    results = T.StructType.fromDDL("n_words long, n_removed long, spans array<int>, kept_text string, kept_sha256 string")
+    rows, named, back = carried(docs, carry, text, results.names)
 
     def counted(texts):
         return {"n_words": [len(t.split()) for t in texts]}
 
-    table = B.packed(docs, text, carry, counted, "n_words array<int>")
+    table = B.packed(rows, "_text", named, counted, "n_words array<int>")
     total = table.agg(F.sum(F.expr("aggregate(n_words, 0L, (a, x) -> a + x)"))).first()[0] or 0
     n_ranges = B.n_ranges(total, partitions(spark))
 
@@ -65,8 +68,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
                     yield B.range_batch(list(B.by_range(block, h, n_ranges, n)))
 
     counts = B.totals(table.select("block_id", "sizes", "blob").mapInArrow(hashed, B.RANGES), 2)
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in carry] + T.StructType.fromDDL("n_words long, n_removed long, spans array<int>, kept_text string, kept_sha256 string").fields)
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in named] + results.fields)
     arrow = pa.schema([(f.name, B.to_arrow(f.dataType)) for f in schema.fields])
 
     def removed(batches):
@@ -93,7 +95,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
                     out["kept_text"].append(kept if k else t)
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept_text"] = pa.array(out["kept_text"], pa.binary()).cast(pa.string())
-                cols = [row[f"c_{c}"] for c in carry] + list(out.values())
+                cols = [row[f"c_{c}"] for c in named] + list(out.values())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return B.with_totals(table.drop("n_words"), counts).mapInArrow(removed, schema)
+    return B.with_totals(table.drop("n_words"), counts).mapInArrow(removed, schema).select(*back, *results.names)
