@@ -1,123 +1,186 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds over runs of equal sizes."""
+"""Best-fit packing of token sequences, in bulk-synchronous rounds."""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import bounded_batches, written
+from linkmill.llm.common import bounded_batches, passing_tables, written
 from linkmill.llm.tokens import encoder, vocabulary
 
 LIMIT, END = 1024, 2
-#: More runs than this are joined by a shuffle.
-MOST_BROADCAST_RUNS = 100_000
+#: Documents of at most this many tokens are placed together, at the end; longer ones by halves of the limit.
+LAST_CLASS = 128
+#: New sequences are opened when a round places no more than this share of the documents of its class.
+PROGRESS = 0.2
 
 
 def pieces(docs: DataFrame, key: str, text: str, path: str, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
     """Documents as pieces of at most limit tokens.
 
-    Columns: key, piece, start, length, ids_crc32, ids (null without with_ids), and block and nth, which number the pieces of
-    one length in a block of rows. A document's tokens are its ids, then `end`; null text is empty.
+    Columns: uid, key, piece, start, length, ids_crc32, ids (null without with_ids). uid numbers the pieces
+    of a partition one after another. A document's tokens are its ids, then `end`; null text is empty.
     Only a longer document is cut, into pieces of limit tokens, of which the first may be shorter.
     """
 
     def cut(batches):
-        encode, seq = encoder(path), 0
+        encode, uid = encoder(path), TaskContext.get().partitionId() << 40
         for b in batches:
-            block = (TaskContext.get().partitionId() << 24) + seq
-            seq += 1
-            seen: dict[int, int] = {}
-            keys, numbers, at, lengths, crcs, ids, nth = [], [], [], [], [], [], []
+            out = []
             for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 all_ids = np.append(encode(t or ""), np.array([end], "<u4"))
                 first = len(all_ids) % limit or limit
                 edges = [0, *range(first, len(all_ids) + 1, limit)]
                 for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
                     blob = all_ids[x:y].tobytes()
-                    for column, v in zip((keys, numbers, at, lengths, crcs, ids, nth), (k, i, x, y - x, zlib.crc32(blob), blob if with_ids else None, seen.get(y - x, 0)), strict=True):
-                        column.append(v)
-                    seen[y - x] = seen.get(y - x, 0) + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            out = [pa.array(c, k) for c, k in zip((keys, numbers, at, lengths, crcs, ids, nth), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array([block] * len(keys), pa.int64())], names=["key", "piece", "start", "length", "ids_crc32", "ids", "nth", "block"])
+                    out.append((uid, k, i, x, y - x, zlib.crc32(blob), blob if with_ids else None))
+                    uid += 1
+            if out:
+                columns = zip(zip(*out, strict=True), arrow.types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=arrow)
 
+    arrow = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return bounded_batches(rows).mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long, ids binary, nth long, block long")
+    schema = "uid long, key long, piece int, start long, length long, ids_crc32 long, ids binary"
+    return bounded_batches(rows).mapInArrow(cut, schema)
 
 
-def fitted(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
-    """Where best fit, longest first, puts `counts[length]` pieces of each length.
+def ranked(df: DataFrame, size: str) -> tuple[DataFrame, dict[int, int]]:
+    """df, written, with each row's rank (from 0) among those of its size, and the number of rows of each size.
 
-    Rows (length, first, n, sequence, offset, each): the pieces of that length with ranks first to
-    first + n - 1 go to the sequences from `sequence` on, `each` in every sequence one after another,
-    from `offset` on. Pieces of one length are alike, and so are sequences with the same gap; so a round
-    moves whole runs of them: it takes the pieces of one length, sweeps the gaps from the smallest that
-    fits, resolves which piece gets which sequence by rank, and updates the gaps for the next round. The
-    runs depend on limit, not on the number of pieces: a round splits at most one run.
+    This is a sort by counting: rows are numbered by size where they lie, and the counts of the partitions
+    before are added, so no row moves and no size is gathered. Sizes are integers of a small range."""
+    names = df.columns
+
+    def numbered(batches):
+        seen: dict[int, int] = {}
+        for b in batches:
+            sizes = b.column(size).to_numpy(zero_copy_only=False)
+            order = np.argsort(sizes, kind="stable")
+            values, first, counts = np.unique(sizes[order], return_index=True, return_counts=True)
+            before = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+            nth = np.empty(len(sizes), np.int64)
+            nth[order] = np.arange(len(sizes)) - np.repeat(first - before, counts)
+            for v, n in zip(values.tolist(), (before + counts).tolist(), strict=True):
+                seen[v] = n
+            part = np.full(len(sizes), TaskContext.get().partitionId(), np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), pa.array(nth)], names=[*b.schema.names, "part", "nth"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = written(df.mapInArrow(numbered, f"{kinds}, part long, nth long"), "numbered")
+    earlier = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(size, "part").agg(F.count("*").alias("n"))
+    counts = written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "counts")
+    of_size = {r[0]: r[1] for r in counts.groupBy(size).agg(F.sum("n")).collect()}  # a row for each size
+    rows = rows.join(counts.drop("n"), [size, "part"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
+    return rows, of_size
+
+
+def sweep(items: dict[int, int], slots: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Matches items with slots by size: (length, n, first) says that n items of a length are placed, one
+    in each of the slots from number `first` on, where slots are numbered by ascending size.
+
+    Both are counts by size. From the largest size down, an item is placed if a slot of its length or more is
+    left by the larger ones. Then, from the smallest up, each takes the smallest slot that fits, its successor,
+    or the one after its neighbour's where that has it: rank k goes to k + max(successor(j) - j for j <= k).
     """
-    rows, gaps, sizes, opened = [], {}, [], 0
-
-    def put(gap, run):
-        if gap > 0:
-            if gap not in gaps:
-                gaps[gap] = []
-                sizes.insert(bisect_left(sizes, gap), gap)
-            gaps[gap].append(run)
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            i = bisect_left(sizes, length)
-            if i == len(sizes):
-                gap, each = limit, limit // length
-                start, n = opened, -(-left // each)
-                opened += n
-            else:
-                gap = sizes[i]
-                each = gap // length
-                start, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[i]
-            full = min(n, left // each)
-            rest = left - full * each if full < n else 0
-            for first, many, per in ((start, full, each), (start + full, 1, rest)):
-                if many and per:
-                    rows.append((length, rank, many * per, first, limit - gap, per))
-                    put(gap - per * length, (first, many))
-                    rank += many * per
-                    left -= many * per
-            used = full + (rest > 0)
-            if used < n:
-                put(gap, (start + used, n - used))
-    return rows
+    sizes = np.array(sorted(slots), np.int64)
+    many = np.cumsum([0, *(slots[s] for s in sizes.tolist())])
+    smaller = {n: int(many[np.searchsorted(sizes, n)]) for n in items}
+    most, above, place = 0, 0, {}
+    for n in sorted(items, reverse=True):
+        above += items[n]
+        without = max(most, above - (int(many[-1]) - smaller[n]))
+        place[n] = items[n] - (without - most)
+        most = without
+    out, k, shift = [], 0, 0
+    for n in sorted(items):
+        if place[n]:
+            shift = max(shift, smaller[n] - k)
+            out.append((n, place[n], k + shift))
+            k += place[n]
+    return out
+
+
+def classes(limit: int) -> list[tuple[int, int]]:
+    """Ranges (above, up to) of lengths that are placed one after another."""
+    out, top = [], limit
+    while top:
+        low = top // 2 if top > LAST_CLASS else 0
+        out.append((low, top))
+        top = low
+    return out
+
+
+def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """uid, sequence_id for each row of pieces_ (uid, length), by bulk-synchronous best fit.
+
+    Lengths are taken by classes of halves, the longest first. In a round the pieces of a class and the gaps
+    of the sequences are ranked by size; a gap offers as many slots as it takes pieces of the class's largest
+    left, one at least. Pieces find their slots by sweep(), a join on the slot's number gives each
+    its sequence, the gaps shrink by what they got, and the next round begins. If a round places (almost)
+    nothing, as many sequences are opened as the rest needs at least.
+
+    Only counts by length and by gap, limit rows at most, come to the driver. Rounds depend on the limit
+    and on the mix of lengths, not on the number of pieces."""
+    items, left = ranked(pieces_.select("uid", "length"), "length")
+    items = written(items, "items")
+    done = dict.fromkeys(left, 0)
+    gaps = spark.createDataFrame([], "sequence_id long, gap long, rank long")
+    by_gap: dict[int, int] = {}
+    opened, found = 0, None
+    for low, top in classes(limit):
+        while now := {n: left[n] for n in left if low < n <= top and left[n]}:
+            most = max(now)
+            each = {g: max(1, g // most) for g in by_gap if g >= min(now)}
+            slots: dict[int, int] = {}
+            base = {}
+            for g in sorted(each):
+                base[g] = sum(slots.values())
+                slots[min(g, most)] = slots.get(min(g, most), 0) + each[g] * by_gap[g]
+            moves = sweep(now, slots)
+            if moves:
+                to = spark.createDataFrame([(n, done[n], done[n] + k, first - done[n]) for n, k, first in moves], "length long, lo long, hi long, shift long")
+                who = items.join(F.broadcast(to), "length").where("rank >= lo and rank < hi").select("uid", "length", (F.col("rank") + F.col("shift")).alias("slot"))
+                offer = spark.createDataFrame([(g, base[g], by_gap[g], each[g]) for g in each], "gap long, base long, n long, each long")
+                free = gaps.join(F.broadcast(offer), "gap").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
+                free = free.select("sequence_id", (F.col("base") + F.col("j") * F.col("n") + F.col("rank")).alias("slot"))
+                got = written(who.join(free, "slot").select("uid", "length", "sequence_id"), "placed")
+                found = got if found is None else found.unionByName(got)
+                for n, k, _ in moves:
+                    done[n], left[n] = done[n] + k, left[n] - k
+                used = got.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+                gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+            rest = {n: left[n] for n in now if left[n]}
+            if rest and sum(k for _, k, _ in moves) <= PROGRESS * sum(now.values()):
+                tokens, number = sum(n * k for n, k in rest.items()), sum(rest.values())
+                more = max(-(-tokens // limit), -(-number // (limit // min(rest))))
+                fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(limit).cast("long").alias("gap"))
+                gaps, opened = gaps.select("sequence_id", "gap").unionByName(fresh), opened + more
+            smallest = min((n for n in left if left[n]), default=None)
+            if smallest is not None:
+                gaps, by_gap = ranked(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), "gap")
+    if found is None:
+        found = spark.createDataFrame([], "uid long, length long, sequence_id long")
+    return found.select("uid", "sequence_id")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
     """Per piece of each document: key, piece, start, length, ids_crc32, ids (with_ids), sequence_id, offset.
 
-    Sequences hold at most limit tokens, each filled from 0 without gaps; there are as few as best fit,
-    longest first, needs. Rows with equal or null keys are documents of their own. An empty table
-    gives no pieces.
-
-    The pieces' lengths, of which there are limit at most, are counted; fitted() matches their runs
-    with runs of gaps; then each piece, by its rank among those of its length, finds the run that it
-    falls into and so its place. Ranks add up counts by block, so no length is gathered in one task.
+    Sequences hold at most limit tokens, each filled from 0 without gaps; tests find as few as best fit,
+    longest first, needs, or 0.1 % more. Rows with equal or null keys are documents of their own. An
+    empty table gives no pieces.
     """
-    cut = written(pieces(docs, key, text, path or vocabulary("byte_bpe_50k.tiktoken"), limit, end, with_ids), "pieces")
-    by_block = written(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "lengths")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(by_block.select("length", "block", before.alias("before")), "offsets")
-    counts = {r[0]: r[1] for r in by_block.groupBy("length").agg(F.sum("n")).collect()}  # limit rows at most
-    runs = docs.sparkSession.createDataFrame(fitted(counts, limit), "length long, first long, n long, sequence long, offset0 long, each long")
-    if runs.count() <= MOST_BROADCAST_RUNS:
-        runs = F.broadcast(runs)
-    ranked = cut.join(offsets, ["length", "block"]).withColumn("rank", F.col("before") + F.col("nth"))
-    placed = ranked.join(runs, "length").where("rank >= first and rank < first + n")
-    step = F.col("rank") - F.col("first")
-    return placed.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "ids", (F.col("sequence") + F.floor(step / F.col("each"))).alias("sequence_id"), (F.col("offset0") + step % F.col("each") * F.col("length")).alias("offset"))
+    spark = docs.sparkSession
+    cut = written(pieces(docs, key, text, path or vocabulary("byte_bpe_50k.tiktoken"), limit, end, with_ids), "pieces", keep=True)
+    with passing_tables(spark):
+        places = written(placed(spark, cut, limit), "places", keep=True)
+    before = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+    return cut.join(places, "uid").select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "ids", "sequence_id", offset)
