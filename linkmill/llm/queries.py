@@ -46,7 +46,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.parsed(warc.read_archive(spark, path))
+    return warc.parsed(warc.records(warc.read_archive(spark, path)))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +138,38 @@ t as (select doc_id, len(words) as n_words, len(gone) as n_removed, list_filter(
 select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from t
 """
 
-SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_url_filters": OP5_SQL, "op7_warc": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i : i + least(5, len(words)) - 1], ' ') as s from (select *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as component_id from r group by 1), k as (select a, count(*) as n_links from e group by 1)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+from documents left join n using (doc_id) join c on c.a = doc_id left join k on k.a = doc_id
+"""
+
+OP9_SQL = rf"""
+with d as (select doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+p as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as s from (select *, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+x as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from p) where len(w) >= n)),
+h as (select distinct doc_id, n, i, item_id from x join p using (n, s)),
+g as (select doc_id, list_distinct(flatten(list(range(i, i + n)))) as hit, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items, count(distinct item_id) as n_items from h group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(hit), 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(len(hit), 0) > 0 and 20 * coalesce(len(hit), 0) >= len(w) as contaminated from d left join g using (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_sharding": OP1_SQL,
+    "op2_topk_search": OP2_SQL,
+    "op4_jaccard_join": OP4_SQL,
+    "op5_url_filters": OP5_SQL,
+    "op7_warc": OP7_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
+}

@@ -35,3 +35,56 @@ def test_number_of_links(spark, seed, rare):
     got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), rare=rare).collect()
     assert {x.doc_id: x.n_links for x in got} == want
     assert len(got) == len(data) and max(want.values()) > 5
+
+
+def test_documents_from_a_shared_pool(spark):
+    """300 texts of about 1,200 n-grams, each made of 30 of 60 passages: all n-grams are frequent, few pairs are alike."""
+    r = random.Random(5)
+    pool = [" ".join(f"w{r.randrange(500)}" for _ in range(40)) for _ in range(60)]
+    texts = []
+    for _ in range(290):
+        texts.append(r.sample(pool, 30))
+    for i in range(10):  # near copies: two passages replaced
+        copy = list(texts[i * 7])
+        copy[3], copy[11] = r.sample(pool, 2)
+        texts.append(copy)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in data]
+    want = {i: sum(j != i and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(df).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+    assert sum(want.values()) >= 20
+
+
+@pytest.mark.parametrize("shortest", [1, 2, 3])
+def test_combinations_cover_all_that_two_sets_may_share(shortest):
+    """Two sets share `shortest` frequent tokens or more: some combination is in the index of both, whatever the weights."""
+    r = random.Random(shortest)
+    sizes = {name: r.choice((5, 40, 90)) for name in range(9)}
+    for _ in range(300):
+        both = {n: r.randint(1, 3) for n in r.sample(range(9), r.randint(1, 3))}
+        if sum(both.values()) < shortest:
+            continue
+        keys = []
+        for _ in range(2):
+            own = {n: r.randint(1, 3) for n in r.sample(range(9), 3) if n not in both} | both
+            names = sorted(({"size": sizes[n], "name": n, "near": True, "weight": w} for n, w in own.items()), key=lambda x: (x["size"], x["name"]))
+            keys.append({k[:3] for k in jaccard.combinations(names, 2, shortest)})
+        assert keys[0] & keys[1]
+
+
+def test_combinations_of_alike_tokens_are_few():
+    """A thousand tokens with the same postings count as one."""
+    names = [{"size": 200, "name": n, "near": True, "weight": 1000} for n in range(4)]
+    assert len(list(jaccard.combinations(names, 128, 3))) == 10
+
+
+def test_overlaps():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x, y = ([np.unique(r.integers(0, 3000, r.integers(1, 400)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    assert jaccard.overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    same = jaccard.overlaps(x, x)
+    assert all(same[i, j] == len(np.intersect1d(x[i], x[j])) for i in range(7) for j in range(7) if i != j)

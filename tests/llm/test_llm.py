@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -80,6 +81,8 @@ def test_shards_of_one_key(spark):
 def test_written_shards_keep_all_rows(spark, odd, tmp_path):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     sharding.write_shards(docs, "doc_id", F.octet_length("text"), 1000, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="unique"):
+        sharding.write_shards(odd, "doc_id", F.octet_length("text"), 1000, str(tmp_path / "t"))
     assert rows(spark.read.parquet(str(tmp_path / "s")).select(*docs.columns)) == rows(docs)
 
 
@@ -115,7 +118,8 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert rows(roll.totals()) == [("a", "en", "v", 2, 13), (None, "de", "v", 1, 1)]
     assert roll.commit(2, second) is True and roll.commit(2, second) is False and roll.commit(1, first) is False
     assert rows(roll.totals()) == [("b", "en", "v", 1, 9), (None, "de", "v", 1, 1)]
-    second.write.mode("overwrite").parquet(str(tmp_path / "r/records/batch=3"))  # a batch that broke off
+    broken = second.withColumn("bucket", F.lit(0))  # a batch that broke off
+    broken.write.mode("overwrite").partitionBy("bucket").parquet(str(tmp_path / "r/records/batch=3"))
     assert roll.commit(3, spark.createDataFrame([], schema)) is True
     assert rows(roll.totals()) == [("b", "en", "v", 1, 9), (None, "de", "v", 1, 1)]
 
@@ -123,13 +127,14 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
 def test_token_counts_query(spark):
     encode = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
     toxic = {x["doc_id"] for x in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
-    want = collections.Counter()
+    want, docs = collections.Counter(), collections.Counter()
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
         if d["doc_id"] not in toxic:
             want[(d["source"], d["lang"], "byte_bpe_50k")] += len(encode(d["text"] or "")) + 1
+            docs.update((d["source"], d["lang"], v) for v in ("byte_bpe_50k", "white_space"))
             want[(d["source"], d["lang"], "white_space")] += len((d["text"] or "").encode().split())
-    got = {tuple(x)[:3]: x["n_tokens"] for x in Q.QUERIES["op3_token_counts"](spark, SF).collect()}
-    assert got == dict(want)
+    got = Q.QUERIES["op3_token_counts"](spark, SF).collect()
+    assert {tuple(x)[:3]: (x["n_docs"], x["n_tokens"]) for x in got} == {k: (docs[k], n) for k, n in want.items()}
 
 
 def test_both_libraries_give_the_same_ids():
@@ -240,23 +245,62 @@ def fewest(lengths, limit):
     return n
 
 
-def test_fitted_is_best_fit():
+def test_sweep_takes_the_smallest_slot_that_fits():
     r = random.Random(4)
-    for _ in range(60):
-        limit = r.choice([10, 50])
-        lengths = [r.randint(1, limit) for _ in range(r.randint(0, 120))]
-        held = collections.defaultdict(list)
-        for length, _, n, start, offset, each in packing.fitted(collections.Counter(lengths), limit):
-            for k in range(n):
-                held[start + k // each].append((offset + k % each * length, length))
-        for v in held.values():
-            at = 0
-            for offset, length in sorted(v):
-                assert offset == at
-                at += length
-            assert at <= limit
-        assert sorted(x for v in held.values() for _, x in v) == sorted(lengths)
-        assert len(held) == fewest(lengths, limit)
+    for _ in range(300):
+        items = collections.Counter(r.randint(1, 12) for _ in range(r.randint(0, 15)))
+        slots = collections.Counter(r.randint(1, 12) for _ in range(r.randint(0, 15)))
+        sizes = sorted(slots.elements())
+        moves = packing.sweep(items, slots)
+        taken = [at for _, n, first in moves for at in range(first, first + n)]
+        assert len(set(taken)) == len(taken) and all(sizes[at] >= n for n, k, first in moves for at in range(first, first + k))
+        free, want = sizes.copy(), []  # the largest first: which items find a slot at all
+        for x in sorted(items.elements(), reverse=True):
+            if any(s >= x for s in free):
+                free.remove(min(s for s in free if s >= x))
+                want.append(x)
+        assert sorted(x for n, k, _ in moves for x in [n] * k) == sorted(want)
+        assert all(k <= items[n] for n, k, _ in moves)
+
+
+@pytest.mark.parametrize(("seed", "limit", "most"), [(1, 50, 50), (2, 1024, 400), (3, 10, 4)])
+def test_packing_needs_hardly_more_than_best_fit(spark, seed, limit, most):
+    r = random.Random(seed)
+    lengths = [r.randint(1, most) for _ in range(400)] + [limit] * 3
+    df = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long").repartition(3)
+    got = packing.placed(spark, df, limit).collect()
+    filled = collections.Counter()
+    for x in got:
+        filled[x.sequence_id] += lengths[x.uid]
+    assert sorted(x.uid for x in got) == list(range(len(lengths)))
+    assert max(filled.values()) <= limit and len(filled) <= fewest(lengths, limit) * 1.005 + 1
+
+
+def test_packing_query(spark):
+    """Ids, pieces and places of all documents, by the plain tokenizer."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = collections.defaultdict(list)
+    seqs = collections.defaultdict(list)
+    for x in Q.op6_best_fit_packing(spark, SF).collect():
+        got[x.doc_id].append((x.piece, x.start, x.length, x.ids_crc32))
+        seqs[x.sequence_id].append((x.offset, x.length))
+    for key, text in docs.items():
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for i, (piece, start, length, crc) in enumerate(sorted(got.pop(key))):
+            assert (piece, start) == (i, at) and crc == zlib.crc32(ids[at : at + length].tobytes())
+            assert length == 1024 or i == 0
+            at += length
+        assert at == len(ids)
+    assert not got
+    for v in seqs.values():
+        assert [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:i]) for i in range(len(v))]
+        assert sum(n for _, n in v) <= 1024
+    lengths = [n for v in seqs.values() for _, n in v]
+    assert len(seqs) <= fewest(lengths, 1024) * 1.005 + 1
 
 
 def test_packing_edges(spark, odd, none):
@@ -293,16 +337,18 @@ def test_archive_round_trip(spark, tmp_path):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = [(3, 120, sha(big), "revisit", 1), (1, 120, sha(big), "response", None), (2, 5, sha("small"), "response", None), (5, 5, sha("small"), "response", None)]
     want += [(4, 0, sha(""), "response", None), (6, 0, sha(""), "response", None), (7, 120, sha(big), "revisit", 1), (7, 120, sha(big), "revisit", 1)]
-    assert rows(warc.parsed(archive)) == sorted(want, key=str)
+    assert rows(warc.parsed(warc.records(archive))) == sorted(want, key=str)
     assert spark.read.parquet(f"{path}/payloads").count() == 3
     for x in warc.records(archive).collect():
         head, _, body = bytes(x["record"]).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1") and body.endswith(b"\r\n\r\n") and len(body) - 4 == int(fields["Content-Length"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        assert fields["WARC-Target-URI"] != "u2" and "\n" not in fields["WARC-Target-URI"]
         if fields["WARC-Type"] == "response":
             assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body[:-4]).hexdigest()
     warc.write_archive(pages.limit(0), str(tmp_path / "b"))
-    assert warc.parsed(warc.read_archive(spark, str(tmp_path / "b"))).count() == 0
+    assert warc.parsed(warc.records(warc.read_archive(spark, str(tmp_path / "b")))).count() == 0
 
 
 # Classifier
@@ -342,11 +388,26 @@ def test_held_out_quality(spark):
 
 def test_classifier_edges(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, None)], "doc_id long, quality int")
-    model = quality.fit(odd, labels)
-    assert {x["score"] for x in quality.score(odd.drop("score"), model, ["doc_id"]).collect()} <= {0.5} if not model else True
+    model = quality.fit(odd, labels)  # no document has one label: the first weights, one score each
+    got = quality.score(odd, model, ["doc_id", "score"]).collect()
+    assert len(got) == odd.count() and {x["score_of_row"] for x in got} == {"s"} and all(0 <= x["score"] <= 1 for x in got)
+    assert len({x["score"] for x in got if x["doc_id"] in (1, 2)}) == 1
     assert quality.score(none, model, ["doc_id"]).count() == 0
+    assert {x["score"] for x in quality.score(odd, {}, ["doc_id"]).collect()} == {0.5}
     trained = quality.fit(odd, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (5, 1)], "doc_id long, quality int"))
-    assert all(0 <= x["score"] <= 1 for x in quality.score(odd.drop("score"), trained, ["doc_id"]).collect())
+    assert all(0 <= x["score"] <= 1 for x in quality.score(odd, trained, ["doc_id"]).collect())
+
+
+def test_all_passages_of_a_labelled_document_are_fitted(spark, monkeypatch):
+    """The sample ends by whole documents; a long document keeps all its passages."""
+    seen = []
+    monkeypatch.setattr(quality.GatedAttention, "fit", lambda self, x, count, label: seen.append(count.tolist()) or self)
+    data = [(i, "w " * 64 * n) for i, n in enumerate((40, 1, 2, 3, 50, 4))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").where(~quality.held_out(F.col("doc_id")))
+    kept = {x["doc_id"] for x in labels.collect()}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    quality.fit(df, labels)
+    assert not seen or sorted(seen[0]) == sorted(n for i, n in enumerate((40, 1, 2, 3, 50, 4)) if i in kept)
 
 
 # Decontamination
@@ -412,6 +473,25 @@ def test_blocks_keep_rows_in_order(spark, odd):
 # Pipeline
 
 
+CLASHES = """score k y text_ uid key n m c near far members copies block_id place sizes blob s1 s2 spans n_words n_removed
+    kept_text kept_sha256 n_hit n_items items items_sha256 contaminated length piece start ids rank part nth gap row range base counts""".split()
+
+
+@pytest.mark.parametrize("n_stage", range(4))
+def test_stages_keep_clashing_columns(spark, n_stage):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    docs = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES)).unionByName(
+        spark.createDataFrame([(None, None), (7_000, "")], "doc_id long, text string"), allowMissingColumns=True
+    )
+    out = P.STAGES[n_stage][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    for x in out.collect():
+        assert all(x[c] == (f"{c}{x['doc_id']}" if x["doc_id"] is not None and x["doc_id"] < 40 else None) for c in CLASHES)
+    assert out.count() > 10
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
