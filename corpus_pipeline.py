@@ -6,7 +6,7 @@ again as the next stage's docs. All but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmill.llm import decontaminate, jaccard, packing, quality, substrings
@@ -16,10 +16,17 @@ from linkmill.llm.common import written
 QUALITY_THRESHOLD = 0.7
 
 
+def _reserved(docs: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with its columns but text under names that no operator uses, these names, and the columns as they were."""
+    names = ["text" if c == "text" else f"_row{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names, [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier, fitted on these documents' labels, doesn't reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    rows, names, back = _reserved(docs)
+    return quality.score(rows, model, names).where(F.col("score") >= QUALITY_THRESHOLD).select(*back)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +36,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; all documents stay, with the words that are left and their number of characters."""
-    others = [c for c in docs.columns if c != "text"]
-    kept = substrings.remove_repeats(docs, others).withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, names, back = _reserved(docs)
+    kept = substrings.remove_repeats(rows, [n for n in names if n != "text"]).withColumnRenamed("kept_text", "text").select(*back)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which a twentieth of the words or more lies in benchmark passages."""
-    found = decontaminate.search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, names, back = _reserved(docs)
+    found = decontaminate.search_benchmark(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names)
+    return found.where(~F.col("contaminated")).select(*back)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
