@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from linkmill.plans import catalog
+from linkmill.plans import catalog, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +25,7 @@ def shape(df):
     return list(df.columns), sorted((tuple(cell(v) for v in row) for row in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | records.QUERIES))
 def test_query(spark, con, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
     if name in catalog.SQL:
