@@ -61,8 +61,8 @@ def _dealt(many: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
     """The join of both on a column; a value with many rows in `many` goes to several tasks by the hash of `by`."""
     hot = many.groupBy(on).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    many = many.join(F.broadcast(hot), on, "left").withColumn("part_no", F.pmod(F.xxhash64(by), parts)).drop("parts")
-    few = few.join(F.broadcast(hot), on, "left").withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
+    many = many.join(hot, on, "left").withColumn("part_no", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    few = few.join(hot, on, "left").withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
     return many.join(few, [on, "part_no"]).drop("part_no")
 
 

@@ -703,7 +703,20 @@ def snapshot_report(spark, sf_dir):
     return cohort.snapshot(figures, count("customer", "c_mktsegment"), count("part", "p_type"), count("orders", "o_orderstatus"))
 
 
-@query(None)
+TFIDF = r"""
+with x as (select 'd' || doc_id as k, text from documents union all select 'b' || item_id, text from benchmark),
+w as (select k, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda z: length(z) >= 2) as w from x),
+t as (select k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w),
+tf as (select k, term, count(*) as tf from t group by 1, 2),
+d as (select term, 1 + ln((1 + (select count(*) from x)) / (1 + count(*))) as idf from tf group by 1),
+r as (select k, term, (1 + ln(tf)) * idf as x from tf join d using (term)),
+v as (select r.k, term, x / norm as weight from r join (select k, sqrt(sum(x * x)) as norm from r group by 1) n on n.k = r.k),
+c as (select i.k as item, o.k as doc, sum(i.weight * o.weight) as cosine from v i join v o using (term) where i.k like 'b%' and o.k like 'd%' group by 1, 2)
+select item, doc, cosine, case when cosine >= 0.35 then 15 else 8 end as points from c where cosine >= 0.20
+"""
+
+
+@query(TFIDF, ("cosine",))
 def tfidf_similarity(spark, sf_dir):
     """All pairs of a benchmark item and a document with a cosine of 0.20 or more, the least that gives points."""
     docs = t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), c("doc_id")).alias("k"), "text")
