@@ -82,7 +82,7 @@ class SegmentIndex:
 def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): for each row of queries the k nearest codes of index.
 
-    Both have (id, code), codes of one length. Rows with the query's own id are left out; ties go to
+    Both have (id, code). Codes meet only those of their own length, so there may be several. Rows with the query's own id are left out; ties go to
     the smaller id, null ids last. Each row of a repeated query id is answered. With fewer than k others
     there are fewer ranks.
 
@@ -92,8 +92,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     """
     last = (1 << 63) - 1  # stands for null, so that pandas keeps ids whole
     held = lambda df: df.select(F.coalesce("id", F.lit(last)).alias("id"), "code")
-    idx = written(held(index).withColumn("uid", F.monotonically_increasing_id()), "codes")
-    qs = written(held(queries).withColumn("uid", F.monotonically_increasing_id()), "queries")
+    width = F.octet_length("code").alias("width")
+    idx = written(held(index).select("*", width, F.monotonically_increasing_id().alias("uid")), "codes")
+    qs = written(held(queries).select("*", width, F.monotonically_increasing_id().alias("uid")), "queries")
     n_i, n_q = max(1, -(-idx.count() // index_rows)), max(1, -(-qs.count() // query_rows))
     block = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     i = idx.withColumn("ib", block(n_i)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
@@ -112,7 +113,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
                 out += [(uid, qid, ids[g], x) for g, x in zip(got, d, strict=True)]
         return pd.DataFrame(out, columns=["uid", "query_id", "neighbor_id", "distance"])
 
-    found = i.groupBy("ib", "qb").cogroup(q.groupBy("ib", "qb")).applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
+    key = ["width", "ib", "qb"]
+    found = i.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("distance", "neighbor_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(F.nullif("query_id", F.lit(last)).alias("query_id"), "rank", F.nullif("neighbor_id", F.lit(last)).alias("neighbor_id"), "distance")
