@@ -103,6 +103,9 @@ def test_nearest_against_brute_force(spark):
             want += [(i, k + 1, None if j == math.inf else j, d) for k, (d, j) in enumerate(near)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert topk.nearest(codes.limit(0), codes.limit(0), 3).count() == 0
+    longer = topk.sign_codes(spark.createDataFrame([(i, [1.0] * 48) for i in (1000, 1001)], "id long, v array<float>"), "id", "v")
+    both = topk.nearest(codes.unionByName(longer), longer, 7)
+    assert rows(both) == [(1000, 1, 1001, 0), (1001, 1, 1000, 0)]
 
 
 # Token counts
