@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import bounded_batches, passing_tables, written
+from linkmill.llm.common import bounded_batches, passing_tables, thrifty, written
 from linkmill.llm.tokens import encoder, vocabulary
 
 LIMIT, END = 1024, 2
 #: Documents of at most this many tokens are placed together, at the end; longer ones by halves of the limit.
 LAST_CLASS = 128
+#: Rows of a round's table that one task takes, about.
+TASK_ROWS = 200_000
 #: New sequences are opened when a round places no more than this share of the documents of its class.
 PROGRESS = 0.2
 
@@ -47,14 +49,20 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, limit: int = LIMIT,
     arrow = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     schema = "uid long, key long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return bounded_batches(rows).mapInArrow(cut, schema)
+    return bounded_batches(rows).mapInArrow(thrifty(cut), schema)
 
 
-def ranked(df: DataFrame, size: str) -> tuple[DataFrame, dict[int, int]]:
+def few(df: DataFrame, n_rows: int) -> DataFrame:
+    """df in as many tasks as so many rows need: the tables of a round are often small, and rounds are many."""
+    return df.coalesce(max(1, -(-n_rows // TASK_ROWS)))
+
+
+def ranked(df: DataFrame, size: str, n_counts: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """df, written, with each row's rank (from 0) among those of its size, and the number of rows of each size.
 
     This is a sort by counting: rows are numbered by size where they lie, and the counts of the partitions
-    before are added, so no row moves and no size is gathered. Sizes are integers of a small range."""
+    before are added, so no row moves and no size is gathered. Sizes are integers of a small range.
+    n_counts: how many different sizes all partitions have at most, added up, if that is known."""
     names = df.columns
 
     def numbered(batches):
@@ -75,8 +83,9 @@ def ranked(df: DataFrame, size: str) -> tuple[DataFrame, dict[int, int]]:
     rows = written(df.mapInArrow(numbered, f"{kinds}, part long, nth long"), "numbered")
     earlier = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(size, "part").agg(F.count("*").alias("n"))
-    counts = written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "counts")
-    of_size = {r[0]: r[1] for r in counts.groupBy(size).agg(F.sum("n")).collect()}  # a row for each size
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = written(few(counts, n_counts) if n_counts else counts, "counts")
+    of_size = {r[0]: r[1] for r in counts.groupBy(size).agg(F.sum("n")).coalesce(1).collect()}  # a row for each size
     rows = rows.join(counts.drop("n"), [size, "part"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
     return rows, of_size
 
@@ -150,7 +159,7 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
                 offer = spark.createDataFrame([(g, base[g], by_gap[g], each[g]) for g in each], "gap long, base long, n long, each long")
                 free = gaps.join(F.broadcast(offer), "gap").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
                 free = free.select("sequence_id", (F.col("base") + F.col("j") * F.col("n") + F.col("rank")).alias("slot"))
-                got = written(who.join(free, "slot").select("uid", "length", "sequence_id"), "placed")
+                got = written(few(who.join(free, "slot").select("uid", "length", "sequence_id"), sum(k for _, k, _ in moves)), "placed")
                 found = got if found is None else found.unionByName(got)
                 for n, k, _ in moves:
                     done[n], left[n] = done[n] + k, left[n] - k
@@ -164,7 +173,7 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
                 gaps, opened = gaps.select("sequence_id", "gap").unionByName(fresh), opened + more
             smallest = min((n for n in left if left[n]), default=None)
             if smallest is not None:
-                gaps, by_gap = ranked(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), "gap")
+                gaps, by_gap = ranked(few(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), opened), "gap", limit * -(-opened // TASK_ROWS))
     if found is None:
         found = spark.createDataFrame([], "uid long, length long, sequence_id long")
     return found.select("uid", "sequence_id")
