@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmill.llm.common import bounded_batches, deltas, undeltas, written
+from linkmill.llm.common import bounded_batches, deltas, thrifty, undeltas, written
 
 BLOCK_BYTES = 1 << 20
 #: A document's number is its block's, shifted by this many bits, plus its place in the block.
@@ -65,7 +65,7 @@ def packed(df: DataFrame, text: str, carry: list[str], extra: Callable[[list[byt
         if texts:
             yield row()
 
-    return written(bounded_batches(df).select(text, *[c for c in carry if c != text]).mapInArrow(pack, head), "blocks")
+    return written(bounded_batches(df).select(text, *[c for c in carry if c != text]).mapInArrow(thrifty(pack), head), "blocks")
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
@@ -95,7 +95,7 @@ def unpacked(blocks: DataFrame, schema: T.StructType, text: str) -> DataFrame:
                 cols = [pa.array([texts[i] for i in at], pa.binary()).cast(pa.string()) if f.name == text else pa.array([row[f"c_{f.name}"][i] for i in at], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return blocks.mapInArrow(unpack, schema)
+    return blocks.mapInArrow(thrifty(unpack), schema)
 
 
 def by_range(block_id: int, hashes: np.ndarray, n_ranges: int, counts: np.ndarray | None = None) -> Iterator[tuple]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import bounded_batches, carried, written
+from linkmill.llm.common import bounded_batches, carried, thrifty, written
 
 WINDOW = 13
 #: Most bytes of benchmark text that one set of shift tables may cover; more items go to more sets.
@@ -102,7 +102,7 @@ def _searched(rows: DataFrame, items: list, window: int, keep: list[str], hits_o
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_words long, spans array<int>, items array<long>"
-    return bounded_batches(rows).mapInArrow(search, schema)
+    return bounded_batches(rows).mapInArrow(thrifty(search), schema)
 
 
 def _joined(found: DataFrame) -> DataFrame:

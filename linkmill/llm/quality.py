@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.llm.common import WordHashes, bounded_batches, carried, written
+from linkmill.llm.common import WordHashes, bounded_batches, carried, thrifty, written
 
 PASSAGE_WORDS = 64
 WORD_BINS = 64
@@ -100,7 +100,10 @@ class GatedAttention:
 
     def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-3) -> GatedAttention:
         """Adam on the cross-entropy of the documents' labels."""
-        self.p["mean"], self.p["scale"] = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 0.02
+        slices = [slice(i, i + 4096) for i in range(0, len(x), 4096)]  # sums by slices: no copy of all of x
+        self.p["mean"] = sum(x[s].sum(axis=0, dtype=float) for s in slices) / len(x)
+        spread = sum(((x[s] - self.p["mean"]) ** 2).sum(axis=0) for s in slices) / len(x)
+        self.p["scale"] = np.sqrt(spread) + 0.02
         r, first = np.random.default_rng(11), np.cumsum(count) - count
         m = {k: np.zeros(s) for k, s in self.SHAPES.items()}
         s2 = {k: np.zeros(s) for k, s in self.SHAPES.items()}
@@ -152,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             model.fit(np.concatenate(xs), np.array([len(v) for v in xs]), y)
         return pd.DataFrame({"name": list(model.p), "values": [np.asarray(v, float).ravel().tolist() for v in model.p.values()]})
 
-    features = written(bounded_batches(rows).select("k", "y", "text").mapInArrow(encoded, "k long, y int, x binary"), "features")
+    features = written(bounded_batches(rows).select("k", "y", "text").mapInArrow(thrifty(encoded), "k long, y int, x binary"), "features")
     n = (F.length("x") / (4 * FEATURES)).cast("long")
     sizes = features.select("k", n).orderBy(F.xxhash64("k"), "k").collect()  # a number for each row of the sample
     total, kept = 0, []
@@ -187,5 +190,5 @@ def score(docs: DataFrame, parameters: dict, keep: list[str], text: str = "text"
                 at = end
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*own, "score"])
 
-    out = bounded_batches(rows).mapInArrow(scored, ", ".join(f"{k} {kinds[k]}" for k in own) + ", score double")
+    out = bounded_batches(rows).mapInArrow(thrifty(scored), ", ".join(f"{k} {kinds[k]}" for k in own) + ", score double")
     return out.select(*back, "score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmill.llm import blocks as B
-from linkmill.llm.common import WordHashes, carried, partitions, window_hashes
+from linkmill.llm.common import WordHashes, carried, partitions, thrifty, window_hashes
 
 WINDOW = 35
 
@@ -67,7 +67,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
                 if len(h):
                     yield B.range_batch(list(B.by_range(block, h, n_ranges, n)))
 
-    counts = B.totals(table.select("block_id", "sizes", "blob").mapInArrow(hashed, B.RANGES), 2)
+    counts = B.totals(table.select("block_id", "sizes", "blob").mapInArrow(thrifty(hashed), B.RANGES), 2)
     schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in named] + results.fields)
     arrow = pa.schema([(f.name, B.to_arrow(f.dataType)) for f in schema.fields])
 
@@ -98,4 +98,4 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
                 cols = [row[f"c_{c}"] for c in named] + list(out.values())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return B.with_totals(table.drop("n_words"), counts).mapInArrow(removed, schema).select(*back, *results.names)
+    return B.with_totals(table.drop("n_words"), counts).mapInArrow(thrifty(removed), schema).select(*back, *results.names)
