@@ -64,7 +64,9 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     i = text(both)
     ia, ib = F.trim(F.concat_ws(" ", i, text(left))), F.trim(F.concat_ws(" ", i, text(right)))
     best = F.when(F.size(both) > 0, F.greatest(ratio(ia, ib), ratio(i, ia), ratio(i, ib))).otherwise(ratio(ia, ib))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when((F.size(both) > 0) & ((F.size(left) == 0) | (F.size(right) == 0)), F.lit(100.0)).otherwise(best)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(
+        (F.size(both) > 0) & ((F.size(left) == 0) | (F.size(right) == 0)), F.lit(100.0)
+    ).otherwise(best)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:

@@ -44,7 +44,9 @@ def works(df: DataFrame, f: Filters) -> DataFrame:
 def accepted(df: DataFrame, flag: str, tier: str, name: str) -> DataFrame:
     """Accepted names: by the flag if any row has it, else by tier HIGH, else all."""
     have = df.agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias("_f"), F.coalesce(F.bool_or(c(tier) == "HIGH"), F.lit(False)).alias("_t"))
-    return df.join(F.broadcast(have)).where(F.when(c("_f"), F.coalesce(c(flag), F.lit(False))).when(c("_t"), c(tier) == "HIGH").otherwise(True)).select(name).distinct()
+    return df.join(F.broadcast(have)).where(
+        F.when(c("_f"), F.coalesce(c(flag), F.lit(False))).when(c("_t"), c(tier) == "HIGH").otherwise(True)
+    ).select(name).distinct()
 
 
 def only(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
@@ -73,7 +75,9 @@ def search_text(*cols: str) -> Column:
 
 def trend(df: DataFrame, year: str, flag: str, since: int = 2005) -> DataFrame:
     """Per year: rows with the flag and others."""
-    return df.where(c(year) >= since).groupBy(year).agg(F.count_if(c(flag)).alias("relevant"), F.count_if(~F.coalesce(c(flag), F.lit(False))).alias("other"))
+    return df.where(c(year) >= since).groupBy(year).agg(
+        F.count_if(c(flag)).alias("relevant"), F.count_if(~F.coalesce(c(flag), F.lit(False))).alias("other")
+    )
 
 
 def top_groups(df: DataFrame, col: str, k: int, blank: str = "(unknown)") -> DataFrame:
@@ -86,13 +90,19 @@ def in_order(df: DataFrame, col: str, order: list[str], other: str = "Unknown")
     """Counts by value, in a given order, then others; blanks under `other`."""
     value = F.when(F.coalesce(F.trim(col), F.lit("")) == "", other).otherwise(c(col))
     place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), c(col)).cast("int"), F.lit(0))
-    return df.groupBy(value.alias(col)).agg(F.count("*").alias("n")).withColumn("place", F.when(place == 0, len(order) + 1).otherwise(place)).orderBy("place", col)
+    return df.groupBy(value.alias(col)).agg(F.count("*").alias("n")).withColumn(
+        "place", F.when(place == 0, len(order) + 1).otherwise(place)
+    ).orderBy("place", col)
 
 
 def matrix(df: DataFrame, row: str, col: str, k_rows: int, k_cols: int | None = None) -> DataFrame:
     """Counts of row x col as (row, col, n), zeros too, for the k most frequent rows (and columns)."""
     rows = top_groups(df.where(c(row).isNotNull()), row, k_rows).select(row)
-    cols = (top_groups(df.where(c(col).isNotNull()), col, k_cols) if k_cols else df.where(c(col).isNotNull()).join(rows, row, "left_semi").select(col).distinct()).select(col)
+    cols = (
+        top_groups(
+            df.where(c(col).isNotNull()), col, k_cols
+        ) if k_cols else df.where(c(col).isNotNull()).join(rows, row, "left_semi").select(col).distinct()
+    ).select(col)
     counts = df.join(F.broadcast(rows), row, "left_semi").groupBy(row, col).agg(F.count("*").alias("n"))
     return cols.join(F.broadcast(rows)).join(counts, [row, col], "left").na.fill(0, ["n"])
 
@@ -117,8 +127,12 @@ def histogram(df: DataFrame, metric: str, bins: int) -> DataFrame:
     """bin (0 to bins - 1), n, and the lower edge, over equal widths from least to greatest; empty bins have 0."""
     ends = df.agg(F.min(metric).cast("double").alias("lo"), F.max(metric).cast("double").alias("hi"))
     width = F.when(c("hi") > c("lo"), (c("hi") - c("lo")) / bins).otherwise(1.0)
-    rows = df.where(c(metric).isNotNull()).join(F.broadcast(ends)).select(F.least(F.floor((c(metric) - c("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"))
-    all_bins = df.sparkSession.range(bins).select(c("id").cast("int").alias("bin")).join(F.broadcast(ends)).withColumn("edge", c("lo") + c("bin") * width)
+    rows = df.where(c(metric).isNotNull()).join(F.broadcast(ends)).select(
+        F.least(F.floor((c(metric) - c("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")
+    )
+    all_bins = df.sparkSession.range(bins).select(c("id").cast("int").alias("bin")).join(F.broadcast(ends)).withColumn(
+        "edge", c("lo") + c("bin") * width
+    )
     return all_bins.join(rows.groupBy("bin").agg(F.count("*").alias("n")), "bin", "left").select("bin", "edge", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -153,13 +167,19 @@ def key_figures(roster: DataFrame, works_: DataFrame, links: DataFrame, trials:
     """One row: members, linked members, works, relevant works, citations, trials, awards and funded members."""
     parts = [
         roster.agg(F.count("*").alias("n_members")), links.agg(F.count_distinct("member").alias("n_linked")),
-        works_.agg(F.count("*").alias("n_works"), F.count_if(c("relevant")).alias("n_relevant"), F.coalesce(F.sum("citations"), F.lit(0)).alias("citations")),
-        trials.agg(F.count_distinct("trial_id").alias("n_trials")), awards.agg(F.count("*").alias("n_awards"), F.count_distinct("member").alias("n_funded_members")),
-    ]
+        works_.agg(
+            F.count("*").alias("n_works"), F.count_if(c("relevant")).alias("n_relevant"),
+            F.coalesce(F.sum("citations"), F.lit(0)).alias("citations")
+        ),
+        trials.agg(F.count_distinct("trial_id").alias("n_trials")),
+        awards.agg(F.count("*").alias("n_awards"), F.count_distinct("member").alias("n_funded_members")),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
-    return out.withColumn("linked_pct", F.when(c("n_members") > 0, 100 * c("n_linked") / c("n_members")).otherwise(0.0)).withColumn("relevant_pct", F.when(c("n_works") > 0, 100 * c("n_relevant") / c("n_works")).otherwise(0.0))
+    return out.withColumn(
+        "linked_pct", F.when(c("n_members") > 0, 100 * c("n_linked") / c("n_members")).otherwise(0.0)
+    ).withColumn("relevant_pct", F.when(c("n_works") > 0, 100 * c("n_relevant") / c("n_works")).otherwise(0.0))
 
 
 def expertise(df: DataFrame, member: str, topic: str, citations: str) -> DataFrame:
@@ -180,7 +200,9 @@ def top_terms(df: DataFrame, member: str, terms: str, k: int, sep: str = "\\|",
     """The k most frequent terms of each member, lower case, of some length."""
     from linkmill.operators.ranks import top_per_group
 
-    rows = df.select(member, F.explode(F.split(terms, sep)).alias("term")).withColumn("term", F.lower(F.trim("term"))).where(F.length("term") >= least)
+    rows = df.select(
+        member, F.explode(F.split(terms, sep)).alias("term")
+    ).withColumn("term", F.lower(F.trim("term"))).where(F.length("term") >= least)
     return top_per_group(rows.groupBy(member, "term").agg(F.count("*").alias("n")), [member], [F.desc("n"), "term"], k)
 
 
@@ -209,7 +231,11 @@ def options(df: DataFrame, col: str, sep: str | None = None) -> DataFrame:
 
 def progress(df: DataFrame, action: str) -> DataFrame:
     """Rows, decided ones, by action."""
-    return df.agg(F.count("*").alias("total"), F.count(action).alias("done"), F.count_if(c(action).startswith("accept")).alias("accepted"), F.count_if(c(action) == "reject").alias("rejected"))
+    return df.agg(
+        F.count("*").alias("total"), F.count(action).alias("done"),
+        F.count_if(c(action).startswith("accept")).alias("accepted"),
+        F.count_if(c(action) == "reject").alias("rejected")
+    )
 
 
 def snapshot(figures: DataFrame, top_members: DataFrame, topics: DataFrame, states: DataFrame) -> DataFrame:
@@ -217,7 +243,10 @@ def snapshot(figures: DataFrame, top_members: DataFrame, topics: DataFrame, stat
     f = figures.select(*[c(x).cast("double").alias(x) for x in figures.columns]).unpivot([], figures.columns, "name", "n")
     out = None
     for section, df in (("figures", f), ("members", top_members), ("topics", topics), ("states", states)):
-        rows = df.select(F.lit(section).alias("section"), F.row_number().over(W.orderBy(F.desc("n"), "name")).alias("place"), F.concat_ws(": ", "name", F.format_number(c("n").cast("double"), 0)).alias("line"))
+        rows = df.select(
+            F.lit(section).alias("section"), F.row_number().over(W.orderBy(F.desc("n"), "name")).alias("place"),
+            F.concat_ws(": ", "name", F.format_number(c("n").cast("double"), 0)).alias("line")
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -229,7 +258,10 @@ def worklist(review: DataFrame, flagged: DataFrame, resolved: DataFrame, decisio
     return out.withColumn("decided", c("action").isNotNull())
 
 
-def eligible(links: DataFrame, tier: str, id_: str, priority: str, name: str, tiers: tuple = ("HIGH", "REVIEW"), must_only: bool = False) -> DataFrame:
+def eligible(
+    links: DataFrame, tier: str, id_: str, priority: str, name: str, tiers: tuple = ("HIGH", "REVIEW"),
+    must_only: bool = False
+) -> DataFrame:
     """Links whose works are fetched: of these tiers, with an id; must before nice, then by name."""
     out = links.where(c(tier).isin(*tiers) & (F.coalesce(F.trim(id_), F.lit("")) != ""))
     out = out.where(c(priority) == "must") if must_only else out

@@ -50,23 +50,52 @@ def work_columns(author_name: Column, author_id: Column) -> dict[str, Column]:
     place, source, top = c("primary_location"), c("primary_location.source"), F.coalesce(c("cited_by_percentile_year.max"), F.lit(-1.0))
     full = F.coalesce(c("has_fulltext"), F.when(F.coalesce(place["pdf_url"], F.lit("")) != "", True).when(place.isNotNull(), False))
     return {
-        "work_id": N.strip_id(c("id")), "author": author_name, "doi": N.valid_doi(c("doi")), "title": c("title"), "year": c("publication_year"), "date": c("publication_date"), "language": c("language"), "type": c("type"),
-        "indexed": F.coalesce(c("indexed_in"), none), "countries": distinct_in(c("authorships"), lambda a: a["countries"]), "organisations": distinct_in(c("authorships"), lambda a: a["institutions"]["id"]),
-        "fwci": c("fwci"), "full_text": full, "citations": c("cited_by_count"), "retracted": c("is_retracted"), "locations": F.coalesce(c("locations_count"), F.when(c("locations").isNotNull(), F.size("locations"))), "references": c("referenced_works_count"), "pmid": c("ids.pmid"),
-        "location_id": F.coalesce(N.strip_id(source["id"]), F.lit("")), "location_oa": place["is_oa"], "landing_page": place["landing_page_url"], "pdf": place["pdf_url"], "issn": source["issn_l"], "publisher": source["host_organization_name"], "publication_type": source["type"], "journal": source["display_name"],
-        "open_access": c("open_access.is_oa"), "oa_type": c("open_access.oa_status"), "apc_value": c("apc_list.value"), "apc_currency": c("apc_list.currency"), "apc_usd": c("apc_list.value_usd"), "citations_normalised": c("cited_by_percentile_year.min"),
-        "top_1": F.when(top >= 99, "Yes").otherwise("No"), "top_10": F.when(top >= 90, "Yes").otherwise("No"), "percentile_min": c("cited_by_percentile_year.min"), "percentile_max": c("cited_by_percentile_year.max"),
-        "topic_id": F.coalesce(N.strip_id(topic["id"]), F.lit("")), "subtopic": topic["subfield"]["display_name"], "topic_field": topic["field"]["display_name"], "topic_domain": topic["domain"]["display_name"], "abstract": abstract(c("abstract_inverted_index")),
-        "author_position": author_position(c("authorships"), author_id), "authors_countries": _list(c("authorships"), lambda a: F.array_join(F.coalesce(a["countries"], none), ",")),
-        "corresponding": _list(F.filter("authorships", lambda a: F.coalesce(a["is_corresponding"], F.lit(False))), lambda a: a["author"]["display_name"]),
-        "affiliations": _list(c("authorships"), lambda a: F.array_join(_list(a["institutions"], lambda i: i["display_name"]), ",")),
-        "author_names": _list(c("authorships"), lambda a: a["author"]["display_name"]), "orcids": _list(c("authorships"), lambda a: F.coalesce(F.nullif(N.strip_id(a["author"]["orcid"]), F.lit("")), F.lit("None"))),
-        "topic": topic["display_name"], "topic_subfield": topic["subfield"]["display_name"], "keywords": _list(c("keywords"), lambda k: k["display_name"]), "keyword_scores": _list(c("keywords"), lambda k: k["score"]),
-        "concepts": _list(c("concepts"), lambda k: k["display_name"]), "concept_levels": _list(c("concepts"), lambda k: k["level"]), "concept_scores": _list(c("concepts"), lambda k: k["score"]),
-        "mesh_ids": _list(c("mesh"), lambda m: m["descriptor_ui"]), "mesh_terms": _list(c("mesh"), lambda m: m["descriptor_name"]), "sdg": goal["display_name"], "sdg_score": goal["score"],
-        "grants": _list(c("awards"), lambda a: F.concat(_text(a["funder_display_name"]), F.lit(": "), _text(a["display_name"]))),
-        "counts_years": _list(c("counts_by_year"), lambda y: y["year"]), "counts_citations": _list(c("counts_by_year"), lambda y: F.coalesce(y["cited_by_count"], F.lit(0))),
-    }
+        "work_id": N.strip_id(c("id")), "author": author_name, "doi": N.valid_doi(c("doi")), "title": c("title"),
+        "year": c("publication_year"), "date": c("publication_date"), "language": c("language"), "type": c("type"),
+        "indexed": F.coalesce(c("indexed_in"), none),
+        "countries": distinct_in(c("authorships"), lambda a: a["countries"]),
+        "organisations": distinct_in(c("authorships"), lambda a: a["institutions"]["id"]), "fwci": c("fwci"),
+        "full_text": full, "citations": c("cited_by_count"), "retracted": c("is_retracted"),
+        "locations": F.coalesce(c("locations_count"), F.when(c("locations").isNotNull(), F.size("locations"))),
+        "references": c("referenced_works_count"), "pmid": c("ids.pmid"),
+        "location_id": F.coalesce(N.strip_id(source["id"]), F.lit("")), "location_oa": place["is_oa"],
+        "landing_page": place["landing_page_url"], "pdf": place["pdf_url"], "issn": source["issn_l"],
+        "publisher": source["host_organization_name"], "publication_type": source["type"],
+        "journal": source["display_name"], "open_access": c("open_access.is_oa"), "oa_type": c("open_access.oa_status"),
+        "apc_value": c("apc_list.value"), "apc_currency": c("apc_list.currency"), "apc_usd": c("apc_list.value_usd"),
+        "citations_normalised": c("cited_by_percentile_year.min"), "top_1": F.when(top >= 99, "Yes").otherwise("No"),
+        "top_10": F.when(top >= 90, "Yes").otherwise("No"), "percentile_min": c("cited_by_percentile_year.min"),
+        "percentile_max": c("cited_by_percentile_year.max"), "topic_id": F.coalesce(N.strip_id(topic["id"]), F.lit("")),
+        "subtopic": topic["subfield"]["display_name"], "topic_field": topic["field"]["display_name"],
+        "topic_domain": topic["domain"]["display_name"], "abstract": abstract(c("abstract_inverted_index")),
+        "author_position": author_position(c("authorships"), author_id),
+        "authors_countries": _list(c("authorships"), lambda a: F.array_join(F.coalesce(a["countries"], none), ",")),
+        "corresponding": _list(
+            F.filter("authorships", lambda a: F.coalesce(a["is_corresponding"], F.lit(False))),
+            lambda a: a["author"]["display_name"]
+        ),
+        "affiliations": _list(
+            c("authorships"), lambda a: F.array_join(_list(a["institutions"], lambda i: i["display_name"]), ",")
+        ),
+        "author_names": _list(c("authorships"), lambda a: a["author"]["display_name"]),
+        "orcids": _list(
+            c("authorships"), lambda a: F.coalesce(F.nullif(N.strip_id(a["author"]["orcid"]), F.lit("")), F.lit("None"))
+        ),
+        "topic": topic["display_name"], "topic_subfield": topic["subfield"]["display_name"],
+        "keywords": _list(c("keywords"), lambda k: k["display_name"]),
+        "keyword_scores": _list(c("keywords"), lambda k: k["score"]),
+        "concepts": _list(c("concepts"), lambda k: k["display_name"]),
+        "concept_levels": _list(c("concepts"), lambda k: k["level"]),
+        "concept_scores": _list(c("concepts"), lambda k: k["score"]),
+        "mesh_ids": _list(c("mesh"), lambda m: m["descriptor_ui"]),
+        "mesh_terms": _list(c("mesh"), lambda m: m["descriptor_name"]), "sdg": goal["display_name"],
+        "sdg_score": goal["score"],
+        "grants": _list(
+            c("awards"), lambda a: F.concat(_text(a["funder_display_name"]), F.lit(": "), _text(a["display_name"]))
+        ),
+        "counts_years": _list(c("counts_by_year"), lambda y: y["year"]),
+        "counts_citations": _list(c("counts_by_year"), lambda y: F.coalesce(y["cited_by_count"], F.lit(0))),
+    }
 
 
 def flat_works(works: DataFrame, author_name: str, author_id: str, with_awards: bool = False) -> DataFrame:
@@ -77,32 +106,53 @@ def flat_works(works: DataFrame, author_name: str, author_id: str, with_awards:
 
 def author_links(works: DataFrame, author_name: str, author_id: str) -> DataFrame:
     """author, author id, work id, position, corresponding: a row per work record."""
-    return works.select(c(author_name).alias("author"), N.strip_id(c(author_id)).alias("author_id"), N.strip_id(c("id")).alias("work_id"), author_position(c("authorships"), c(author_id)).alias("position"), is_corresponding(c("authorships"), c(author_id)).alias("is_corresponding"))
+    return works.select(
+        c(author_name).alias("author"), N.strip_id(c(author_id)).alias("author_id"),
+        N.strip_id(c("id")).alias("work_id"), author_position(c("authorships"), c(author_id)).alias("position"),
+        is_corresponding(c("authorships"), c(author_id)).alias("is_corresponding")
+    )
 
 
 def funding(links: DataFrame, awards: DataFrame) -> DataFrame:
     """Author x award for each linked work; awards is (work_id, awards array). Equal rows once."""
     a = awards.select("work_id", F.explode("awards").alias("a"))
     first = lambda *xs: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in xs], F.lit(""))
-    rows = a.select("work_id", first(a["a"]["funder_id"], a["a"]["funder"]).alias("funder_id"), first(a["a"]["funder_display_name"]).alias("funder_name"), first(a["a"]["funder_ror"]).alias("funder_ror"), first(a["a"]["id"], a["a"]["award_id"]).alias("award_id"), first(a["a"]["display_name"]).alias("award_name"), first(a["a"]["funder_award_id"], a["a"]["award_id"]).alias("funder_award_id"))
-    return links.select("author", "work_id").distinct().join(rows, "work_id").dropDuplicates(["author", "work_id", "funder_id", "award_id", "funder_award_id"])
+    rows = a.select(
+        "work_id", first(a["a"]["funder_id"], a["a"]["funder"]).alias("funder_id"),
+        first(a["a"]["funder_display_name"]).alias("funder_name"), first(a["a"]["funder_ror"]).alias("funder_ror"),
+        first(a["a"]["id"], a["a"]["award_id"]).alias("award_id"), first(a["a"]["display_name"]).alias("award_name"),
+        first(a["a"]["funder_award_id"], a["a"]["award_id"]).alias("funder_award_id")
+    )
+    return links.select("author", "work_id").distinct().join(rows, "work_id").dropDuplicates(
+        ["author", "work_id", "funder_id", "award_id", "funder_award_id"]
+    )
 
 
 def study_rows(studies: DataFrame, members: DataFrame, member: str) -> DataFrame:
     """A row per study and member who is one of its officials (by the gate on both names), with the first such role."""
     p = "protocolSection"
-    s = studies.withColumn("_id", c(f"{p}.identificationModule.nctId")).select("*", F.posexplode(f"{p}.contactsLocationsModule.overallOfficials").alias("_at", "_o"))
+    s = studies.withColumn("_id", c(f"{p}.identificationModule.nctId")).select(
+        "*", F.posexplode(f"{p}.contactsLocationsModule.overallOfficials").alias("_at", "_o")
+    )
     s = s.withColumn("_norm", N.normalise_name(c("_o.name"))).withColumn("_last", F.element_at(F.split("_norm", " "), -1)).where("_norm != ''")
     m = members.select(c(member), N.normalise_name(c(member)).alias("_m")).withColumn("_last", F.element_at(F.split("_m", " "), -1)).where("_m != ''")
     hit = s.join(m, "_last").where(N.names_gate(c("_m"), c("_norm")))
     status = f"{p}.statusModule"
     joined = lambda x: F.array_join(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")), "|")
     cols = {
-        "trial_id": c("_id"), "title": N.first_nonempty(c(f"{p}.identificationModule.briefTitle"), c(f"{p}.identificationModule.officialTitle")), "status": c(f"{status}.overallStatus"),
-        "condition": joined(c(f"{p}.conditionsModule.conditions")), "intervention": joined(c(f"{p}.armsInterventionsModule.interventions.name")), "phase": joined(c(f"{p}.designModule.phases")),
-        "start_date": c(f"{status}.startDateStruct.date"), "completion_date": N.first_nonempty(c(f"{status}.primaryCompletionDateStruct.date"), c(f"{status}.completionDateStruct.date")),
-        "role": F.coalesce(c("_o.role"), c("_o.officialRole")), "sponsor": c(f"{p}.sponsorCollaboratorsModule.leadSponsor.name"),
-    }
+        "trial_id": c("_id"),
+        "title": N.first_nonempty(
+            c(f"{p}.identificationModule.briefTitle"), c(f"{p}.identificationModule.officialTitle")
+        ),
+        "status": c(f"{status}.overallStatus"), "condition": joined(c(f"{p}.conditionsModule.conditions")),
+        "intervention": joined(c(f"{p}.armsInterventionsModule.interventions.name")),
+        "phase": joined(c(f"{p}.designModule.phases")), "start_date": c(f"{status}.startDateStruct.date"),
+        "completion_date": N.first_nonempty(
+            c(f"{status}.primaryCompletionDateStruct.date"), c(f"{status}.completionDateStruct.date")
+        ),
+        "role": F.coalesce(c("_o.role"), c("_o.officialRole")),
+        "sponsor": c(f"{p}.sponsorCollaboratorsModule.leadSponsor.name"),
+    }
     from linkmill.operators.ranks import top_per_group
 
     rows = hit.select(c(member), c("_at"), *[v.alias(k) for k, v in cols.items()])
@@ -111,8 +161,12 @@ def study_rows(studies: DataFrame, members: DataFrame, member: str) -> DataFrame
 
 def trial_rows(matches: DataFrame, trials: DataFrame, conditions: DataFrame, interventions: DataFrame) -> DataFrame:
     """Matched (name, trial_id) with the trial's columns and its sorted distinct conditions and interventions; once each."""
-    rolled = lambda df, col: df.where(c(col).isNotNull()).groupBy("trial_id").agg(F.array_join(F.array_sort(F.collect_set(col)), "|").alias(f"{col}s"))
-    out = matches.join(trials, "trial_id", "left").join(rolled(conditions, "condition"), "trial_id", "left").join(rolled(interventions, "intervention"), "trial_id", "left")
+    rolled = lambda df, col: df.where(c(col).isNotNull()).groupBy("trial_id").agg(
+        F.array_join(F.array_sort(F.collect_set(col)), "|").alias(f"{col}s")
+    )
+    out = matches.join(trials, "trial_id", "left").join(rolled(conditions, "condition"), "trial_id", "left").join(
+        rolled(interventions, "intervention"), "trial_id", "left"
+    )
     return out.na.fill("", ["conditions", "interventions"]).dropDuplicates(["name", "trial_id"])
 
 
@@ -127,7 +181,10 @@ def page_rows(pages: DataFrame, key: str, html: str, pattern: str, cell: str = "
     others = F.filter(cells, lambda x: ~x.contains(c("id")))
     longest = F.aggregate(others, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     link = plain(F.regexp_extract("row", "(?is)<a\\b[^>]*>(.*?)</a>", 1))
-    return rows.select(key, "id", F.when(link != "", link).otherwise(longest).alias("title"), F.regexp_extract("row", "(?is)<a\\b[^>]*href=[\"']([^\"']*)", 1).alias("href"))
+    return rows.select(
+        key, "id", F.when(link != "", link).otherwise(longest).alias("title"),
+        F.regexp_extract("row", "(?is)<a\\b[^>]*href=[\"']([^\"']*)", 1).alias("href")
+    )
 
 
 def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -152,17 +209,25 @@ def research_topics(topics: Column, generic: list[str], k: int = 5, first: int =
 def topic_details(authors: DataFrame, key: str, first: int = 10) -> DataFrame:
     """The first topics of each record, with their places: key, place, topic, subfield, field, domain, n."""
     rows = authors.select(c(key), F.posexplode(F.slice("topics", 1, first)).alias("place", "t"))
-    return rows.select(key, "place", c("t.display_name").alias("topic"), c("t.subfield.display_name").alias("subfield"), c("t.field.display_name").alias("field"), c("t.domain.display_name").alias("domain"), c("t.count").alias("n"))
+    return rows.select(
+        key, "place", c("t.display_name").alias("topic"), c("t.subfield.display_name").alias("subfield"),
+        c("t.field.display_name").alias("field"), c("t.domain.display_name").alias("domain"), c("t.count").alias("n")
+    )
 
 
 def year_series(authors: DataFrame, key: str) -> DataFrame:
     """Works and citations by year, a row each, nulls as 0."""
-    return authors.select(c(key), F.explode("counts_by_year").alias("y")).select(key, c("y.year").alias("year"), F.coalesce("y.works_count", F.lit(0)).alias("works"), F.coalesce("y.cited_by_count", F.lit(0)).alias("citations"))
+    return authors.select(c(key), F.explode("counts_by_year").alias("y")).select(
+        key, c("y.year").alias("year"), F.coalesce("y.works_count", F.lit(0)).alias("works"),
+        F.coalesce("y.cited_by_count", F.lit(0)).alias("citations")
+    )
 
 
 def with_priority(members: DataFrame, source: str, name: str, must: tuple = ("Both", "Register")) -> DataFrame:
     """members with priority must or nice, must first, then by name."""
-    return members.withColumn("priority", F.when(F.trim(source).isin(*must), "must").otherwise("nice")).orderBy(F.when(c("priority") == "must", 0).otherwise(1), name)
+    return members.withColumn(
+        "priority", F.when(F.trim(source).isin(*must), "must").otherwise("nice")
+    ).orderBy(F.when(c("priority") == "must", 0).otherwise(1), name)
 
 
 def proven(number: Column, specialty: Column, prefix: str, word: str) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 def gate(df: DataFrame, name: str, value: Column, low: float | None = None, high: float | None = None) -> DataFrame:
     """One row: an aggregate of df, and whether it lies between low and high, both included."""
     rule = f"{'' if low is None else f'>= {low:g}'}{' and ' if low is not None and high is not None else ''}{'' if high is None else f'<= {high:g}'}"
-    out = df.agg(F.coalesce(value.cast("double"), F.lit(0.0)).alias("observed")).select(F.lit(name).alias("gate"), "observed", F.lit(rule).alias("rule"))
+    out = df.agg(F.coalesce(value.cast("double"), F.lit(0.0)).alias("observed")).select(
+        F.lit(name).alias("gate"), "observed", F.lit(rule).alias("rule")
+    )
     ok = (F.lit(True) if low is None else F.col("observed") >= low) & (F.lit(True) if high is None else F.col("observed") <= high)
     return out.withColumn("pass", ok)
 
@@ -45,7 +47,10 @@ def same_count(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 
 def columns(df: DataFrame, name: str, present: list[str], absent: list[str] = ()) -> DataFrame:
     wrong = [c for c in present if c not in df.columns] + [c for c in absent if c in df.columns]
-    return df.sparkSession.range(1).select(F.lit(name).alias("gate"), F.lit(float(len(wrong))).alias("observed"), F.lit("<= 0").alias("rule"), F.lit(not wrong).alias("pass"))
+    return df.sparkSession.range(1).select(
+        F.lit(name).alias("gate"), F.lit(float(len(wrong))).alias("observed"), F.lit("<= 0").alias("rule"),
+        F.lit(not wrong).alias("pass")
+    )
 
 
 def report(*gates: DataFrame) -> DataFrame:

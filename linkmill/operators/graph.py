@@ -51,7 +51,9 @@ def seed_ring(candidates: DataFrame, links: DataFrame, seeds: DataFrame, member:
     mine = links.join(candidates.select(member).distinct(), member, "left_semi").select(F.col(member).alias("candidate"), work).distinct()
     theirs = links.join(seeds.select(member).distinct(), member, "left_semi").select(F.col(member).alias("seed"), work).distinct()
     met = mine.join(theirs, work).where("candidate <> seed")
-    return met.groupBy("candidate").agg(F.count_distinct(work).alias("shared_works"), F.count_distinct("seed").alias("shared_seeds")).withColumn("bonus", F.lit(bonus))
+    return met.groupBy("candidate").agg(
+        F.count_distinct(work).alias("shared_works"), F.count_distinct("seed").alias("shared_seeds")
+    ).withColumn("bonus", F.lit(bonus))
 
 
 def top_coauthors(works: DataFrame, member: str, names: str, own: str, k: int = 30) -> DataFrame:
@@ -64,4 +66,6 @@ def top_coauthors(works: DataFrame, member: str, names: str, own: str, k: int =
 
 def ego(edges: DataFrame, member) -> DataFrame:
     """A member's neighbours with weights."""
-    return edges.where((F.col("a") == member) | (F.col("b") == member)).select(F.when(F.col("a") == member, F.col("b")).otherwise(F.col("a")).alias("neighbour"), "weight")
+    return edges.where((F.col("a") == member) | (F.col("b") == member)).select(
+        F.when(F.col("a") == member, F.col("b")).otherwise(F.col("a")).alias("neighbour"), "weight"
+    )

@@ -49,13 +49,27 @@ class Rules:
 
 # The score models by name.
 MODELS = {
-    "main": Rules(),
-    "main_wide": Rules(abroad=-30),
-    "library": Rules(bands=((85, 25),), set_ratio=True, gated=True, local_now=30, local_before=30, catalog=0, state=10, hospital=0, topic=0, concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0), bonus=True),
-    "strict": Rules(bands=((92, 30), (80, 15)), drop_below=60, catalog=0, state=0, hospital=0, concept=0, works_over=(10**12, 0), h_over=(10**12, 0)),
-    "loose": Rules(bands=((92, 30), (80, 15), (60, 5)), drop_below=60, catalog=0, state=0, hospital=0, concept=0, works_over=(10**12, 0), h_over=(10**12, 0)),
-    "graded": Rules(exact=40, bands=((92, 35), (85, 25), (75, 15)), drop_below=75, catalog=15, state=0, hospital=0, topic=10, topic_many=(3, 20), concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0)),
-    "topical": Rules(exact=30, bands=((85, 15),), local_now=50, local_before=50, catalog=0, state=0, hospital=0, topic=40, concept=0, works=((1, 10**12, 10),), works_over=(10**12, 0), h_over=(10**12, 0)),
+    "main": Rules(), "main_wide": Rules(abroad=-30),
+    "library": Rules(
+        bands=((85, 25),), set_ratio=True, gated=True, local_now=30, local_before=30, catalog=0, state=10, hospital=0,
+        topic=0, concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0), bonus=True
+    ),
+    "strict": Rules(
+        bands=((92, 30), (80, 15)), drop_below=60, catalog=0, state=0, hospital=0, concept=0, works_over=(10**12, 0),
+        h_over=(10**12, 0)
+    ),
+    "loose": Rules(
+        bands=((92, 30), (80, 15), (60, 5)), drop_below=60, catalog=0, state=0, hospital=0, concept=0,
+        works_over=(10**12, 0), h_over=(10**12, 0)
+    ),
+    "graded": Rules(
+        exact=40, bands=((92, 35), (85, 25), (75, 15)), drop_below=75, catalog=15, state=0, hospital=0, topic=10,
+        topic_many=(3, 20), concept=0, works=(), works_over=(10**12, 0), h_over=(10**12, 0)
+    ),
+    "topical": Rules(
+        exact=30, bands=((85, 15),), local_now=50, local_before=50, catalog=0, state=0, hospital=0, topic=40, concept=0,
+        works=((1, 10**12, 10),), works_over=(10**12, 0), h_over=(10**12, 0)
+    ),
 }
 ACCEPT = {"pass1": 110, "pass2": 100, "review": 60}
 VERDICTS = ((0.85, "HIGH", 30), (0.65, "REVIEW", 15))
@@ -101,13 +115,17 @@ def codes(author: Column) -> tuple[Column, Column]:
     """Country codes of all affiliations and of the last known institutions of an author record, upper case."""
     up = lambda arr: F.array_distinct(F.filter(F.transform(arr, F.upper), lambda c: c.isNotNull() & (c != "")))
     none = F.array().cast("array<string>")
-    return up(F.coalesce(author["affiliations"]["institution"]["country_code"], none)), up(F.coalesce(author["last_known_institutions"]["country_code"], none))
+    return up(
+        F.coalesce(author["affiliations"]["institution"]["country_code"], none)
+    ), up(F.coalesce(author["last_known_institutions"]["country_code"], none))
 
 
 def topic_labels(topics: Column, n: int = 10) -> Column:
     """Topic, subfield and field names of the first n topics, lower case."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    one = lambda t: F.lower(F.concat_ws(" ", text(t["display_name"]), text(t["subfield"]["display_name"]), text(t["field"]["display_name"])))
+    one = lambda t: F.lower(
+        F.concat_ws(" ", text(t["display_name"]), text(t["subfield"]["display_name"]), text(t["field"]["display_name"]))
+    )
     return F.coalesce(F.transform(F.slice(topics, 1, n), one), F.array().cast("array<string>"))
 
 
@@ -151,7 +169,11 @@ def ratio_check(works: Column, have: Column) -> Column:
 
 def country_action(code: Column, works: Column, ever_local: Column, exempt: Column, wrong: Column, local: tuple = ("AU", "NZ")) -> Column:
     blank = F.coalesce(F.trim(code), F.lit("")) == ""
-    return F.when(blank | F.upper(code).isin(*local), "keep").when(exempt, "keep").when(wrong, "clear").when((works > 20) & ~ever_local, "clear").when((works > 20) & ever_local, "flag").otherwise("keep")
+    return F.when(
+        blank | F.upper(code).isin(*local), "keep"
+    ).when(exempt, "keep").when(wrong, "clear").when(
+        (works > 20) & ~ever_local, "clear"
+    ).when((works > 20) & ever_local, "flag").otherwise("keep")
 
 
 def suspicious(institution: Column, code: Column, listed: list[str], local: tuple = ("AU", "NZ")) -> Column:
@@ -163,7 +185,10 @@ def split_risk(title: Column, works: Column, orcid: Column, merged: Column, seni
     return ~merged & ((V.holds_any(title, senior) & (works < 25)) | ((F.coalesce(orcid, F.lit("")) == "") & (works < 10)))
 
 
-def false_positive_flags(code: Column, ever_local: Column, name: Column, found: Column, works: Column, h: Column, stop: list[str], local: tuple = ("AU", "NZ")) -> Column:
+def false_positive_flags(
+    code: Column, ever_local: Column, name: Column, found: Column, works: Column, h: Column, stop: list[str],
+    local: tuple = ("AU", "NZ")
+) -> Column:
     """Reasons to doubt a link, as an array."""
     marks = [
         F.when(~F.upper(F.coalesce(code, F.lit(local[0]))).isin(*local) & ~ever_local, "foreign"),
@@ -196,7 +221,10 @@ def scored(pairs: DataFrame, rules: Rules, on: list[str]) -> DataFrame:
     n_on = V.count_on(F.col("labels"), on, 10)
     works = F.lit(0)
     for lo, hi, p in rules.works:
-        works = F.when(F.col("works").between(lo, hi), F.least(F.lit(p), F.col("works")) if rules.bonus is False and hi >= 10**12 else F.lit(p)).otherwise(works)
+        works = F.when(
+            F.col("works").between(lo, hi),
+            F.least(F.lit(p), F.col("works")) if rules.bonus is False and hi >= 10**12 else F.lit(p)
+        ).otherwise(works)
     works = F.when((F.col("works") > rules.works_over[0]) & ~trusted, rules.works_over[1]).otherwise(works)
     works = N.works_bonus(F.col("works")) if rules.bonus else works
     topic = F.when(n_on >= 1, rules.topic).otherwise(0)
@@ -237,7 +265,9 @@ def best(pairs: DataFrame, member: str, rank: str, author: str) -> DataFrame:
 
 def resolved(first: DataFrame, second: DataFrame, member: str, rank: str, author: str) -> DataFrame:
     """The best of the first pass if it is accepted, else of the second with its tier: HIGH, REVIEW or NOT_FOUND."""
-    a = best(first, member, rank, author).where(F.col("total_score") >= ACCEPT["pass1"]).withColumn("tier", F.lit("HIGH")).withColumn("pass_no", F.lit(1))
+    a = best(first, member, rank, author).where(
+        F.col("total_score") >= ACCEPT["pass1"]
+    ).withColumn("tier", F.lit("HIGH")).withColumn("pass_no", F.lit(1))
     b = best(second, member, rank, author).join(a.select(member), member, "left_anti")
     tier = F.when(F.col("total_score") >= ACCEPT["pass2"], "HIGH").when(F.col("total_score") >= ACCEPT["review"], "REVIEW").otherwise("NOT_FOUND")
     return a.unionByName(b.withColumn("tier", tier).withColumn("pass_no", F.lit(2)), allowMissingColumns=True)
@@ -247,9 +277,16 @@ def banded(pairs: DataFrame, member: str, author: str, gap: int = 10) -> DataFra
     """The winner of each member with its band (high 70, medium 50, low 30) and the ids within `gap` points of it."""
     top = F.max("total_score").over(W.partitionBy(member))
     close = pairs.withColumn("top", top).where(F.col("top") - F.col("total_score") <= gap)
-    out = close.groupBy(member, "top").agg(F.array_sort(F.collect_list(F.struct((-F.col("total_score")).alias("s"), F.col(author).alias("id")))).alias("all"))
+    out = close.groupBy(member, "top").agg(
+        F.array_sort(
+            F.collect_list(F.struct((-F.col("total_score")).alias("s"), F.col(author).alias("id")))
+        ).alias("all")
+    )
     band = F.when(F.col("top") >= 70, "high").when(F.col("top") >= 50, "medium").when(F.col("top") >= 30, "low").otherwise("not_found")
-    return out.select(member, F.col("all")[0]["id"].alias("winner"), F.col("top").alias("score"), band.alias("band"), F.transform(F.expr("slice(all, 2, size(all))"), lambda x: x["id"]).alias("alternatives"))
+    return out.select(
+        member, F.col("all")[0]["id"].alias("winner"), F.col("top").alias("score"), band.alias("band"),
+        F.transform(F.expr("slice(all, 2, size(all))"), lambda x: x["id"]).alias("alternatives")
+    )
 
 
 def with_overrides(links: DataFrame, overrides: DataFrame, member: str, author: str) -> DataFrame:
@@ -258,7 +295,14 @@ def with_overrides(links: DataFrame, overrides: DataFrame, member: str, author:
     out = links.join(o, links[member] == o["_n"], "full")
     forced = F.col("_o").isNotNull()
     fixed = {author: F.col("_o"), "tier": F.lit("HIGH"), "score_name": F.lit(40), "score_country": F.lit(25)}
-    return out.select(*[F.coalesce(F.col(c), F.col("_n")).alias(c) if c == member else F.when(forced, fixed[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in links.columns], forced.alias("forced"))
+    return out.select(
+        *[
+            F.coalesce(
+                F.col(c), F.col("_n")
+            ).alias(c) if c == member else F.when(forced, fixed[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in links.columns
+        ],
+        forced.alias("forced")
+    )
 
 
 def judged(links: DataFrame, verdicts: DataFrame, member: str, author: str) -> DataFrame:
@@ -285,11 +329,22 @@ def audited(links: DataFrame, member: str, author: str) -> DataFrame:
     HIGH goes to REVIEW with the reasons. Needs tier, works, exact, ever_local."""
     shared = F.count("*").over(W.partitionBy(author)) > 1
     # ids of unlinked rows are null and would all share one window partition
-    null_safe = links.where(F.col(author).isNotNull()).withColumn("_shared", shared).unionByName(links.where(F.col(author).isNull()).withColumn("_shared", F.lit(False)))
-    marks = F.filter(F.array(F.when(F.col("_shared"), "shared_id"), F.when((F.col("works") > 300) & ~F.col("exact"), "volume_without_exact_name"), F.when(~F.col("ever_local"), "no_local_history")), lambda x: x.isNotNull())
+    null_safe = links.where(F.col(author).isNotNull()).withColumn("_shared", shared).unionByName(
+        links.where(F.col(author).isNull()).withColumn("_shared", F.lit(False))
+    )
+    marks = F.filter(
+        F.array(
+            F.when(F.col("_shared"), "shared_id"),
+            F.when((F.col("works") > 300) & ~F.col("exact"), "volume_without_exact_name"),
+            F.when(~F.col("ever_local"), "no_local_history")
+        ),
+        lambda x: x.isNotNull()
+    )
     out = null_safe.withColumn("audit_flags", F.when(F.col(author).isNull(), F.array().cast("array<string>")).otherwise(marks))
     bad = F.size("audit_flags") > 0
-    return out.withColumn("tier", F.when(bad & (F.col("tier") == "HIGH"), "REVIEW").otherwise(F.col("tier"))).withColumn("audit_reason", F.array_join("audit_flags", ";")).drop("_shared")
+    return out.withColumn(
+        "tier", F.when(bad & (F.col("tier") == "HIGH"), "REVIEW").otherwise(F.col("tier"))
+    ).withColumn("audit_reason", F.array_join("audit_flags", ";")).drop("_shared")
 
 
 def common_names(all_links: DataFrame, name: str, accepted: str, common_given: list[str], keep: int = 3) -> DataFrame:
@@ -300,8 +355,16 @@ def common_names(all_links: DataFrame, name: str, accepted: str, common_given: l
     rows = rows.where(F.col(accepted)).join(counts, "last")
     given = F.trim(F.regexp_replace("norm", "\\S+$", ""))
     a = F.when(F.col("same_last") >= 3, 3).when(F.col("same_last") == 2, 1).otherwise(0)
-    b, c = F.when(F.length(given) <= 3, 2).otherwise(0), F.when(F.element_at(F.split(given, " "), 1).isin(common_given) if common_given else F.lit(False), 2).otherwise(0)
-    why = F.array_join(F.filter(F.array(F.when(a > 0, "surname"), F.when(b > 0, "short_given"), F.when(c > 0, "common_given")), lambda x: x.isNotNull()), ";")
+    b, c = F.when(F.length(given) <= 3, 2).otherwise(0), F.when(
+        F.element_at(F.split(given, " "), 1).isin(common_given) if common_given else F.lit(False), 2
+    ).otherwise(0)
+    why = F.array_join(
+        F.filter(
+            F.array(F.when(a > 0, "surname"), F.when(b > 0, "short_given"), F.when(c > 0, "common_given")),
+            lambda x: x.isNotNull()
+        ),
+        ";"
+    )
     return rows.withColumn("risk", a + b + c).withColumn("why", why).where(F.col("risk") >= keep)
 
 
@@ -318,7 +381,9 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_name: str, right_name:
 
 def agreed(a: DataFrame, b: DataFrame, member: str, name: str) -> DataFrame:
     """Two sources' best records of a member, and whether their last names agree."""
-    x, y = prepared(a, name).select(member, F.col("norm").alias("first_norm"), F.col("last").alias("x")), prepared(b, name).select(member, F.col("norm").alias("second_norm"), F.col("last").alias("y"))
+    x, y = prepared(a, name).select(member, F.col("norm").alias("first_norm"), F.col("last").alias("x")), prepared(b, name).select(
+        member, F.col("norm").alias("second_norm"), F.col("last").alias("y")
+    )
     return x.join(y, member).select(member, "first_norm", "second_norm", (F.col("x") == F.col("y")).alias("cross_verified"))
 
 
@@ -328,7 +393,9 @@ def split_profiles(members: DataFrame, authors: DataFrame, name: str, own: str,
     m = m.select(F.col(name).alias("member"), F.col(own).alias("own_id"), "last", "initial")
     a = a.select(F.col("id").alias("other_id"), "last", F.col("norm").alias("other_norm"))
     pairs = m.join(a, "last").where(F.col("own_id") != F.col("other_id"))
-    return pairs.where(F.exists(F.split("other_norm", " "), lambda t: t.startswith(F.col("initial")))).select("member", "own_id", "other_id", "other_norm")
+    return pairs.where(
+        F.exists(F.split("other_norm", " "), lambda t: t.startswith(F.col("initial")))
+    ).select("member", "own_id", "other_id", "other_norm")
 
 
 def by_orcid(members: DataFrame, authors: DataFrame, member: str, orcid: str) -> DataFrame:
@@ -339,7 +406,10 @@ def by_orcid(members: DataFrame, authors: DataFrame, member: str, orcid: str) ->
     return m.join(a, "_o").drop("_o")
 
 
-def ambiguity_flags(works: Column, exact: Column, ever_local: Column, n_on: Column, score_country: Column, score_history: Column, many: int = 300) -> Column:
+def ambiguity_flags(
+    works: Column, exact: Column, ever_local: Column, n_on: Column, score_country: Column, score_history: Column,
+    many: int = 300
+) -> Column:
     """What makes a candidate doubtful, as an array."""
     marks = [
         F.when((works > many) & ~exact, "suspicious_volume"),

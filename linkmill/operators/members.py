@@ -21,7 +21,9 @@ def context(members: DataFrame, name: str, texts: list[str], hospitals: str, pra
     kinds = dict(members.dtypes)
     out = members.select(*[F.trim(F.coalesce(x, F.lit(""))).alias(x) if kinds[x] == "string" else c(x) for x in members.columns])
     filled = [F.nullif(c(t), F.lit("")) for t in texts]
-    return out.withColumn("norm_name", N.normalise_name(c(name))).withColumn("free_text", F.concat_ws(" ", *filled)).withColumn("places", F.array_distinct(F.concat(N.pipe_patterns(c(hospitals)), N.pipe_patterns(c(practices)))))
+    return out.withColumn("norm_name", N.normalise_name(c(name))).withColumn("free_text", F.concat_ws(" ", *filled)).withColumn(
+        "places", F.array_distinct(F.concat(N.pipe_patterns(c(hospitals)), N.pipe_patterns(c(practices))))
+    )
 
 
 def joined(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -33,7 +35,10 @@ def detail(members: DataFrame, stats: DataFrame, key: str, from_stats: list[str]
     """members and stats side by side; the listed columns come from stats where it has them."""
     s = stats.select(key, *[c(x).alias(f"_s_{x}") for x in from_stats])
     out = members.join(s, key, "left")
-    return out.select(*[c(x) for x in members.columns if x not in from_stats], *[F.coalesce(f"_s_{x}", x if x in members.columns else F.lit(None)).alias(x) for x in from_stats])
+    return out.select(
+        *[c(x) for x in members.columns if x not in from_stats],
+        *[F.coalesce(f"_s_{x}", x if x in members.columns else F.lit(None)).alias(x) for x in from_stats]
+    )
 
 
 def mapped(df: DataFrame, key: str, table: DataFrame, value: str, otherwise: str = "Unknown") -> DataFrame:
@@ -47,9 +52,12 @@ def author_metrics(authors: DataFrame, local: tuple = ("AU", "NZ")) -> DataFrame
     here = F.array(*map(F.lit, local))
     first = F.try_element_at(c("last_known_institutions"), F.lit(1))
     return authors.select(
-        N.last_segment(c("id")).alias("id"), "display_name", c("works_count").alias("works"), c("cited_by_count").alias("citations"), c("summary_stats.h_index").alias("h"),
-        first["display_name"].alias("institution"), F.upper(first["country_code"]).alias("country"), F.arrays_overlap(F.concat(every, now), here).alias("ever_local"), F.arrays_overlap(now, here).alias("now_local"), topic_labels(c("topics")).alias("labels"),
-    )
+        N.last_segment(c("id")).alias("id"), "display_name", c("works_count").alias("works"),
+        c("cited_by_count").alias("citations"), c("summary_stats.h_index").alias("h"),
+        first["display_name"].alias("institution"), F.upper(first["country_code"]).alias("country"),
+        F.arrays_overlap(F.concat(every, now), here).alias("ever_local"),
+        F.arrays_overlap(now, here).alias("now_local"), topic_labels(c("topics")).alias("labels"),
+    )
 
 
 def refreshed(links: DataFrame, metrics: DataFrame, author: str) -> DataFrame:
@@ -88,7 +96,10 @@ def retitled(members: DataFrame, found: DataFrame, name: str, manual: DataFrame
     if manual is not None:
         t = t.join(manual.select(name), name, "left_anti").unionByName(manual.select(name, c("title").alias("_t")))
     out = members.join(t, name, "left")
-    return out.withColumn("new_name", F.when(F.coalesce("_t", F.lit("")) != "", F.concat_ws(" ", "_t", N.strip_title(c(name)))).otherwise(c(name))).drop("_t")
+    return out.withColumn(
+        "new_name",
+        F.when(F.coalesce("_t", F.lit("")) != "", F.concat_ws(" ", "_t", N.strip_title(c(name)))).otherwise(c(name))
+    ).drop("_t")
 
 
 def thin_stats(links: DataFrame, cols: list[str]) -> DataFrame:
@@ -99,7 +110,9 @@ def thin_stats(links: DataFrame, cols: list[str]) -> DataFrame:
 def demoted(links: DataFrame, listed: DataFrame, rejected: DataFrame, member: str, author: str) -> tuple[DataFrame, DataFrame]:
     """Listed pairs (name, id) go from HIGH to REVIEW and onto the list of rejected pairs, once each."""
     mark = listed.select(c("name").alias(member), c("id").alias(author)).distinct().withColumn("_hit", F.lit(True))
-    out = links.join(mark, [member, author], "left").withColumn("tier", F.when(c("_hit") & (c("tier") == "HIGH"), "REVIEW").otherwise(c("tier"))).drop("_hit")
+    out = links.join(mark, [member, author], "left").withColumn(
+        "tier", F.when(c("_hit") & (c("tier") == "HIGH"), "REVIEW").otherwise(c("tier"))
+    ).drop("_hit")
     return out.select(*links.columns), merge.keyed_append(listed.select("name", "id"), rejected, ["name", "id"])
 
 
@@ -112,7 +125,9 @@ def profile(member_ids: DataFrame, details: DataFrame, key: str, author: str, li
 
 def verdict_lists(verdicts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """From outside verdicts: title changes (title differs from the found one), and pairs that are false."""
-    changes = verdicts.where((F.coalesce("found_title", F.lit("")) != "") & (F.lower("found_title") != N.title_of(c(name)))).select(name, c("found_title").alias("title"))
+    changes = verdicts.where(
+        (F.coalesce("found_title", F.lit("")) != "") & (F.lower("found_title") != N.title_of(c(name)))
+    ).select(name, c("found_title").alias("title"))
     return changes, verdicts.where(~c("match") & c("id").isNotNull()).select(c(name).alias("name"), "id").distinct()
 
 
@@ -127,7 +142,9 @@ def score_contained(member: Column, found: Column, local: Column, on: Column, wo
     last, first = F.try_element_at(words, F.lit(-1)), F.when(F.size(words) > 1, F.try_element_at(words, F.lit(1)))
     hit = f.contains(last)
     name = F.when(hit, 40 + F.when(first.isNotNull() & f.contains(F.left(first, F.lit(1))), 20).otherwise(0)).otherwise(0)
-    total = name + F.when(local, 25).otherwise(0) + F.when(on, 15).otherwise(0) + works_in_range(works, 5, 500, 10, 5) + F.when(h >= 10, 5).otherwise(0)
+    total = name + F.when(local, 25).otherwise(0) + F.when(on, 15).otherwise(0) + works_in_range(
+        works, 5, 500, 10, 5
+    ) + F.when(h >= 10, 5).otherwise(0)
     return F.when(F.size(words) == 0, 0).otherwise(total)
 
 

@@ -31,7 +31,13 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]
     on = reduce(lambda x, y: x & y, [base[k].eqNullSafe(u[f"_u_{k}"]) for k in keys])
     joined = base.withColumn("_old", F.lit(True)).join(u, on, "full" if insert else "left")
     pick = lambda c: F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c))
-    return joined.select(*[F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_u_{c}")).alias(c) if c in keys else pick(c).alias(c) if c in cols else F.col(c) for c in base.columns])
+    return joined.select(
+        *[
+            F.when(
+                F.col("_old"), F.col(c)
+            ).otherwise(F.col(f"_u_{c}")).alias(c) if c in keys else pick(c).alias(c) if c in cols else F.col(c) for c in base.columns
+        ]
+    )
 
 
 def fill_missing(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], zero_is_missing: bool = True) -> DataFrame:
@@ -39,7 +45,13 @@ def fill_missing(base: DataFrame, updates: DataFrame, keys: list[str], cols: lis
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols])
     gap = lambda c: F.col(c).isNull() | (F.col(c) == 0) if zero_is_missing else F.col(c).isNull()
     joined = base.join(u, keys, "left")
-    return joined.select(*[F.when(gap(c), F.coalesce(F.col(f"_u_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns])
+    return joined.select(
+        *[
+            F.when(
+                gap(c), F.coalesce(F.col(f"_u_{c}"), F.col(c))
+            ).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns
+        ]
+    )
 
 
 def keep_greatest(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -59,7 +71,15 @@ def purge(tables: dict[str, tuple[DataFrame, str]], accepted: DataFrame, key: st
     """Each table with only accepted keys, and rows (table, before, after)."""
     keys = accepted.select(F.col(key).alias("_k")).distinct()
     kept = {n: df.join(keys, df[c] == keys["_k"], "left_semi") for n, (df, c) in tables.items()}
-    report = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("before")).join(kept[n].agg(F.count("*").alias("after"))).select(F.lit(n).alias("table"), "before", "after") for n, (df, _) in tables.items()])
+    report = reduce(
+        DataFrame.unionByName,
+        [
+            df.agg(F.count("*").alias("before")).join(kept[n].agg(F.count("*").alias("after"))).select(
+                F.lit(n).alias("table"), "before", "after"
+            ) for n,
+            (df, _) in tables.items()
+        ]
+    )
     return ({n: df for n, (df, _) in tables.items()} if dry_run else kept), report
 
 

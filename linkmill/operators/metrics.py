@@ -51,15 +51,20 @@ def upper_median(c: str) -> Column:
     return F.expr(f"-percentile_disc(0.5) within group (order by -{c})")
 
 
-def author_stats(links: DataFrame, works: DataFrame, author: str, work: str, cites: str, year: str, fwci: str, is_oa: str, position: str, roster: DataFrame | None = None) -> DataFrame:
+def author_stats(
+    links: DataFrame, works: DataFrame, author: str, work: str, cites: str, year: str, fwci: str, is_oa: str,
+    position: str, roster: DataFrame | None = None
+) -> DataFrame:
     """Per author: works, citations, h and i10 index, FWCI mean and median, open-access share, shares as
     first and last author, first and last year. Authors of the roster without works have zeros and no FWCI."""
     joined = links.join(works, work, "left")
     base = joined.groupBy(author).agg(
-        F.count_if(F.col(work).isNotNull()).alias("pub_count"), F.coalesce(F.sum(F.col(cites).try_cast("long")), F.lit(0)).alias("citations"), i_index(cites).alias("i10_index"),
-        F.avg(fwci).alias("fwci_mean"), F.median(fwci).alias("fwci_median"), share_true(F.col(is_oa)).alias("oa_rate"),
-        share_position(position, "first").alias("first_rate"), share_position(position, "last").alias("last_rate"), *span(year),
-    )
+        F.count_if(F.col(work).isNotNull()).alias("pub_count"),
+        F.coalesce(F.sum(F.col(cites).try_cast("long")), F.lit(0)).alias("citations"),
+        i_index(cites).alias("i10_index"), F.avg(fwci).alias("fwci_mean"), F.median(fwci).alias("fwci_median"),
+        share_true(F.col(is_oa)).alias("oa_rate"), share_position(position, "first").alias("first_rate"),
+        share_position(position, "last").alias("last_rate"), *span(year),
+    )
     out = base.join(h_index(joined, [author], cites), author, "left")
     if roster is not None:
         zero = ["pub_count", "citations", "i10_index", "oa_rate", "first_rate", "last_rate", "first_year", "last_year", "h_index"]
@@ -88,7 +93,10 @@ def one_per_key(df: DataFrame, by: list[str], key: list[Column], order: list[Col
     return df.withColumn("_k", k).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_k", "_r")
 
 
-def profiles_merged(works: DataFrame, profiles: DataFrame, member: str, profile: str, doi: str, title: str, cites: str, order: list[Column], prefix: int = 80) -> DataFrame:
+def profiles_merged(
+    works: DataFrame, profiles: DataFrame, member: str, profile: str, doi: str, title: str, cites: str,
+    order: list[Column], prefix: int = 80
+) -> DataFrame:
     """Works, citations and h index of members over all their profiles, each work once by DOI or title start."""
     joined = profiles.join(works, profile)
     once = one_per_key(joined, [member], [F.lower(F.col(doi)), F.substring(F.lower(F.col(title)), 1, prefix)], order)

@@ -75,7 +75,9 @@ def tier_percentile(df: DataFrame, metric: str, tier: str, name: str = "pct") ->
     total = ranks.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     scored = ranks.join(F.broadcast(total))
     joined = df.join(scored, df[metric] == scored["_v"], "left")
-    pct = F.when(F.col("_v").isNull() | (F.col("_total") == 0), 50.0).when(F.col(tier), (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total") * 100).otherwise(F.col("_below") / F.col("_total") * 100)
+    pct = F.when(F.col("_v").isNull() | (F.col("_total") == 0), 50.0).when(
+        F.col(tier), (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total") * 100
+    ).otherwise(F.col("_below") / F.col("_total") * 100)
     return joined.withColumn(name, pct).drop("_v", "_n", "_below", "_total")
 
 
@@ -87,13 +89,18 @@ def outside_ranks(values: DataFrame, population: DataFrame, metrics: list[str])
     keep = [c for c in values.columns if c not in metrics]
     ask = values.unpivot(keep, metrics, "metric", "value")
     have = population.unpivot([], metrics, "metric", "value").where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("n"))
-    both = have.select("metric", "value", "n").unionByName(ask.select("metric", "value").where("value is not null").distinct().withColumn("n", F.lit(0).cast("long")))
+    both = have.select("metric", "value", "n").unionByName(
+        ask.select("metric", "value").where("value is not null").distinct().withColumn("n", F.lit(0).cast("long"))
+    )
     both = both.groupBy("metric", "value").agg(F.sum("n").alias("n"))
     ranked = with_below(both, ["metric"], "value", "n").withColumnRenamed("_below", "below")
     ranked = ranked.join(both.groupBy("metric").agg(F.sum("n").alias("total")), "metric")
     out = ask.join(ranked, ["metric", "value"], "left")
     above = F.col("total") - F.col("below") - F.col("n")
-    return out.select(*keep, "metric", "value", (100 * F.col("below") / F.col("total")).alias("pct"), (above + 1).alias("rank"), F.col("total").alias("n"), (100 * (above + 1) / F.col("total")).alias("top_share"))
+    return out.select(
+        *keep, "metric", "value", (100 * F.col("below") / F.col("total")).alias("pct"), (above + 1).alias("rank"),
+        F.col("total").alias("n"), (100 * (above + 1) / F.col("total")).alias("top_share")
+    )
 
 
 def tier_label(pct: str):
@@ -119,4 +126,7 @@ def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
 def side_by_side(df: DataFrame, key: str, a, b, metrics: list[str]) -> DataFrame:
     """Two rows as columns: metric, a, b."""
     two = df.where(F.col(key).isin(a, b)).unpivot([key], metrics, "metric", "value")
-    return two.groupBy("metric").agg(F.max(F.when(F.col(key) == a, F.col("value"))).alias("a"), F.max(F.when(F.col(key) == b, F.col("value"))).alias("b"))
+    return two.groupBy("metric").agg(
+        F.max(F.when(F.col(key) == a, F.col("value"))).alias("a"),
+        F.max(F.when(F.col(key) == b, F.col("value"))).alias("b")
+    )

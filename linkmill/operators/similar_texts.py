@@ -13,7 +13,13 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, term): a row for each word and pair of words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 2)
     rows = df.select(F.col(key).alias("k"), words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(
+        F.size("w") > 1,
+        F.transform(
+            F.sequence(F.lit(1), F.size("w") - 1),
+            lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))
+        )
+    ).otherwise(F.array().cast("array<string>"))
     return rows.select("k", F.explode(F.concat("w", pairs)).alias("term"))
 
 
@@ -21,7 +27,9 @@ def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): words and pairs of words, weight (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), each text's weights of length 1."""
     tf = terms(df, key, text).groupBy("k", "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*").alias("n_docs"))
-    docs = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (1 + F.log((1 + F.col("n_docs")) / (1 + F.col("df")))).alias("idf"))
+    docs = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select(
+        "term", (1 + F.log((1 + F.col("n_docs")) / (1 + F.col("df")))).alias("idf")
+    )
     raw = tf.join(docs, "term").select("k", "term", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
     norm = raw.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return raw.join(norm, "k").select(F.col("k").alias(key), "term", (F.col("x") / F.col("norm")).alias("weight"))
@@ -50,7 +58,10 @@ def alike(left: DataFrame, right: DataFrame, key: str, a: str, b: str, least: fl
 
     def prefix(df, side, other):
         last = Window.partitionBy(key).orderBy(F.desc(f"n_{b}"), "term").rowsBetween(Window.unboundedPreceding, 0)
-        rows = df.join(terms, "term").select(F.col(key).alias(side), "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(last)).alias("part"), F.sum(F.col("weight") * F.col(f"top_{other}")).over(last).alias("most"))
+        rows = df.join(terms, "term").select(
+            F.col(key).alias(side), "term", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(last)).alias("part"),
+            F.sum(F.col("weight") * F.col(f"top_{other}")).over(last).alias("most")
+        )
         return rows.where(F.least("part", "most") >= bound).select(side, "term")
 
     pairs = _dealt(prefix(right, b, a), prefix(left, a, b), "term", b).select(a, b).distinct()

@@ -45,32 +45,75 @@ def named(x: Column) -> Column:
 def work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as work records; the suppliers of an order's line items are its authors, in order of number and line."""
     k, line = c("o_orderkey"), c("x")
-    rows = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("lines"))
+    rows = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("lines")
+    )
     o = t(spark, sf_dir, "orders").join(rows, c("o_orderkey") == c("k"))
 
     def author(x: Column) -> Column:
         s = x["l_suppkey"]
         return F.struct(
-            F.struct(prefixed(ID + "A", s).alias("id"), prefixed("S", s).alias("display_name"), F.when(s % 2 == 0, prefixed("https://orcid.org/0-", s)).alias("orcid")).alias("author"),
-            (x["l_linenumber"] == 2).alias("is_corresponding"), F.array(prefixed("C", s % 5), F.when(s % 7 == 0, F.lit("")).otherwise(prefixed("D", s % 3))).alias("countries"),
-            F.array(F.struct(prefixed("I", s % 10).alias("id"), prefixed("Inst ", s % 10).alias("display_name"))).alias("institutions"),
-        )
-
-    topic = F.struct(prefixed(ID + "T", k % 20).alias("id"), prefixed("Topic ", k % 20).alias("display_name"), (k % 9).alias("count"), named(prefixed("Sub ", k % 5)).alias("subfield"), named(F.lit("Field")).alias("field"), named(F.lit("Domain")).alias("domain"))
-    place = F.struct((k % 2 == 0).alias("is_oa"), F.when(k % 4 == 1, prefixed("http://p/", k)).alias("pdf_url"), F.struct(prefixed(ID + "V", k % 6).alias("id"), prefixed("Venue ", k % 6).alias("display_name")).alias("source"))
-    award = F.struct(F.when(k % 2 == 0, prefixed("G", k % 50)).alias("id"), prefixed("Grant ", k % 50).alias("display_name"), prefixed("AW", k % 50).alias("award_id"), F.when(k % 3 == 0, F.lit(" ")).otherwise(prefixed("F", k % 4)).alias("funder_id"), prefixed("old F", k % 4).alias("funder"), prefixed("Fund ", k % 4).alias("funder_display_name"))
-    words = F.map_from_arrays(F.array(F.lit("alpha"), F.lit("beta"), c("o_orderstatus")), F.array(F.array(F.lit(0), F.lit(2)), F.array(F.lit(1)), F.array(F.lit(3))))
+            F.struct(
+                prefixed(ID + "A", s).alias("id"), prefixed("S", s).alias("display_name"),
+                F.when(s % 2 == 0, prefixed("https://orcid.org/0-", s)).alias("orcid")
+            ).alias("author"),
+            (x["l_linenumber"] == 2).alias("is_corresponding"),
+            F.array(
+                prefixed("C", s % 5), F.when(s % 7 == 0, F.lit("")).otherwise(prefixed("D", s % 3))
+            ).alias("countries"),
+            F.array(
+                F.struct(prefixed("I", s % 10).alias("id"), prefixed("Inst ", s % 10).alias("display_name"))
+            ).alias("institutions"),
+        )
+
+    topic = F.struct(
+        prefixed(ID + "T", k % 20).alias("id"), prefixed("Topic ", k % 20).alias("display_name"),
+        (k % 9).alias("count"), named(prefixed("Sub ", k % 5)).alias("subfield"), named(F.lit("Field")).alias("field"),
+        named(F.lit("Domain")).alias("domain")
+    )
+    place = F.struct(
+        (k % 2 == 0).alias("is_oa"), F.when(k % 4 == 1, prefixed("http://p/", k)).alias("pdf_url"),
+        F.struct(prefixed(ID + "V", k % 6).alias("id"), prefixed("Venue ", k % 6).alias("display_name")).alias("source")
+    )
+    award = F.struct(
+        F.when(k % 2 == 0, prefixed("G", k % 50)).alias("id"), prefixed("Grant ", k % 50).alias("display_name"),
+        prefixed("AW", k % 50).alias("award_id"),
+        F.when(k % 3 == 0, F.lit(" ")).otherwise(prefixed("F", k % 4)).alias("funder_id"),
+        prefixed("old F", k % 4).alias("funder"), prefixed("Fund ", k % 4).alias("funder_display_name")
+    )
+    words = F.map_from_arrays(
+        F.array(F.lit("alpha"), F.lit("beta"), c("o_orderstatus")),
+        F.array(F.array(F.lit(0), F.lit(2)), F.array(F.lit(1)), F.array(F.lit(3)))
+    )
     return o.select(
-        prefixed(ID + "W", k).alias("id"), F.when(k % 3 == 0, prefixed("https://doi.org/10.1234/", k)).when(k % 3 == 1, F.lit("doi: 10.9/x")).alias("doi"),
-        F.concat_ws(" ", "o_orderpriority", text(k)).alias("title"), F.year("o_orderdate").alias("publication_year"), c("o_orderstatus").alias("type"),
-        F.when(k % 5 == 0, F.lit(True)).alias("has_fulltext"), F.floor(c("o_totalprice") / 1000).alias("cited_by_count"), F.when(k % 2 == 0, F.lit(3)).alias("locations_count"),
-        F.when(k % 3 == 0, F.array(F.struct(F.lit("u").alias("landing_page_url")), F.struct(F.lit("v").alias("landing_page_url")))).alias("locations"),
-        F.when(k % 4 != 0, place).alias("primary_location"), F.when(k % 11 != 0, F.struct((k % 101).cast("double").alias("min"), (k % 101).cast("double").alias("max"))).alias("cited_by_percentile_year"),
+        prefixed(ID + "W", k).alias("id"),
+        F.when(k % 3 == 0, prefixed("https://doi.org/10.1234/", k)).when(k % 3 == 1, F.lit("doi: 10.9/x")).alias("doi"),
+        F.concat_ws(" ", "o_orderpriority", text(k)).alias("title"), F.year("o_orderdate").alias("publication_year"),
+        c("o_orderstatus").alias("type"), F.when(k % 5 == 0, F.lit(True)).alias("has_fulltext"),
+        F.floor(c("o_totalprice") / 1000).alias("cited_by_count"),
+        F.when(k % 2 == 0, F.lit(3)).alias("locations_count"),
+        F.when(
+            k % 3 == 0,
+            F.array(F.struct(F.lit("u").alias("landing_page_url")), F.struct(F.lit("v").alias("landing_page_url")))
+        ).alias("locations"),
+        F.when(k % 4 != 0, place).alias("primary_location"),
+        F.when(
+            k % 11 != 0, F.struct((k % 101).cast("double").alias("min"), (k % 101).cast("double").alias("max"))
+        ).alias("cited_by_percentile_year"),
         F.transform("lines", author).alias("authorships"), F.when(k % 2 == 0, F.array(topic)).alias("topics"),
-        F.array(F.struct(F.lit("kw").alias("display_name"), F.lit(0.5).alias("score")), F.struct(prefixed("k", k % 7).alias("display_name"), F.lit(0.25).alias("score"))).alias("keywords"),
-        F.when(k % 6 == 0, F.array(F.struct(F.lit("Goal 3").alias("display_name"), F.lit(0.75).alias("score")))).alias("sustainable_development_goals"),
-        F.array(award).alias("awards"), F.array(F.struct(F.lit(2020).alias("year"), F.when(k % 2 == 0, k).alias("cited_by_count"))).alias("counts_by_year"), words.alias("abstract_inverted_index"),
-    )
+        F.array(
+            F.struct(F.lit("kw").alias("display_name"), F.lit(0.5).alias("score")),
+            F.struct(prefixed("k", k % 7).alias("display_name"), F.lit(0.25).alias("score"))
+        ).alias("keywords"),
+        F.when(
+            k % 6 == 0, F.array(F.struct(F.lit("Goal 3").alias("display_name"), F.lit(0.75).alias("score")))
+        ).alias("sustainable_development_goals"),
+        F.array(award).alias("awards"),
+        F.array(
+            F.struct(F.lit(2020).alias("year"), F.when(k % 2 == 0, k).alias("cited_by_count"))
+        ).alias("counts_by_year"),
+        words.alias("abstract_inverted_index"),
+    )
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +125,10 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORKS = f"""
 l as (select l_orderkey as k, l_linenumber as n, l_suppkey as s from lineitem),
-w as (select o_orderkey as k, o_orderpriority, o_orderstatus, year(o_orderdate)::int as year, floor(o_totalprice / 1000)::bigint as citations,
-      (select list(s order by n, s) from l where l.k = o_orderkey) as ss, (select list(n order by n, s) from l where l.k = o_orderkey) as ns from orders where o_orderkey in (select k from l)),
+w as (select o_orderkey as k, o_orderpriority, o_orderstatus, year(o_orderdate)::int as year,
+     floor(o_totalprice / 1000)::bigint as citations,
+      (select list(s order by n, s) from l where l.k = o_orderkey) as ss, (select list(n order by n, s) from l
+           where l.k = o_orderkey) as ns from orders where o_orderkey in (select k from l)),
 x as (select *, list_min(ss) as me, list_position(ss, list_min(ss)) as pl from w)
 """
 POSITION = "case when pl = 1 then 'first' when pl = len(ss) then 'last' else 'middle' end"
@@ -91,36 +136,58 @@ POSITION = "case when pl = 1 then 'first' when pl = len(ss) then 'last' else 'mi
 
 @query(f"""
 with {WORKS}
-select 'W' || k as work_id, 'S' || me as author, case when k % 3 = 0 then '10.1234/' || k end as doi, o_orderpriority || ' ' || k as title, year, citations,
-       (len(list_distinct(list_transform(ss, lambda s: 'C' || s % 5))) + len(list_distinct(list_transform(list_filter(ss, lambda s: s % 7 <> 0), lambda s: 'D' || s % 3))))::int as countries,
+select 'W' || k as work_id, 'S' || me as author, case when k % 3 = 0 then '10.1234/' || k end as doi, o_orderpriority || ' ' || k as title,
+       year, citations,
+       (len(list_distinct(list_transform(ss, lambda s: 'C' || s % 5))) + len(list_distinct(list_transform(list_filter(ss,
+            lambda s: s % 7 <> 0), lambda s: 'D' || s % 3))))::int as countries,
        len(list_distinct(list_transform(ss, lambda s: s % 10)))::int as organisations,
        case when k % 5 = 0 then true when k % 4 = 1 then true when k % 4 <> 0 then false end as full_text,
        case when k % 2 = 0 then 3 when k % 3 = 0 then 2 end as locations,
-       case when k % 11 <> 0 and k % 101 >= 99 then 'Yes' else 'No' end as top_1, case when k % 11 <> 0 and k % 101 >= 90 then 'Yes' else 'No' end as top_10,
-       case when k % 2 = 0 then 'T' || k % 20 else '' end as topic_id, case when k % 2 = 0 then 'Sub ' || k % 5 end as subtopic, case when k % 4 <> 0 then 'V' || k % 6 else '' end as location_id,
+       case when k % 11 <> 0 and k % 101 >= 99 then 'Yes' else 'No' end as top_1, case
+            when k % 11 <> 0 and k % 101 >= 90 then 'Yes' else 'No' end as top_10,
+       case when k % 2 = 0 then 'T' || k % 20 else '' end as topic_id, case when k % 2 = 0 then 'Sub ' || k % 5 end as subtopic, case
+            when k % 4 <> 0 then 'V' || k % 6 else '' end as location_id,
        'alpha beta alpha ' || o_orderstatus as abstract, {POSITION} as author_position,
-       array_to_string(list_transform(list_filter(range(1, len(ss) + 1), lambda i: ns[i] = 2), lambda i: 'S' || ss[i]), '|') as corresponding,
-       array_to_string(list_transform(ss, lambda s: 'S' || s), '|') as author_names, array_to_string(list_transform(ss, lambda s: case when s % 2 = 0 then '0-' || s else 'None' end), '|') as orcids,
-       array_to_string(list_transform(ss, lambda s: 'C' || s % 5 || ',' || case when s % 7 = 0 then '' else 'D' || s % 3 end), '|') as authors_countries,
-       array_to_string(list_transform(ss, lambda s: 'Inst ' || s % 10), '|') as affiliations, 'kw|k' || k % 7 as keywords, '0.5|0.25' as keyword_scores,
-       case when k % 6 = 0 then 'Goal 3' end as sdg, 'Fund ' || k % 4 || ': Grant ' || k % 50 as grants, case when k % 2 = 0 then k else 0 end::varchar as counts_citations from x
+       array_to_string(list_transform(list_filter(range(1, len(ss) + 1), lambda i: ns[i] = 2), lambda i: 'S' || ss[i]),
+            '|') as corresponding,
+       array_to_string(list_transform(ss, lambda s: 'S' || s), '|') as author_names, array_to_string(list_transform(ss, lambda s: case
+            when s % 2 = 0 then '0-' || s else 'None' end), '|') as orcids,
+       array_to_string(list_transform(ss, lambda s: 'C' || s % 5 || ',' || case when s % 7 = 0 then '' else 'D' || s % 3 end),
+            '|') as authors_countries,
+       array_to_string(list_transform(ss, lambda s: 'Inst ' || s % 10), '|') as affiliations, 'kw|k' || k % 7 as keywords,
+            '0.5|0.25' as keyword_scores,
+       case when k % 6 = 0 then 'Goal 3' end as sdg, 'Fund ' || k % 4 || ': Grant ' || k % 50 as grants, case
+            when k % 2 = 0 then k else 0 end::varchar as counts_citations from x
 """)
 def flat_works(spark, sf_dir):
     flat = flatten.flat_works(works(spark, sf_dir), "author", "aid")
-    lists = ["corresponding", "author_names", "orcids", "authors_countries", "affiliations", "keywords", "keyword_scores", "grants", "counts_citations"]
-    plain = ["work_id", "author", "doi", "title", "year", "citations", "countries", "organisations", "full_text", "locations", "top_1", "top_10", "topic_id", "subtopic", "location_id", "abstract", "author_position", "sdg"]
+    lists = [
+        "corresponding", "author_names", "orcids", "authors_countries", "affiliations", "keywords", "keyword_scores",
+        "grants", "counts_citations"
+    ]
+    plain = [
+        "work_id", "author", "doi", "title", "year", "citations", "countries", "organisations", "full_text",
+        "locations", "top_1", "top_10", "topic_id", "subtopic", "location_id", "abstract", "author_position", "sdg"
+    ]
     return flat.select(*plain, *[F.array_join(x, "|").alias(x) for x in lists])
 
 
-@query(f"with {WORKS} select 'S' || me as author, 'A' || me as author_id, 'W' || k as work_id, {POSITION} as position, ns[pl] = 2 as is_corresponding from x")
+@query(
+    f"""
+    with {WORKS} select 'S' || me as author, 'A' || me as author_id, 'W' || k as work_id, {POSITION} as position,
+        ns[pl] = 2 as is_corresponding from x
+    """
+)
 def author_links(spark, sf_dir):
     return flatten.author_links(works(spark, sf_dir), "author", "aid")
 
 
 @query(f"""
 with {WORKS}
-select 'S' || me as author, 'W' || k as work_id, case when k % 3 = 0 then 'old F' || k % 4 else 'F' || k % 4 end as funder_id, 'Fund ' || k % 4 as funder_name, '' as funder_ror,
-       case when k % 2 = 0 then 'G' || k % 50 else 'AW' || k % 50 end as award_id, 'Grant ' || k % 50 as award_name, 'AW' || k % 50 as funder_award_id from x
+select 'S' || me as author, 'W' || k as work_id, case when k % 3 = 0 then 'old F' || k % 4 else 'F' || k % 4 end as funder_id,
+       'Fund ' || k % 4 as funder_name, '' as funder_ror,
+       case when k % 2 = 0 then 'G' || k % 50 else 'AW' || k % 50 end as award_id, 'Grant ' || k % 50 as award_name,
+            'AW' || k % 50 as funder_award_id from x
 """)
 def award_rows(spark, sf_dir):
     w = works(spark, sf_dir)
@@ -134,31 +201,66 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under names of persons: key, name, and the first and last name."""
     k = c("s_suppkey")
     first, last = F.element_at(F.array(*map(F.lit, GIVEN)), (k % 3 + 1).cast("int")), prefixed("L", k % N_LAST)
-    return t(spark, sf_dir, "supplier").select(k.alias("key"), F.concat(F.lit("Dr. "), first, F.lit(" "), last, F.lit(" PhD")).alias("name"), first.alias("first"), last.alias("last"))
+    return t(spark, sf_dir, "supplier").select(
+        k.alias("key"), F.concat(F.lit("Dr. "), first, F.lit(" "), last, F.lit(" PhD")).alias("name"),
+        first.alias("first"), last.alias("last")
+    )
 
 
-PEOPLE = f"p as (select s_suppkey as key, ['Ann', 'Bob', 'Cleo'][s_suppkey % 3 + 1] as first, 'L' || s_suppkey % {N_LAST} as last, 'Dr. ' || ['Ann', 'Bob', 'Cleo'][s_suppkey % 3 + 1] || ' L' || s_suppkey % {N_LAST} || ' PhD' as name from supplier)"
+PEOPLE = f"""
+p as (select s_suppkey as key, ['Ann', 'Bob', 'Cleo'][s_suppkey % 3 + 1] as first, 'L' || s_suppkey % {N_LAST} as last, 'Dr. ' || ['Ann',
+    'Bob', 'Cleo'][s_suppkey % 3 + 1] || ' L' || s_suppkey % {N_LAST} || ' PhD' as name from supplier)
+"""
 
 
 @query(f"""
-with {PEOPLE}, o as (select l_orderkey as k, 'L' || l_suppkey % {N_LAST} as last, ['a', 'b', 'c'][l_partkey % 3 + 1] as i, l_linenumber as n, l_partkey as role from lineitem),
-h as (select name, 'N' || k as trial_id, n, role, row_number() over (partition by name, k order by n, role) as r from o join (select distinct name, first, last from p) p on p.last = o.last and lower(left(first, 1)) = i)
-select name, trial_id, case when o_orderkey % 2 = 0 then 'Brief ' || o_orderkey else 'Official' end as title, o_orderstatus as status, 'x|y' as condition, 'drug' as intervention, '' as phase,
-       strftime(o_orderdate, '%Y-%m-%d') as start_date, '2001' as completion_date, 'R' || role as role, 'Sponsor ' || o_custkey as sponsor from h join orders on trial_id = 'N' || o_orderkey where r = 1
+with {PEOPLE}, o as (select l_orderkey as k, 'L' || l_suppkey % {N_LAST} as last, ['a', 'b', 'c'][l_partkey % 3 + 1] as i,
+       l_linenumber as n, l_partkey as role from lineitem),
+h as (select name, 'N' || k as trial_id, n, role, row_number() over (partition by name, k order by n, role) as r from o
+     join (select distinct name, first, last from p) p on p.last = o.last and lower(left(first, 1)) = i)
+select name, trial_id, case when o_orderkey % 2 = 0 then 'Brief ' || o_orderkey else 'Official' end as title, o_orderstatus as status,
+       'x|y' as condition, 'drug' as intervention, '' as phase,
+       strftime(o_orderdate, '%Y-%m-%d') as start_date, '2001' as completion_date, 'R' || role as role, 'Sponsor ' || o_custkey as sponsor
+            from h join orders on trial_id = 'N' || o_orderkey where r = 1
 """)
 def study_rows(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    officials = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    officials = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines")
+    )
     initial = lambda x: F.element_at(F.array(*map(F.lit, "abc")), (x % 3 + 1).cast("int"))
-    official = F.transform("lines", lambda x: F.struct(F.concat(prefixed("L", x["l_suppkey"] % N_LAST), F.lit(", "), initial(x["l_partkey"]), F.lit(".")).alias("name"), F.when(x["l_linenumber"] % 2 == 0, prefixed("R", x["l_partkey"])).alias("role"), prefixed("R", x["l_partkey"]).alias("officialRole")))
+    official = F.transform(
+        "lines",
+        lambda x: F.struct(
+            F.concat(
+                prefixed("L", x["l_suppkey"] % N_LAST), F.lit(", "), initial(x["l_partkey"]), F.lit(".")
+            ).alias("name"),
+            F.when(x["l_linenumber"] % 2 == 0, prefixed("R", x["l_partkey"])).alias("role"),
+            prefixed("R", x["l_partkey"]).alias("officialRole")
+        )
+    )
     date = lambda x: F.struct(x.alias("date"))
     section = F.struct(
-        F.struct(prefixed("N", c("o_orderkey")).alias("nctId"), F.when(c("o_orderkey") % 2 == 0, prefixed("Brief ", c("o_orderkey"))).otherwise(F.lit(" ")).alias("briefTitle"), F.lit("Official").alias("officialTitle")).alias("identificationModule"),
-        F.struct(c("o_orderstatus").alias("overallStatus"), date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("startDateStruct"), date(F.lit("2001")).alias("completionDateStruct")).alias("statusModule"),
-        F.struct(F.array(F.lit(" x"), F.lit(""), F.lit("y")).alias("conditions")).alias("conditionsModule"), F.struct(F.array(F.struct(F.lit("drug").alias("name"))).alias("interventions")).alias("armsInterventionsModule"),
-        F.struct(F.struct(prefixed("Sponsor ", c("o_custkey")).alias("name")).alias("leadSponsor")).alias("sponsorCollaboratorsModule"), F.struct(official.alias("overallOfficials")).alias("contactsLocationsModule"),
+        F.struct(
+            prefixed("N", c("o_orderkey")).alias("nctId"),
+            F.when(
+                c("o_orderkey") % 2 == 0, prefixed("Brief ", c("o_orderkey"))
+            ).otherwise(F.lit(" ")).alias("briefTitle"),
+            F.lit("Official").alias("officialTitle")
+        ).alias("identificationModule"),
+        F.struct(
+            c("o_orderstatus").alias("overallStatus"),
+            date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("startDateStruct"),
+            date(F.lit("2001")).alias("completionDateStruct")
+        ).alias("statusModule"),
+        F.struct(F.array(F.lit(" x"), F.lit(""), F.lit("y")).alias("conditions")).alias("conditionsModule"),
+        F.struct(F.array(F.struct(F.lit("drug").alias("name"))).alias("interventions")).alias("armsInterventionsModule"),
+        F.struct(
+            F.struct(prefixed("Sponsor ", c("o_custkey")).alias("name")).alias("leadSponsor")
+        ).alias("sponsorCollaboratorsModule"),
+        F.struct(official.alias("overallOfficials")).alias("contactsLocationsModule"),
         F.struct(F.array().cast("array<string>").alias("phases")).alias("designModule"),
-    )
+    )
     studies = tables.studies(spark, landed(o.join(officials, "o_orderkey").select(section.alias("protocolSection"))))
     return flatten.study_rows(studies, people(spark, sf_dir).select("name").distinct(), "name")
 
@@ -166,19 +268,32 @@ def study_rows(spark, sf_dir):
 @query("""
 with m as (select distinct o_custkey as name, o_orderkey % 500 as trial_id from orders),
 t as (select o_orderkey as trial_id, o_orderstatus as status from orders where o_orderkey < 400),
-a as (select l_orderkey as trial_id, string_agg(distinct l_returnflag, '|' order by l_returnflag) as conditions from lineitem where l_orderkey % 2 = 0 group by 1),
-b as (select l_orderkey as trial_id, string_agg(distinct l_linestatus, '|' order by l_linestatus) as interventions from lineitem where l_orderkey % 3 = 0 group by 1)
-select m.name, trial_id, status, coalesce(conditions, '') as conditions, coalesce(interventions, '') as interventions from m left join t using (trial_id) left join a using (trial_id) left join b using (trial_id)
+a as (select l_orderkey as trial_id, string_agg(distinct l_returnflag, '|' order by l_returnflag) as conditions from lineitem
+     where l_orderkey % 2 = 0 group by 1),
+b as (select l_orderkey as trial_id, string_agg(distinct l_linestatus, '|' order by l_linestatus) as interventions from lineitem
+     where l_orderkey % 3 = 0 group by 1)
+select m.name, trial_id, status, coalesce(conditions, '') as conditions, coalesce(interventions, '') as interventions from m left
+       join t using (trial_id) left join a using (trial_id) left join b using (trial_id)
 """)
 def trial_rows(spark, sf_dir):
     o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
     matches = o.select(c("o_custkey").alias("name"), (c("o_orderkey") % 500).alias("trial_id"))
     trials = o.where("o_orderkey < 400").select(c("o_orderkey").alias("trial_id"), c("o_orderstatus").alias("status"))
     conditions = li.where("l_orderkey % 2 = 0").select(c("l_orderkey").alias("trial_id"), c("l_returnflag").alias("condition"))
-    return flatten.trial_rows(matches, trials, conditions, li.where("l_orderkey % 3 = 0").select(c("l_orderkey").alias("trial_id"), c("l_linestatus").alias("intervention")))
-
-
-@query("select 'N' || o_orderkey as trial_id, case when o_orderkey % 3 = 0 then '' else 'https://example.org/study/N' || o_orderkey end as url from orders")
+    return flatten.trial_rows(
+        matches, trials, conditions,
+        li.where("l_orderkey % 3 = 0").select(
+            c("l_orderkey").alias("trial_id"), c("l_linestatus").alias("intervention")
+        )
+    )
+
+
+@query(
+    """
+    select 'N' || o_orderkey as trial_id, case when o_orderkey % 3 = 0 then '' else 'https://example.org/study/N' || o_orderkey end as url
+        from orders
+    """
+)
 def study_urls(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     found = F.when(c("o_orderkey") % 3 != 0, prefixed("N", c("o_orderkey")))
@@ -198,51 +313,95 @@ def author_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t(spark, sf_dir, "orders")
     topics = o.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     name = c("o_orderpriority")
-    topic = F.struct((-c("n")).alias("order"), name.alias("display_name"), c("n").alias("count"), named(F.concat(F.lit("Sub "), name)).alias("subfield"), named(F.lit("Field")).alias("field"), named(F.lit("Domain")).alias("domain"))
+    topic = F.struct(
+        (-c("n")).alias("order"), name.alias("display_name"), c("n").alias("count"),
+        named(F.concat(F.lit("Sub "), name)).alias("subfield"), named(F.lit("Field")).alias("field"),
+        named(F.lit("Domain")).alias("domain")
+    )
     topics = topics.groupBy("o_custkey").agg(F.array_sort(F.collect_list(topic)).alias("topics"))
-    years = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.sum(F.floor(c("o_totalprice") / 1000)).alias("cites"))
+    years = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(
+        F.count("*").alias("n"), F.sum(F.floor(c("o_totalprice") / 1000)).alias("cites")
+    )
     year = F.struct(c("y").alias("year"), c("n").alias("works_count"), F.when(c("y") % 2 == 0, c("cites")).alias("cited_by_count"))
     years = years.groupBy("o_custkey").agg(F.array_sort(F.collect_list(year)).alias("counts_by_year"))
     k = c("c_custkey")
-    institution = lambda code: F.struct(F.struct(prefixed("I", k % 9).alias("id"), prefixed("Inst ", k % 9).alias("display_name"), code.alias("country_code")).alias("institution"))
-    code = lambda n: F.element_at(F.array(F.lit("au"), F.lit("US"), F.lit("NZ"), F.lit("gb")), ((k / n).cast("int") % 4 + 1).cast("int"))
+    institution = lambda code: F.struct(
+        F.struct(
+            prefixed("I", k % 9).alias("id"), prefixed("Inst ", k % 9).alias("display_name"), code.alias("country_code")
+        ).alias("institution")
+    )
+    code = lambda n: F.element_at(
+        F.array(F.lit("au"), F.lit("US"), F.lit("NZ"), F.lit("gb")), ((k / n).cast("int") % 4 + 1).cast("int")
+    )
     rows = t(spark, sf_dir, "customer").join(topics, k == c("o_custkey"), "left").drop("o_custkey").join(years, k == c("o_custkey"), "left")
     return rows.select(
-        prefixed(ID + "A", k).alias("id"), c("c_name").alias("display_name"), k.alias("works_count"), (k * 2).alias("cited_by_count"), F.struct((k % 50).alias("h_index")).alias("summary_stats"),
-        F.when(k % 4 != 0, F.array(institution(code(1))["institution"])).alias("last_known_institutions"), F.array(institution(code(2)), institution(code(3))).alias("affiliations"), "topics", "counts_by_year",
-    )
+        prefixed(ID + "A", k).alias("id"), c("c_name").alias("display_name"), k.alias("works_count"),
+        (k * 2).alias("cited_by_count"), F.struct((k % 50).alias("h_index")).alias("summary_stats"),
+        F.when(k % 4 != 0, F.array(institution(code(1))["institution"])).alias("last_known_institutions"),
+        F.array(institution(code(2)), institution(code(3))).alias("affiliations"), "topics", "counts_by_year",
+    )
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.authors(spark, landed(author_records(spark, sf_dir)))
 
 
-TOPICS = "tp as (select o_custkey as k, o_orderpriority as topic, count(*) as n, row_number() over (partition by o_custkey order by count(*) desc, o_orderpriority) as r from orders group by 1, 2)"
+TOPICS = """
+tp as (select o_custkey as k, o_orderpriority as topic, count(*) as n, row_number() over (partition by o_custkey order by count(*) desc,
+    o_orderpriority) as r from orders group by 1, 2)
+"""
 
 
-@query(f"with {TOPICS} select 'A' || k as id, (r - 1)::int as place, topic, 'Sub ' || topic as subfield, 'Field' as field, 'Domain' as domain, n from tp where r <= 3")
+@query(
+    f"""
+    with {TOPICS} select 'A' || k as id, (r - 1)::int as place, topic, 'Sub ' || topic as subfield, 'Field' as field, 'Domain' as domain, n
+        from tp where r <= 3
+    """
+)
 def topic_details(spark, sf_dir):
     return flatten.topic_details(authors(spark, sf_dir).withColumn("id", N.last_segment(c("id"))), "id", 3)
 
 
-@query("select 'A' || o_custkey as id, year(o_orderdate)::int as year, count(*) as works, case when year(o_orderdate) % 2 = 0 then sum(floor(o_totalprice / 1000))::bigint else 0 end as citations from orders group by o_custkey, year(o_orderdate)")
+@query(
+    """
+    select 'A' || o_custkey as id, year(o_orderdate)::int as year, count(*) as works, case
+        when year(o_orderdate) % 2 = 0 then sum(floor(o_totalprice / 1000))::bigint else 0 end as citations from orders group by o_custkey,
+        year(o_orderdate)
+    """
+)
 def year_series(spark, sf_dir):
     return flatten.year_series(authors(spark, sf_dir).withColumn("id", N.last_segment(c("id"))), "id")
 
 
 @query(f"""
-with {TOPICS}, x as (select c_custkey as k, coalesce((select list(topic order by r) from tp where tp.k = c_custkey), []) as ts, ['au', 'US', 'NZ', 'gb'] as cs from customer),
+with {TOPICS}, x as (select c_custkey as k, coalesce((select list(topic order by r) from tp where tp.k = c_custkey), []) as ts, ['au',
+       'US', 'NZ', 'gb'] as cs from customer),
 y as (select *, case when k % 4 <> 0 then cs[k % 4 + 1] end as now, [cs[(k // 2) % 4 + 1], cs[(k // 3) % 4 + 1]] as every from x)
-select 'A' || k as id, 'Customer#' || lpad(k::varchar, 9, '0') as display_name, k as works, 2 * k as citations, k % 50 as h, case when k % 4 <> 0 then 'Inst ' || k % 9 end as institution, upper(now) as country,
-       coalesce(len(list_filter(list_append(every, now), lambda z: upper(z) in ('AU', 'NZ'))) > 0, false) as ever_local, coalesce(upper(now) in ('AU', 'NZ'), false) as now_local,
-       array_to_string(list_transform(ts[:10], lambda z: lower(z || ' Sub ' || z || ' Field')), '|') as labels, array_to_string(list_filter(ts, lambda z: z <> '5-LOW')[:2], '|') as research,
-       case when k % 2 = 0 then 'knows 1-urgent' else '' end || case when k % 2 = 0 and len(list_filter(ts, lambda z: z <> '1-URGENT')) > 0 then '; ' else '' end || array_to_string(list_filter(ts, lambda z: k % 2 <> 0 or z <> '1-URGENT'), '; ') as expertise from y
+select 'A' || k as id, 'Customer#' || lpad(k::varchar, 9, '0') as display_name, k as works, 2 * k as citations, k % 50 as h, case
+       when k % 4 <> 0 then 'Inst ' || k % 9 end as institution, upper(now) as country,
+       coalesce(len(list_filter(list_append(every, now), lambda z: upper(z) in ('AU', 'NZ'))) > 0, false) as ever_local,
+            coalesce(upper(now) in ('AU', 'NZ'), false) as now_local,
+       array_to_string(list_transform(ts[:10], lambda z: lower(z || ' Sub ' || z || ' Field')), '|') as labels,
+            array_to_string(list_filter(ts, lambda z: z <> '5-LOW')[:2], '|') as research,
+       case when k % 2 = 0 then 'knows 1-urgent' else '' end || case when k % 2 = 0 and len(list_filter(ts,
+            lambda z: z <> '1-URGENT')) > 0 then '; ' else '' end || array_to_string(list_filter(ts,
+            lambda z: k % 2 <> 0 or z <> '1-URGENT'), '; ') as expertise from y
 """)
 def author_profiles(spark, sf_dir):
     a = authors(spark, sf_dir)
-    more = a.select(N.last_segment(c("id")).alias("id"), F.array_join(flatten.research_topics(F.coalesce("topics", F.array().cast(a.schema["topics"].dataType)), ["5-low"], 2), "|").alias("research"), F.transform("topics", lambda x: x["display_name"]).alias("tags"))
+    more = a.select(
+        N.last_segment(c("id")).alias("id"),
+        F.array_join(
+            flatten.research_topics(F.coalesce("topics", F.array().cast(a.schema["topics"].dataType)), ["5-low"], 2),
+            "|"
+        ).alias("research"),
+        F.transform("topics", lambda x: x["display_name"]).alias("tags")
+    )
     tags = F.coalesce("tags", F.array().cast("array<string>"))
-    more = more.withColumn("expertise", flatten.expertise_text(F.when(F.substring("id", 2, 20).cast("long") % 2 == 0, F.lit("knows 1-urgent")), tags)).drop("tags")
+    more = more.withColumn(
+        "expertise",
+        flatten.expertise_text(F.when(F.substring("id", 2, 20).cast("long") % 2 == 0, F.lit("knows 1-urgent")), tags)
+    ).drop("tags")
     return members.author_metrics(a).join(more, "id").withColumn("labels", F.array_join("labels", "|"))
 
 
@@ -251,13 +410,19 @@ def author_profiles(spark, sf_dir):
 
 @query(f"""
 with {PEOPLE}, x as (select *, 'First-' || key || ', O''Brien' as other from p)
-select key, first || ' ' || last || ' PhD' as bare, 'dr' as title, lower(first || ' ' || last) as norm, lower(first || ' ' || last) as first_last, lower(last) as last_tokens,
-       lower(first) || '|' || lower(left(first, 1)) as first_tokens, lower('Dr ' || first || ' L PhD') as letters, case key % 4 when 0 then true when 1 then false end as flag,
+select key, first || ' ' || last || ' PhD' as bare, 'dr' as title, lower(first || ' ' || last) as norm,
+       lower(first || ' ' || last) as first_last, lower(last) as last_tokens,
+       lower(first) || '|' || lower(left(first, 1)) as first_tokens, lower('Dr ' || first || ' L PhD') as letters, case key % 4
+            when 0 then true when 1 then false end as flag,
        case key % 4 when 0 then 'Yes' when 1 then ' F ' when 2 then 'maybe' end as raw,
-       'dr-' || lower(first) || '-' || lower(last) || '-phd' as slug, 'alpha clinic' || case when key % 2 = 0 then '|beta hospital' else '' end as patterns,
-       case when key % 2 = 0 then '2001-02-03' else '1999' end as day, case when key % 2 = 0 then 2001 else 1999 end::int as year, case when key % 2 = 0 then first || '|x' else 'x' end as piped,
-       case when key % 3 = 0 then null else 'a; b' end as tidy, (case when key > 0 then 10 + least(20, floor(log2(key + 1))) else 0 end)::int as bonus,
-       case when key % 2 = 0 then '10.12345/' || key end as doi, 'I' || key as stripped, key::varchar as segment, case when key % 3 = 0 then key % 2 = 0 when key % 3 = 1 then true else false end as in_state from x
+       'dr-' || lower(first) || '-' || lower(last) || '-phd' as slug, 'alpha clinic' || case
+            when key % 2 = 0 then '|beta hospital' else '' end as patterns,
+       case when key % 2 = 0 then '2001-02-03' else '1999' end as day, case when key % 2 = 0 then 2001 else 1999 end::int as year, case
+            when key % 2 = 0 then first || '|x' else 'x' end as piped,
+       case when key % 3 = 0 then null else 'a; b' end as tidy, (case when key > 0 then 10 + least(20,
+            floor(log2(key + 1))) else 0 end)::int as bonus,
+       case when key % 2 = 0 then '10.12345/' || key end as doi, 'I' || key as stripped, key::varchar as segment, case
+            when key % 3 = 0 then key % 2 = 0 when key % 3 = 1 then true else false end as in_state from x
 """)
 def name_parts(spark, sf_dir):
     p = people(spark, sf_dir)
@@ -268,18 +433,35 @@ def name_parts(spark, sf_dir):
     state = F.when(k % 3 == 0, F.lit("nsw ")).when(k % 3 == 1, F.lit("Vic"))
     place = F.when((k % 3 == 0) & even, "in Sydney").when(k % 3 == 1, "the VIC clinic").otherwise("elsewhere")
     return p.select(
-        "key", N.strip_title(c("name")).alias("bare"), N.title_of(c("name")).alias("title"), norm.alias("norm"), N.first_last(norm).alias("first_last"), F.array_join(N.last_tokens(norm), "|").alias("last_tokens"),
-        F.array_join(N.first_tokens(norm), "|").alias("first_tokens"), N.normalise_letters(c("name")).alias("letters"), N.tri_bool(raw).alias("flag"), raw.alias("raw"), N.slug(c("name")).alias("slug"),
-        F.array_join(N.pipe_patterns(F.concat(F.lit("Alpha Clinic (x)|abc|"), F.when(even, F.lit("Beta Hospital|alpha clinic")).otherwise(F.lit("")))), "|").alias("patterns"),
-        N.best_date(F.lit(" "), F.when(even, F.lit("2001-02-03T10:00")), F.lit("1999")).alias("day"), N.year_of(F.when(even, F.lit("2001-02-03")).otherwise(F.lit("1999"))).alias("year"),
-        N.pipe_join(F.when(even, c("first")), F.lit(" "), F.lit("x")).alias("piped"), N.tidy_list(F.when(k % 3 == 0, F.lit("; None ;")).otherwise(F.lit("; a; b ;"))).alias("tidy"), N.works_bonus(k).alias("bonus"),
-        N.valid_doi(F.when(even, prefixed(" DOI: 10.12345/", k)).otherwise(prefixed("http://dx.doi.org/11.1/", k))).alias("doi"), N.strip_id(prefixed(ID + "I", k)).alias("stripped"), N.last_segment(prefixed("a/b/", k)).alias("segment"),
+        "key", N.strip_title(c("name")).alias("bare"), N.title_of(c("name")).alias("title"), norm.alias("norm"),
+        N.first_last(norm).alias("first_last"), F.array_join(N.last_tokens(norm), "|").alias("last_tokens"),
+        F.array_join(N.first_tokens(norm), "|").alias("first_tokens"), N.normalise_letters(c("name")).alias("letters"),
+        N.tri_bool(raw).alias("flag"), raw.alias("raw"), N.slug(c("name")).alias("slug"),
+        F.array_join(
+            N.pipe_patterns(
+                F.concat(
+                    F.lit("Alpha Clinic (x)|abc|"),
+                    F.when(even, F.lit("Beta Hospital|alpha clinic")).otherwise(F.lit(""))
+                )
+            ),
+            "|"
+        ).alias("patterns"),
+        N.best_date(F.lit(" "), F.when(even, F.lit("2001-02-03T10:00")), F.lit("1999")).alias("day"),
+        N.year_of(F.when(even, F.lit("2001-02-03")).otherwise(F.lit("1999"))).alias("year"),
+        N.pipe_join(F.when(even, c("first")), F.lit(" "), F.lit("x")).alias("piped"),
+        N.tidy_list(F.when(k % 3 == 0, F.lit("; None ;")).otherwise(F.lit("; a; b ;"))).alias("tidy"),
+        N.works_bonus(k).alias("bonus"),
+        N.valid_doi(
+            F.when(even, prefixed(" DOI: 10.12345/", k)).otherwise(prefixed("http://dx.doi.org/11.1/", k))
+        ).alias("doi"),
+        N.strip_id(prefixed(ID + "I", k)).alias("stripped"), N.last_segment(prefixed("a/b/", k)).alias("segment"),
         N.keyword_match(state, place, {"NSW": ["nsw", "sydney"]}).alias("in_state"),
-    )
+    )
 
 
 @query(f"""
-with {PEOPLE}, x as (select *, row_number() over (order by key) % 7 as z from p), y as (select a.key as a, b.key as b, a.first as fa, b.first as fb, a.last as la, b.last as lb from x a join x b on a.key < b.key and a.key % 10 = b.key % 10)
+with {PEOPLE}, x as (select *, row_number() over (order by key) % 7 as z from p), y as (select a.key as a, b.key as b, a.first as fa,
+       b.first as fb, a.last as la, b.last as lb from x a join x b on a.key < b.key and a.key % 10 = b.key % 10)
 select a, b, la = lb and left(fa, 1) = left(fb, 1) as gate, fa = fb as overlap from y
 """)
 def name_gates(spark, sf_dir):
@@ -288,10 +470,19 @@ def name_gates(spark, sf_dir):
     q = p.select("digit", c("key").alias("b"), c("name").alias("other"))
     pairs = p.join(q, "digit").where("key < b")
     norm = N.normalise_name
-    return pairs.select(c("key").alias("a"), "b", N.names_gate(norm(c("name")), norm(c("other"))).alias("gate"), N.name_overlap(c("name"), c("other"), ["dr", "phd", "l"]).alias("overlap"))
-
-
-@query("select p_partkey, ['must', 'nice'][case when p_size % 3 = 0 then 1 else 2 end] as priority, p_type like '%BRASS%' and p_size % 2 = 0 as proven, p_size as works, p_size as works_count, p_brand as source, 'one|two|three' as topics, try_cast(case when p_size % 5 = 0 then 'bad' else p_size || '.5' end as double) as number from part")
+    return pairs.select(
+        c("key").alias("a"), "b", N.names_gate(norm(c("name")), norm(c("other"))).alias("gate"),
+        N.name_overlap(c("name"), c("other"), ["dr", "phd", "l"]).alias("overlap")
+    )
+
+
+@query(
+    """
+    select p_partkey, ['must', 'nice'][case when p_size % 3 = 0 then 1 else 2 end] as priority,
+        p_type like '%BRASS%' and p_size % 2 = 0 as proven, p_size as works, p_size as works_count, p_brand as source,
+        'one|two|three' as topics, try_cast(case when p_size % 5 = 0 then 'bad' else p_size || '.5' end as double) as number from part
+    """
+)
 def member_flags(spark, sf_dir):
     p = t(spark, sf_dir, "part").withColumn("source", F.when(c("p_size") % 3 == 0, " Both ").otherwise("Other"))
     p = flatten.with_priority(p, "source", "p_partkey").withColumn("source", c("p_brand")).withColumn("works_count", c("p_size"))
@@ -312,10 +503,18 @@ def link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(a, "slot").select("member", "author", ((c("member") * 7 + c("author") * 13) % 90).cast("int").alias("total_score"))
 
 
-PAIRS = "pairs as (select c_custkey as member, s_suppkey as author, ((c_custkey * 7 + s_suppkey * 13) % 90)::int as total_score from customer join supplier on c_custkey % 40 = s_suppkey % 40)"
+PAIRS = """
+pairs as (select c_custkey as member, s_suppkey as author, ((c_custkey * 7 + s_suppkey * 13) % 90)::int as total_score from customer
+    join supplier on c_custkey % 40 = s_suppkey % 40)
+"""
 
 
-@query(f"with {PAIRS} select member, author, case when total_score % 2 = 0 then 1 else 2 end::int as pass_no from pairs where author % 11 <> 3 and not (member % 6 = 1 and author % 4 = 2)")
+@query(
+    f"""
+    with {PAIRS} select member, author, case when total_score % 2 = 0 then 1 else 2 end::int as pass_no from pairs
+        where author % 11 <> 3 and not (member % 6 = 1 and author % 4 = 2)
+    """
+)
 def candidate_passes(spark, sf_dir):
     pairs = link_pairs(spark, sf_dir).select("member", "author", "total_score")
     even = pairs.where("total_score % 2 = 0").select("member", "author")
@@ -327,18 +526,23 @@ def candidate_passes(spark, sf_dir):
 
 @query(f"""
 with {PAIRS}, top as (select *, max(total_score) over (partition by member) as score from pairs),
-a as (select member, any_value(score) as score, list(author order by total_score desc, author) as ids from top where score - total_score <= 10 group by 1)
-select member, ids[1] as winner, score, case when score >= 70 then 'high' when score >= 50 then 'medium' when score >= 30 then 'low' else 'not_found' end as band, array_to_string(ids[2:], '|') as alternatives from a
+a as (select member, any_value(score) as score, list(author order by total_score desc, author) as ids from top
+     where score - total_score <= 10 group by 1)
+select member, ids[1] as winner, score, case when score >= 70 then 'high' when score >= 50 then 'medium'
+       when score >= 30 then 'low' else 'not_found' end as band, array_to_string(ids[2:], '|') as alternatives from a
 """)
 def link_bands(spark, sf_dir):
     return linkage.banded(link_pairs(spark, sf_dir), "member", "author").withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
 @query(f"""
-with {PAIRS}, b as (select * from (select *, row_number() over (partition by member order by total_score desc, author) as r from pairs) where r = 1),
+with {PAIRS}, b as (select * from (select *, row_number() over (partition by member order by total_score desc, author) as r from pairs)
+       where r = 1),
 o as (select c_custkey as name, c_custkey % 5 as id from customer where c_custkey % 7 = 0)
-select coalesce(member, name) as member, case when name is not null then id else author end as author, case when name is not null then 'HIGH' else 'REVIEW' end as tier,
-       case when name is not null then 40 else total_score end as score_name, case when name is not null then 25 else 0 end as score_country, name is not null as forced from b full join o on member = name
+select coalesce(member, name) as member, case when name is not null then id else author end as author, case
+       when name is not null then 'HIGH' else 'REVIEW' end as tier,
+       case when name is not null then 40 else total_score end as score_name, case
+            when name is not null then 25 else 0 end as score_country, name is not null as forced from b full join o on member = name
 """)
 def link_overrides(spark, sf_dir):
     links = ranks.top_per_group(link_pairs(spark, sf_dir), ["member"], [F.desc("total_score"), "author"], 1)
@@ -351,15 +555,23 @@ VOCABULARY = ["brass"], ["steel", "tin"]
 
 
 @query("""
-with x as (select *, lower(p_type) as label, p_size * 3 as works, p_brand in ('Brand#1', 'Brand#2', 'Brand#3') as ever, ['AU', 'us', '', null, 'NZ'][p_size % 5 + 1] as code from part)
+with x as (select *, lower(p_type) as label, p_size * 3 as works, p_brand in ('Brand#1', 'Brand#2', 'Brand#3') as ever, ['AU', 'us', '',
+       null, 'NZ'][p_size % 5 + 1] as code from part)
 select p_partkey,
-       case when not ever then 'no_local_affiliation' when works > 20 and not contains(label, 'brass') then 'no_topic_in_prolific_profile' when (contains(label, 'steel') or contains(label, 'tin')) and not contains(label, 'brass') then 'wrong_specialty' end as strict,
-       case when coalesce(code, '') = '' or upper(code) in ('AU', 'NZ') then 'keep' when p_size % 7 = 0 then 'keep' when p_size % 11 = 0 then 'clear' when works > 20 and not ever then 'clear' when works > 20 and ever then 'flag' else 'keep' end as action,
+       case when not ever then 'no_local_affiliation' when works > 20 and not contains(label, 'brass') then 'no_topic_in_prolific_profile'
+            when (contains(label, 'steel') or contains(label, 'tin')) and not contains(label, 'brass') then 'wrong_specialty' end as strict,
+       case when coalesce(code, '') = '' or upper(code) in ('AU', 'NZ') then 'keep' when p_size % 7 = 0 then 'keep'
+            when p_size % 11 = 0 then 'clear' when works > 20 and not ever then 'clear'
+            when works > 20 and ever then 'flag' else 'keep' end as action,
        contains(lower(p_name), 'small') or (coalesce(code, '') <> '' and upper(code) not in ('AU', 'NZ')) as suspicious,
-       array_to_string(list_filter([case when upper(coalesce(code, 'AU')) not in ('AU', 'NZ') and not ever then 'foreign' end, case when p_size % 2 = 1 then 'no_shared_name' end, case when works > 100 then null end, case when p_size > 50 then 'high_h' end], lambda z: z is not null), '|') as doubts,
+       array_to_string(list_filter([case when upper(coalesce(code, 'AU')) not in ('AU', 'NZ') and not ever then 'foreign' end, case
+            when p_size % 2 = 1 then 'no_shared_name' end, case when works > 100 then null end, case when p_size > 50 then 'high_h' end],
+            lambda z: z is not null), '|') as doubts,
        p_size % 9 <> 0 and ((contains(label, 'economy') and p_size < 25) or (p_size % 4 = 0 and p_size < 10)) as split_risk,
        case when works <= 20 or p_size % 13 = 0 or contains(label, 'brass') then 'verified' else 'clear' end as one_of_ten,
-       array_to_string(list_filter([case when works > 100 and p_size % 3 <> 0 then 'suspicious_volume' end, case when not ever then 'no_local_history' end, case when not contains(label, 'brass') then 'specialty_weak' end, case when p_size % 6 = 0 then 'country_mismatch' end], lambda z: z is not null), '|') as flags from x
+       array_to_string(list_filter([case when works > 100 and p_size % 3 <> 0 then 'suspicious_volume' end, case
+            when not ever then 'no_local_history' end, case when not contains(label, 'brass') then 'specialty_weak' end, case
+            when p_size % 6 = 0 then 'country_mismatch' end], lambda z: z is not null), '|') as flags from x
 """)
 def link_checks(spark, sf_dir):
     p = t(spark, sf_dir, "part")
@@ -369,41 +581,67 @@ def link_checks(spark, sf_dir):
     doubts = linkage.false_positive_flags(code, ever, F.lit("Ann Lee"), F.when(size % 2 == 0, "lee x").otherwise("y z"), works_n, size, [])
     flags = linkage.ambiguity_flags(works_n, size % 3 == 0, ever, V.count_on(label, on), F.when(size % 6 == 0, 0).otherwise(25), F.lit(0), 100)
     return p.select(
-        "p_partkey", linkage.strict_veto(ever, works_n, label, on, off).alias("strict"), linkage.country_action(code, works_n, ever, size % 7 == 0, size % 11 == 0).alias("action"),
+        "p_partkey", linkage.strict_veto(ever, works_n, label, on, off).alias("strict"),
+        linkage.country_action(code, works_n, ever, size % 7 == 0, size % 11 == 0).alias("action"),
         linkage.suspicious(c("p_name"), code, ["small"]).alias("suspicious"), F.array_join(doubts, "|").alias("doubts"),
-        linkage.split_risk(c("p_type"), size, F.when(size % 4 != 0, "o"), size % 9 == 0, ["economy"]).alias("split_risk"),
-        linkage.topic_class(works_n, label, on, 1, size % 13 == 0).alias("one_of_ten"), F.array_join(flags, "|").alias("flags"),
-    )
+        linkage.split_risk(
+            c("p_type"), size, F.when(size % 4 != 0, "o"), size % 9 == 0, ["economy"]
+        ).alias("split_risk"),
+        linkage.topic_class(works_n, label, on, 1, size % 13 == 0).alias("one_of_ten"),
+        F.array_join(flags, "|").alias("flags"),
+    )
 
 
 @query("""
-with x as (select o_orderkey as k, o_custkey as author, case o_orderstatus when 'F' then 'HIGH' when 'P' then 'REVIEW' else 'NOT_FOUND' end as tier, floor(o_totalprice / 20000)::int as works, o_orderpriority = '1-URGENT' as on_domain, o_orderkey % 5 = 0 as forced from orders),
+with x as (select o_orderkey as k, o_custkey as author, case o_orderstatus when 'F' then 'HIGH'
+       when 'P' then 'REVIEW' else 'NOT_FOUND' end as tier, floor(o_totalprice / 20000)::int as works,
+       o_orderpriority = '1-URGENT' as on_domain, o_orderkey % 5 = 0 as forced from orders),
 y as (select *, case when tier = 'REVIEW' and works > 20 and not on_domain then 'NOT_FOUND' else tier end as new from x)
-select k, new as tier, case when new = 'NOT_FOUND' then null else author end as author, tier as tier_before, author as author_before, new <> tier as changed,
+select k, new as tier, case when new = 'NOT_FOUND' then null else author end as author, tier as tier_before, author as author_before,
+       new <> tier as changed,
        tier <> 'HIGH' or (works <= 3 and not forced) as again from y
 """)
 def rechecked(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    links = o.select(c("o_orderkey").alias("k"), c("o_custkey").alias("author"), F.when(c("o_orderstatus") == "F", "HIGH").when(c("o_orderstatus") == "P", "REVIEW").otherwise("NOT_FOUND").alias("tier"), F.floor(c("o_totalprice") / 20000).cast("int").alias("works"), F.array(c("o_orderpriority")).alias("labels"))
+    links = o.select(
+        c("o_orderkey").alias("k"), c("o_custkey").alias("author"),
+        F.when(c("o_orderstatus") == "F", "HIGH").when(
+            c("o_orderstatus") == "P", "REVIEW"
+        ).otherwise("NOT_FOUND").alias("tier"),
+        F.floor(c("o_totalprice") / 20000).cast("int").alias("works"), F.array(c("o_orderpriority")).alias("labels")
+    )
     now = linkage.recheck(links, "author", ["1-urgent"]).select("k", "author", "tier")
     now = now.withColumn("author", F.when(c("tier") != "NOT_FOUND", c("author")))
     audit = merge.audit(links.select("k", "author", "tier"), now, ["k"], ["tier", "author"])
-    again = linkage.to_resolve_again(links, o.where("o_orderkey % 5 = 0").select(c("o_orderkey").alias("k")), o.select(c("o_orderkey").alias("k")), "k").select("k", F.lit(True).alias("again"))
-    return audit.select("k", "tier", "author", "tier_before", "author_before", (~c("tier").eqNullSafe(c("tier_before"))).alias("changed")).join(again, "k", "left").na.fill(False, ["again"])
+    again = linkage.to_resolve_again(
+        links, o.where("o_orderkey % 5 = 0").select(c("o_orderkey").alias("k")), o.select(c("o_orderkey").alias("k")),
+        "k"
+    ).select("k", F.lit(True).alias("again"))
+    return audit.select(
+        "k", "tier", "author", "tier_before", "author_before",
+        (~c("tier").eqNullSafe(c("tier_before"))).alias("changed")
+    ).join(again, "k", "left").na.fill(False, ["again"])
 
 
 @query(f"""
-with {PEOPLE}, a as (select c_custkey as id, ['ann', 'bob', 'cleo', 'max'][c_custkey % 4 + 1] as f, 'l' || c_custkey % {N_LAST} as l from customer where c_custkey % 2 = 0)
-select p.key as own_id, a.id as other_id, f || ' ' || l as other_norm from p join a on lower(p.last) = a.l and p.key <> a.id where left(f, 1) = lower(left(p.first, 1))
+with {PEOPLE}, a as (select c_custkey as id, ['ann', 'bob', 'cleo', 'max'][c_custkey % 4 + 1] as f, 'l' || c_custkey % {N_LAST} as l
+       from customer where c_custkey % 2 = 0)
+select p.key as own_id, a.id as other_id, f || ' ' || l as other_norm from p join a on lower(p.last) = a.l and p.key <> a.id where left(f,
+       1) = lower(left(p.first, 1))
 """)
 def other_profiles(spark, sf_dir):
     first = F.element_at(F.array(*map(F.lit, ["Ann", "Bob", "Cleo", "Max"])), (c("c_custkey") % 4 + 1).cast("int"))
-    a = t(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), F.concat(first, F.lit(" "), prefixed("L", c("c_custkey") % N_LAST)).alias("display_name"), (c("c_custkey") % 2 == 0).alias("is_local"))
+    a = t(spark, sf_dir, "customer").select(
+        c("c_custkey").alias("id"),
+        F.concat(first, F.lit(" "), prefixed("L", c("c_custkey") % N_LAST)).alias("display_name"),
+        (c("c_custkey") % 2 == 0).alias("is_local")
+    )
     return linkage.split_profiles(people(spark, sf_dir), a, "name", "key", "display_name").select("own_id", "other_id", "other_norm")
 
 
 @query(f"""
-with {PEOPLE} select key, lower(first || ' ' || last) as first_norm, case when key % 3 = 0 then lower(last) || ' x' else 'z ' || lower(last) end as second_norm, key % 3 <> 0 as cross_verified from p
+with {PEOPLE} select key, lower(first || ' ' || last) as first_norm, case
+       when key % 3 = 0 then lower(last) || ' x' else 'z ' || lower(last) end as second_norm, key % 3 <> 0 as cross_verified from p
 """)
 def two_sources(spark, sf_dir):
     p = people(spark, sf_dir)
@@ -412,31 +650,56 @@ def two_sources(spark, sf_dir):
 
 
 @query(f"""
-with {PEOPLE}, a as (select c_custkey as id, case when c_custkey % 3 = 0 then 'O' || c_custkey % 60 end as orcid, 'l' || c_custkey % {N_LAST} as l, ['a', 'b', 'c'][c_custkey % 3 + 1] as i from customer),
-hit as (select key, id, 1 as pass_no from p join a on a.orcid = 'O' || key union all select key, id, 2 from p join a on a.l = lower(p.last) and i = lower(left(first, 1)))
+with {PEOPLE}, a as (select c_custkey as id, case when c_custkey % 3 = 0 then 'O' || c_custkey % 60 end as orcid,
+       'l' || c_custkey % {N_LAST} as l, ['a', 'b', 'c'][c_custkey % 3 + 1] as i from customer),
+hit as (select key, id, 1 as pass_no from p join a on a.orcid = 'O' || key union all select key, id, 2 from p
+     join a on a.l = lower(p.last) and i = lower(left(first, 1)))
 select key, id, min(pass_no)::int as pass_no from hit group by 1, 2
 """)
 def orcid_first(spark, sf_dir):
     """Candidates by the same ORCID come before those by name."""
     first = F.element_at(F.array(*map(F.lit, ["Ann", "Bob", "Cleo"])), (c("c_custkey") % 3 + 1).cast("int"))
     k = c("c_custkey")
-    a = t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, prefixed(" https://orcid.org/O", k % 60)).alias("orcid"), F.concat(first, F.lit(" "), prefixed("L", k % N_LAST)).alias("display_name"), F.lit(True).alias("is_local"), F.lit(0).alias("source_rank"))
+    a = t(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 3 == 0, prefixed(" https://orcid.org/O", k % 60)).alias("orcid"),
+        F.concat(first, F.lit(" "), prefixed("L", k % N_LAST)).alias("display_name"), F.lit(True).alias("is_local"),
+        F.lit(0).alias("source_rank")
+    )
     m = people(spark, sf_dir).withColumn("orcid", prefixed("O", c("key")))
     by_id = linkage.by_orcid(m, a, "key", "orcid").select("key", "id")
-    by_name = linkage.candidates(m.select("key", "name"), a.drop("orcid"), "name", "display_name", None).select(c("m_key").alias("key"), c("a_id").alias("id"))
+    by_name = linkage.candidates(
+        m.select("key", "name"), a.drop("orcid"), "name", "display_name", None
+    ).select(c("m_key").alias("key"), c("a_id").alias("id"))
     return linkage.first_pass_wins(by_id, by_name, member="key", author="id")
 
 
 @query("""
-with x as (select o_orderkey as name, case o_orderstatus when 'F' then 'HIGH' when 'P' then 'REVIEW' else 'LOW' end as tier, case when o_orderkey % 9 = 0 then ' ' else 'A' || o_custkey end as id, case when o_orderkey % 4 = 0 then 'must' else 'nice' end as priority, case when o_orderkey % 6 = 0 then null when o_orderkey % 6 = 1 then 0 else o_orderkey end as h from orders)
-select name, tier in ('HIGH', 'REVIEW') and trim(id) <> '' and priority = 'must' as eligible, tier = 'HIGH' as accepted, tier in ('HIGH', 'REVIEW') as named, trim(id) <> '' and (h is null or h = 0) as lacks_h from x
+with x as (select o_orderkey as name, case o_orderstatus when 'F' then 'HIGH' when 'P' then 'REVIEW' else 'LOW' end as tier, case
+       when o_orderkey % 9 = 0 then ' ' else 'A' || o_custkey end as id, case
+       when o_orderkey % 4 = 0 then 'must' else 'nice' end as priority, case when o_orderkey % 6 = 0 then null
+       when o_orderkey % 6 = 1 then 0 else o_orderkey end as h from orders)
+select name, tier in ('HIGH', 'REVIEW') and trim(id) <> '' and priority = 'must' as eligible, tier = 'HIGH' as accepted, tier in ('HIGH',
+       'REVIEW') as named, trim(id) <> '' and (h is null or h = 0) as lacks_h from x
 """)
 def stage_names(spark, sf_dir):
     k = c("o_orderkey")
-    links = t(spark, sf_dir, "orders").select(k.alias("name"), F.when(c("o_orderstatus") == "F", "HIGH").when(c("o_orderstatus") == "P", "REVIEW").otherwise("LOW").alias("tier"), F.when(k % 9 == 0, " ").otherwise(prefixed("A", c("o_custkey"))).alias("id"), F.when(k % 4 == 0, "must").otherwise("nice").alias("priority"), F.when(k % 6 > 1, k).when(k % 6 == 1, 0).alias("h"), prefixed("Dr. N", k).alias("label"))
+    links = t(spark, sf_dir, "orders").select(
+        k.alias("name"),
+        F.when(c("o_orderstatus") == "F", "HIGH").when(
+            c("o_orderstatus") == "P", "REVIEW"
+        ).otherwise("LOW").alias("tier"),
+        F.when(k % 9 == 0, " ").otherwise(prefixed("A", c("o_custkey"))).alias("id"),
+        F.when(k % 4 == 0, "must").otherwise("nice").alias("priority"),
+        F.when(k % 6 > 1, k).when(k % 6 == 1, 0).alias("h"), prefixed("Dr. N", k).alias("label")
+    )
     mark = lambda df, col: df.select("name", F.lit(True).alias(col))
     out = links.select("name")
-    for df, col in ((cohort.eligible(links, "tier", "id", "priority", "name", must_only=True), "eligible"), (cohort.stage_names(links, "tier", "label", ("HIGH",)), "accepted"), (cohort.stage_names(links, "tier", "label", ("HIGH", "REVIEW")), "named"), (cohort.lacking(links, "id", "h"), "lacks_h")):
+    for df, col in (
+        (cohort.eligible(links, "tier", "id", "priority", "name", must_only=True), "eligible"),
+        (cohort.stage_names(links, "tier", "label", ("HIGH",)), "accepted"),
+        (cohort.stage_names(links, "tier", "label", ("HIGH", "REVIEW")), "named"),
+        (cohort.lacking(links, "id", "h"), "lacks_h")
+    ):
         out = out.join(mark(df, col), "name", "left")
     return out.na.fill(False)
 
@@ -446,17 +709,26 @@ def stage_names(spark, sf_dir):
 
 @query("""
 select c_custkey, trim('  ' || c_name) as name, lower(c_name) as norm_name, c_mktsegment || ' of ' || c_nationkey as free_text,
-       array_to_string(list_sort(list_distinct(list_filter(['alpha clinic', case when c_custkey % 2 = 0 then lower(c_mktsegment) else 'alpha clinic' end], lambda z: length(z) >= 5))), '|') as places from customer
+       array_to_string(list_sort(list_distinct(list_filter(['alpha clinic', case
+            when c_custkey % 2 = 0 then lower(c_mktsegment) else 'alpha clinic' end], lambda z: length(z) >= 5))), '|') as places
+            from customer
 """)
 def member_context(spark, sf_dir):
-    rows = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name").alias("name"), c("c_mktsegment").alias("a"), F.lit(" ").alias("b"), prefixed("of ", c("c_nationkey")).alias("d"), F.lit("Alpha Clinic|xy").alias("h"), F.when(c("c_custkey") % 2 == 0, c("c_mktsegment")).otherwise(F.lit("alpha clinic (old)")).alias("p"))
-    return members.context(rows, "name", ["a", "b", "d"], "h", "p").select("c_custkey", "name", "norm_name", "free_text", F.array_join(F.array_sort("places"), "|").alias("places"))
+    rows = t(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("  "), "c_name").alias("name"), c("c_mktsegment").alias("a"), F.lit(" ").alias("b"),
+        prefixed("of ", c("c_nationkey")).alias("d"), F.lit("Alpha Clinic|xy").alias("h"),
+        F.when(c("c_custkey") % 2 == 0, c("c_mktsegment")).otherwise(F.lit("alpha clinic (old)")).alias("p")
+    )
+    return members.context(rows, "name", ["a", "b", "d"], "h", "p").select(
+        "c_custkey", "name", "norm_name", "free_text", F.array_join(F.array_sort("places"), "|").alias("places")
+    )
 
 
 
 @query("""
 with s as (select o_custkey as k, count(*) as works, max(o_totalprice) as best from orders group by 1)
-select c_custkey as k, works, coalesce(best, c_acctbal) as best, c_mktsegment as segment, coalesce(works, 0) as filled from customer left join s on k = c_custkey
+select c_custkey as k, works, coalesce(best, c_acctbal) as best, c_mktsegment as segment, coalesce(works, 0) as filled from customer left
+       join s on k = c_custkey
 """)
 def member_detail(spark, sf_dir):
     s = t(spark, sf_dir, "orders").groupBy(c("o_custkey").alias("k")).agg(F.count("*").alias("works"), F.max("o_totalprice").alias("best"))
@@ -466,77 +738,139 @@ def member_detail(spark, sf_dir):
 
 
 @query("""
-with l as (select o_orderkey as k, o_custkey as author, 0 as works, o_orderstatus as tier from orders), m as (select c_custkey as author, c_nationkey as works from customer where c_custkey % 2 = 0),
+with l as (select o_orderkey as k, o_custkey as author, 0 as works, o_orderstatus as tier from orders), m as (select c_custkey as author,
+       c_nationkey as works from customer where c_custkey % 2 = 0),
 o as (select o_orderkey as k, o_custkey * 2 as author from orders where o_orderkey % 10 = 0 union all select -1, 4)
-select coalesce(l.k, o.k) as k, case when o.k is not null then o.author else l.author end as author, case when o.k is not null then 'HIGH' else l.tier end as tier,
-       (case when o.k is not null then (select works from m where m.author = o.author) else coalesce((select works from m where m.author = l.author), l.works) end)::int as works from l full join o on l.k = o.k
+select coalesce(l.k, o.k) as k, case when o.k is not null then o.author else l.author end as author, case
+       when o.k is not null then 'HIGH' else l.tier end as tier,
+       (case when o.k is not null then (select works from m where m.author = o.author) else coalesce((select works from m
+            where m.author = l.author), l.works) end)::int as works from l full join o on l.k = o.k
 """)
 def link_refresh(spark, sf_dir):
-    links = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), c("o_custkey").alias("author"), F.lit(0).alias("works"), c("o_orderstatus").alias("tier"))
+    links = t(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("k"), c("o_custkey").alias("author"), F.lit(0).alias("works"),
+        c("o_orderstatus").alias("tier")
+    )
     fresh = t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(c("c_custkey").alias("author"), c("c_nationkey").alias("works"))
     over = links.where("k % 10 = 0").select(c("k").alias("name"), (c("author") * 2).alias("id"))
-    over = over.unionByName(t(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(-1).cast("long").alias("name"), F.lit(4).cast("long").alias("id")))
+    over = over.unionByName(
+        t(spark, sf_dir, "region").where("r_regionkey = 0").select(
+            F.lit(-1).cast("long").alias("name"), F.lit(4).cast("long").alias("id")
+        )
+    )
     return members.override_links(members.refreshed(links, fresh, "author"), over, fresh, "k", "author").select("k", "author", "tier", "works")
 
 
 @query(f"""
-with {PEOPLE}, c as (select c_custkey as id, ['Ann', 'Bob', 'Cleo'][c_custkey % 3 + 1] as f, 'L' || c_custkey % 90 as l from customer), u as (select lower(f || ' ' || l) as fl, any_value(id) as id, count(*) as n from c group by 1)
+with {PEOPLE}, c as (select c_custkey as id, ['Ann', 'Bob', 'Cleo'][c_custkey % 3 + 1] as f, 'L' || c_custkey % 90 as l from customer),
+       u as (select lower(f || ' ' || l) as fl, any_value(id) as id, count(*) as n from c group by 1)
 select key, u.id from p join u on fl = lower(first || ' ' || last) where n = 1
 union all select key, -max(c.id) from p join c on lower(f || ' ' || l) = lower(first || ' ' || last) group by 1
 """)
 def same_first_last(spark, sf_dir):
     """Matches by first and last word: those of unique names, and with a minus sign the greatest of several."""
     first = F.element_at(F.array(*map(F.lit, GIVEN)), (c("c_custkey") % 3 + 1).cast("int"))
-    other = t(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), F.concat(first, F.lit(" Q. "), prefixed("L", c("c_custkey") % 90)).alias("found"))
+    other = t(spark, sf_dir, "customer").select(
+        c("c_custkey").alias("id"), F.concat(first, F.lit(" Q. "), prefixed("L", c("c_custkey") % 90)).alias("found")
+    )
     p = people(spark, sf_dir).select("key", "name")
-    several = other.withColumn("order", F.lpad(text(c("id")), 12, "0")).withColumn("found", F.concat(c("found"), F.lit(", "))).withColumn("found", F.regexp_replace("found", ", $", ""))
+    several = other.withColumn("order", F.lpad(text(c("id")), 12, "0")).withColumn("found", F.concat(c("found"), F.lit(", "))).withColumn(
+        "found", F.regexp_replace("found", ", $", "")
+    )
     greatest = several.groupBy("found").agg(F.max("id").alias("id"))
-    return members.first_last_matches(p, other, "name", "found").select("key", "id").unionByName(members.first_last_matches(p, greatest, "name", "found", unique=False).select("key", (-c("id")).alias("id")))
+    return members.first_last_matches(p, other, "name", "found").select("key", "id").unionByName(
+        members.first_last_matches(p, greatest, "name", "found", unique=False).select("key", (-c("id")).alias("id"))
+    )
 
 
 @query("""
-with f as (select o_custkey as name, o_orderkey as id, case when o_orderkey % 3 = 0 then ' C' || o_custkey else 'x' end as d, floor(o_totalprice) as rank from orders),
+with f as (select o_custkey as name, o_orderkey as id, case when o_orderkey % 3 = 0 then ' C' || o_custkey else 'x' end as d,
+       floor(o_totalprice) as rank from orders),
 r as (select *, row_number() over (partition by name order by (trim(lower(d)) = lower('c' || name))::int desc, rank, id) as r from f)
 select 'c' || name as name, id, trim(lower(d)) = lower('c' || name) as exact from r where r = 1
 """)
 def review_ids(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    found = o.select(prefixed("c", c("o_custkey")).alias("name"), F.when(c("o_orderkey") % 3 == 0, prefixed(" C", c("o_custkey"))).otherwise("x").alias("display_name"), c("o_orderkey").alias("id"), F.floor("o_totalprice").alias("rank"))
+    found = o.select(
+        prefixed("c", c("o_custkey")).alias("name"),
+        F.when(c("o_orderkey") % 3 == 0, prefixed(" C", c("o_custkey"))).otherwise("x").alias("display_name"),
+        c("o_orderkey").alias("id"), F.floor("o_totalprice").alias("rank")
+    )
     return members.backfilled(found.select("name"), found, "name", "rank")
 
 
 @query("""
-with v as (select o_orderkey as k, o_orderstatus as s, ['', 'Dr', 'Prof'][o_orderkey % 3 + 1] as title, case when o_orderkey % 4 <> 0 then o_custkey end as id from orders)
-select 'title' as kind, 'Dr. N' || k as name, title, null as id from v where title <> '' and lower(title) <> 'dr' union all select distinct 'false', 'Dr. N' || k, null, id from v where s = 'F' and id is not null
+with v as (select o_orderkey as k, o_orderstatus as s, ['', 'Dr', 'Prof'][o_orderkey % 3 + 1] as title, case
+       when o_orderkey % 4 <> 0 then o_custkey end as id from orders)
+select 'title' as kind, 'Dr. N' || k as name, title, null as id from v where title <> '' and lower(title) <> 'dr' union all
+       select distinct 'false', 'Dr. N' || k, null, id from v where s = 'F' and id is not null
 """)
 def verdict_lists(spark, sf_dir):
     k = c("o_orderkey")
-    v = t(spark, sf_dir, "orders").select(prefixed("Dr. N", k).alias("name"), F.when(k % 3 == 1, "Dr").when(k % 3 == 2, "Prof").otherwise("").alias("found_title"), (c("o_orderstatus") != "F").alias("match"), F.when(k % 4 != 0, c("o_custkey")).alias("id"))
+    v = t(spark, sf_dir, "orders").select(
+        prefixed("Dr. N", k).alias("name"),
+        F.when(k % 3 == 1, "Dr").when(k % 3 == 2, "Prof").otherwise("").alias("found_title"),
+        (c("o_orderstatus") != "F").alias("match"), F.when(k % 4 != 0, c("o_custkey")).alias("id")
+    )
     titles, false = members.verdict_lists(v, "name")
-    return titles.select(F.lit("title").alias("kind"), "name", "title", F.lit(None).cast("long").alias("id")).unionByName(false.select(F.lit("false").alias("kind"), "name", F.lit(None).cast("string").alias("title"), "id"))
+    return titles.select(F.lit("title").alias("kind"), "name", "title", F.lit(None).cast("long").alias("id")).unionByName(
+        false.select(F.lit("false").alias("kind"), "name", F.lit(None).cast("string").alias("title"), "id")
+    )
 
 
 @query("""
-with d as (select o_custkey as a, list(o_orderkey order by o_orderkey) as ks from orders where o_orderkey % 3 = 0 group by 1), w as (select o_custkey as a, o_orderpriority || '. ' || o_orderkey as txt, row_number() over (partition by o_custkey order by floor(o_totalprice / 1000) desc, o_orderkey) as r from orders)
-select c_custkey as k, array_to_string(coalesce((select ks from d where d.a = c_custkey), []), '|') as works, coalesce((select string_agg(txt, '; ' order by r) from w where w.a = c_custkey and r <= 2), '') as top from customer
+with d as (select o_custkey as a, list(o_orderkey order by o_orderkey) as ks from orders where o_orderkey % 3 = 0 group by 1),
+       w as (select o_custkey as a, o_orderpriority || '. ' || o_orderkey as txt, row_number() over (partition by o_custkey
+       order by floor(o_totalprice / 1000) desc, o_orderkey) as r from orders)
+select c_custkey as k, array_to_string(coalesce((select ks from d where d.a = c_custkey), []), '|') as works,
+       coalesce((select string_agg(txt, '; ' order by r) from w where w.a = c_custkey and r <= 2), '') as top from customer
 """)
 def member_profiles(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     d = o.where("o_orderkey % 3 = 0").groupBy(c("o_custkey").alias("author")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("works"))
     ids = t(spark, sf_dir, "customer").select(c("c_custkey").alias("k"), c("c_custkey").alias("author"))
-    ranked = o.select(c("o_custkey").alias("k"), F.concat(F.lpad(text(F.lit(10**7) - F.floor(c("o_totalprice") / 1000)), 9, "0"), F.lpad(text(c("o_orderkey")), 12, "0")).alias("order"), c("o_orderpriority").alias("title"), text(c("o_orderkey")).alias("abstract"), F.floor(c("o_totalprice") / 1000).alias("cites"), "o_orderkey")
+    ranked = o.select(
+        c("o_custkey").alias("k"),
+        F.concat(
+            F.lpad(text(F.lit(10**7) - F.floor(c("o_totalprice") / 1000)), 9, "0"),
+            F.lpad(text(c("o_orderkey")), 12, "0")
+        ).alias("order"),
+        c("o_orderpriority").alias("title"), text(c("o_orderkey")).alias("abstract"),
+        F.floor(c("o_totalprice") / 1000).alias("cites"), "o_orderkey"
+    )
     texts = members.works_titles(ranked, "k", "title", "abstract", "cites", 2, ["o_orderkey"])
-    top = texts.join(ranked.select("k", F.concat_ws(". ", "title", "abstract").alias("text"), "order"), ["k", "text"]).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "; ").alias("top"))
-    return members.profile(ids, d, "k", "author", ["works"]).withColumn("works", F.array_join("works", "|")).join(top, "k", "left").na.fill("", ["top"])
+    top = texts.join(ranked.select("k", F.concat_ws(". ", "title", "abstract").alias("text"), "order"), ["k", "text"]).groupBy("k").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "; "
+        ).alias("top")
+    )
+    return members.profile(ids, d, "k", "author", ["works"]).withColumn(
+        "works", F.array_join("works", "|")
+    ).join(top, "k", "left").na.fill("", ["top"])
 
 
 @query("""
-with x as (select p_partkey as k, ['a', 'b'][1:p_size % 3] as flags, case when p_size > 30 then 'HIGH' else 'REVIEW' end as tier, p_brand as method, contains(lower(p_name), 'ring') as hit from part)
-select 'flags' as kind, len(flags)::varchar as label, count(*) as n from x group by 2 union all select 'method', method, count(*) from x group by 2 union all select 'high', 'rows', count(*) from x where tier = 'HIGH' union all select 'catalog', hit::varchar, count(*) from x group by 2
+with x as (select p_partkey as k, ['a', 'b'][1:p_size % 3] as flags, case when p_size > 30 then 'HIGH' else 'REVIEW' end as tier,
+       p_brand as method, contains(lower(p_name), 'ring') as hit from part)
+select 'flags' as kind, len(flags)::varchar as label, count(*) as n from x group by 2 union all select 'method', method, count(*) from x
+       group by 2 union all select 'high', 'rows', count(*) from x where tier = 'HIGH' union all select 'catalog', hit::varchar, count(*)
+       from x group by 2
 """)
 def link_counts(spark, sf_dir):
-    p = t(spark, sf_dir, "part").select(c("p_partkey").alias("k"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (c("p_size") % 3).cast("int")).alias("flags"), F.when(c("p_size") > 30, "HIGH").otherwise("REVIEW").alias("tier"), c("p_brand").alias("method"), members.catalog_hit(F.array("p_name"), ["RING"]).alias("hit"))
-    rows = [("flags", members.fp_counts(p, "flags"), "n_flags"), ("method", members.distribution(p, "method"), "method"), ("high", members.thin_stats(p, ["k"]).select(F.lit("rows").alias("r")).groupBy("r").agg(F.count("*").alias("n")), "r"), ("catalog", members.distribution(p, "hit"), "hit")]
+    p = t(spark, sf_dir, "part").select(
+        c("p_partkey").alias("k"),
+        F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (c("p_size") % 3).cast("int")).alias("flags"),
+        F.when(c("p_size") > 30, "HIGH").otherwise("REVIEW").alias("tier"), c("p_brand").alias("method"),
+        members.catalog_hit(F.array("p_name"), ["RING"]).alias("hit")
+    )
+    rows = [
+        ("flags", members.fp_counts(p, "flags"), "n_flags"), ("method", members.distribution(p, "method"), "method"),
+        (
+            "high",
+            members.thin_stats(p, ["k"]).select(F.lit("rows").alias("r")).groupBy("r").agg(F.count("*").alias("n")), "r"
+        ),
+        ("catalog", members.distribution(p, "hit"), "hit")
+    ]
     out = None
     for kind, df, label in rows:
         one = df.select(F.lit(kind).alias("kind"), text(c(label)).alias("label"), "n")
@@ -548,20 +882,32 @@ def link_counts(spark, sf_dir):
 
 
 @query("""
-with b as (select c_custkey as k, case when c_custkey % 3 = 0 then null else c_nationkey end as a, case when c_custkey % 2 = 0 then null else c_acctbal end as b, case when c_custkey % 5 = 0 then null else 1 end as d from customer where c_custkey % 10 <> 7)
-select c_custkey as k, case when c_custkey % 10 = 7 then null when c_custkey % 3 <> 0 then c_nationkey when c_custkey % 2 = 0 then 100 else 200 end::int as a,
-       case when c_custkey % 10 = 7 then null when c_custkey % 2 = 0 then case when c_custkey % 2 = 0 then -1 end else c_acctbal end as b, case when c_custkey % 10 = 7 then 'NOT_FOUND' else 'old' end as tier,
-       case when c_custkey % 10 = 7 then null else greatest(c_nationkey, 10) end::int as best, case when c_custkey % 10 = 7 then null when c_custkey % 4 = 0 then 7 else c_nationkey end::int as rich, case when c_custkey % 10 = 7 then null else coalesce(case when c_custkey % 6 <> 0 then 5 end, 9) end::int as pub_count from customer
+with b as (select c_custkey as k, case when c_custkey % 3 = 0 then null else c_nationkey end as a, case
+       when c_custkey % 2 = 0 then null else c_acctbal end as b, case when c_custkey % 5 = 0 then null else 1 end as d from customer
+       where c_custkey % 10 <> 7)
+select c_custkey as k, case when c_custkey % 10 = 7 then null when c_custkey % 3 <> 0 then c_nationkey
+       when c_custkey % 2 = 0 then 100 else 200 end::int as a,
+       case when c_custkey % 10 = 7 then null when c_custkey % 2 = 0 then case when c_custkey % 2 = 0 then -1 end else c_acctbal end as b,
+            case when c_custkey % 10 = 7 then 'NOT_FOUND' else 'old' end as tier,
+       case when c_custkey % 10 = 7 then null else greatest(c_nationkey, 10) end::int as best, case when c_custkey % 10 = 7 then null
+            when c_custkey % 4 = 0 then 7 else c_nationkey end::int as rich, case when c_custkey % 10 = 7 then null else coalesce(case
+            when c_custkey % 6 <> 0 then 5 end, 9) end::int as pub_count from customer
 """)
 def restored(spark, sf_dir):
     """Two snapshots, of which the later counts only where it holds enough; greatest values; a rebuilt table; missing rows."""
     k = c("c_custkey")
     full = t(spark, sf_dir, "customer")
-    base = full.where(k % 10 != 7).select(k.alias("k"), F.when(k % 3 != 0, c("c_nationkey")).alias("a"), F.when(k % 2 != 0, c("c_acctbal")).alias("b"), F.lit("old").alias("tier"))
+    base = full.where(k % 10 != 7).select(
+        k.alias("k"), F.when(k % 3 != 0, c("c_nationkey")).alias("a"), F.when(k % 2 != 0, c("c_acctbal")).alias("b"),
+        F.lit("old").alias("tier")
+    )
     early = base.select("k", F.lit(200).alias("a"), F.lit(-2.0).alias("b"))
     late = base.select("k", F.when(c("k") % 2 == 0, 100).alias("a"), F.when(c("k") % 2 == 0, F.lit(-1.0)).alias("b"))
     out = merge.restore(base, [early, late], ["k"], ["a", "b"], least=1)
-    best = merge.keep_greatest(full.select(k.alias("k"), c("c_nationkey").alias("best")), full.select(k.alias("k"), F.lit(10).alias("best")), ["k"], ["best"])
+    best = merge.keep_greatest(
+        full.select(k.alias("k"), c("c_nationkey").alias("best")), full.select(k.alias("k"), F.lit(10).alias("best")),
+        ["k"], ["best"]
+    )
     stats = full.select(k.alias("k"), F.when(k % 6 != 0, 5).alias("pub_count"), F.lit(9).alias("works_count"))
     backup = full.select(k.alias("k"), F.when(k % 4 == 0, 7).otherwise(c("c_nationkey")).alias("rich"), F.lit(0).alias("works_count"))
     stats = merge.rebuilt(stats, backup, "k", {"pub_count": "works_count"}).select("k", "rich", "pub_count")
@@ -571,7 +917,8 @@ def restored(spark, sf_dir):
 
 @query("""
 with x as (select c_custkey as k, replace(c_mktsegment, 'U', 'Ü') as s from customer)
-select k, s as latin, s as utf, case when k % 3 = 0 then '' else s end as txt, s as available, null::varchar as optional, k % 4 <> 0 as pending from x
+select k, s as latin, s as utf, case when k % 3 = 0 then '' else s end as txt, s as available, null::varchar as optional,
+       k % 4 <> 0 as pending from x
 """)
 def scanned(spark, sf_dir):
     """CSV files in two encodings, text scans, fallbacks for missing tables, and keys that are not done."""
@@ -585,16 +932,26 @@ def scanned(spark, sf_dir):
     out = tables.csv(spark, f"{place}/latin", schema).withColumnRenamed("s", "latin")
     out = out.join(tables.csv(spark, f"{place}/utf.csv", schema, strict=True).withColumnRenamed("s", "utf"), "k")
     out = out.join(tables.texts(spark, f"{place}/texts", ["k", "txt"]).withColumn("k", c("k").cast("long")), "k")
-    found = tables.first_available(spark, [f"{place}/none", f"{place}/utf.csv", f"{place}/table"], "k long, name string", {"name": ["s"]}).withColumnRenamed("name", "s")
+    found = tables.first_available(
+        spark, [f"{place}/none", f"{place}/utf.csv", f"{place}/table"], "k long, name string", {"name": ["s"]}
+    ).withColumnRenamed("name", "s")
     found = tables.check_columns(tables.some_columns(found, ["k", "s", "x"]), ["k", "s"])
     out = out.join(found.withColumnRenamed("s", "available"), "k")
-    nothing = tables.optional(spark, f"{place}/none", "k", "k long, optional string").unionByName(tables.optional(spark, f"{place}/table", "z", "k long, optional string"))
+    nothing = tables.optional(spark, f"{place}/none", "k", "k long, optional string").unionByName(
+        tables.optional(spark, f"{place}/table", "z", "k long, optional string")
+    )
     nothing = nothing.unionByName(tables.csv(spark, f"{place}/none", "k long, optional string"))
     left = tables.pending(rows.select("k"), rows.where("k % 4 = 0"), "k").withColumn("pending", F.lit(True))
     return out.join(nothing, "k", "left").join(left, "k", "left").na.fill(False, ["pending"])
 
 
-@query("select user_id::varchar as k, (event_id % 100)::int as n, null::varchar as message from events where event_id % 7 <> 0 and event_id < 2000 union all select event_id::varchar, null, 'bad JSON' from events where event_id % 7 = 0 and event_id < 2000")
+@query(
+    """
+    select user_id::varchar as k, (event_id % 100)::int as n, null::varchar as message from events
+        where event_id % 7 <> 0 and event_id < 2000 union all select event_id::varchar, null, 'bad JSON' from events
+        where event_id % 7 = 0 and event_id < 2000
+    """
+)
 def landed_json(spark, sf_dir):
     """Keyed JSON lines, of which the broken ones go to an error log, written twice and logged once."""
     e = t(spark, sf_dir, "events").where("event_id < 2000")
@@ -610,13 +967,25 @@ def landed_json(spark, sf_dir):
     return good.unionByName(logged)
 
 
-@query("select 'all' as part, count(*) as n from part union all select 'review', count(*) from part where p_size between 11 and 30 union all select 'rejects', count(*) from part where p_size <= 30 union all select 'flagged', count(*) from part where p_size % 2 = 0 union all select 'parameters', count(distinct p_brand) from part")
+@query(
+    """
+    select 'all' as part, count(*) as n from part union all select 'review', count(*) from part where p_size between 11 and 30 union all
+        select 'rejects', count(*) from part where p_size <= 30 union all select 'flagged', count(*) from part where p_size % 2 = 0
+        union all select 'parameters', count(distinct p_brand) from part
+    """
+)
 def tier_tables(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     place = shared(spark)
-    links = p.select("p_partkey", F.when(c("p_size") > 30, "HIGH").when(c("p_size") > 10, "REVIEW").otherwise("NOT_FOUND").alias("tier"), F.slice(F.array(F.lit("f")), F.lit(1), (1 - c("p_size") % 2).cast("int")).alias("flags"))
+    links = p.select(
+        "p_partkey",
+        F.when(c("p_size") > 30, "HIGH").when(c("p_size") > 10, "REVIEW").otherwise("NOT_FOUND").alias("tier"),
+        F.slice(F.array(F.lit("f")), F.lit(1), (1 - c("p_size") % 2).cast("int")).alias("flags")
+    )
     tables.by_tier(links, "tier", place, "flags")
-    p.select(c("p_brand").alias("Brand name")).distinct().unionByName(p.limit(1).select(F.lit(" ").alias("Brand name"))).write.option("header", True).csv(f"{place}/parameters")
+    p.select(c("p_brand").alias("Brand name")).distinct().unionByName(
+        p.limit(1).select(F.lit(" ").alias("Brand name"))
+    ).write.option("header", True).csv(f"{place}/parameters")
     out = tables.parameters(spark, f"{place}/parameters", ["name"]).agg(F.lit("parameters").alias("part"), F.count("*").alias("n"))
     for part in ("all", "review", "rejects", "flagged"):
         out = out.unionByName(spark.read.parquet(f"{place}/{part}").agg(F.lit(part).alias("part"), F.count("*").alias("n")))
@@ -624,17 +993,24 @@ def tier_tables(spark, sf_dir):
 
 
 @query("""
-select 'known' as gate, (select count(*) from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0))::double as observed, '<= 0' as rule, (select count(*) from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)) = 0 as pass
+select 'known' as gate, (select count(*) from orders where o_custkey not in (select c_custkey from customer
+       where c_custkey % 2 = 0))::double as observed, '<= 0' as rule, (select count(*) from orders where o_custkey not in (select c_custkey
+       from customer where c_custkey % 2 = 0)) = 0 as pass
 union all select 'rejected', 0::double, '<= 0', true union all select 'columns', 1::double, '<= 0', false
-union all select 'count', abs((select count(*) from orders) - (select count(*) from customer))::double, '>= 0 and <= 0', (select count(*) from orders) = (select count(*) from customer)
+union all select 'count', abs((select count(*) from orders) - (select count(*) from customer))::double, '>= 0 and <= 0', (select count(*)
+     from orders) = (select count(*) from customer)
 """)
 def key_gates(spark, sf_dir):
     o, cu = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
     known = cu.where("c_custkey % 2 = 0").select(c("c_custkey").alias("o_custkey"))
     return gates.report(
-        gates.only_known(o, known, "known", "o_custkey"), gates.none_rejected(o.where("o_custkey % 2 = 0"), cu.where("c_custkey % 2 = 1").select(c("c_custkey").alias("o_custkey")), "rejected", ["o_custkey"]),
+        gates.only_known(o, known, "known", "o_custkey"),
+        gates.none_rejected(
+            o.where("o_custkey % 2 = 0"), cu.where("c_custkey % 2 = 1").select(c("c_custkey").alias("o_custkey")),
+            "rejected", ["o_custkey"]
+        ),
         gates.columns(o, "columns", ["o_orderkey", "o_missing"]), gates.same_count(o, cu, "count"),
-    )
+    )
 
 
 # Figures
@@ -653,64 +1029,108 @@ def merge_rules(spark, sf_dir):
 @query("""
 with x as (select o_custkey as k, o_orderpriority as p, count(*) as n from orders group by 1, 2)
 select k, (sum(case when contains(lower(p), 'urgent') or contains(lower(p), 'high') then n else 0 end) / sum(n))::double as share,
-       round((select avg(case when o_orderkey % 3 > 0 then floor(o_totalprice) end) from orders where o_custkey = k), 2) as mean from x group by 1
+       round((select avg(case when o_orderkey % 3 > 0 then floor(o_totalprice) end) from orders where o_custkey = k), 2) as mean from x
+            group by 1
 """, ("share", "mean"))
 def weighted_topics(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    topics = o.groupBy(c("o_custkey").alias("k"), "o_orderpriority").agg(F.count("*").alias("n")).groupBy("k").agg(F.collect_list(F.struct(c("o_orderpriority").alias("name"), "n")).alias("topics"))
-    means = o.withColumn("value", F.when(c("o_orderkey") % 3 > 0, F.floor("o_totalprice")).otherwise(-1)).groupBy(c("o_custkey").alias("k")).agg(metrics.positive_mean("value").alias("mean"))
+    topics = o.groupBy(c("o_custkey").alias("k"), "o_orderpriority").agg(F.count("*").alias("n")).groupBy("k").agg(
+        F.collect_list(F.struct(c("o_orderpriority").alias("name"), "n")).alias("topics")
+    )
+    means = o.withColumn(
+        "value", F.when(c("o_orderkey") % 3 > 0, F.floor("o_totalprice")).otherwise(-1)
+    ).groupBy(c("o_custkey").alias("k")).agg(metrics.positive_mean("value").alias("mean"))
     return topics.select("k", metrics.weighted_share(c("topics"), ["urgent", "high"]).alias("share")).join(means, "k")
 
 
 IMPACT = "count(*) as n, median(cites) as median_h, avg(fwci) as mean_fwci, sum(cites)::bigint as citations"
 
 
-@query(f"with x as (select floor(o_totalprice / 10000)::bigint as cites, case when o_orderkey % 4 > 0 then o_totalprice / 1000 end as fwci, o_orderpriority from orders) select {IMPACT}, count(distinct o_orderpriority) as topics, count_if(fwci is null) as without_fwci from x", ("median_h", "mean_fwci"), 4)
+@query(
+    f"""
+    with x as (select floor(o_totalprice / 10000)::bigint as cites, case when o_orderkey % 4 > 0 then o_totalprice / 1000 end as fwci,
+        o_orderpriority from orders) select {IMPACT}, count(distinct o_orderpriority) as topics, count_if(fwci is null) as without_fwci
+        from x
+    """,
+    ("median_h", "mean_fwci"), 4
+)
 def impact_figures(spark, sf_dir):
-    rows = t(spark, sf_dir, "orders").select(F.floor(c("o_totalprice") / 10000).alias("cites"), F.when(c("o_orderkey") % 4 > 0, c("o_totalprice") / 1000).alias("fwci"), "o_orderpriority")
-    return cohort.impact(rows, "cites", "fwci", "cites").join(rows.agg(F.count_distinct("o_orderpriority").alias("topics"), F.count_if(c("fwci").isNull()).alias("without_fwci")))
+    rows = t(spark, sf_dir, "orders").select(
+        F.floor(c("o_totalprice") / 10000).alias("cites"),
+        F.when(c("o_orderkey") % 4 > 0, c("o_totalprice") / 1000).alias("fwci"), "o_orderpriority"
+    )
+    return cohort.impact(rows, "cites", "fwci", "cites").join(
+        rows.agg(
+            F.count_distinct("o_orderpriority").alias("topics"), F.count_if(c("fwci").isNull()).alias("without_fwci")
+        )
+    )
 
 
 @query("""
-with x as (select o_orderkey as trial_id, o_custkey as name, o_orderstatus as status, left(strftime(o_orderdate, '%Y-%m-%d'), 4)::int as year from orders),
+with x as (select o_orderkey as trial_id, o_custkey as name, o_orderstatus as status, left(strftime(o_orderdate, '%Y-%m-%d'),
+       4)::int as year from orders),
 r as (select name, count(distinct trial_id) as n, row_number() over (order by count(distinct trial_id) desc, name) as r from x group by 1)
-select 'total' as section, null as label, count(distinct trial_id) as n from x union all select 'members', null, count(distinct name) from x union all select 'status', status, count(distinct trial_id) from x group by 2
-union all select 'year', year::varchar, count(distinct trial_id) from x group by 2 union all select 'investigator', name::varchar, n from r where r <= 15
+select 'total' as section, null as label, count(distinct trial_id) as n from x union all select 'members', null, count(distinct name)
+       from x union all select 'status', status, count(distinct trial_id) from x group by 2
+union all select 'year', year::varchar, count(distinct trial_id) from x group by 2 union all select 'investigator', name::varchar, n from r
+     where r <= 15
 """)
 def trial_report(spark, sf_dir):
-    rows = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("trial_id"), c("o_custkey").alias("name"), c("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"))
+    rows = t(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("trial_id"), c("o_custkey").alias("name"), c("o_orderstatus").alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date")
+    )
     return cohort.trial_report(rows, "trial_id", "name", "status", "start_date")
 
 
 @query("""
-with x as (select o_custkey as k, o_totalprice as cites, case when o_orderkey % 5 > 0 then o_orderkey % 70 end as h, case when o_orderkey % 3 > 0 then o_orderkey % 90 end as works, o_orderstatus as s from orders),
+with x as (select o_custkey as k, o_totalprice as cites, case when o_orderkey % 5 > 0 then o_orderkey % 70 end as h, case
+       when o_orderkey % 3 > 0 then o_orderkey % 90 end as works, o_orderstatus as s from orders),
 p as (select k, cites, row_number() over (order by s = 'F' desc, h desc nulls last, cites, k) as r from x),
-g as (select l_suppkey as k, sum(case when l_quantity > 20 then l_quantity end) as total, row_number() over (order by sum(case when l_quantity > 20 then l_quantity end) desc nulls last, l_suppkey) as r from lineitem group by 1)
-select 'scatter' as what, k, cites as value from x where h is not null and works is not null union all select 'order', k, cites from p where r between 21 and 40 union all select 'grants', k, total from g where total > 0 and r <= 60
+g as (select l_suppkey as k, sum(case when l_quantity > 20 then l_quantity end) as total, row_number() over (order by sum(case
+     when l_quantity > 20 then l_quantity end) desc nulls last, l_suppkey) as r from lineitem group by 1)
+select 'scatter' as what, k, cites as value from x where h is not null and works is not null union all select 'order', k, cites from p
+       where r between 21 and 40 union all select 'grants', k, total from g where total > 0 and r <= 60
 """, ("value",), 2)
 def lists_of_members(spark, sf_dir):
     k = c("o_orderkey")
-    rows = t(spark, sf_dir, "orders").select(c("o_custkey").alias("k"), c("o_totalprice").alias("cites"), F.when(k % 5 > 0, k % 70).alias("h"), F.when(k % 3 > 0, k % 90).alias("works"), (c("o_orderstatus") == "F").alias("accepted"))
+    rows = t(spark, sf_dir, "orders").select(
+        c("o_custkey").alias("k"), c("o_totalprice").alias("cites"), F.when(k % 5 > 0, k % 70).alias("h"),
+        F.when(k % 3 > 0, k % 90).alias("works"), (c("o_orderstatus") == "F").alias("accepted")
+    )
     scatter = cohort.scatter(rows, "k", ["works", "cites", "h"]).select(F.lit("scatter").alias("what"), "k", c("cites").alias("value"))
-    second = ranks.page(rows, [F.desc("accepted"), F.desc_nulls_last("h"), "cites", "k"], 2, 20).select(F.lit("order").alias("what"), "k", c("cites").alias("value"))
+    second = ranks.page(
+        rows, [F.desc("accepted"), F.desc_nulls_last("h"), "cites", "k"], 2, 20
+    ).select(F.lit("order").alias("what"), "k", c("cites").alias("value"))
     grants = t(spark, sf_dir, "lineitem").where("l_quantity > 20").groupBy(c("l_suppkey").alias("k")).agg(F.sum("l_quantity").alias("total"))
     top = cohort.concentration(grants, "total", "k", 60).select(F.lit("grants").alias("what"), "k", c("total").alias("value"))
     return scatter.unionByName(second).unionByName(top)
 
 
 @query("""
-with w as (select o_orderkey as work, o_custkey as k, year(o_orderdate)::int as year, o_orderpriority as topic, floor(o_totalprice / 1000)::bigint as citations, o_orderkey % 2 = 0 as oa from orders)
+with w as (select o_orderkey as work, o_custkey as k, year(o_orderdate)::int as year, o_orderpriority as topic,
+       floor(o_totalprice / 1000)::bigint as citations, o_orderkey % 2 = 0 as oa from orders)
 select 'export' as what, k, year, topic, count(*) as n from w where o_year(year) group by 2, 3, 4
 """.replace("o_year(year)", "year >= 1994") + """
-union all select 'mine', k, year, topic, work from w where k = 5 union all select 'found', k, year, topic, work from w where contains(lower(topic), 'urgent') and k < 50
-union all select 'grid', null, null, 'works', count(*) from w union all select 'grid', null, null, 'citations', sum(citations)::bigint from w union all select 'grid', null, null, 'open', count_if(oa) from w
+union all select 'mine', k, year, topic, work from w where k = 5 union all select 'found', k, year, topic, work from w
+     where contains(lower(topic), 'urgent') and k < 50
+union all select 'grid', null, null, 'works', count(*) from w union all select 'grid', null, null, 'citations', sum(citations)::bigint
+     from w union all select 'grid', null, null, 'open', count_if(oa) from w
 """)
 def works_views(spark, sf_dir):
-    w = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("work"), c("o_custkey").alias("k"), F.year("o_orderdate").alias("year"), c("o_orderpriority").alias("topic"), F.floor(c("o_totalprice") / 1000).alias("citations"), (c("o_orderkey") % 2 == 0).alias("oa"))
-    export = cohort.heat_rows(cohort.plausible_years(w, "year", 1994).where("year is not null"), "k", "year", "topic").select(F.lit("export").alias("what"), "k", "year", "topic", "n")
+    w = t(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("work"), c("o_custkey").alias("k"), F.year("o_orderdate").alias("year"),
+        c("o_orderpriority").alias("topic"), F.floor(c("o_totalprice") / 1000).alias("citations"),
+        (c("o_orderkey") % 2 == 0).alias("oa")
+    )
+    export = cohort.heat_rows(
+        cohort.plausible_years(w, "year", 1994).where("year is not null"), "k", "year", "topic"
+    ).select(F.lit("export").alias("what"), "k", "year", "topic", "n")
     own = cohort.of_member(w, "k", 5).select(F.lit("mine").alias("what"), "k", "year", "topic", c("work").alias("n"))
     index = w.select("work", cohort.search_text("topic").alias("s"))
-    found = cohort.works_of_hits(w, cohort.text_search(index, ["s"], "Urgent"), "work").where("k < 50").select(F.lit("found").alias("what"), "k", "year", "topic", c("work").alias("n"))
+    found = cohort.works_of_hits(w, cohort.text_search(index, ["s"], "Urgent"), "work").where("k < 50").select(
+        F.lit("found").alias("what"), "k", "year", "topic", c("work").alias("n")
+    )
     grid = cohort.grid_figures(w, "citations", "oa").unpivot([], ["works", "citations", "open"], "topic", "n")
     grid = grid.select(F.lit("grid").alias("what"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("int").alias("year"), "topic", "n")
     return export.unionByName(own).unionByName(found).unionByName(grid)
@@ -718,62 +1138,94 @@ def works_views(spark, sf_dir):
 
 @query(f"""
 with {PEOPLE}, m as (select distinct name, lower(last) as l, lower(left(first, 1)) as i from p),
-a as (select l_orderkey as work, l_linenumber as pos, 'l' || l_suppkey % {N_LAST} as l, ['a', 'b', 'x'][l_partkey % 3 + 1] as i from lineitem),
+a as (select l_orderkey as work, l_linenumber as pos, 'l' || l_suppkey % {N_LAST} as l, ['a', 'b', 'x'][l_partkey % 3 + 1] as i
+     from lineitem),
 h as (select work, pos, name, min(pos) over (partition by work) as least from a join m using (l, i))
 select work, min(name) as owner from h where pos = least group by 1 having count(distinct name) = 1
 """)
 def work_owners(spark, sf_dir):
     """Works whose first fitting author fits one member only."""
     initial = F.element_at(F.array(*map(F.lit, "abx")), (c("l_partkey") % 3 + 1).cast("int"))
-    li = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("work")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(initial, F.lit(". "), prefixed("L", c("l_suppkey") % N_LAST)).alias("name")))).alias("x"))
+    li = t(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("work")).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "l_linenumber", F.concat(initial, F.lit(". "), prefixed("L", c("l_suppkey") % N_LAST)).alias("name")
+                )
+            )
+        ).alias("x")
+    )
     at = li.select("work", F.transform("x", lambda z: z["name"]).alias("names"), F.transform("x", lambda z: z["l_linenumber"]).alias("lines"))
     p = people(spark, sf_dir).select("name").distinct()
     first = cohort.first_owner(at, "work", "names", p, "name")
     hits = at.select("work", F.explode(F.arrays_zip("names", "lines")).alias("z"))
     m = linkage.prepared(p, "name").select("name", "last", "initial")
     met = linkage.prepared(hits.select("work", c("z.names").alias("n"), c("z.lines").alias("at")), "n").join(m, ["last", "initial"])
-    sole = met.withColumn("least", F.min("at").over(ranks.W.partitionBy("work"))).where("at = least").groupBy("work").agg(F.count_distinct("name").alias("n")).where("n = 1").select("work")
+    sole = met.withColumn(
+        "least", F.min("at").over(ranks.W.partitionBy("work"))
+    ).where("at = least").groupBy("work").agg(F.count_distinct("name").alias("n")).where("n = 1").select("work")
     return first.join(sole, "work").select("work", "owner")
 
 
 @query("""
-with r as (select o_orderkey as name, o_orderstatus as s from orders where o_orderkey % 2 = 0), f as (select o_orderkey as name from orders where o_orderkey % 3 = 0), n as (select name from r union select name from f),
-d as (select o_orderkey as name, case when o_orderkey % 4 = 0 then 'accept_override' when o_orderkey % 4 = 1 then 'reject' end as action from orders where o_orderkey % 5 = 0)
-select 'rows' as what, count(*) as n from n union all select 'decided', count(*) from n join d using (name) where action is not null union all select 'total', count(*) from d union all select 'done', count(action) from d
+with r as (select o_orderkey as name, o_orderstatus as s from orders where o_orderkey % 2 = 0), f as (select o_orderkey as name from orders
+       where o_orderkey % 3 = 0), n as (select name from r union select name from f),
+d as (select o_orderkey as name, case when o_orderkey % 4 = 0 then 'accept_override' when o_orderkey % 4 = 1 then 'reject' end as action
+     from orders where o_orderkey % 5 = 0)
+select 'rows' as what, count(*) as n from n union all select 'decided', count(*) from n join d using (name) where action is not null
+       union all select 'total', count(*) from d union all select 'done', count(action) from d
 union all select 'accepted', count_if(action like 'accept%') from d union all select 'rejected', count_if(action = 'reject') from d
 """)
 def review_progress(spark, sf_dir):
     k = c("o_orderkey")
     o = t(spark, sf_dir, "orders").select(k.alias("name"), c("o_custkey").alias("id"))
-    decisions = o.where("name % 5 = 0").select("name", F.when(c("name") % 4 == 0, "accept_override").when(c("name") % 4 == 1, "reject").alias("action"))
+    decisions = o.where("name % 5 = 0").select(
+        "name", F.when(c("name") % 4 == 0, "accept_override").when(c("name") % 4 == 1, "reject").alias("action")
+    )
     rows = cohort.worklist(o.where("name % 2 = 0").select("name"), o.where("name % 3 = 0").select("name"), o, decisions, "name")
     counts = rows.agg(F.count("*").alias("rows"), F.count("action").alias("decided")).join(cohort.progress(decisions, "action"))
     return counts.unpivot([], counts.columns, "what", "n")
 
 
 @query("""
-with e as (select least(a.o_custkey, b.o_custkey) as a, greatest(a.o_custkey, b.o_custkey) as b, count(distinct a.o_orderkey % 300) as weight from orders a join orders b on a.o_orderkey % 300 = b.o_orderkey % 300 and a.o_custkey < b.o_custkey group by 1, 2),
+with e as (select least(a.o_custkey, b.o_custkey) as a, greatest(a.o_custkey, b.o_custkey) as b,
+       count(distinct a.o_orderkey % 300) as weight from orders a join orders b on a.o_orderkey % 300 = b.o_orderkey % 300 and a.o_custkey
+       < b.o_custkey group by 1, 2),
 n as (select o_custkey as k, 'Smith ' || o_orderkey % 9 as name, count(*) as n from orders where o_orderkey % 9 <> 4 group by 1, 2)
 select 'ego' as what, case when a = 5 then b else a end as k, null as name, weight as n from e where a = 5 or b = 5
-union all select 'top', k, name, n from (select *, row_number() over (partition by k order by n desc, name) as r from n) where r <= 2 union all select 'enough', null, 'o_totalprice', count(*) from orders
+union all select 'top', k, name, n from (select *, row_number() over (partition by k order by n desc, name) as r from n) where r <= 2
+     union all select 'enough', null, 'o_totalprice', count(*) from orders
 """)
 def coauthor_lists(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     edges = graph.coauthor_edges(o.select(c("o_custkey").alias("m"), (c("o_orderkey") % 300).alias("w")), "m", "w")
-    around = graph.ego(edges, 5).select(F.lit("ego").alias("what"), c("neighbour").alias("k"), F.lit(None).cast("string").alias("name"), c("weight").alias("n"))
-    names = o.select(c("o_custkey").alias("k"), F.lit("SMITH 4").alias("own"), F.array(prefixed("Smith ", c("o_orderkey") % 9), F.lit(" ")).alias("names"))
+    around = graph.ego(edges, 5).select(
+        F.lit("ego").alias("what"), c("neighbour").alias("k"), F.lit(None).cast("string").alias("name"),
+        c("weight").alias("n")
+    )
+    names = o.select(
+        c("o_custkey").alias("k"), F.lit("SMITH 4").alias("own"),
+        F.array(prefixed("Smith ", c("o_orderkey") % 9), F.lit(" ")).alias("names")
+    )
     top = graph.top_coauthors(names, "k", "names", "own", 2).select(F.lit("top").alias("what"), "k", "name", "n")
     rare = o.select("o_totalprice", F.when(c("o_orderkey") < 3, 1.0).alias("rare"))
-    enough = cohort.enough(rare, ["o_totalprice", "rare"]).groupBy("metric").agg(F.count("*").alias("n")).select(F.lit("enough").alias("what"), F.lit(None).cast("long").alias("k"), c("metric").alias("name"), "n")
+    enough = cohort.enough(rare, ["o_totalprice", "rare"]).groupBy("metric").agg(F.count("*").alias("n")).select(
+        F.lit("enough").alias("what"), F.lit(None).cast("long").alias("k"), c("metric").alias("name"), "n"
+    )
     return around.unionByName(top).unionByName(enough)
 
 
 @query("""
-select p_partkey, array_to_string(list_filter([case when p_size % 2 = 0 then 'Even' end, case when p_size % 3 = 0 then 'Third' end], lambda z: z is not null), '|') as labels, contains(lower(p_name), 'ring') as inside,
+select p_partkey, array_to_string(list_filter([case when p_size % 2 = 0 then 'Even' end, case when p_size % 3 = 0 then 'Third' end],
+       lambda z: z is not null), '|') as labels, contains(lower(p_name), 'ring') as inside,
        p_size % 4 = 0 and p_size > 10 as all_off from part
 """)
 def flag_labels(spark, sf_dir):
     p, size = t(spark, sf_dir, "part"), c("p_size")
     flags = F.concat_ws(";", F.when(size % 2 == 0, "even "), F.when(size % 3 == 0, "third"), F.lit("other"))
     tops = F.when(size % 4 == 0, F.array(F.lit("tin box"), F.lit("steel"))).otherwise(F.array(F.lit("tin"), F.lit("brass tin")))
-    return p.select("p_partkey", F.array_join(V.flag_labels(flags, {"even": "Even", "third": "Third"}), "|").alias("labels"), V.any_inside(F.array("p_name", "p_brand"), ["RING"]).alias("inside"), (V.all_off(F.when(size > 10, tops), ["brass"], ["tin", "steel"])).alias("all_off"))
+    return p.select(
+        "p_partkey", F.array_join(V.flag_labels(flags, {"even": "Even", "third": "Third"}), "|").alias("labels"),
+        V.any_inside(F.array("p_name", "p_brand"), ["RING"]).alias("inside"),
+        (V.all_off(F.when(size > 10, tops), ["brass"], ["tin", "steel"])).alias("all_off")
+    )

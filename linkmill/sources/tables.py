@@ -144,7 +144,9 @@ def quarantine(df: DataFrame, key: Column, raw: str, schema: str) -> tuple[DataF
 def by_tier(df: DataFrame, tier: str, path: str, flags: str | None = None) -> None:
     """all, review (REVIEW), rejects (not HIGH) and flagged rows as tables."""
     df.persist()
-    parts = {"all": F.lit(True), "review": F.col(tier) == "REVIEW", "rejects": F.col(tier) != "HIGH"} | ({"flagged": F.size(flags) > 0} if flags else {})
+    parts = {
+        "all": F.lit(True), "review": F.col(tier) == "REVIEW", "rejects": F.col(tier) != "HIGH"
+    } | ({"flagged": F.size(flags) > 0} if flags else {})
     for name, condition in parts.items():
         df.where(condition).write.mode("overwrite").parquet(f"{path}/{name}")
     df.unpersist()
@@ -152,7 +154,11 @@ def by_tier(df: DataFrame, tier: str, path: str, flags: str | None = None) -> No
 
 def export_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files with headers; arrays joined by pipes, nulls as empty text."""
-    flat = [F.array_join(F.transform(f.name, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields]
+    flat = [
+        F.array_join(
+            F.transform(f.name, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "|"
+        ).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields
+    ]
     df.select(*flat).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
