@@ -19,7 +19,10 @@ BLOCK_BYTES = 1 << 20
 PLACE_BITS = 20
 
 
-def packed(df: DataFrame, text: str, carry: list[str], extra: Callable[[list[bytes]], dict] | None = None, extra_schema: str = "", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def packed(
+    df: DataFrame, text: str, carry: list[str], extra: Callable[[list[bytes]], dict] | None = None,
+    extra_schema: str = "", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Blocks of about block_bytes of text (one document at least), written to the shared folder.
 
     Columns: block_id, sizes (bytes of each text, -1 for null), blob (the texts, zstd), and for each
@@ -27,7 +30,12 @@ def packed(df: DataFrame, text: str, carry: list[str], extra: Callable[[list[byt
     come from the block, so null or repeated ids do no harm. The written table fixes the order.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    head = T.StructType([T.StructField("block_id", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("blob", T.BinaryType())])
+    head = T.StructType(
+        [
+            T.StructField("block_id", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+            T.StructField("blob", T.BinaryType())
+        ]
+    )
     for c in carry:
         head.add(f"c_{c}", T.ArrayType(types[c]))
     for f in T.StructType.fromDDL(extra_schema).fields if extra_schema else []:
@@ -42,7 +50,10 @@ def packed(df: DataFrame, text: str, carry: list[str], extra: Callable[[list[byt
         def row():
             nonlocal seq, size
             got = [t or b"" for t in texts]
-            out = {"block_id": [(TaskContext.get().partitionId() << 18) + seq], "sizes": [[-1 if t is None else len(t) for t in texts]], "blob": [squeeze.compress(b"".join(got))]}
+            out = {
+                "block_id": [(TaskContext.get().partitionId() << 18) + seq],
+                "sizes": [[-1 if t is None else len(t) for t in texts]], "blob": [squeeze.compress(b"".join(got))]
+            }
             out |= {f"c_{c}": [v] for c, v in held.items()}
             if extra:
                 out |= {k: [v] for k, v in extra(got).items()}
@@ -92,7 +103,11 @@ def unpacked(blocks: DataFrame, schema: T.StructType, text: str) -> DataFrame:
             for row in b.to_pylist():
                 texts = texts_of(row["blob"], row["sizes"])
                 at = row["places"]
-                cols = [pa.array([texts[i] for i in at], pa.binary()).cast(pa.string()) if f.name == text else pa.array([row[f"c_{f.name}"][i] for i in at], f.type) for f in arrow]
+                cols = [
+                    pa.array([texts[i] for i in at], pa.binary()).cast(pa.string()) if f.name == text else pa.array(
+                        [row[f"c_{f.name}"][i] for i in at], f.type
+                    ) for f in arrow
+                ]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return blocks.mapInArrow(thrifty(unpack), schema)

@@ -15,7 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     label, so rounds grow with the logarithm of the longest path. Labels are written after each
     round; only whether any changed comes to the driver.
     """
-    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "edges")
+    both = written(
+        edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(
+            edges.select(F.col("b").alias("v"), F.col("a").alias("w"))
+        ).distinct(),
+        "edges"
+    )
     labels = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("c")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), F.col("c").alias("m")), "w").groupBy("v").agg(F.min("m").alias("m"))

@@ -116,11 +116,17 @@ def _joined(found: DataFrame) -> DataFrame:
             arrays = [b.column("_uid"), b.column("n_words"), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["_uid", "n_words", "spans", "items"])
 
-    lists = found.groupBy("_uid").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    lists = found.groupBy("_uid").agg(
+        F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"),
+        F.collect_list("items").alias("items")
+    )
     return lists.mapInArrow(join, "_uid long, n_words long, spans array<int>, items array<long>")
 
 
-def search_benchmark(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search_benchmark(
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per row of docs: the columns `keep`, n_words, n_hit, n_items, items, spans, items_sha256, contaminated.
 
     A window is `window` consecutive words of a benchmark item; an item with fewer words, but some, is

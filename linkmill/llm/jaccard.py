@@ -61,7 +61,10 @@ def _signed(sets: list[np.ndarray]) -> dict:
     return {"n": [len(s) for s in sets], "s1": sums[0], "s2": sums[1]}
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
+    rare: int = RARE
+) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, is_first, n_links.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a document's set has its distinct
@@ -88,7 +91,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return named.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id", "is_first", "n_links")
 
 
-def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+def distinct_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
+    rare: int = RARE
+) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() marks as the first of their component."""
     table = _packed(docs, key, text, [c for c in docs.columns if c != text], width)
     block = F.shiftright("uid", B.PLACE_BITS)
@@ -115,7 +121,13 @@ def _named(table: DataFrame, key: str, width: int, percent: int, rare: int, ever
     first = F.min(F.struct(F.col("key").isNull(), "key", "uid"))
     with passing_tables(table.sparkSession):
         classes = rows.where("n > 0").groupBy("n", "s1", "s2")
-        classes = written(classes.agg(F.min("uid").alias("uid"), F.min("key").alias("least"), first.alias("first"), F.count("*").alias("copies")), "classes")
+        classes = written(
+            classes.agg(
+                F.min("uid").alias("uid"), F.min("key").alias("least"), first.alias("first"),
+                F.count("*").alias("copies")
+            ),
+            "classes"
+        )
         sets = _indexed(table.sparkSession, table, classes, width, percent)
         labels = written(components(_links(sets, percent, rare)), "components")
         labelled = classes.join(labels.select(F.col("v").alias("uid"), "c"), "uid", "left").withColumn("c", F.coalesce("c", "uid"))
@@ -157,7 +169,12 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
     place = F.expr(f"cast(uid & {(1 << B.PLACE_BITS) - 1} as int)").alias("place")
     reps = classes.select(F.shiftright("uid", B.PLACE_BITS).alias("block_id"), place, "copies")
     reps = reps.groupBy("block_id").agg(F.collect_list(F.struct("place", "copies")).alias("reps"))
-    arrow = pa.schema([("uid", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("near", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())), ("members", pa.binary())])
+    arrow = pa.schema(
+        [
+            ("uid", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("m", pa.int32()),
+            ("near", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())), ("members", pa.binary())
+        ]
+    )
 
     def prefixes(batches):
         hashes = WordHashes()
@@ -210,7 +227,10 @@ def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
     now = post.withColumn("c", F.col("uid"))
     for n_round in range(STAR_ROUNDS):
         rank = F.col("m") / F.col("n") if n_round == 0 else F.xxhash64("token", "uid", F.lit(n_round)) / F.lit(2.0**63)
-        hub = F.struct(rank.alias("rank"), (-F.col("uid")).alias("u"), F.col("uid").alias("hu"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("c").alias("hc"))
+        hub = F.struct(
+            rank.alias("rank"), (-F.col("uid")).alias("u"), F.col("uid").alias("hu"), F.col("n").alias("hn"),
+            F.col("m").alias("hm"), F.col("c").alias("hc")
+        )
         ends = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(hub).alias("x"))
         ends = written(ends.where("lo < hi").select("token", "x.hu", "x.hn", "x.hm", "x.hc"), "hubs")
         sized = F.col("hn").between(F.ceil(F.col("n") * percent / 100), _largest("n", "m", percent)) & (F.col("n") <= _largest("hn", "hm", percent))
@@ -256,12 +276,20 @@ def _combined(now: DataFrame, percent: int, rare: int) -> DataFrame:
     tokens of their prefixes, or all that they need if that is less, which is why short combinations of
     the smallest sets are kept too."""
     alike = now.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("uid", "near")).alias("name"))
-    named = now.join(written(alike, "alike"), "token").groupBy("uid", "n", "m", "c", "name", "near").agg(F.max("size").alias("size"), F.count("*").alias("weight"))
+    named = now.join(written(alike, "alike"), "token").groupBy("uid", "n", "m", "c", "name", "near").agg(
+        F.max("size").alias("size"), F.count("*").alias("weight")
+    )
     named = written(named, "names")
-    few = named.where(F.col("size") <= rare).select(F.col("name").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(0).cast("long").alias("t3"), "uid", "n", "m", "c", "near")
+    few = named.where(F.col("size") <= rare).select(
+        F.col("name").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(0).cast("long").alias("t3"), "uid", "n",
+        "m", "c", "near"
+    )
     many = named.where(F.col("size") > rare).groupBy("uid", "n", "m", "c")
     many = many.agg(F.array_sort(F.collect_list(F.struct("size", "name", "near", "weight"))).alias("names"))
-    kinds = {"t1": pa.int64(), "t2": pa.int64(), "t3": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "m": pa.int32(), "c": pa.int64(), "near": pa.bool_()}
+    kinds = {
+        "t1": pa.int64(), "t2": pa.int64(), "t3": pa.int64(), "uid": pa.int64(), "n": pa.int32(), "m": pa.int32(),
+        "c": pa.int64(), "near": pa.bool_()
+    }
 
     def combine(batches):
         for b in batches:
@@ -325,7 +353,9 @@ def _to_largest(live: DataFrame, comp: DataFrame | None, sets: DataFrame, percen
     group = F.when(small, F.pmod(F.xxhash64("c"), F.lit(groups))).otherwise(F.col("c"))
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    side = lambda df, is_left, i, j: df.join(blocks, "c").select(small.alias("small"), group.alias("g"), i.alias("i"), j, F.lit(is_left).alias("is_left"), "c", "uid", "members")
+    side = lambda df, is_left, i, j: df.join(blocks, "c").select(
+        small.alias("small"), group.alias("g"), i.alias("i"), j, F.lit(is_left).alias("is_left"), "c", "uid", "members"
+    )
     rows = side(left, True, own("n_left"), every("n_right").alias("j")).unionByName(side(right, False, every("n_left"), own("n_right").alias("j")))
 
     def compare(pdf):
@@ -425,7 +455,10 @@ def link_counts(labels: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("c"), F.lit(groups))).otherwise(F.col("c"))
     rows = rows.drop("weight").join(size.drop("weight"), "c").withColumn("own", own).withColumn("g", group)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.col("blocks") == 1, "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "uid", "copies", "members")
+    rows = rows.select(
+        F.col("blocks") == 1, "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+        "c", "uid", "copies", "members"
+    )
     rows = rows.toDF("small", "g", "i", "j", "own", "c", "uid", "copies", "members")
 
     def count(pdf):

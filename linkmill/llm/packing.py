@@ -46,7 +46,12 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, limit: int = LIMIT,
                 columns = zip(zip(*out, strict=True), arrow.types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=arrow)
 
-    arrow = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    arrow = pa.schema(
+        [
+            ("uid", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
+            ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())
+        ]
+    )
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     schema = "uid long, key long, piece int, start long, length long, ids_crc32 long, ids binary"
     return bounded_batches(rows).mapInArrow(thrifty(cut), schema)
@@ -154,8 +159,13 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
                 slots[min(g, most)] = slots.get(min(g, most), 0) + each[g] * by_gap[g]
             moves = sweep(now, slots)
             if moves:
-                to = spark.createDataFrame([(n, done[n], done[n] + k, first - done[n]) for n, k, first in moves], "length long, lo long, hi long, shift long")
-                who = items.join(F.broadcast(to), "length").where("rank >= lo and rank < hi").select("uid", "length", (F.col("rank") + F.col("shift")).alias("slot"))
+                to = spark.createDataFrame(
+                    [(n, done[n], done[n] + k, first - done[n]) for n, k, first in moves],
+                    "length long, lo long, hi long, shift long"
+                )
+                who = items.join(F.broadcast(to), "length").where("rank >= lo and rank < hi").select(
+                    "uid", "length", (F.col("rank") + F.col("shift")).alias("slot")
+                )
                 offer = spark.createDataFrame([(g, base[g], by_gap[g], each[g]) for g in each], "gap long, base long, n long, each long")
                 free = gaps.join(F.broadcast(offer), "gap").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
                 free = free.select("sequence_id", (F.col("base") + F.col("j") * F.col("n") + F.col("rank")).alias("slot"))
@@ -173,13 +183,19 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
                 gaps, opened = gaps.select("sequence_id", "gap").unionByName(fresh), opened + more
             smallest = min((n for n in left if left[n]), default=None)
             if smallest is not None:
-                gaps, by_gap = ranked(few(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), opened), "gap", limit * -(-opened // TASK_ROWS))
+                gaps, by_gap = ranked(
+                    few(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), opened), "gap",
+                    limit * -(-opened // TASK_ROWS)
+                )
     if found is None:
         found = spark.createDataFrame([], "uid long, length long, sequence_id long")
     return found.select("uid", "sequence_id")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT,
+    end: int = END, with_ids: bool = False
+) -> DataFrame:
     """Per piece of each document: key, piece, start, length, ids_crc32, ids (with_ids), sequence_id, offset.
 
     Sequences hold at most limit tokens, each filled from 0 without gaps; tests find as few as best fit,

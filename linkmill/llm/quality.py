@@ -57,8 +57,13 @@ def passages(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     upper = lambda c: (c >= 65) & (c <= 90)
     letter = lambda c: upper(c) | ((c >= 97) & (c <= 122)) | (c >= 128)
     a, z = (raw[ends - size], raw[ends - 1]) if len(flat) else (raw, raw)
-    more = [share(again), share(earlier), share(upper(a)), share(upper(z)), share(~letter(a)), share(~letter(z)), n_chars / n_words / 10, np.log1p(n_words) / 5]
-    bins = np.bincount(at * WORD_BINS + (h >> np.uint64(40)).astype(np.int64) % WORD_BINS, minlength=total * WORD_BINS).reshape(total, WORD_BINS) / n_words[:, None]
+    more = [
+        share(again), share(earlier), share(upper(a)), share(upper(z)), share(~letter(a)), share(~letter(z)),
+        n_chars / n_words / 10, np.log1p(n_words) / 5
+    ]
+    bins = np.bincount(
+        at * WORD_BINS + (h >> np.uint64(40)).astype(np.int64) % WORD_BINS, minlength=total * WORD_BINS
+    ).reshape(total, WORD_BINS) / n_words[:, None]
     x = np.sqrt(x / n_chars[:, None])[:, :128]
     return np.concatenate([x, np.stack(more, axis=1), bins], axis=1).astype(np.float32), count
 
@@ -71,7 +76,9 @@ class GatedAttention:
 
     def __init__(self, parts: dict | None = None, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.p = parts or {k: r.normal(0, 1 / np.sqrt(s[0]) if s else 0, s) for k, s in self.SHAPES.items()} | {"mean": np.zeros(FEATURES), "scale": np.ones(FEATURES)}
+        self.p = parts or {
+            k: r.normal(0, 1 / np.sqrt(s[0]) if s else 0, s) for k, s in self.SHAPES.items()
+        } | {"mean": np.zeros(FEATURES), "scale": np.ones(FEATURES)}
 
     def forward(self, x: np.ndarray, count: np.ndarray):
         p, first = self.p, np.cumsum(count) - count
@@ -98,7 +105,10 @@ class GatedAttention:
         dh = a[:, None] * dz + dv @ p["V"].T + du @ p["U"].T
         return {"W": x.T @ (dh * (1 - h**2)), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": z.T @ d, "b": d.sum()}
 
-    def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-3) -> GatedAttention:
+    def fit(
+        self, x: np.ndarray, count: np.ndarray, label: np.ndarray, steps: int = 1500, batch: int = 64,
+        rate: float = 3e-3, decay: float = 1e-3
+    ) -> GatedAttention:
         """Adam on the cross-entropy of the documents' labels."""
         slices = [slice(i, i + 4096) for i in range(0, len(x), 4096)]  # sums by slices: no copy of all of x
         self.p["mean"] = sum(x[s].sum(axis=0, dtype=float) for s in slices) / len(x)
@@ -123,14 +133,19 @@ class GatedAttention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES) -> dict:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    sample: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES
+) -> dict:
     """A model's parameters, learnt from at most `sample` labelled rows that are not held out.
 
     Labels of rows with several different ones, or none, are left out. The sample is the rows first
     by a hash of the id, all passages of each, as long as they have at most most_passages together; it is
     fitted in one task, since it is bounded. Without both labels the model scores all documents alike.
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("k")).agg(
+        F.min(label).alias("lo"), F.max(label).alias("hi")
+    ).where("lo = hi")
     known = known.select("k", F.col("lo").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k")
     rows = rows.groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
@@ -164,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             break
         kept.append((k,))
     kept = docs.sparkSession.createDataFrame(kept, "k long")
-    parts = features.join(F.broadcast(kept), "k").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(trained, "name string, values array<double>").collect()  # a few thousand numbers
+    parts = features.join(F.broadcast(kept), "k").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
+        trained, "name string, values array<double>"
+    ).collect()  # a few thousand numbers
     return {r["name"]: np.array(r["values"]).reshape(GatedAttention.SHAPES.get(r["name"], (FEATURES,))) for r in parts}
 
 
@@ -188,7 +205,10 @@ def score(docs: DataFrame, parameters: dict, keep: list[str], text: str = "text"
                     end += 1
                 out.append(model.forward(*passages(texts[at:end], hashes))[0] if model else np.full(end - at, 0.5))
                 at = end
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*own, "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in own), pa.array(np.concatenate(out) if out else [], pa.float64())],
+                names=[*own, "score"]
+            )
 
     out = bounded_batches(rows).mapInArrow(thrifty(scored), ", ".join(f"{k} {kinds[k]}" for k in own) + ", score double")
     return out.select(*back, "score")

@@ -37,7 +37,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = written(rollup.token_counts(docs, vocabulary("byte_bpe_50k.tiktoken"), "byte_bpe_50k"), "token-counts")
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)).cast("long")
     spaces = docs.select("doc_id", "source", "lang", F.lit("white_space").alias("tokenizer_version"), words.alias("n_tokens"))
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("white_space"))).alias("tokenizer_version"), F.lit(None).cast("long").alias("n_tokens"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(
+        "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("white_space"))).alias("tokenizer_version"),
+        F.lit(None).cast("long").alias("n_tokens")
+    )
     totals = rollup.Rollup(spark, scratch(spark, "rollup"))
     second = bpe.withColumn("n_tokens", F.col("n_tokens") + 1).unionByName(spaces)
     for batch, changes in ((1, bpe), (2, second), (2, second), (3, toxic)):
@@ -67,7 +71,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

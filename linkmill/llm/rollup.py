@@ -22,7 +22,13 @@ def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id",
         encode = encoder(path)
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["doc_id", *DIMS, "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([version] * len(n)),
+                    pa.array(n, pa.int64())
+                ],
+                names=["doc_id", *DIMS, "n_tokens"]
+            )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "source", "lang", F.col(text).alias("text"))
     return bounded_batches(rows).mapInArrow(count, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
@@ -72,19 +78,36 @@ class Rollup:
         if batch in done:
             return False
         key = ["doc_id", "tokenizer_version"]
-        last = changes.groupBy(*key).agg(F.max(F.struct("seq", F.col("n_tokens").isNotNull().alias("stays"), "n_tokens", "source", "lang")).alias("x")).select(*key, "x.*")
-        last = last.select(F.col("doc_id").alias("k"), F.col("tokenizer_version").alias("v"), "n_tokens", F.col("source").alias("s"), F.col("lang").alias("l"))
+        last = changes.groupBy(*key).agg(
+            F.max(
+                F.struct("seq", F.col("n_tokens").isNotNull().alias("stays"), "n_tokens", "source", "lang")
+            ).alias("x")
+        ).select(*key, "x.*")
+        last = last.select(
+            F.col("doc_id").alias("k"), F.col("tokenizer_version").alias("v"), "n_tokens", F.col("source").alias("s"),
+            F.col("lang").alias("l")
+        )
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
         touched = [r[0] for r in last.select(bucket("k")).distinct().collect()]  # numbers below `buckets`
-        held = self._read("records", done, self.RECORD).where(F.col("bucket").isin(touched) if touched else F.lit(False)).groupBy("doc_id", *DIMS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
+        held = self._read("records", done, self.RECORD).where(F.col("bucket").isin(touched) if touched else F.lit(False)).groupBy("doc_id", *DIMS).agg(
+            F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
+        ).where("docs > 0")
         same = F.col("doc_id").eqNullSafe(F.col("k")) & F.col("tokenizer_version").eqNullSafe(F.col("v"))
-        minus = held.join(last.select("k", "v"), same, "left_semi").select("doc_id", *DIMS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        plus = last.where("n_tokens is not null").select(F.col("k").alias("doc_id"), F.col("s").alias("source"), F.col("l").alias("lang"), F.col("v").alias("tokenizer_version"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").cast("long").alias("tokens"))
+        minus = held.join(last.select("k", "v"), same, "left_semi").select(
+            "doc_id", *DIMS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")
+        )
+        plus = last.where("n_tokens is not null").select(
+            F.col("k").alias("doc_id"), F.col("s").alias("source"), F.col("l").alias("lang"),
+            F.col("v").alias("tokenizer_version"), F.lit(1).cast("long").alias("docs"),
+            F.col("n_tokens").cast("long").alias("tokens")
+        )
         rows = minus.unionByName(plus).withColumn("bucket", bucket("doc_id"))
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/records/batch={batch}")
         delta = self._read("records", [batch], self.RECORD).groupBy(*DIMS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         before = self._read("totals", done[-1:], self.TOTAL)
-        after = before.unionByName(delta).groupBy(*DIMS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0")
+        after = before.unionByName(delta).groupBy(*DIMS).agg(
+            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
+        ).where("n_docs != 0")
         after.write.mode("overwrite").parquet(f"{self.root}/totals/batch={batch}")
         mark = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(len(done)).alias("nth"))
         mark.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")

@@ -54,7 +54,10 @@ def assign_shards(df: DataFrame, key: str, n_bytes: Column, limit_bytes: int, st
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.withColumn("depth", F.lit(None).cast("int"))
-    plain = out.where("depth is not null").select("key", "n_bytes", "depth", F.expr(f"shiftright(h, {HASH_BITS} - depth)").alias("shard"), F.lit(0).cast("long").alias("page"))
+    plain = out.where("depth is not null").select(
+        "key", "n_bytes", "depth", F.expr(f"shiftright(h, {HASH_BITS} - depth)").alias("shard"),
+        F.lit(0).cast("long").alias("page")
+    )
     if bits == HASH_BITS and not directory.where((F.col("bits") == HASH_BITS) & F.col("depth").isNull()).isEmpty():
         plain = plain.unionByName(_pages(out.where("depth is null"), limit_bytes))
     return plain.withColumnRenamed("key", key)
@@ -68,7 +71,9 @@ def _split(rows: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     sums = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     fits = sums.where((F.col("b") <= limit) | (F.col("c") == 1)).select("depth", "prefix")
     # A short prefix has very many cells: the few buckets of the first depths, 2**BROAD at most, go to the cells instead.
-    broad = levels.where(F.col("depth") < base + BROAD).join(F.broadcast(fits.where(F.col("depth") < base + BROAD)), ["depth", "prefix"]) if base == 0 else None
+    broad = levels.where(F.col("depth") < base + BROAD).join(
+        F.broadcast(fits.where(F.col("depth") < base + BROAD)), ["depth", "prefix"]
+    ) if base == 0 else None
     narrow = levels.where(F.col("depth") >= base + BROAD) if base == 0 else levels
     narrow = narrow.join(fits, ["depth", "prefix"])
     first = (narrow if broad is None else broad.unionByName(narrow)).groupBy("cell").agg(F.min("depth").alias("depth"))

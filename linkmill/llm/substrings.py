@@ -96,6 +96,9 @@ def remove_repeats(docs: DataFrame, carry: list[str], text: str = "text", width:
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept_text"] = pa.array(out["kept_text"], pa.binary()).cast(pa.string())
                 cols = [row[f"c_{c}"] for c in named] + list(out.values())
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)],
+                    schema=arrow
+                )
 
     return B.with_totals(table.drop("n_words"), counts).mapInArrow(thrifty(removed), schema).select(*back, *results.names)

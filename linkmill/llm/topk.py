@@ -25,8 +25,15 @@ def sign_codes(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     def coded(batches):
         for b in batches:
-            codes = [None if v is None else np.packbits(np.array([x is not None and x > 0 for x in v], bool), bitorder="little").tobytes() for v in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c if c is None else c + b"\0" * (len(c) % 2) for c in codes], pa.binary())], names=["id", "code"])
+            codes = [
+                None if v is None else np.packbits(
+                    np.array([x is not None and x > 0 for x in v], bool), bitorder="little"
+                ).tobytes() for v in b.column("v").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array([c if c is None else c + b"\0" * (len(c) % 2) for c in codes], pa.binary())],
+                names=["id", "code"]
+            )
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     return bounded_batches(rows).mapInArrow(coded, "id long, code binary")
@@ -117,4 +124,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     found = i.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("distance", "neighbor_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(F.nullif("query_id", F.lit(last)).alias("query_id"), "rank", F.nullif("neighbor_id", F.lit(last)).alias("neighbor_id"), "distance")
+    return best.select(
+        F.nullif("query_id", F.lit(last)).alias("query_id"), "rank",
+        F.nullif("neighbor_id", F.lit(last)).alias("neighbor_id"), "distance"
+    )

@@ -76,7 +76,10 @@ def _best(array: DigestArray, hosts: list[str], paths: list[str]):
     return best
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow",
+    block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per row of pages: key, host, path, rule, verdict.
 
     rules: host, path, verdict (allow or block). A rule fits its host and all subdomains of it, if
@@ -91,11 +94,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     total = rules.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_bytes))
     cells = rules.where("host is not null and path is not null and verdict is not null and host != ''").dropDuplicates(["host", "path", "verdict"])
-    blocks = cells.groupBy(F.pmod(F.xxhash64("host", "path"), F.lit(n_blocks)).alias("block")).agg(F.to_json(F.collect_list(F.array("host", "path", "verdict"))).alias("rules"))
+    blocks = cells.groupBy(F.pmod(F.xxhash64("host", "path"), F.lit(n_blocks)).alias("block")).agg(
+        F.to_json(F.collect_list(F.array("host", "path", "verdict"))).alias("rules")
+    )
     path = scratch(spark, "url-rules")
     blocks.write.parquet(path)
     host, tail = split_url("u")
-    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("u")).select("key", F.expr(host).alias("host"), F.expr(tail).alias("path"))
+    rows = pages.select(
+        F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("u")
+    ).select("key", F.expr(host).alias("host"), F.expr(tail).alias("path"))
     names = [r[0] for r in spark.read.parquet(path).select("block").collect()]  # block numbers only
     if len(names) > 1:  # several arrays: each judges all rows, the longest rule of a row wins
         rows = rows.withColumn("uid", F.monotonically_increasing_id())
@@ -108,7 +115,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         rows = rows.join(top, "uid", "left")
     else:
         rows = _probed(rows, _rules(spark, path, names[0]) if names else [], ["key", "host", "path"])
-    return rows.select(F.col("key").alias(key), "host", "path", F.col("rank.rule").alias("rule"), F.coalesce(F.col("rank.verdict"), F.lit(default)).alias("verdict"))
+    return rows.select(
+        F.col("key").alias(key), "host", "path", F.col("rank.rule").alias("rule"),
+        F.coalesce(F.col("rank.verdict"), F.lit(default)).alias("verdict")
+    )
 
 
 def _rules(spark, path: str, block: int) -> list:
@@ -124,7 +134,13 @@ def _probed(rows: DataFrame, rules: list, keep: list[str]) -> DataFrame:
         array = DigestArray([tuple(x) for x in shipped.value])
         for b in batches:
             best = _best(array, b.column("host").to_pylist(), b.column("path").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([x and dict(zip(("n", "host_n", "rule", "verdict"), x, strict=True)) for x in best], rank)], names=[*keep, "rank"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(b.column(k) for k in keep),
+                    pa.array([x and dict(zip(("n", "host_n", "rule", "verdict"), x, strict=True)) for x in best], rank)
+                ],
+                names=[*keep, "rank"]
+            )
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", rank struct<n:int,host_n:int,rule:string,verdict:string>"

@@ -45,15 +45,17 @@ def header(revisit: Column, date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     clean = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", uri("id")),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", clean),
+        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID", uri("id")), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", uri("f_id")), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
-        F.lit(CRLF),
+        F.when(
+            revisit,
+            F.concat(
+                line("WARC-Refers-To", uri("f_id")),
+                line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+            )
+        ).otherwise(""),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))), F.lit(CRLF),
     )
 
 
@@ -93,9 +95,14 @@ def parsed(written_records: DataFrame) -> DataFrame:
         field("WARC-Type").alias("record_type"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("named"),
         F.expr("substring(record, length(h) + 5, octet_length(record) - length(h) - 8)").alias("body"),
     )
-    rows = rows.select(num("rid").alias("page_id"), num("ref").alias("refers_to"), "record_type", "named", F.length("body").cast("long").alias("payload_bytes"), F.sha2("body", 256).alias("payload_digest"))
+    rows = rows.select(
+        num("rid").alias("page_id"), num("ref").alias("refers_to"), "record_type", "named",
+        F.length("body").cast("long").alias("payload_bytes"), F.sha2("body", 256).alias("payload_digest")
+    )
     answers = rows.where("record_type = 'response'")
     first = answers.groupBy(F.col("payload_digest").alias("named")).agg(F.max("payload_bytes").alias("payload_bytes"))
     again = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, "named", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return answers.select(*columns).unionByName(again.withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("named"))).select(*columns))
+    return answers.select(*columns).unionByName(
+        again.withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("named"))).select(*columns)
+    )
