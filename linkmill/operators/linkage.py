@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from linkmill.functions import names as N
 from linkmill.functions import similarity as S
 from linkmill.functions import vocab as V
+from linkmill.operators.joins import dealt_join
 from linkmill.operators.ranks import top_per_group
 
 
@@ -83,15 +84,17 @@ def prepared(df: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(members: DataFrame, authors: DataFrame, member_name: str, author_name: str, limit: int | None = 10) -> DataFrame:
-    """Pairs with the same last word and first initial; both sides' columns as m_ and a_.
+    """Pairs with the same last word and first initial; both sides' columns as m_ and a_. A common name is
+    dealt out to several tasks.
 
     limit keeps the best so many of a member, local records first, then by source_rank and id, as the
     lookup that this stands for does; None keeps all. authors has id, is_local and source_rank."""
     m = prepared(members, member_name)
     a = prepared(authors, author_name)
-    m = m.select([F.col(c).alias(f"m_{c}") for c in m.columns])
-    a = a.select([F.col(c).alias(f"a_{c}") for c in a.columns])
-    pairs = m.join(a, (m["m_last"] == a["a_last"]) & (m["m_initial"] == a["a_initial"]))
+    block = F.concat_ws(" ", "last", "initial").alias("_block")
+    m = m.select(block, *[F.col(c).alias(f"m_{c}") for c in m.columns])
+    a = a.select(block, *[F.col(c).alias(f"a_{c}") for c in a.columns])
+    pairs = dealt_join(m, a, "_block", f"m_{member_name}").drop("_block")
     return pairs if limit is None else top_per_group(pairs, [f"m_{member_name}"], [F.desc("a_is_local"), "a_source_rank", "a_id"], limit)
 
 
@@ -374,7 +377,8 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_name: str, right_name:
     l_ = prepared(left, left_name).select(F.col("norm").alias("left_norm"), F.col("last").alias("l")).distinct()
     r_ = prepared(right, right_name).select(F.col("norm").alias("right_norm"), F.col("last").alias("r")).distinct()
     exact = l_.join(r_, F.col("left_norm") == F.col("right_norm")).select("left_norm", "right_norm", F.lit(100.0).alias("score"))
-    rest = l_.join(exact.select("left_norm"), "left_norm", "left_anti").join(r_, F.col("l") == F.col("r"))
+    rest = l_.join(exact.select("left_norm"), "left_norm", "left_anti")
+    rest = dealt_join(rest.withColumnRenamed("l", "last"), r_.withColumnRenamed("r", "last"), "last", "left_norm")
     near = rest.withColumn("score", S.token_set_ratio(F.col("left_norm"), F.col("right_norm"))).where(F.col("score") >= least)
     return exact.unionByName(near.select("left_norm", "right_norm", "score"))
 

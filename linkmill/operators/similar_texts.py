@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key with more rows than this is dealt out to several tasks in a join.
-HOT_ROWS = 2_000
+from linkmill.operators.joins import dealt_join
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,7 +36,7 @@ def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def similarity(weights: DataFrame, key: str, pairs: DataFrame, a: str, b: str, others: DataFrame | None = None) -> DataFrame:
     """pairs (a, b) with their cosine: only terms that both have meet. others has the weights of b, if weights has not."""
-    x = _dealt(pairs, weights.select(F.col(key).alias(a), "term", F.col("weight").alias("wa")), a, b)
+    x = dealt_join(pairs, weights.select(F.col(key).alias(a), "term", F.col("weight").alias("wa")), a, b)
     both = x.join((weights if others is None else others).select(F.col(key).alias(b), "term", F.col("weight").alias("wb")), [b, "term"])
     return both.groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
@@ -64,19 +63,10 @@ def alike(left: DataFrame, right: DataFrame, key: str, a: str, b: str, least: fl
         )
         return rows.where(F.least("part", "most") >= bound).select(side, "term")
 
-    pairs = _dealt(prefix(right, b, a), prefix(left, a, b), "term", b).select(a, b).distinct()
+    pairs = dealt_join(prefix(right, b, a), prefix(left, a, b), "term", b).select(a, b).distinct()
     return similarity(left, key, pairs, a, b, right).where(F.col("cosine") >= least)
 
 
-def _dealt(many: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
-    """The join of both on a column; a value with many rows in `many` goes to several tasks by the hash of `by`."""
-    hot = many.groupBy(on).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    many = many.join(hot, on, "left").withColumn("part_no", F.pmod(F.xxhash64(by), parts)).drop("parts")
-    few = few.join(hot, on, "left").withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
-    return many.join(few, [on, "part_no"]).drop("part_no")
-
-
 def points(cosine, bands: tuple = ((0.35, 15), (0.20, 8))):
     out = F.lit(0)
     for least, p in sorted(bands):

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from linkmill.operators import similar_texts
+from linkmill.operators import joins, similar_texts
 from linkmill.plans import catalog
 
 
@@ -49,7 +49,7 @@ def test_passage_in_fifty_documents(spark, tmp_path):
 
 @pytest.mark.parametrize("least", [0.05, 0.5])
 def test_alike_with_dealt_terms(spark, monkeypatch, least):
-    monkeypatch.setattr(similar_texts, "HOT_ROWS", 7)
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
     texts = corpus()
     w = spark.createDataFrame([(k, t, x) for k, v in vectors(texts).items() for t, x in v.items()], "k string, term string, weight double").cache()
     got = {(r.item, r.doc): r.cosine for r in similar_texts.alike(w.where("k like 'b%'"), w.where("k like 'd%'"), "k", "item", "doc", least).collect()}
