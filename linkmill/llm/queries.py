@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, jaccard, packing, quality, rollup, sharding, substrings, topk, urlfilter, warc
+from linkmill.llm import decontaminate, interaction, jaccard, packing, quality, rollup, sharding, substrings, topk, urlfilter, warc, windows
 from linkmill.llm.common import scratch, written
 from linkmill.llm.tokens import vocabulary
 
@@ -86,6 +86,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_online(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = f"""
 with d as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as n_bytes,
                   ('0x' || substr(md5(coalesce(cast(doc_id as varchar), chr(0) || 'null')), 1, 15))::bigint as h from documents),
@@ -133,6 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_packing": op13_packing,
 }
 
 OP10_SQL = r"""
@@ -171,6 +181,29 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(len(hit), 0)::bigint as n_h
        coalesce(len(hit), 0) > 0 and 20 * coalesce(len(hit), 0) >= len(w) as contaminated from d left join g using (doc_id)
 """
 
+OP12_SQL = r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from t),
+f as (select doc_id, part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+             coalesce(doc_id > min(doc_id) over (partition by t), false) as e from w),
+g as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+m as (select part, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end)
+                 || (case when d then 'D' else '' end) || (case when e then 'E' else '' end) as failed,
+             count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join g using (doc_id) group by 1, 2),
+x(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (select p.l || q.l || r.l || s.l || t.l as o from x p, x q, x r, x s, x t
+      where len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+k as (select part, o, i, substr(o, i, 1) as l, failed, n, good, toxic, failed = '' or not regexp_matches(failed, '[' || substr(o, 1, i) || ']') as stays,
+             i > 1 and regexp_matches(failed, '[' || substr(o, 1, greatest(i - 1, 1)) || ']') as went from m, o, range(1, 6) as s(i)),
+y as (select part, o, i, l, sum(n) filter (stays) as kept, sum(n) filter (contains(failed, l) and not went) as removed,
+             sum(n) filter (contains(failed, l) and went) as redundant, sum(n) filter (failed = l) as unique_fails,
+             sum(good) filter (contains(failed, l) and not went) as good_lost, sum(toxic) filter (contains(failed, l) and not went) as toxic_lost from k group by all)
+select part, o as filter_order, i::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+       coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       coalesce(sum(removed) over (partition by part, l), 0)::bigint as shapley from y
+"""
+
 SQL: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op2_topk_search": OP2_SQL,
@@ -179,4 +212,5 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
