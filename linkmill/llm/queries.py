@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import decontaminate, interaction, jaccard, packing, quality, rollup, sharding, substrings, topk, urlfilter, warc, windows
+from linkmill.llm import decontaminate, interaction, jaccard, packing, quality, rollup, sharding, spelling, substrings, topk, urlfilter, warc, windows
 from linkmill.llm.common import scratch, written
 from linkmill.llm.tokens import vocabulary
 
@@ -86,6 +86,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -141,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
     "op13_packing": op13_packing,
 }
@@ -181,6 +186,25 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(len(hit), 0)::bigint as n_h
        coalesce(len(hit), 0) > 0 and 20 * coalesce(len(hit), 0) >= len(w) as contaminated from d left join g using (doc_id)
 """
 
+OP11_SQL = r"""
+with recursive table256 as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(0, 256) as r(i))),
+r as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
+d as (select doc_id, run, count(*) as n from r where length(run) >= 5 group by 1, 2),
+b as (select run, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from d),
+h as (select run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+                 lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) as h from b, table256),
+w as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 5 group by 1 having sum(n) >= 3),
+k as (select word, n, i, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word as a, b.word as b, b.n as n from k a join k b on a.hole = b.hole and a.word <> b.word
+      union select k.word, v.word, v.n from k join v on k.less = v.word union select v.word, k.word, k.n from k join v on k.less = v.word),
+g as (select a as word, count(*) as n_near, max(n) as best from p group by 1),
+m as (select a as word, min(b) as near from p join g on p.a = g.word and p.n = g.best group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best >= 2 * v.n then near end as form, case when best >= 2 * v.n then best end as form_n from v left join g using (word) left join m using (word)),
+s as (select word, word as at, form as next from f union all select s.word, f.word, f.form from s join f on s.next = f.word)
+select f.word, f.form, s.at as root, f.n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from f join s on s.word = f.word and s.next is null
+"""
+
 OP12_SQL = r"""
 with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from t),
@@ -212,5 +236,6 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
 }
