@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from linkmill.functions import names as N
 from linkmill.functions import similarity as S
 from linkmill.functions import vocab as V
-from linkmill.operators.joins import dealt_join
+from linkmill.operators.grams import contained
+from linkmill.operators.joins import grid_join
 from linkmill.operators.ranks import top_per_group
 
 
@@ -83,19 +84,23 @@ def prepared(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn("initial", F.left("norm", F.lit(1))).where("norm != ''")
 
 
-def candidates(members: DataFrame, authors: DataFrame, member_name: str, author_name: str, limit: int | None = 10) -> DataFrame:
-    """Pairs with the same last word and first initial; both sides' columns as m_ and a_. A common name is
-    dealt out to several tasks.
+def candidates(
+    members: DataFrame, authors: DataFrame, member_name: str, author_name: str, limit: int | None = 10, member_key: str | None = None
+) -> DataFrame:
+    """Pairs with the same last word and first initial; both sides' columns as m_ and a_. A name that is common on
+    either side is dealt out to several tasks.
 
     limit keeps the best so many of a member, local records first, then by source_rank and id, as the
-    lookup that this stands for does; None keeps all. authors has id, is_local and source_rank."""
+    lookup that this stands for does; None keeps all. Members are told apart by member_key, or else by name.
+    authors has id, is_local and source_rank."""
     m = prepared(members, member_name)
     a = prepared(authors, author_name)
     block = F.concat_ws(" ", "last", "initial").alias("_block")
     m = m.select(block, *[F.col(c).alias(f"m_{c}") for c in m.columns])
     a = a.select(block, *[F.col(c).alias(f"a_{c}") for c in a.columns])
-    pairs = dealt_join(m, a, "_block", f"m_{member_name}").drop("_block")
-    return pairs if limit is None else top_per_group(pairs, [f"m_{member_name}"], [F.desc("a_is_local"), "a_source_rank", "a_id"], limit)
+    member = f"m_{member_key or member_name}"
+    pairs = grid_join(m, a, "_block", member, "a_id").drop("_block")
+    return pairs if limit is None else top_per_group(pairs, [member], [F.desc("a_is_local"), "a_source_rank", "a_id"], limit)
 
 
 def without(pairs: DataFrame, blacklist: DataFrame, rejected: DataFrame, member: str, author: str) -> DataFrame:
@@ -378,7 +383,7 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_name: str, right_name:
     r_ = prepared(right, right_name).select(F.col("norm").alias("right_norm"), F.col("last").alias("r")).distinct()
     exact = l_.join(r_, F.col("left_norm") == F.col("right_norm")).select("left_norm", "right_norm", F.lit(100.0).alias("score"))
     rest = l_.join(exact.select("left_norm"), "left_norm", "left_anti")
-    rest = dealt_join(rest.withColumnRenamed("l", "last"), r_.withColumnRenamed("r", "last"), "last", "left_norm")
+    rest = grid_join(rest.withColumnRenamed("l", "last"), r_.withColumnRenamed("r", "last"), "last", "left_norm", "right_norm")
     near = rest.withColumn("score", S.token_set_ratio(F.col("left_norm"), F.col("right_norm"))).where(F.col("score") >= least)
     return exact.unionByName(near.select("left_norm", "right_norm", "score"))
 
@@ -392,11 +397,15 @@ def agreed(a: DataFrame, b: DataFrame, member: str, name: str) -> DataFrame:
 
 
 def split_profiles(members: DataFrame, authors: DataFrame, name: str, own: str, author_name: str) -> DataFrame:
-    """Other local records of a member: same last word, another id, some word with the first initial."""
+    """Other local records of a member: another id, a name that holds the member's last name anywhere (as a word, a part
+    with a hyphen, or inside a word), and, if the member has a first name, some word with its initial.
+
+    Last names meet records through an index of name parts; a last name of many members or records is dealt out."""
     m, a = prepared(members, name), prepared(authors.where("is_local"), author_name)
-    m = m.select(F.col(name).alias("member"), F.col(own).alias("own_id"), "last", "initial")
-    a = a.select(F.col("id").alias("other_id"), "last", F.col("norm").alias("other_norm"))
-    pairs = m.join(a, "last").where(F.col("own_id") != F.col("other_id"))
+    initial = F.when(F.contains("norm", F.lit(" ")), F.col("initial")).otherwise("")
+    m = m.select(F.col(name).alias("member"), F.col(own).alias("own_id"), "last", initial.alias("initial"))
+    found = contained(m, a.select(F.col("id").alias("other_id"), F.col("norm").alias("other_norm")), "last", "other_id", "other_norm")
+    pairs = grid_join(m, found, "last", "own_id", "other_id").where(F.col("own_id") != F.col("other_id"))
     return pairs.where(
         F.exists(F.split("other_norm", " "), lambda t: t.startswith(F.col("initial")))
     ).select("member", "own_id", "other_id", "other_norm")

@@ -623,20 +623,26 @@ def rechecked(spark, sf_dir):
     ).join(again, "k", "left").na.fill(False, ["again"])
 
 
-@query(f"""
-with {PEOPLE}, a as (select c_custkey as id, ['ann', 'bob', 'cleo', 'max'][c_custkey % 4 + 1] as f, 'l' || c_custkey % {N_LAST} as l
-       from customer where c_custkey % 2 = 0)
-select p.key as own_id, a.id as other_id, f || ' ' || l as other_norm from p join a on lower(p.last) = a.l and p.key <> a.id where left(f,
-       1) = lower(left(p.first, 1))
+@query("""
+with m as (select s_suppkey as key, 'l' || s_suppkey as l, case when s_suppkey % 10 = 0 then '' else ['a', 'b', 'c'][s_suppkey % 3 + 1] end as i from supplier),
+x as (select c_custkey as id, ['ann', 'bob', 'cleo', 'max'][c_custkey % 4 + 1] as f, 'l' || c_custkey as l from customer where c_custkey % 2 = 0),
+a as (select id, case id % 10 when 0 then f || ' smith-' || l when 2 then l || ' ' || f when 4 then 'mc' || l || ' ' || f else f || ' ' || l end as n from x)
+select m.key as own_id, a.id as other_id, n as other_norm from m join a on contains(n, m.l) and m.key <> a.id
+where len(list_filter(string_split(n, ' '), lambda z: starts_with(z, m.i))) > 0
 """)
 def other_profiles(spark, sf_dir):
-    first = F.element_at(F.array(*map(F.lit, ["Ann", "Bob", "Cleo", "Max"])), (c("c_custkey") % 4 + 1).cast("int"))
-    a = t(spark, sf_dir, "customer").select(
-        c("c_custkey").alias("id"),
-        F.concat(first, F.lit(" "), prefixed("L", c("c_custkey") % N_LAST)).alias("display_name"),
-        (c("c_custkey") % 2 == 0).alias("is_local")
+    """Suppliers as members, every tenth without a first name; customers as records under several forms of their names."""
+    k, s = c("c_custkey"), c("s_suppkey")
+    first = F.element_at(F.array(*map(F.lit, ["Ann", "Bob", "Cleo", "Max"])), (k % 4 + 1).cast("int"))
+    last = prefixed("L", k)
+    form = F.when(k % 10 == 0, F.concat(first, F.lit(" Smith-"), last)).when(k % 10 == 2, F.concat_ws(" ", last, first))
+    form = form.when(k % 10 == 4, F.concat(F.lit("Mc"), last, F.lit(" "), first)).otherwise(F.concat_ws(" ", first, last))
+    a = t(spark, sf_dir, "customer").select(k.alias("id"), form.alias("display_name"), (k % 2 == 0).alias("is_local"))
+    given = F.element_at(F.array(*map(F.lit, GIVEN)), (s % 3 + 1).cast("int"))
+    m = t(spark, sf_dir, "supplier").select(
+        s.alias("key"), F.concat(F.lit("Dr. "), F.when(s % 10 == 0, "").otherwise(F.concat(given, F.lit(" "))), prefixed("L", s), F.lit(" PhD")).alias("name")
     )
-    return linkage.split_profiles(people(spark, sf_dir), a, "name", "key", "display_name").select("own_id", "other_id", "other_norm")
+    return linkage.split_profiles(m, a, "name", "key", "display_name").select("own_id", "other_id", "other_norm")
 
 
 @query(f"""
