@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The first filter's name is A; a mask's lowest bit is its failure.
@@ -133,9 +134,9 @@ def failure_masks(docs: DataFrame, labels: DataFrame, key: str, text: str, part:
         F.sum("n").alias("n"), F.min("key").alias("least"), F.coalesce(F.min_by("n", "key"), F.lit(0)).alias("n_least"),
         F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("n_null")
     )
-    least = of_text.groupBy("digest").agg(F.min("least").alias("first"))
+    of_text = of_text.withColumn("first", F.min("least").over(W.partitionBy("digest")))  # a text's parts, not its rows
     first = F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0) + F.col("n_null")
-    split = of_text.join(least, "digest").select("part", "mask", "good", "toxic", "n", first.alias("passing"))
+    split = of_text.select("part", "mask", "good", "toxic", "n", first.alias("passing"))
     again = F.explode(F.array(
         F.struct("mask", F.col("passing").alias("n")),
         F.struct((F.col("mask") + (1 << len(own))).alias("mask"), (F.col("n") - F.col("passing")).alias("n"))
