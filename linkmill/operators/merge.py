@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -25,9 +26,23 @@ def keyed_append(new: DataFrame, existing: DataFrame, keys: list[str], order: li
     return existing.unionByName(new_rows(new, existing, keys, order), allowMissingColumns=True)
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], insert: bool = True) -> DataFrame:
-    """base with the listed columns taken from updates where the key matches, nulls too; other keys are inserted."""
-    u = updates.select(*[F.col(c).alias(f"_u_{c}") for c in [*keys, *cols]], F.lit(True).alias("_hit"))
+def one_update(updates: DataFrame, keys: list[str], cols: list[str], order: list | None) -> DataFrame:
+    """One row per key: the last of its rows by `order`, or by the values of the listed columns, as if applied one by one."""
+    return last_by(updates, keys, [x.desc_nulls_last() for x in map(_column, order or cols)])
+
+
+def _column(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def upsert(
+    base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], insert: bool = True, order: list | None = None
+) -> DataFrame:
+    """base with the listed columns taken from updates where the key matches, nulls too; other keys are inserted.
+
+    Of several updates of a key the last counts, by the columns in `order`, or by their values."""
+    u = one_update(updates, keys, cols, order)
+    u = u.select(*[F.col(c).alias(f"_u_{c}") for c in [*keys, *cols]], F.lit(True).alias("_hit"))
     on = reduce(lambda x, y: x & y, [base[k].eqNullSafe(u[f"_u_{k}"]) for k in keys])
     joined = base.withColumn("_old", F.lit(True)).join(u, on, "full" if insert else "left")
     pick = lambda c: F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c))
@@ -40,10 +55,26 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]
     )
 
 
-def fill_missing(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], zero_is_missing: bool = True) -> DataFrame:
-    """Values of updates only where base has null (or 0)."""
-    u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols])
-    gap = lambda c: F.col(c).isNull() | (F.col(c) == 0) if zero_is_missing else F.col(c).isNull()
+def _missing(df: DataFrame, c: str, zero: bool) -> Column:
+    """Whether a value is null, or 0 in a column of numbers."""
+    number = zero and isinstance(df.schema[c].dataType, T.NumericType)
+    return F.col(c).isNull() | (F.col(c) == 0) if number else F.col(c).isNull()
+
+
+def first_values(updates: DataFrame, keys: list[str], cols: list[str], order: list | None, zero_is_missing: bool) -> DataFrame:
+    """Per key and column the first value by order, or the greatest, that is not missing."""
+    given = lambda c: ~_missing(updates, c, zero_is_missing)
+    if not order:
+        return updates.groupBy(*keys).agg(*(F.max(F.when(given(c), F.col(c))).alias(c) for c in cols))
+    by = F.struct(*map(_column, order))
+    return updates.groupBy(*keys).agg(*(F.min_by(F.when(given(c), F.col(c)), F.when(given(c), by)).alias(c) for c in cols))
+
+
+def fill_missing(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], zero_is_missing: bool = True, order: list | None = None) -> DataFrame:
+    """Values of updates only where base has null (or 0). Of several updates of a key the first that has a value gives it,
+    by the columns in `order`, or else the greatest does; values that count as missing give none."""
+    u = first_values(updates, keys, cols, order, zero_is_missing).select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols])
+    gap = lambda c: _missing(base, c, zero_is_missing)
     joined = base.join(u, keys, "left")
     return joined.select(
         *[
@@ -55,7 +86,8 @@ def fill_missing(base: DataFrame, updates: DataFrame, keys: list[str], cols: lis
 
 
 def keep_greatest(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols])
+    """The greatest of base's value and those of all updates of the key."""
+    u = updates.groupBy(*keys).agg(*(F.max(c).alias(c) for c in cols)).select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols])
     return base.join(u, keys, "left").select(*[F.greatest(F.col(c), F.col(f"_u_{c}")).alias(c) if c in cols else F.col(c) for c in base.columns])
 
 
@@ -105,9 +137,11 @@ def restore(current: DataFrame, snapshots: list[DataFrame], keys: list[str], col
 
 
 def rebuilt(stats: DataFrame, backup: DataFrame, key: str, fallback: dict[str, str]) -> DataFrame:
-    """stats with the columns that only the backup has; `fallback` columns take another column where null."""
+    """stats with the columns that only the backup has; `fallback` columns take another column where null.
+
+    Of several backup rows of a key the last counts, by the values of those columns."""
     more = [c for c in backup.columns if c not in stats.columns]
-    out = stats.join(backup.select(key, *more), key, "left")
+    out = stats.join(one_update(backup.select(key, *more), [key], more, None), key, "left") if more else stats
     for c, other in fallback.items():
         out = out.withColumn(c, F.coalesce(c, other))
     return out

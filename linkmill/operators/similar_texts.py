@@ -72,3 +72,35 @@ def points(cosine, bands: tuple = ((0.35, 15), (0.20, 8))):
     for least, p in sorted(bands):
         out = F.when(cosine >= least, p).otherwise(out)
     return out
+
+
+def group_similarity(texts: DataFrame, group: str, place: str, text: str, most: int = 8_000, best_of: int = 5) -> DataFrame:
+    """(group, n_texts, similarity, points): the best cosine of a group's own text, at place 0, with its others, at places
+    1 to best_of. Each group is a corpus of its own.
+
+    Terms are words and pairs of words of two characters or more; the `most` with the highest count in the group are taken,
+    of equals the first. A weight is (1 + ln tf) * (1 + ln((1 + n) / (1 + df))) with n and df of the group. Groups
+    without an own text or without others (null and empty ones are none) are left out; without a common term it is 0.
+    Terms are added up by group and term before a group's rows meet; a group holds best_of + 1 texts at most."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = texts.select(F.col(group).alias("g"), F.col(place).cast("int").alias("i"), low.alias("t")).where(F.col("i").between(0, best_of) & (F.trim("t") != ""))
+    whole = F.count("*").alias("n_texts"), F.max((F.col("i") == 0).cast("int")).alias("own")
+    groups = rows.groupBy("g").agg(*whole).where("own = 1 and n_texts > 1").select("g", "n_texts")
+    words = rows.select("g", "i", F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b))
+    each = words.select("g", "i", F.explode(F.concat("w", pairs)).alias("term"))
+    tf = [F.count_if(F.col("i") == k).alias(f"t{k}") for k in range(best_of + 1)]
+    by_term = each.groupBy("g", "term").agg(F.count("*").alias("total"), *tf)
+    first = Window.partitionBy("g").orderBy(F.desc("total"), "term")
+    by_term = by_term.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most).join(groups, "g")
+    df = sum((F.col(f"t{k}") > 0).cast("int") for k in range(best_of + 1))
+    by_term = by_term.withColumn("idf", 1 + F.log((1 + F.col("n_texts")) / (1 + df)))
+    w = [F.when(F.col(f"t{k}") > 0, (1 + F.log(f"t{k}")) * F.col("idf")).otherwise(0.0) for k in range(best_of + 1)]
+    sums = by_term.select("g", *(x.alias(f"w{k}") for k, x in enumerate(w))).groupBy("g").agg(
+        *(F.sqrt(F.sum(F.col(f"w{k}") * F.col(f"w{k}"))).alias(f"l{k}") for k in range(best_of + 1)),
+        *(F.sum(F.col("w0") * F.col(f"w{k}")).alias(f"d{k}") for k in range(1, best_of + 1))
+    )
+    cosines = [F.when(F.col(f"d{k}") > 0, F.col(f"d{k}") / (F.col("l0") * F.col(f"l{k}"))).otherwise(0.0) for k in range(1, best_of + 1)]
+    best = F.coalesce(F.array_max(F.array(*cosines)), F.lit(0.0))
+    out = groups.join(sums, "g", "left").select(F.col("g").alias(group), "n_texts", best.alias("similarity"))
+    return out.withColumn("points", points(F.col("similarity")))
