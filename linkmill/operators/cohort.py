@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkmill.operators.ranks import quantiles
+from linkmill.operators.ranks import quantiles, top_per_group
 
 c = F.col
 
@@ -107,12 +107,6 @@ def matrix(df: DataFrame, row: str, col: str, k_rows: int, k_cols: int | None =
     return cols.join(F.broadcast(rows)).join(counts, [row, col], "left").na.fill(0, ["n"])
 
 
-def pivoted(long: DataFrame, row: str, col: str, values: list) -> DataFrame:
-    """matrix() as a table with a column per value, and the total, largest first."""
-    out = long.groupBy(row).pivot(col, values).agg(F.sum("n")).na.fill(0)
-    return out.withColumn("total", sum(c(f"`{v}`") for v in values)).orderBy(F.desc("total"), row)
-
-
 def quantile_bands(df: DataFrame, metrics: list[str], points: tuple = (0.25, 0.5, 0.75, 0.95), approximate: bool = False) -> DataFrame:
     """Per metric: n and its quantiles, interpolated; approximate ones need bounded memory."""
     long = df.select(*[c(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
@@ -198,8 +192,6 @@ def experts(df: DataFrame, member: str, topic: str, title: str, citations: str,
 
 def top_terms(df: DataFrame, member: str, terms: str, k: int, sep: str = "\\|", least: int = 3) -> DataFrame:
     """The k most frequent terms of each member, lower case, of some length."""
-    from linkmill.operators.ranks import top_per_group
-
     rows = df.select(
         member, F.explode(F.split(terms, sep)).alias("term")
     ).withColumn("term", F.lower(F.trim("term"))).where(F.length("term") >= least)
@@ -208,8 +200,6 @@ def top_terms(df: DataFrame, member: str, terms: str, k: int, sep: str = "\\|",
 
 def modal(df: DataFrame, by: str, value: str) -> DataFrame:
     """The most frequent value of each group, of several the smallest."""
-    from linkmill.operators.ranks import top_per_group
-
     return top_per_group(df.where(c(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")), [by], [F.desc("n"), value], 1)
 
 
@@ -329,6 +319,17 @@ def grid_figures(df: DataFrame, citations: str, is_open: str) -> DataFrame:
     return df.agg(F.count("*").alias("works"), F.coalesce(F.sum(citations), F.lit(0)).alias("citations"), F.count_if(is_open).alias("open"))
 
 
-def with_members(found: DataFrame, members_: DataFrame, stats: DataFrame, name: str) -> DataFrame:
-    """Search results with each member's columns and figures, one row a member."""
-    return found.join(members_.dropDuplicates([name]), name, "left").join(stats.dropDuplicates([name]), name, "left")
+def with_members(found: DataFrame, members_: DataFrame, stats: DataFrame, name: str, order: list) -> DataFrame:
+    """Search results with each member's columns and figures, one row a member: of several rows of a name in
+    members_ or stats the first by `order`, of columns that both have. Names without a row keep nulls."""
+    first = lambda df: top_per_group(df, [name], order, 1)
+    mine, figures = first(members_), first(stats).drop(*(x for x in members_.columns if x != name))
+    return found.join(mine, name, "left").join(figures, name, "left")
+
+
+def roster_view(df: DataFrame, tiers: tuple = ("HIGH",), state: str | None = None, priority: str | None = None) -> DataFrame:
+    """Members of some tiers (any case), HIGH unless told, of a state and a priority; None and `All` are no filter."""
+    out = df.where(c("tier").isin(*(x.upper() for x in tiers)))
+    for name, value in (("state", state), ("priority", priority)):
+        out = out.where(c(name) == value) if value not in (None, "All", "") else out
+    return out

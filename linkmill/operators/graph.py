@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkmill.functions import vocab as V
+
 #: Members of a work, about, in one part of its join.
 PART = 1_000
 
@@ -56,6 +58,33 @@ def seed_ring(candidates: DataFrame, links: DataFrame, seeds: DataFrame, member:
     ).withColumn("bonus", F.lit(bonus))
 
 
+def promoted(
+    review: DataFrame, ring: DataFrame, member: str, author: str, on: list[str], accept: int = 110, first: int = 5
+) -> DataFrame:
+    """Links under review after the seed ring: total_score and score_verdict with the ring's bonus, tier, accepted, method, note.
+
+    ring: seed_ring() of the authors. A link whose author shares works with a seed gets the bonus, unless the author
+    has works but none of the first topics is of the domain; from `accept` points on it becomes HIGH. Others stay as they
+    are. Needs total_score, score_verdict, tier, accepted, method, works, labels; nulls of figures count as 0."""
+    r = ring.select(F.col("candidate").alias("_c"), F.col("shared_works").alias("_n"), F.col("bonus").alias("_b"))
+    out = review.join(r, review[author] == r["_c"], "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    shares = zero("_n") > 0
+    vetoed = shares & (zero("works") > 0) & (V.count_on(F.col("labels"), on, first) == 0)
+    better = shares & ~vetoed
+    score = zero("total_score") + F.col("_b")
+    high = better & (score >= accept)
+    note = F.when(vetoed, F.concat(F.lit("shared works but no topic of the domain in "), zero("works"), F.lit(" works")))
+    note = note.when(better, F.concat("_n", F.lit(" shared works: "), zero("total_score"), F.lit(" + "), "_b", F.lit(" = "), score))
+    new = {
+        "total_score": F.when(better, score).otherwise(F.col("total_score")),
+        "score_verdict": F.when(better, zero("score_verdict") + F.col("_b")).otherwise(F.col("score_verdict")),
+        "tier": F.when(high, "HIGH").otherwise(F.col("tier")), "accepted": high | F.coalesce("accepted", F.lit(False)),
+        "method": F.when(high, "shared_works").otherwise(F.col("method")), "note": note,
+    }
+    return out.select(*(F.col(x) for x in review.columns if x not in new), *(v.alias(k) for k, v in new.items()))
+
+
 def top_coauthors(works: DataFrame, member: str, names: str, own: str, k: int = 30) -> DataFrame:
     """The k names that stand most often beside each member's in an array of names; names with the own surname are left out."""
     from linkmill.operators.ranks import top_per_group

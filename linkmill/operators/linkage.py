@@ -266,6 +266,13 @@ def graded_tier(score: Column) -> Column:
     return F.when(score >= 85, "HIGH").when(score >= 70, "MEDIUM").otherwise("REJECTED")
 
 
+def graded(pairs: DataFrame, roster_institution: str, institution: str, on: list[str], member: str, rank: str, author: str) -> DataFrame:
+    """The best candidate of each member by the graded model, its institution part included, with the graded tier."""
+    known = pairs.withColumn("in_catalog", institution_match(F.col(roster_institution), F.col(institution)))
+    out = best(scored(known, MODELS["graded"], on), member, rank, author)
+    return out.withColumn("tier", graded_tier(F.col("total_score")))
+
+
 def best(pairs: DataFrame, member: str, rank: str, author: str) -> DataFrame:
     """The candidate with the highest total of each member; ties go to the smaller rank, then id."""
     return top_per_group(pairs, [member], [F.desc("total_score"), rank, author], 1)
@@ -388,12 +395,14 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_name: str, right_name:
     return exact.unionByName(near.select("left_norm", "right_norm", "score"))
 
 
-def agreed(a: DataFrame, b: DataFrame, member: str, name: str) -> DataFrame:
-    """Two sources' best records of a member, and whether their last names agree."""
-    x, y = prepared(a, name).select(member, F.col("norm").alias("first_norm"), F.col("last").alias("x")), prepared(b, name).select(
-        member, F.col("norm").alias("second_norm"), F.col("last").alias("y")
-    )
-    return x.join(y, member).select(member, "first_norm", "second_norm", (F.col("x") == F.col("y")).alias("cross_verified"))
+def agreed(a: DataFrame, b: DataFrame, member: str, name: str, metrics: list[str] | None = None) -> DataFrame:
+    """Two sources' best records of a member, whether their last names agree, and where they do the second source's
+    metrics as second_<name>."""
+    x = prepared(a, name).select(member, F.col("norm").alias("first_norm"), F.col("last").alias("x"))
+    y = prepared(b, name).select(member, F.col("norm").alias("second_norm"), F.col("last").alias("y"), *(F.col(m).alias(f"_{m}") for m in metrics or []))
+    same = F.col("x") == F.col("y")
+    more = [F.when(same, F.col(f"_{m}")).alias(f"second_{m}") for m in metrics or []]
+    return x.join(y, member).select(member, "first_norm", "second_norm", same.alias("cross_verified"), *more)
 
 
 def split_profiles(members: DataFrame, authors: DataFrame, name: str, own: str, author_name: str) -> DataFrame:

@@ -206,8 +206,3 @@ def works_titles(works: DataFrame, author: str, title: str, abstract: str, cites
 
 def catalog_hit(names: Column, institutions: list[str]) -> Column:
     return V.any_inside(names, institutions)
-
-
-def same_last(members: DataFrame, name: str) -> DataFrame:
-    """Members per last word, for a look at blocks before they are joined."""
-    return prepared(members, name).groupBy("last").agg(F.count("*").alias("n"))

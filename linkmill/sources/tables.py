@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,27 +22,40 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8, or ISO-8859-1 where some line isn't UTF-8: one look over the lines, which ends at the first such one."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def latin_files(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """The files of a path, and those of them with a line that isn't UTF-8: one look over the lines."""
+    lines = spark.read.text(path)
+    names = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f")).distinct().collect()  # a row a file
+    plain = lambda uri: unquote(urlsplit(uri).path)
+    bad = {plain(r.f) for r in names}
+    files = lines.inputFiles()
+    return files, [f for f in files if plain(f) in bad]
 
 
 def csv(spark: SparkSession, path: str, schema: str, encoding: str | None = None, strict: bool = False) -> DataFrame:
-    """A CSV table with a header, in UTF-8 or else Latin-1 unless an encoding is given.
+    """A CSV table with a header; each file in UTF-8, or in Latin-1 if it isn't, unless an encoding is given.
 
     A missing path gives an empty table, as does an unreadable one. strict raises for it instead, and fails on
     bad rows and on another header."""
     if not exists(spark, path):
         return empty(spark, schema)
+
+    def read(paths: str | list[str], encoding: str) -> DataFrame:
+        reader = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+        return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("enforceSchema", not strict).csv(paths)
+
+    if encoding:
+        return read(path, encoding)
     try:
-        encoding = encoding or encoding_of(spark, path)
+        files, latin = latin_files(spark, path)
     except PySparkException:
         if strict:
             raise
         return empty(spark, schema)
-    reader = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
-    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("enforceSchema", not strict).csv(path)
+    if len(latin) in (0, len(files)):
+        return read(path, "ISO-8859-1" if latin else "UTF-8")
+    plain = lambda some: [unquote(f) for f in some]
+    return read(plain(f for f in files if f not in set(latin)), "UTF-8").unionByName(read(plain(latin), "ISO-8859-1"))
 
 
 def texts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from linkmill.plans import catalog, lookups, records
+from linkmill.plans import catalog, lookups, records, steps
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,7 +29,7 @@ def shape(columns, rows):
     return [columns[i] for i in order], sorted((tuple(cell(row[i]) for i in order) for row in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES | records.QUERIES | lookups.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | records.QUERIES | lookups.QUERIES | steps.QUERIES))
 def test_query(spark, con, name):
     got = catalog.QUERIES[name](spark, SF)
     rows = got.collect()
