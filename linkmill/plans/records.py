@@ -17,7 +17,13 @@ from linkmill.sources import tables
 
 c = F.col
 ID = "https://openalex.org/"
-GIVEN, N_LAST = ["Ann", "Bob", "Cleo"], 40
+GIVEN = ["Ann", "Bob", "Cleo"]
+#: Surnames: one for each three suppliers, so that a name's bearers don't grow with the table.
+N_LAST = "(select greatest(3, count(*) // 3) from supplier)"
+
+
+def n_last(spark: SparkSession, sf_dir: str) -> int:
+    return max(3, t(spark, sf_dir, "supplier").count() // 3)
 
 
 def landed(df: DataFrame) -> str:
@@ -200,7 +206,7 @@ def award_rows(spark, sf_dir):
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under names of persons: key, name, and the first and last name."""
     k = c("s_suppkey")
-    first, last = F.element_at(F.array(*map(F.lit, GIVEN)), (k % 3 + 1).cast("int")), prefixed("L", k % N_LAST)
+    first, last = F.element_at(F.array(*map(F.lit, GIVEN)), (k % 3 + 1).cast("int")), prefixed("L", k % n_last(spark, sf_dir))
     return t(spark, sf_dir, "supplier").select(
         k.alias("key"), F.concat(F.lit("Dr. "), first, F.lit(" "), last, F.lit(" PhD")).alias("name"),
         first.alias("first"), last.alias("last")
@@ -233,7 +239,7 @@ def study_rows(spark, sf_dir):
         "lines",
         lambda x: F.struct(
             F.concat(
-                prefixed("L", x["l_suppkey"] % N_LAST), F.lit(", "), initial(x["l_partkey"]), F.lit(".")
+                prefixed("L", x["l_suppkey"] % n_last(spark, sf_dir)), F.lit(", "), initial(x["l_partkey"]), F.lit(".")
             ).alias("name"),
             F.when(x["l_linenumber"] % 2 == 0, prefixed("R", x["l_partkey"])).alias("role"),
             prefixed("R", x["l_partkey"]).alias("officialRole")
@@ -266,8 +272,8 @@ def study_rows(spark, sf_dir):
 
 
 @query("""
-with m as (select distinct o_custkey as name, o_orderkey % 500 as trial_id from orders),
-t as (select o_orderkey as trial_id, o_orderstatus as status from orders where o_orderkey < 400),
+with m as (select distinct o_custkey as name, o_orderkey as trial_id from orders),
+t as (select o_orderkey as trial_id, o_orderstatus as status from orders where o_orderstatus <> 'P'),
 a as (select l_orderkey as trial_id, string_agg(distinct l_returnflag, '|' order by l_returnflag) as conditions from lineitem
      where l_orderkey % 2 = 0 group by 1),
 b as (select l_orderkey as trial_id, string_agg(distinct l_linestatus, '|' order by l_linestatus) as interventions from lineitem
@@ -277,8 +283,8 @@ select m.name, trial_id, status, coalesce(conditions, '') as conditions, coalesc
 """)
 def trial_rows(spark, sf_dir):
     o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
-    matches = o.select(c("o_custkey").alias("name"), (c("o_orderkey") % 500).alias("trial_id"))
-    trials = o.where("o_orderkey < 400").select(c("o_orderkey").alias("trial_id"), c("o_orderstatus").alias("status"))
+    matches = o.select(c("o_custkey").alias("name"), c("o_orderkey").alias("trial_id"))
+    trials = o.where("o_orderstatus != 'P'").select(c("o_orderkey").alias("trial_id"), c("o_orderstatus").alias("status"))
     conditions = li.where("l_orderkey % 2 = 0").select(c("l_orderkey").alias("trial_id"), c("l_returnflag").alias("condition"))
     return flatten.trial_rows(
         matches, trials, conditions,
@@ -461,14 +467,14 @@ def name_parts(spark, sf_dir):
 
 @query(f"""
 with {PEOPLE}, x as (select *, row_number() over (order by key) % 7 as z from p), y as (select a.key as a, b.key as b, a.first as fa,
-       b.first as fb, a.last as la, b.last as lb from x a join x b on a.key < b.key and a.key % 10 = b.key % 10)
+       b.first as fb, a.last as la, b.last as lb from x a join x b on a.key < b.key and a.key // 10 = b.key // 10)
 select a, b, la = lb and left(fa, 1) = left(fb, 1) as gate, fa = fb as overlap from y
 """)
 def name_gates(spark, sf_dir):
-    """Pairs of suppliers whose keys end in the same digit."""
-    p = people(spark, sf_dir).withColumn("digit", c("key") % 10)
-    q = p.select("digit", c("key").alias("b"), c("name").alias("other"))
-    pairs = p.join(q, "digit").where("key < b")
+    """Pairs of suppliers of the same ten."""
+    p = people(spark, sf_dir).withColumn("ten", F.floor(c("key") / 10))
+    q = p.select("ten", c("key").alias("b"), c("name").alias("other"))
+    pairs = p.join(q, "ten").where("key < b")
     norm = N.normalise_name
     return pairs.select(
         c("key").alias("a"), "b", N.names_gate(norm(c("name")), norm(c("other"))).alias("gate"),
@@ -497,15 +503,16 @@ def member_flags(spark, sf_dir):
 
 
 def link_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers (members) and the suppliers with the same key modulo 40 (authors), with a score."""
-    m = t(spark, sf_dir, "customer").select(c("c_custkey").alias("member"), (c("c_custkey") % 40).alias("slot"))
-    a = t(spark, sf_dir, "supplier").select(c("s_suppkey").alias("author"), (c("s_suppkey") % 40).alias("slot"))
+    """Customers (members) and the suppliers of the same slot (authors), some four of a slot at any size, with a score."""
+    slots = max(1, t(spark, sf_dir, "supplier").count() // 4)
+    m = t(spark, sf_dir, "customer").select(c("c_custkey").alias("member"), (c("c_custkey") % slots).alias("slot"))
+    a = t(spark, sf_dir, "supplier").select(c("s_suppkey").alias("author"), (c("s_suppkey") % slots).alias("slot"))
     return m.join(a, "slot").select("member", "author", ((c("member") * 7 + c("author") * 13) % 90).cast("int").alias("total_score"))
 
 
 PAIRS = """
 pairs as (select c_custkey as member, s_suppkey as author, ((c_custkey * 7 + s_suppkey * 13) % 90)::int as total_score from customer
-    join supplier on c_custkey % 40 = s_suppkey % 40)
+    join supplier on c_custkey % (select greatest(1, count(*) // 4) from supplier) = s_suppkey % (select greatest(1, count(*) // 4) from supplier))
 """
 
 
@@ -668,7 +675,7 @@ def orcid_first(spark, sf_dir):
     k = c("c_custkey")
     a = t(spark, sf_dir, "customer").select(
         k.alias("id"), F.when(k % 3 == 0, prefixed(" https://orcid.org/O", k % 60)).alias("orcid"),
-        F.concat(first, F.lit(" "), prefixed("L", k % N_LAST)).alias("display_name"), F.lit(True).alias("is_local"),
+        F.concat(first, F.lit(" "), prefixed("L", k % n_last(spark, sf_dir))).alias("display_name"), F.lit(True).alias("is_local"),
         F.lit(0).alias("source_rank")
     )
     m = people(spark, sf_dir).withColumn("orcid", prefixed("O", c("key")))
@@ -954,13 +961,13 @@ def scanned(spark, sf_dir):
 @query(
     """
     select user_id::varchar as k, (event_id % 100)::int as n, null::varchar as message from events
-        where event_id % 7 <> 0 and event_id < 2000 union all select event_id::varchar, null, 'bad JSON' from events
-        where event_id % 7 = 0 and event_id < 2000
+        where event_id % 7 <> 0 union all select event_id::varchar, null, 'bad JSON' from events
+        where event_id % 7 = 0
     """
 )
 def landed_json(spark, sf_dir):
     """Keyed JSON lines, of which the broken ones go to an error log, written twice and logged once."""
-    e = t(spark, sf_dir, "events").where("event_id < 2000")
+    e = t(spark, sf_dir, "events")
     whole = F.to_json(F.create_map(text(c("user_id")), F.struct((c("event_id") % 100).cast("int").alias("n"))))
     lines = e.select("event_id", F.when(c("event_id") % 7 == 0, F.lit("{broken")).otherwise(whole).alias("value"))
     place = shared(spark)
@@ -1119,7 +1126,7 @@ with w as (select o_orderkey as work, o_custkey as k, year(o_orderdate)::int as
 select 'export' as what, k, year, topic, count(*) as n from w where o_year(year) group by 2, 3, 4
 """.replace("o_year(year)", "year >= 1994") + """
 union all select 'mine', k, year, topic, work from w where k = 5 union all select 'found', k, year, topic, work from w
-     where contains(lower(topic), 'urgent') and k < 50
+     where contains(lower(topic), 'urgent')
 union all select 'grid', null, null, 'works', count(*) from w union all select 'grid', null, null, 'citations', sum(citations)::bigint
      from w union all select 'grid', null, null, 'open', count_if(oa) from w
 """)
@@ -1134,7 +1141,7 @@ def works_views(spark, sf_dir):
     ).select(F.lit("export").alias("what"), "k", "year", "topic", "n")
     own = cohort.of_member(w, "k", 5).select(F.lit("mine").alias("what"), "k", "year", "topic", c("work").alias("n"))
     index = w.select("work", cohort.search_text("topic").alias("s"))
-    found = cohort.works_of_hits(w, cohort.text_search(index, ["s"], "Urgent"), "work").where("k < 50").select(
+    found = cohort.works_of_hits(w, cohort.text_search(index, ["s"], "Urgent"), "work").select(
         F.lit("found").alias("what"), "k", "year", "topic", c("work").alias("n")
     )
     grid = cohort.grid_figures(w, "citations", "oa").unpivot([], ["works", "citations", "open"], "topic", "n")
@@ -1156,7 +1163,7 @@ def work_owners(spark, sf_dir):
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    "l_linenumber", F.concat(initial, F.lit(". "), prefixed("L", c("l_suppkey") % N_LAST)).alias("name")
+                    "l_linenumber", F.concat(initial, F.lit(". "), prefixed("L", c("l_suppkey") % n_last(spark, sf_dir))).alias("name")
                 )
             )
         ).alias("x")
