@@ -198,8 +198,8 @@ def pack(
 ) -> DataFrame:
     """Per piece of each document: key, piece, start, length, ids_crc32, ids (with_ids), sequence_id, offset.
 
-    Sequences hold at most limit tokens, each filled from 0 without gaps; tests find as few as best fit,
-    longest first, needs, or 0.1 % more. Rows with equal or null keys are documents of their own. An
+    Sequences hold at most limit tokens, each filled from 0 without gaps; tests find at most 0.5 % and one more than
+    best fit, longest first, needs. Rows with equal or null keys are documents of their own. An
     empty table gives no pieces.
     """
     spark = docs.sparkSession

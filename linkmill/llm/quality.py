@@ -15,7 +15,7 @@ PASSAGE_WORDS = 64
 WORD_BINS = 64
 #: Labelled documents, at most, that the model is fitted on: those first by a hash of their id.
 SAMPLE = 4_000
-#: Passages, at most, that these documents may have together: the sample ends before the one that exceeds it.
+#: Passages, at most, that these documents may have together: one that doesn't fit what is left is passed over.
 SAMPLE_PASSAGES = 80_000
 FEATURES = 128 + 8 + WORD_BINS
 
@@ -133,6 +133,27 @@ class GatedAttention:
         return self
 
 
+def within_bound(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """The keys, of (key, label, passages) in their order, that together have `most` passages at most.
+
+    The smallest document of each label comes first, so that both are there; one that doesn't fit what is left is passed
+    over, and those after it are still looked at."""
+    smallest = [min((x for x in sizes if x[1] == y), key=lambda x: x[2], default=None) for y in (0, 1)]
+    if None in smallest:
+        return []
+    if sum(x[2] for x in smallest) > most:
+        raise ValueError(f"no document of each label fits {most} passages: raise most_passages")
+    first, left = {x[0] for x in smallest}, most - sum(x[2] for x in smallest)
+    kept = []
+    for key, _, n in sizes:
+        if key in first:
+            kept.append(key)
+        elif n <= left:
+            kept.append(key)
+            left -= n
+    return kept
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     sample: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES
@@ -140,8 +161,9 @@ def fit(
     """A model's parameters, learnt from at most `sample` labelled rows that are not held out.
 
     Labels of rows with several different ones, or none, are left out. The sample is the rows first
-    by a hash of the id, all passages of each, as long as they have at most most_passages together; it is
-    fitted in one task, since it is bounded. Without both labels the model scores all documents alike.
+    by a hash of the id, all passages of each, as far as they have at most most_passages together (within_bound());
+    it is fitted in one task, since it is bounded. Of a repeated id the first text in order counts. Without both labels
+    there is nothing to learn and all documents get one score; if no document of each label fits, it raises.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("k")).agg(
         F.min(label).alias("lo"), F.max(label).alias("hi")
@@ -172,13 +194,8 @@ def fit(
 
     features = written(bounded_batches(rows).select("k", "y", "text").mapInArrow(thrifty(encoded), "k long, y int, x binary"), "features")
     n = (F.length("x") / (4 * FEATURES)).cast("long")
-    sizes = features.select("k", n).orderBy(F.xxhash64("k"), "k").collect()  # a number for each row of the sample
-    total, kept = 0, []
-    for k, size in sizes:
-        if (total := total + size) > most_passages:
-            break
-        kept.append((k,))
-    kept = docs.sparkSession.createDataFrame(kept, "k long")
+    sizes = features.select("k", "y", n).orderBy(F.xxhash64("k"), "k").collect()  # a number for each row of the sample
+    kept = docs.sparkSession.createDataFrame([(k,) for k in within_bound(sizes, most_passages)], "k long")
     parts = features.join(F.broadcast(kept), "k").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
         trained, "name string, values array<double>"
     ).collect()  # a few thousand numbers

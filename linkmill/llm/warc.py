@@ -18,7 +18,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     bytes (none for null), lies under its SHA-256. Of the records with equal payloads of at least 100
     bytes, that with the smallest key is a response and the others are revisits that refer to it;
     smaller payloads are all responses. Rows that repeat both key and payload of a response are responses
-    too. Null keys sort first and are written as empty; null urls as empty. A header's lines end at CR LF, so
+    too. Null keys sort last (of records that share a payload, one without a key revisits the smallest key that there
+    is) and are written as empty; null urls as empty. A header's lines end at CR LF, so
     these two characters of a url are written as %0D and %0A. date is the records' WARC-Date, by default now.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")

@@ -354,6 +354,13 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.parsed(warc.records(warc.read_archive(spark, str(tmp_path / "b")))).count() == 0
 
 
+def test_a_page_without_an_id_revisits_the_smallest_id(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "x" * 200), (7, "u", "x" * 200), (5, "u", "x" * 200), (None, "u", "y" * 200)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = warc.parsed(warc.records(warc.read_archive(spark, str(tmp_path / "a")))).select("page_id", "record_type", "refers_to")
+    assert rows(got) == sorted([(None, "revisit", 5), (7, "revisit", 5), (5, "response", None), (None, "response", None)], key=str)
+
+
 # Classifier
 
 
@@ -401,16 +408,31 @@ def test_classifier_edges(spark, odd, none):
     assert all(0 <= x["score"] <= 1 for x in quality.score(odd, trained, ["doc_id"]).collect())
 
 
-def test_all_passages_of_a_labelled_document_are_fitted(spark, monkeypatch):
-    """The sample ends by whole documents; a long document keeps all its passages."""
-    seen = []
-    monkeypatch.setattr(quality.GatedAttention, "fit", lambda self, x, count, label: seen.append(count.tolist()) or self)
-    data = [(i, "w " * 64 * n) for i, n in enumerate((40, 1, 2, 3, 50, 4))]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").where(~quality.held_out(F.col("doc_id")))
-    kept = {x["doc_id"] for x in labels.collect()}
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    quality.fit(df, labels)
-    assert not seen or sorted(seen[0]) == sorted(n for i, n in enumerate((40, 1, 2, 3, 50, 4)) if i in kept)
+def test_the_sample_passes_over_what_does_not_fit():
+    sizes = [(1, 0, 40), (2, 1, 1), (3, 0, 2), (4, 1, 3), (5, 1, 50), (6, 0, 4)]
+    assert quality.within_bound(sizes, 100) == [1, 2, 3, 4, 5, 6]
+    assert quality.within_bound(sizes, 50) == [1, 2, 3, 4, 6]
+    assert quality.within_bound(sizes, 11) == [2, 3, 4, 6]  # the first by order is too large, later ones follow
+    assert quality.within_bound(sizes, 3) == [2, 3]
+    with pytest.raises(ValueError, match="most_passages"):
+        quality.within_bound(sizes, 2)
+    assert quality.within_bound([(1, 0, 1), (2, 0, 1)], 10) == []
+
+
+def test_one_text_over_the_bound_leaves_the_model_as_it_is(spark):
+    r = random.Random(8)
+    data = [(i, " ".join(r.choices(["good", "fine", "well"] if i % 2 else ["bad", "junk", "spam"], k=r.randint(5, 40)))) for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    plain = quality.fit(docs, known, most_passages=500)
+    assert plain
+    for huge in range(100, 104):  # wherever its id comes by hash
+        more = docs.unionByName(spark.createDataFrame([(huge, "bad " * 64 * 600)], "doc_id long, text string"))
+        got = quality.fit(more, known.unionByName(spark.createDataFrame([(huge, 0)], "doc_id long, quality int")), most_passages=500)
+        assert all(np.array_equal(got[k], v) for k, v in plain.items())
+    scores = {x["doc_id"]: x["score"] for x in quality.score(docs, plain, ["doc_id"]).collect()}
+    assert all((scores[i] > 0.5) == bool(y) for i, y in labels)
 
 
 # Decontamination
