@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from linkmill.llm.tokens import encoder
 DIMS = ["source", "lang", "tokenizer_version"]
 #: Folders of records by a hash of the document's id; fixed for the life of a rollup.
 BUCKETS = 64
+#: Batches after which their records are summed up into one base.
+COMPACT_AFTER = 16
 
 
 def token_counts(docs: DataFrame, path: str, version: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,10 +43,13 @@ class Rollup:
     after B; commits: the marks that make batches count, written last. A batch that broke off leaves no
     mark; its folders are overwritten when it comes again. A batch with a mark is skipped. One writer at a
     time. A batch reads the records of the hash buckets that its documents fall into, and the last totals.
+    base/upto=N: the sums of the records of the first N batches, marked in `bases`; from then on these batches'
+    records are not read. It is made after every compact_after batches, so a batch reads its buckets
+    of one base and of fewer batches than that, however long the history.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER):
+        self.spark, self.root, self.buckets, self.compact_after = spark, root, buckets, compact_after
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,9 +94,7 @@ class Rollup:
         )
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
         touched = [r[0] for r in last.select(bucket("k")).distinct().collect()]  # numbers below `buckets`
-        held = self._read("records", done, self.RECORD).where(F.col("bucket").isin(touched) if touched else F.lit(False)).groupBy("doc_id", *DIMS).agg(
-            F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
-        ).where("docs > 0")
+        held = self._held(done, F.col("bucket").isin(touched) if touched else F.lit(False))
         same = F.col("doc_id").eqNullSafe(F.col("k")) & F.col("tokenizer_version").eqNullSafe(F.col("v"))
         minus = held.join(last.select("k", "v"), same, "left_semi").select(
             "doc_id", *DIMS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")
@@ -111,8 +114,33 @@ class Rollup:
         after.write.mode("overwrite").parquet(f"{self.root}/totals/batch={batch}")
         mark = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(len(done)).alias("nth"))
         mark.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        if len(done) + 1 - self.base() >= self.compact_after:
+            self.compact()
         return True
 
+    def base(self) -> int:
+        """How many of the first batches the last base stands for."""
+        if not self._exists(f"{self.root}/bases"):
+            return 0
+        return self.spark.read.schema("upto int").parquet(f"{self.root}/bases").agg(F.max("upto")).first()[0] or 0
+
+    def _held(self, done: list[int], which: Column) -> DataFrame:
+        """doc_id, dimensions, docs, tokens of the documents that the batches leave, in some buckets."""
+        upto = self.base()
+        rows = self._read("records", done[upto:], self.RECORD)
+        if upto:
+            schema = T.StructType.fromDDL(self.RECORD)
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/base/upto={upto}").select(*schema.names))
+        sums = rows.where(which).groupBy("doc_id", *DIMS, "bucket").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.where("docs > 0").select("doc_id", *DIMS, "docs", "tokens", "bucket")
+
+    def compact(self) -> None:
+        """Sums up the records of all committed batches as a new base; its mark is written last."""
+        done = self.committed()
+        rows = self._held(done, F.lit(True))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/base/upto={len(done)}")
+        self.spark.createDataFrame([(len(done),)], "upto int").coalesce(1).write.mode("append").parquet(f"{self.root}/bases")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens after the last batch; groups without documents are left out."""
         return self._read("totals", self.committed()[-1:], self.TOTAL)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
+import os
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from linkmill.llm.common import bounded_batches, scratch, written
 
 #: Most bytes of rules that one array may hold; more rules go to more arrays.
 BLOCK_BYTES = 64 << 20
+STRINGS = pa.schema([("host", pa.string()), ("path", pa.string()), ("verdict", pa.string())])
 
 
 def split_url(url: str):
@@ -25,31 +29,36 @@ def split_url(url: str):
     return host, path
 
 
+def digests_of(keys: list[bytes]) -> np.ndarray:
+    """The 64-bit xxhash of each key, as Spark's xxhash64 function gives it for a string."""
+    return np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys)).view(np.int64)
+
+
 class DigestArray:
-    """Rules by the xxhash64 of host + "\\n" + path: the digests ascending, memory-mapped, and the strings."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        keys = [f"{h}\n{p}".encode() for h, p, _ in rules]
-        d = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-        order = np.argsort(d, kind="stable")
-        self.rules = [(keys[i], *rules[i]) for i in order]
-        self.lengths = sorted({len(p) for _, p, _ in rules})
-        with tempfile.NamedTemporaryFile(suffix=".u64") as f:  # unlinked at once; the mapping keeps it
-            f.write(d[order].tobytes() or b"\0" * 8)
-            f.flush()
-            self.digests = np.memmap(f.name, np.uint64, "r")[: len(d)]
+    """Rules in the ascending order of the xxhash64 of host + "\n" + path: digests and strings, both memory-mapped files."""
+
+    def __init__(self, digests: str, strings: str):
+        n = os.path.getsize(digests) // 8
+        self.digests = np.memmap(digests, np.int64, "r") if n else np.empty(0, np.int64)
+        self.rules = pa.ipc.open_file(pa.memory_map(strings)).read_all() if n else STRINGS.empty_table()
+        self.lengths = sorted(pc.unique(pc.utf8_length(self.rules["path"])).to_pylist())
+
+        self.rule = lru_cache(1 << 16)(self._rule)
+
+    def _rule(self, i: int) -> tuple[str, str, str]:
+        return tuple(self.rules[c][i].as_py() for c in ("host", "path", "verdict"))
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """The place of each key, or -1: a binary search over digests, confirmed on the stored strings."""
-        d = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+        d = digests_of(keys)
         at = np.searchsorted(self.digests, d)
         out = np.full(len(keys), -1)
         for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == d) if len(self.digests) else ():
             j = at[i]
-            while j < len(self.rules) and self.digests[j] == d[i]:  # a run of equal digests is searched to its end
-                if self.rules[j][0] == keys[i]:
+            while j < len(self.digests) and self.digests[j] == d[i]:  # a run of equal digests is searched to its end
+                host, path, verdict = self.rule(j)
+                if f"{host}\n{path}".encode() == keys[i] and (out[i] < 0 or verdict == "block"):
                     out[i] = j
-                    break
                 j += 1
         return out
 
@@ -69,7 +78,7 @@ def _best(array: DigestArray, hosts: list[str], paths: list[str]):
     best: list = [None] * len(hosts)
     for i, j in zip(owner, array.find(keys), strict=True):
         if j >= 0:
-            _, h, p, verdict = array.rules[j]
+            h, p, verdict = array.rule(j)
             rank = (len(h) + len(p), len(h), h + p, verdict)
             if best[i] is None or rank > best[i]:
                 best[i] = rank
@@ -87,51 +96,64 @@ def judge_urls(
     long ones the one with the longer host, then `block`. Without a rule the verdict is `default`.
     Rules without a host fit nothing. Null urls and urls without `://` have an empty host and path.
 
-    The rules are written once to the shared folder in blocks of at most block_bytes, each a row with
-    the rules of one array; a task loads one block at a time, so neither driver nor task holds all.
+    Spark hashes and sorts the rules and writes them to the shared folder in blocks of at most block_bytes. A block
+    becomes two files there, of digests and of strings, in the order of the digests; each executor fetches them once and its
+    tasks map them into memory, so none parses or sorts rules, and neither driver nor task holds more than a block.
     """
     spark = pages.sparkSession
     total = rules.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_bytes))
     cells = rules.where("host is not null and path is not null and verdict is not null and host != ''").dropDuplicates(["host", "path", "verdict"])
-    blocks = cells.groupBy(F.pmod(F.xxhash64("host", "path"), F.lit(n_blocks)).alias("block")).agg(
-        F.to_json(F.collect_list(F.array("host", "path", "verdict"))).alias("rules")
-    )
+    digest = F.xxhash64(F.concat_ws("\n", "host", "path"))
+    cells = cells.select(F.pmod(digest, F.lit(n_blocks)).alias("block"), digest.alias("digest"), "host", "path", "verdict")
     path = scratch(spark, "url-rules")
-    blocks.write.parquet(path)
+    cells.repartition("block").sortWithinPartitions("block", "digest").write.partitionBy("block").parquet(path)
+    stored = spark.read.schema("digest long, host string, path string, verdict string, block long").parquet(path)
     host, tail = split_url("u")
     rows = pages.select(
         F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("u")
     ).select("key", F.expr(host).alias("host"), F.expr(tail).alias("path"))
-    names = [r[0] for r in spark.read.parquet(path).select("block").collect()]  # block numbers only
+    names = [r[0] for r in stored.select("block").distinct().collect()]  # block numbers only
     if len(names) > 1:  # several arrays: each judges all rows, the longest rule of a row wins
         rows = rows.withColumn("uid", F.monotonically_increasing_id())
         rows = written(rows, "urls")
         parts = None
         for b in names:
-            part = _probed(rows, _rules(spark, path, b), ["uid"])
+            part = _probed(rows, mapped_block(stored, b, path), ["uid"])
             parts = part if parts is None else parts.unionByName(part)
         top = parts.groupBy("uid").agg(F.max("rank").alias("rank"))
         rows = rows.join(top, "uid", "left")
     else:
-        rows = _probed(rows, _rules(spark, path, names[0]) if names else [], ["key", "host", "path"])
+        rows = _probed(rows, mapped_block(stored, names[0] if names else 0, path), ["key", "host", "path"])
     return rows.select(
         F.col("key").alias(key), "host", "path", F.col("rank.rule").alias("rule"),
         F.coalesce(F.col("rank.verdict"), F.lit(default)).alias("verdict")
     )
 
 
-def _rules(spark, path: str, block: int) -> list:
-    """One block's rules: at most block_bytes, by the way they were dealt out."""
-    return json.loads(spark.read.parquet(path).where(F.col("block") == block).first()["rules"])
-
-
-def _probed(rows: DataFrame, rules: list, keep: list[str]) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(rules)
+def mapped_block(stored: DataFrame, block: int, path: str) -> str:
+    """Writes one block's files to the shared folder and lets executors fetch them; gives the name without ending."""
+    spark = stored.sparkSession
+    rows = stored.where(F.col("block") == block).sort("digest").select("digest", "host", "path", "verdict").toArrow()  # block_bytes at most
+    strings = pa.BufferOutputStream()
+    with pa.ipc.new_file(strings, STRINGS) as f:
+        f.write_table(rows.select(STRINGS.names).cast(STRINGS))
+    name = f"rules-{uuid.uuid4().hex}"
+    digests = np.asarray(rows["digest"].to_numpy(), np.int64).tobytes()
+    for ending, content in (("u64", digests), ("arrow", strings.getvalue().to_pybytes())):
+        to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-files/{name}.{ending}")
+        out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+        out.write(bytearray(content))
+        out.close()
+        spark.sparkContext.addFile(f"{path}-files/{name}.{ending}")
+    return name
+
+
+def _probed(rows: DataFrame, name: str, keep: list[str]) -> DataFrame:
     rank = pa.struct([("n", pa.int32()), ("host_n", pa.int32()), ("rule", pa.string()), ("verdict", pa.string())])
 
     def probe(batches):
-        array = DigestArray([tuple(x) for x in shipped.value])
+        array = DigestArray(SparkFiles.get(f"{name}.u64"), SparkFiles.get(f"{name}.arrow"))
         for b in batches:
             best = _best(array, b.column("host").to_pylist(), b.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays(

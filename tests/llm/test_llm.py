@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,9 +112,10 @@ def test_nearest_against_brute_force(spark):
 # Token counts
 
 
-def test_rollup_is_additive_and_idempotent(spark, tmp_path):
+@pytest.mark.parametrize("compact_after", [16, 1, 2])
+def test_rollup_is_additive_and_idempotent(spark, tmp_path, compact_after):
     schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, seq int"
-    roll = rollup.Rollup(spark, str(tmp_path / "r"))
+    roll = rollup.Rollup(spark, str(tmp_path / "r"), compact_after=compact_after)
     first = spark.createDataFrame([(1, "a", "en", "v", 5, 0), (2, "a", "en", "v", 7, 0), (2, "a", "en", "v", 8, 1), (None, None, "de", "v", 1, 0)], schema)
     second = spark.createDataFrame([(1, None, None, "v", None, 0), (2, "b", "en", "v", 9, 0), (9, None, None, "v", None, 0)], schema)
     assert roll.totals().count() == 0
@@ -125,6 +127,19 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     broken.write.mode("overwrite").partitionBy("bucket").parquet(str(tmp_path / "r/records/batch=3"))
     assert roll.commit(3, spark.createDataFrame([], schema)) is True
     assert rows(roll.totals()) == [("b", "en", "v", 1, 9), (None, "de", "v", 1, 1)]
+    assert roll.base() == {16: 0, 1: 3, 2: 2}[compact_after]
+    assert roll.commit(4, spark.createDataFrame([(2, "b", "en", "v", 4, 0), (1, "a", "en", "v", 1, 0)], schema)) is True
+    assert rows(roll.totals()) == [("a", "en", "v", 1, 1), ("b", "en", "v", 1, 4), (None, "de", "v", 1, 1)]
+
+
+def test_a_batch_reads_one_base_and_the_batches_after_it(spark, tmp_path):
+    schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, seq int"
+    roll = rollup.Rollup(spark, str(tmp_path / "r"), compact_after=3)
+    for b in range(5):
+        roll.commit(b, spark.createDataFrame([(i, "s", "l", "v", i + b, 0) for i in range(20)], schema))
+    files = roll._held(roll.committed(), F.lit(True)).inputFiles()
+    assert {f.split("/r/")[1].split("/bucket=")[0] for f in files} == {"base/upto=3", "records/batch=3", "records/batch=4"}
+    assert rows(roll.totals()) == [("s", "l", "v", 20, sum(i + 4 for i in range(20)))]
 
 
 def test_token_counts_query(spark):
@@ -226,10 +241,42 @@ def test_urls_in_blocks_and_edges(spark):
     assert {x["verdict"] for x in urlfilter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-def test_equal_digests_are_confirmed(monkeypatch):
-    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda key: 5)
-    a = urlfilter.DigestArray([("a", "/", "block"), ("b", "/", "allow")])
-    assert [a.rules[i][1] if i >= 0 else None for i in a.find([b"b\n/", b"c\n/", b"a\n/"])] == ["b", None, "a"]
+def digest_array(tmp_path, rules):
+    keys = urlfilter.digests_of([f"{h}\n{p}".encode() for h, p, _ in rules])
+    order = np.argsort(keys, kind="stable")
+    keys[order].tofile(tmp_path / "r.u64")
+    with pa.ipc.new_file(str(tmp_path / "r.arrow"), urlfilter.STRINGS) as f:
+        f.write_table(pa.Table.from_pylist([dict(zip(("host", "path", "verdict"), rules[i], strict=True)) for i in order], urlfilter.STRINGS))
+    return urlfilter.DigestArray(str(tmp_path / "r.u64"), str(tmp_path / "r.arrow"))
+
+
+def test_equal_digests_are_confirmed(monkeypatch, tmp_path):
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda key, seed: 5)
+    a = digest_array(tmp_path, [("a", "/", "block"), ("b", "/", "allow"), ("b", "/", "block")])
+    assert [a.rule(i) if i >= 0 else None for i in a.find([b"b\n/", b"c\n/", b"a\n/"])] == [("b", "/", "block"), None, ("a", "/", "block")]
+
+
+def test_digests_are_mapped_and_those_of_spark(spark, tmp_path):
+    keys = ["net\n/", "a.b\n/" + "x" * 70, "é\n/ü", "h\n" + "p" * 31, "h\n" + "p" * 30]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select(F.xxhash64("k")).collect()
+    assert [r[0] for r in got] == urlfilter.digests_of([k.encode() for k in keys]).tolist()
+    a = digest_array(tmp_path, [(f"h{i}", "/", "block") for i in range(500)])
+    assert isinstance(a.digests, np.memmap) and (np.diff(a.digests) > 0).all() and a.lengths == [1]
+    assert [a.rule(i)[0] for i in a.find([b"h7\n/", b"h499\n/"])] == ["h7", "h499"]
+
+
+def test_many_rules_in_several_arrays(spark):
+    r = random.Random(9)
+    rules = [(f"h{i}.{r.choice(['net', 'org'])}", r.choice(["/", "/a/", "/a/b"]), r.choice(["allow", "block"])) for i in range(300)] + [("net", "/", "block"), ("org", "/a", "allow")]
+    urls = [f"http://x.h{r.randint(0, 320)}.{r.choice(['net', 'org'])}{r.choice(['', '/', '/a/', '/a/b/c'])}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge_urls(pages, urlfilter.rule_table(spark, rules), block_bytes=8_000).collect()}
+    for i, u in enumerate(urls):
+        host, _, rest = u.removeprefix("http://").partition("/")
+        path = f"/{rest}" if "/" in u.removeprefix("http://") else ""
+        fits = [x for x in rules if (host == x[0] or host.endswith(f".{x[0]}")) and path.startswith(x[1])]
+        best = max(fits, key=lambda x: (len(x[0]) + len(x[1]), len(x[0]), x[0] + x[1], x[2]), default=None)
+        assert got[i] == ((best[0] + best[1], best[2]) if best else (None, "allow")), u
 
 
 # Packing
