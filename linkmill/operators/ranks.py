@@ -12,19 +12,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RANGES = 64
+#: So many distinct values go through one window, sorted in one task.
+FEW = 200_000
 
 
 def with_below(counts: DataFrame, by: list[str], value: str, n: str = "_n") -> DataFrame:
     """Distinct values with counts n, and _below: the sum of n over the smaller values of the same `by`.
 
-    Values are dealt into RANGES by their approximate quantiles, so that a long tail fills no range alone."""
+    Up to FEW different values, which are counted first, are summed by one window. More are dealt into RANGES by
+    their approximate quantiles, so that a long tail fills no range alone."""
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    if counts.select(value).limit(FEW + 1).count() <= FEW:
+        return counts.withColumn("_below", F.coalesce(F.sum(n).over(earlier(W.partitionBy(*by).orderBy(value))), F.lit(0)))
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     cut = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10 * RANGES)).alias("_cuts"))
     dealt = counts.join(cut, by) if by else counts.join(F.broadcast(cut))  # one row
     at = F.size(F.filter("_cuts", lambda x: x < F.col(value).cast("double")))
     dealt = dealt.withColumn("_part", at).drop("_cuts")
     sums = dealt.groupBy(*by, "_part").agg(F.sum(n).alias("_s"))  # RANGES rows for each `by` at most
-    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(earlier(W.partitionBy(*by).orderBy("_part"))), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum(n).over(earlier(W.partitionBy(*by, "_part").orderBy(value))), F.lit(0))
     out = dealt.withColumn("_inside", inside).join(before, [*by, "_part"])
