@@ -54,12 +54,14 @@ class SegmentIndex:
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(self.m)]
         self.first = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=1 << 16))]) for s in range(self.m)]
 
-    def search(self, query: np.ndarray, skip, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, skip, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and distances of the k nearest codes, nearest first, ties by id; those with id `skip` left out.
 
+        bound: codes farther away are not wanted, as k codes within it are known elsewhere.
+
         Round r looks up, in each segment, the values that differ from the query's in r bits. After
         it, each code within m * (r + 1) - 1 has been met, since one of its m segments differs in r bits at
-        most. The rounds end when the k-th verified distance is no more than that.
+        most. The rounds end when the k-th verified distance, or the bound, is no more than that.
         """
         seen = np.zeros(self.n, bool)
         rows, dist = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -78,10 +80,13 @@ class SegmentIndex:
                 seen[got] = True
                 got = got if skip is None else got[self.ids[got] != skip]
                 d = np.bitwise_count(self.codes[got] ^ query).sum(axis=1, dtype=np.int64)
+                if bound is not None:
+                    got, d = got[d <= bound], d[d <= bound]
                 rows, dist = np.concatenate([rows, got]), np.concatenate([dist, d])
                 best = np.lexsort((self.ids[rows], dist))[:k]
                 rows, dist = rows[best], dist[best]
-            if len(rows) == k and dist[-1] <= self.m * (r + 1) - 1:
+            covered = self.m * (r + 1) - 1
+            if (bound is not None and bound <= covered) or (len(rows) == k and dist[-1] <= covered):
                 break
         return rows, dist
 
@@ -93,9 +98,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     the smaller id, null ids last. Each row of a repeated query id is answered. With fewer than k others
     there are fewer ranks.
 
-    Index and queries are dealt into blocks of bounded size; each pair of blocks is searched with
-    its own segment tables, and the k best of each query over all blocks are kept. Each block's
-    answer is exact, so the merged one is.
+    Index and queries are dealt into blocks of bounded size. Each query first searches one block of the index: its k-th
+    distance there bounds the k-th over all, and the other blocks' rounds end at that bound. Each block's answer
+    within the bound is exact, so the merged one is.
     """
     last = (1 << 63) - 1  # stands for null, so that pandas keeps ids whole
     held = lambda df: df.select(F.coalesce("id", F.lit(last)).alias("id"), "code")
@@ -105,7 +110,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
     n_i, n_q = max(1, -(-idx.count() // index_rows)), max(1, -(-qs.count() // query_rows))
     block = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     i = idx.withColumn("ib", block(n_i)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q = qs.withColumn("qb", block(n_q)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
+    qs = qs.withColumn("qb", block(n_q)).withColumn("home", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n_i)).cast("int"))
 
     def segments(codes) -> np.ndarray:
         return np.frombuffer(b"".join(codes), "<u2").reshape(len(codes), -1)
@@ -115,13 +120,24 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, index_rows: int = INDE
         if len(rows) and len(asked):
             ids = rows["id"].to_numpy()
             table = SegmentIndex(segments(rows["code"]), ids)
-            for uid, qid, code in zip(asked["uid"], asked["id"], segments(asked["code"]), strict=True):
-                got, d = table.search(code, None if qid == last else qid, k)
+            for uid, qid, most, code in zip(asked["uid"], asked["id"], asked["most"], segments(asked["code"]), strict=True):
+                got, d = table.search(code, None if qid == last else qid, k, None if most < 0 else most)
                 out += [(uid, qid, ids[g], x) for g, x in zip(got, d, strict=True)]
         return pd.DataFrame(out, columns=["uid", "query_id", "neighbor_id", "distance"])
 
     key = ["width", "ib", "qb"]
-    found = i.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
+
+    def met(asked: DataFrame) -> DataFrame:
+        groups = i.groupBy(*key).cogroup(asked.groupBy(*key))
+        return groups.applyInPandas(search, "uid long, query_id long, neighbor_id long, distance int")
+
+    found = met(qs.withColumn("ib", F.col("home")).withColumn("most", F.lit(-1)))
+    if n_i > 1:
+        found = written(found, "nearest")
+        enough = found.groupBy("uid").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") == k)
+        others = F.filter(F.sequence(F.lit(0), F.lit(n_i - 1)), lambda b: b != F.col("home"))
+        rest = qs.join(enough.select("uid", "kth"), "uid", "left").withColumn("most", F.coalesce("kth", F.lit(-1)))
+        found = found.unionByName(met(rest.withColumn("ib", F.explode(others))))
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("distance", "neighbor_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(
