@@ -62,12 +62,17 @@ def few(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-n_rows // TASK_ROWS)))
 
 
-def ranked(df: DataFrame, size: str, n_counts: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+def small(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of whole numbers as a table that needs no job of its own."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names))
+
+
+def ranked(df: DataFrame, size: str, n_counts: int | None = None, one: bool = False) -> tuple[DataFrame, dict[int, int]]:
     """df, written, with each row's rank (from 0) among those of its size, and the number of rows of each size.
 
     This is a sort by counting: rows are numbered by size where they lie, and the counts of the partitions
     before are added, so no row moves and no size is gathered. Sizes are integers of a small range.
-    n_counts: how many different sizes all partitions have at most, added up, if that is known."""
+    n_counts: how many different sizes all partitions have at most, added up, if that is known. one: df has one partition."""
     names = df.columns
 
     def numbered(batches):
@@ -86,6 +91,9 @@ def ranked(df: DataFrame, size: str, n_counts: int | None = None) -> tuple[DataF
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     rows = written(df.mapInArrow(numbered, f"{kinds}, part long, nth long"), "numbered")
+    if one:
+        of_size = {r[0]: r[1] for r in rows.groupBy(size).agg(F.count("*")).collect()}  # a row for each size
+        return rows.select(*names, F.col("nth").alias("rank")), of_size
     earlier = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(size, "part").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -159,14 +167,11 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
                 slots[min(g, most)] = slots.get(min(g, most), 0) + each[g] * by_gap[g]
             moves = sweep(now, slots)
             if moves:
-                to = spark.createDataFrame(
-                    [(n, done[n], done[n] + k, first - done[n]) for n, k, first in moves],
-                    "length long, lo long, hi long, shift long"
-                )
+                to = small(spark, [(n, done[n], done[n] + k, first - done[n]) for n, k, first in moves], ["length", "lo", "hi", "shift"])
                 who = items.join(F.broadcast(to), "length").where("rank >= lo and rank < hi").select(
                     "uid", "length", (F.col("rank") + F.col("shift")).alias("slot")
                 )
-                offer = spark.createDataFrame([(g, base[g], by_gap[g], each[g]) for g in each], "gap long, base long, n long, each long")
+                offer = small(spark, [(g, base[g], by_gap[g], each[g]) for g in each], ["gap", "base", "n", "each"])
                 free = gaps.join(F.broadcast(offer), "gap").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
                 free = free.select("sequence_id", (F.col("base") + F.col("j") * F.col("n") + F.col("rank")).alias("slot"))
                 got = written(few(who.join(free, "slot").select("uid", "length", "sequence_id"), sum(k for _, k, _ in moves)), "placed")
@@ -185,7 +190,7 @@ def placed(spark: SparkSession, pieces_: DataFrame, limit: int = LIMIT) -> DataF
             if smallest is not None:
                 gaps, by_gap = ranked(
                     few(gaps.select("sequence_id", "gap").where(F.col("gap") >= smallest), opened), "gap",
-                    limit * -(-opened // TASK_ROWS)
+                    limit * -(-opened // TASK_ROWS), opened <= TASK_ROWS
                 )
     if found is None:
         found = spark.createDataFrame([], "uid long, length long, sequence_id long")
