@@ -23,6 +23,8 @@ STEP, MOST_COMBINED = 16, 3
 STAR_ROUNDS = 2
 #: Rounds that leave out postings which can't help to find a link between components.
 OPEN_ROUNDS = 2
+#: Longs of a set's sketch, whose bits are the parities of its members' counts by hash.
+SKETCH_LONGS = 32
 #: Members of sets, at most about, in one block when the links of a component are counted.
 BLOCK_MEMBERS = 250_000
 
@@ -44,6 +46,15 @@ def shingle_sets(texts: list, hashes: WordHashes, width: int) -> list[np.ndarray
     return out
 
 
+def sketch(members: np.ndarray) -> list[int]:
+    """Bits that tell of each of so many buckets whether it has an odd number of members.
+
+    Two sets' sketches differ in no more bits than the sets do in members, so a pair whose sketches differ in too many
+    can't be similar."""
+    odd = np.bincount((mixed(members, 3) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """The least overlap of a set of n with any set that is similar enough."""
     return -(-percent * n // 100)
@@ -147,7 +158,7 @@ def _named(table: DataFrame, key: str, width: int, percent: int, rare: int, ever
 
 
 def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of each class that may have a partner: uid, copies, n, m, near, far, members.
+    """Of each class that may have a partner: uid, copies, n, m, near, far, members, sketch.
 
     near and far are the n-grams of its prefix that another class has too: near those that it can share
     with a set of its size or more, far the others. members is the whole set, m how many of these
@@ -172,7 +183,7 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
     arrow = pa.schema(
         [
             ("uid", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("m", pa.int32()),
-            ("near", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())), ("members", pa.binary())
+            ("near", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())), ("members", pa.binary()), ("sketch", pa.list_(pa.int64()))
         ]
     )
 
@@ -199,11 +210,11 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
                     near = int(others[: n - needed_alike(n, percent) + MOST_COMBINED].sum())
                     if len(shared):
                         uid = (row["block_id"] << B.PLACE_BITS) + r["place"]
-                        out.append((uid, r["copies"], n, m, shared[:near], shared[near:], s.tobytes()))
+                        out.append((uid, r["copies"], n, m, shared[:near], shared[near:], s.tobytes(), sketch(s)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    schema = "uid long, copies long, n int, m int, near array<long>, far array<long>, members binary"
+    schema = "uid long, copies long, n int, m int, near array<long>, far array<long>, members binary, sketch array<long>"
     return written(B.with_totals(thin, counts).join(reps, "block_id").mapInArrow(thrifty(prefixes), schema), "sets")
 
 
@@ -386,11 +397,18 @@ def _others(live: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, tested: DataFrame | None, sets: DataFrame, percent: int):
-    """The pairs not tested before that are links (None if there are none), and all that are tested now."""
+    """The pairs not tested before that are links (None if there are none), and all that are tested now.
+
+    Sketches, a small part of the sets, meet first; what they leave is verified on the whole sets."""
     pairs = written(pairs, "pairs")
     if tested is not None:
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("ma")), "a")
+    of = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    sizes = F.col("na") + F.col("nb")
+    may = (100 + percent) * (sizes - differ) >= 2 * percent * sizes  # half of sizes - differ is the most that they share
+    close = written(pairs.join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"), "close-pairs")
+    both = close.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("ma")), "a")
     both = both.join(sets.select(F.col("uid").alias("b"), F.col("members").alias("mb")), "b")
 
     def verify(batches):

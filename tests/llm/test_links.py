@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from linkmill.llm import jaccard
@@ -88,3 +89,35 @@ def test_overlaps():
     assert jaccard.overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
     same = jaccard.overlaps(x, x)
     assert all(same[i, j] == len(np.intersect1d(x[i], x[j])) for i in range(7) for j in range(7) if i != j)
+
+
+def test_sketches_never_lose_a_pair():
+    r = np.random.default_rng(3)
+    for n in (1, 7, 90, 1200, 9000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.0, 0.5, 0.86, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], r.integers(0, 2**63, n - int(n * share)).astype(np.uint64)]))
+            x, y = (np.array(jaccard.sketch(s), np.int64).view(np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_of_a_shared_pool_are_mostly_left_out_before_verification(spark, monkeypatch):
+    """Twice the documents of one pool: the pairs whose whole sets are compared don't grow with the square."""
+    r, seen, plain = random.Random(7), [], jaccard.written
+
+    def counted(df, label, keep=False):
+        out = plain(df, label, keep)
+        if label in ("pairs", "close-pairs"):
+            seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    pool = [" ".join(f"w{r.randrange(500)}" for _ in range(40)) for _ in range(60)]
+    data = [(i, " ".join(r.sample(pool, 30))) for i in range(240)]
+    verified = []
+    for n in (120, 240):
+        seen.clear()
+        got = jaccard.near_duplicates(spark.createDataFrame(data[:n], "doc_id long, text string").repartition(3))
+        assert got.where("n_links > 0").count() == 0
+        verified.append({x: sum(k for label, k in seen if label == x) for x in ("pairs", "close-pairs")})
+    assert verified[1]["pairs"] > 1000 and verified[1]["close-pairs"] <= 2.2 * max(verified[0]["close-pairs"], 10)
