@@ -17,10 +17,11 @@ class Ledger:
     A batch's rows lie in folders by batch and by a hash of their key (data/<table>/batch=/bucket=). They count once the
     batch has its mark, which is written after all of its tables; so a batch that broke off leaves no trace, and
     one that is sent again after its mark changes nothing. A batch reads the keys of the buckets that it touches only.
-    One batch is committed at a time."""
+    After merge_after batches they are merged into one, so folders and marks to read stay few. One batch is committed
+    at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]], buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]], buckets: int = 64, merge_after: int = 32):
+        self.spark, self.path, self.buckets, self.merge_after = spark, path.rstrip("/"), buckets, merge_after
         self.tables = {n: (T.StructType.fromDDL(s), keys) for n, (s, keys) in tables.items()}
 
     def _there(self, path: str) -> bool:
@@ -79,6 +80,8 @@ class Ledger:
         if before_mark:
             before_mark()
         self._mark(batch, [])
+        if len(now) + 1 >= self.merge_after:
+            self.merge_batches(f"merged-{len(ever) + 1}")
         return True
 
     def merge_batches(self, name: str) -> None:

@@ -78,6 +78,15 @@ def test_a_small_batch_reads_its_own_buckets(spark, tmp_path):
     assert 0 < some.count() < 100 and re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]*3", plan(some))
 
 
+def test_batches_are_merged_after_some(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path), {"a": TABLES["a"]}, buckets=2, merge_after=3)
+    for i in range(5):
+        assert book.commit(str(i), {"a": spark.createDataFrame([("x", i), (str(i), i)], TABLES["a"][0])})
+        assert len(book.batches()[0]) < 3
+    assert rows(book.read("a")) == sorted([("x", 0), *((str(i), i) for i in range(5))], key=str)
+    assert not book.commit("0", {"a": spark.createDataFrame([("new", 0)], TABLES["a"][0])})
+
+
 def test_decisions_fan_out(spark, tmp_path):
     book = ledger.Ledger(spark, str(tmp_path), ledger.DECISIONS, buckets=2)
     log = lambda *x: spark.createDataFrame(list(x), "decision string, name string, action string, id string, notes string, at string").withColumn("at", F.col("at").cast("timestamp"))
