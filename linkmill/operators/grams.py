@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkmill.operators.joins import HOT_ROWS, grid_join
+from linkmill.operators.joins import HOT_ROWS, grid_join, settled
 
 #: Characters of a gram; a shorter pattern is its own gram.
 SIZE = 3
@@ -21,15 +21,18 @@ def contained(patterns: DataFrame, texts: DataFrame, pattern: str, key: str, tex
 
     Texts are indexed by their grams, those only that a pattern has. Each pattern looks up the rarest of its
     grams (of equals the first), and what it finds is verified. A gram of many patterns or texts is dealt out to several
-    tasks. Patterns are taken once each; null and empty ones contain nothing. texts has one row a key."""
+    tasks, and so is a text with many candidates; texts themselves move once for each part, not for each gram.
+    Patterns are taken once each; null and empty ones lie in nothing. texts has one row a key; null keys are left out."""
     p = patterns.select(F.col(pattern).alias("pattern")).where("pattern != ''").distinct()
     size = F.length("pattern")
     probes = p.select("pattern", F.explode(F.when(size < SIZE, F.array("pattern")).otherwise(grams(F.col("pattern")))).alias("gram"))
     every = F.array_distinct(F.concat(*(grams(F.col("text"), n) for n in range(1, SIZE + 1))))
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    postings = rows.select("key", "text", F.explode(every).alias("gram")).join(probes.select("gram").distinct(), "gram", "left_semi")
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
+    postings = rows.select("key", F.explode(every).alias("gram")).join(probes.select("gram").distinct(), "gram", "left_semi")
+    postings = settled(postings)
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))
     chosen = probes.join(counts, "gram", "left").groupBy("pattern").agg(rarest.alias("r")).select("pattern", "r.gram")
-    found = grid_join(chosen, postings, "gram", "pattern", "key", most).where(F.contains("text", "pattern"))
-    return found.select(F.col("pattern").alias(pattern), F.col("key").alias(key), F.col("text").alias(text))
+    found = settled(grid_join(settled(chosen), postings, "gram", "pattern", "key", most).select("pattern", "key"))
+    found = grid_join(found, rows, "key", "pattern", "key", most).where(F.contains("text", "pattern"))
+    return settled(found).select(F.col("pattern").alias(pattern), F.col("key").alias(key), F.col("text").alias(text))
