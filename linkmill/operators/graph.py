@@ -9,6 +9,8 @@ from linkmill.functions import vocab as V
 
 #: Members of a work, about, in one part of its join.
 PART = 1_000
+#: Rows or pairs of a task, about.
+TASK_ROWS = 250_000
 
 
 def coauthor_edges(links: DataFrame, member: str, work: str, least: int = 1, most_members: int | None = None) -> DataFrame:
@@ -16,15 +18,21 @@ def coauthor_edges(links: DataFrame, member: str, work: str, least: int = 1, mos
 
     Members meet in a join on the work. A work with more than PART members is dealt into parts: each member
     stands in one part on the left and in all on the right, so no list of a work is gathered in one row.
+    Links and pairs are counted first, so that a task has about TASK_ROWS of them however many there are.
     most_members leaves out works with more (a consortium list says little about two members)."""
-    rows = links.select(F.col(work).alias("w"), F.col(member).alias("m")).where("w is not null and m is not null").distinct()
+    tasks = lambda n: max(1, -(-int(n) // TASK_ROWS))
+    rows = links.select(F.col(work).alias("w"), F.col(member).alias("m")).where("w is not null and m is not null")
+    rows = rows.repartition(tasks(links.count()), "w", "m").distinct()
     size = rows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     if most_members:
         size = size.where(F.col("n") <= most_members)
+    n = F.col("n").cast("double")
+    n_right, n_pairs = (x or 0 for x in size.agg(F.sum(n * F.ceil(n / PART)), F.sum(n * (n - 1) / 2)).first())
     rows = rows.join(size.select("w", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "w")
     left = rows.select("w", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), F.col("m").alias("a"))
     right = rows.select("w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("m").alias("b"))
-    pairs = left.join(right, ["w", "part"]).where("a < b")
+    left, right = (x.repartition(tasks(n_right), "w", "part") for x in (left, right))
+    pairs = left.join(right, ["w", "part"]).where("a < b").repartition(tasks(n_pairs), "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
