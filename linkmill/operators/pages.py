@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, about.
 RANGE_ROWS = 100_000
+#: Rows of a part of the order, about, which is then cut into ranges: the driver samples the bounds of parts only.
+PART_ROWS = 500_000
 
 
 def _by(order: list[tuple[str, bool]]) -> list[Column]:
@@ -19,8 +21,10 @@ def write_pages(df: DataFrame, order: list[tuple[str, bool]], path: str, range_r
     """Writes df in the order of (column, descending), which must be total, as ranges in folders, and their directory:
     range, n, before (rows of earlier ranges), last (its last row's values of the order)."""
     df.limit(0).write.parquet(f"{path}/shape")  # an empty table has no range to tell the columns
-    n = max(1, -(-df.count() // range_rows))
-    dealt = df.repartitionByRange(n, *_by(order)).withColumn("range", F.spark_partition_id())
+    n = max(1, -(-df.count() // max(range_rows, PART_ROWS)))
+    parts = df.repartitionByRange(n, *_by(order)).withColumn("_part", F.spark_partition_id().cast("long"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*_by(order))) - 1
+    dealt = parts.withColumn("range", F.shiftleft("_part", 32) + F.floor(place / range_rows)).drop("_part")
     dealt.sortWithinPartitions("range", *_by(order)).write.partitionBy("range").parquet(f"{path}/rows")
     kept = df.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows")
     backwards = [F.col(c).asc_nulls_first() if down else F.col(c).desc_nulls_first() for c, down in order]
@@ -37,7 +41,7 @@ def _ranges(spark: SparkSession, path: str, which: Column) -> list:
 
 def _rows(spark: SparkSession, path: str, found: list) -> DataFrame:
     shape = spark.read.parquet(f"{path}/shape").schema
-    rows = spark.read.schema(shape.add("range", "integer")).parquet(f"{path}/rows")
+    rows = spark.read.schema(shape.add("range", "long")).parquet(f"{path}/rows")
     return rows.where(F.col("range").isin([r.range for r in found])).drop("range")
 
 
