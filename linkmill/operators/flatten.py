@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkmill.functions import names as N
+from linkmill.operators.joins import once, settled
 
 c = F.col
 
@@ -129,18 +130,20 @@ def funding(links: DataFrame, awards: DataFrame) -> DataFrame:
 
 
 def study_rows(studies: DataFrame, members: DataFrame, member: str) -> DataFrame:
-    """A row per study and member who is one of its officials (by the gate on both names), with the first such role."""
+    """A row per study and member who is one of its officials (by the gate on both names), with the first such role.
+
+    A name is compared once, however many studies have it."""
     p = "protocolSection"
-    s = studies.withColumn("_id", c(f"{p}.identificationModule.nctId")).select(
-        "*", F.posexplode(f"{p}.contactsLocationsModule.overallOfficials").alias("_at", "_o")
-    )
-    s = s.withColumn("_norm", N.normalise_name(c("_o.name"))).withColumn("_last", F.element_at(F.split("_norm", " "), -1)).where("_norm != ''")
-    m = members.select(c(member), N.normalise_name(c(member)).alias("_m")).withColumn("_last", F.element_at(F.split("_m", " "), -1)).where("_m != ''")
-    hit = s.join(m, "_last").where(N.names_gate(c("_m"), c("_norm")))
+    official = f"{p}.contactsLocationsModule.overallOfficials"
+    last = lambda x: F.element_at(F.split(x, " "), -1)
+    names = settled(studies.select(F.explode(f"{official}.name").alias("_name")).distinct())
+    names = names.select("_name", N.normalise_name(c("_name")).alias("_norm")).withColumn("_last", last("_norm")).where("_norm != ''")
+    m = members.select(c(member), N.normalise_name(c(member)).alias("_m")).withColumn("_last", last("_m")).where("_m != ''")
+    fits = settled(names.join(m, "_last").where(N.names_gate(c("_m"), c("_norm"))).select(once(c("_name")).alias("_name"), c(member)))
     status = f"{p}.statusModule"
     joined = lambda x: F.array_join(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")), "|")
     cols = {
-        "trial_id": c("_id"),
+        "trial_id": c(f"{p}.identificationModule.nctId"),
         "title": N.first_nonempty(
             c(f"{p}.identificationModule.briefTitle"), c(f"{p}.identificationModule.officialTitle")
         ),
@@ -155,7 +158,10 @@ def study_rows(studies: DataFrame, members: DataFrame, member: str) -> DataFrame
     }
     from linkmill.operators.ranks import top_per_group
 
-    rows = hit.select(c(member), c("_at"), *[v.alias(k) for k, v in cols.items()])
+    flat = {k: v for k, v in cols.items() if k != "role"}
+    rows = studies.select(*(v.alias(k) for k, v in flat.items()), F.posexplode(official).alias("_at", "_o"))
+    rows = rows.select("_at", c("_o.name").alias("_name"), *(cols[k].alias(k) if k == "role" else c(k) for k in cols))
+    rows = rows.join(fits, "_name").select(c(member), "_at", *cols)
     return top_per_group(rows, [member, "trial_id"], ["_at"], 1).drop("_at")
 
 
