@@ -205,12 +205,11 @@ def modal(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def first_owner(works_: DataFrame, work: str, authors: str, members_: DataFrame, member: str) -> DataFrame:
     """Works with the member of the first author whose last word and first initial fit; the smallest name of several."""
-    from linkmill.operators.linkage import prepared
+    from linkmill.operators.linkage import fitting
 
-    m = prepared(members_, member).select(c(member).alias("owner"), "last", "initial")
-    a = prepared(works_.select(work, F.posexplode(authors).alias("at", "name")), "name")
-    met = a.join(m, ["last", "initial"]).groupBy(work).agg(F.min(F.struct("at", "owner")).alias("x"), F.count_distinct("owner").alias("n_fit"))
-    return met.select(work, c("x.owner").alias("owner"), (c("n_fit") > 1).alias("ambiguous"))
+    met = fitting(works_.select(work, F.posexplode(authors).alias("at", "name")), "name", members_, member).groupBy(work)
+    met = met.agg(F.min(F.struct("at", "owner")).alias("x"), F.min("owner").alias("least"), F.max("owner").alias("most"))
+    return met.select(work, c("x.owner").alias("owner"), (c("least") != c("most")).alias("ambiguous"))
 
 
 def options(df: DataFrame, col: str, sep: str | None = None) -> DataFrame:

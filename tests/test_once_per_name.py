@@ -1,6 +1,6 @@
 """Names are looked at once for all rows that have them."""
 
-from linkmill.operators import flatten
+from linkmill.operators import cohort, flatten
 from linkmill.sources import tables
 
 
@@ -24,3 +24,11 @@ def test_officials_are_compared_by_name(spark, tmp_path):
     got = flatten.study_rows(tables.studies(spark, str(tmp_path / "s.json")), m, "name")
     assert sorted((r["name"], r["trial_id"], r["role"]) for r in got.collect()) == [("Dr. Ann Lee", f"N{i}", f"R{i}") for i in range(3)]
     assert not any("Generate" in x for x in below(got, "translate"))
+
+
+def test_owners_are_found_by_name(spark):
+    works = spark.createDataFrame([(1, ["X Y", "A. Lee"]), (2, ["A. Lee", "B. Roe"]), (3, [None, "C. Poe"])], "w int, names array<string>")
+    m = spark.createDataFrame([("Ann Lee",), ("Al Lee",), ("Bo Roe",)], "name string")
+    got = cohort.first_owner(works, "w", "names", m, "name")
+    assert sorted(map(tuple, got.collect())) == [(1, "Al Lee", True), (2, "Al Lee", True)]
+    assert not any("Generate" in x for x in below(got, "translate"))
