@@ -106,3 +106,11 @@ def ego(edges: DataFrame, member) -> DataFrame:
     return edges.where((F.col("a") == member) | (F.col("b") == member)).select(
         F.when(F.col("a") == member, F.col("b")).otherwise(F.col("a")).alias("neighbour"), "weight"
     )
+
+
+def ego_of(links: DataFrame, member: str, work: str, one) -> DataFrame:
+    """What ego() finds in coauthor_edges(), from the works of the one member: no pairs of others are made."""
+    rows = links.select(F.col(work).alias("w"), F.col(member).alias("m")).where("w is not null and m is not null")
+    own = rows.where(F.col("m") == one).select("w").distinct()
+    others = rows.where(F.col("m") != one).join(own, "w", "left_semi").distinct()
+    return others.groupBy(F.col("m").alias("neighbour")).agg(F.count("*").alias("weight"))

@@ -1,6 +1,6 @@
-"""Names are looked at once for all rows that have them."""
+"""Names are looked at once for all rows that have them; pairs are made for what is asked only."""
 
-from linkmill.operators import cohort, flatten
+from linkmill.operators import cohort, flatten, graph
 from linkmill.sources import tables
 
 
@@ -32,3 +32,11 @@ def test_owners_are_found_by_name(spark):
     got = cohort.first_owner(works, "w", "names", m, "name")
     assert sorted(map(tuple, got.collect())) == [(1, "Al Lee", True), (2, "Al Lee", True)]
     assert not any("Generate" in x for x in below(got, "translate"))
+
+
+def test_neighbours_without_pairs_of_others(spark):
+    links = spark.createDataFrame([(1, 5), (1, 7), (1, 8), (2, 5), (2, 7), (2, 7), (3, 8), (3, 9), (None, 5), (1, None)], "w int, m int")
+    got = graph.ego_of(links, "m", "w", 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.ego(graph.coauthor_edges(links, "m", "w"), 5).collect())) == [(7, 2), (8, 1)]
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("LeftSemi" in x for x in joins)
