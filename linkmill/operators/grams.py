@@ -16,17 +16,21 @@ def grams(text: Column, n: int = SIZE) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def contained(patterns: DataFrame, texts: DataFrame, pattern: str, key: str, text: str, most: int = HOT_ROWS) -> DataFrame:
+def contained(
+    patterns: DataFrame, texts: DataFrame, pattern: str, key: str, text: str, most: int = HOT_ROWS, size: int = SIZE
+) -> DataFrame:
     """(pattern, key, text) for all pairs where the text contains the pattern, inside a word too.
 
     Texts are indexed by their grams, those only that a pattern has. Each pattern looks up the rarest of its
     grams (of equals the first), and what it finds is verified. A gram of many patterns or texts is dealt out to several
     tasks, and so is a text with many candidates; texts themselves move once for each part, not for each gram.
-    Patterns are taken once each; null and empty ones lie in nothing. texts has one row a key; null keys are left out."""
+    Patterns of `size` characters or fewer find just the texts that hold them; for short texts a larger size than the usual
+    one keeps candidates from growing with the product of patterns and texts. Patterns are taken once each; null and empty ones lie in nothing. texts has one row a key; null keys are left out."""
     p = patterns.select(F.col(pattern).alias("pattern")).where("pattern != ''").distinct()
-    size = F.length("pattern")
-    probes = p.select("pattern", F.explode(F.when(size < SIZE, F.array("pattern")).otherwise(grams(F.col("pattern")))).alias("gram"))
-    every = F.array_distinct(F.concat(*(grams(F.col("text"), n) for n in range(1, SIZE + 1))))
+    length = F.length("pattern")
+    probes = p.select("pattern", F.explode(F.when(length < size, F.array("pattern")).otherwise(grams(F.col("pattern"), size))).alias("gram"))
+    sizes = [r.n for r in p.select(F.least(length, F.lit(size)).alias("n")).distinct().collect()] or [size]  # at most `size`
+    every = F.array_distinct(F.concat(*(grams(F.col("text"), n) for n in sorted(sizes))))
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
     postings = rows.select("key", F.explode(every).alias("gram")).join(probes.select("gram").distinct(), "gram", "left_semi")
     postings = settled(postings)

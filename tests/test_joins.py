@@ -48,3 +48,14 @@ def test_split_profiles_by_a_surname_inside_a_name(spark):
     authors = spark.createDataFrame([(f"A{i}", x, i != 6) for i, x in enumerate(names)] + [("A6", "Ann Lee", False)], "id string, display string, is_local boolean")
     got = linkage.split_profiles(members, authors, "name", "own", "display").collect()
     assert {(r.member, r.other_id) for r in got} == {("Dr Ann Lee", f"A{i}") for i in (1, 2, 3, 4, 7)} | {("Ng", "A8")}
+
+
+def test_short_patterns_meet_only_texts_that_hold_them(spark, monkeypatch):
+    from linkmill.operators import grams
+
+    p = spark.createDataFrame([(f"l{i}",) for i in range(0, 300, 7)], "pattern string")
+    t = spark.createDataFrame([(i, f"ann l{i} l{i}x") for i in range(900)], "key long, text string")
+    met, join = [], grams.grid_join
+    monkeypatch.setattr(grams, "grid_join", lambda a, *rest: met.append(a) or join(a, *rest))
+    got = grams.contained(p, t, "pattern", "key", "text", size=8).count()
+    assert got == met[1].count() == sum(f"l{i}" in f"ann l{j} l{j}x" for i in range(0, 300, 7) for j in range(900))
