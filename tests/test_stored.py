@@ -157,3 +157,13 @@ def test_group_similarity_is_that_of_each_group_alone(spark, most):
     got = {x.g: (x.n_texts, round(x.similarity, 9), x.points) for x in similar_texts.group_similarity(df, "g", "i", "t", most).collect()}
     want = {g: (len(ts), s := round(plain_similarity(ts, most), 9), 15 if s >= 0.35 else 8 if s >= 0.2 else 0) for g, ts in groups.items()} | {94: (2, 0.0, 0)}
     assert got == want
+
+
+def test_trigrams_are_lists_before_they_are_moved(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "TASK_GRAMS", 5)
+    texts = {1: "abcabc", 2: "ab", 3: "xéc\n😀abc", 4: "", 5: "bca"}
+    df = spark.createDataFrame([(k, v, k % 2) for k, v in texts.items()] + [(3, "abc", 1), (None, "abc", 0)], "key long, low string, block int")
+    got = text_index.lists_by_gram(df)
+    want = {(v[i : i + 3], k % 2) for k, v in texts.items() for i in range(len(v) - 2)}
+    assert {(r.gram, r.block): r["keys"] for r in got.collect()} == {(g, b): [k for k, v in texts.items() if g in v and k % 2 == b] for g, b in want}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
