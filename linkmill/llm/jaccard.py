@@ -7,11 +7,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmill.llm import blocks as B
-from linkmill.llm.common import WordHashes, bounded_batches, mixed, partitions, passing_tables, thrifty, window_hashes, written
+from linkmill.llm.common import BASE, bounded_batches, mixed, partitions, passing_tables, thrifty, window_hashes, written
 from linkmill.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -27,15 +28,38 @@ OPEN_ROUNDS = 2
 SKETCH_LONGS = 32
 #: Members of sets, at most about, in one block when the links of a component are counted.
 BLOCK_MEMBERS = 250_000
+BYTE_VALUES = mixed(np.arange(256, dtype=np.uint64), 11)
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of all words, A-Z lower-cased, and how many words each text has.
+
+    A word's hash is the mixed sum of a value for each byte times a power of the odd base for its place, for all
+    words at once: a dictionary of words costs more where a third of a block's words are new."""
+    low = pc.ascii_lower(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()))
+    parts = pc.ascii_split_whitespace(low)
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # a white end gives an empty word
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    sizes = np.diff(before[parts.offsets.to_numpy()]).tolist()
+    words = words.filter(some)
+    if not len(words):
+        return np.empty(0, np.uint64), sizes
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(lengths.max(), BASE))
+        return mixed(np.add.reduceat(BYTE_VALUES[raw] * power[place], starts), 5), sizes
 
 
-def shingle_sets(texts: list, hashes: WordHashes, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     """The distinct word n-grams of each text as ascending 64-bit hashes; a shorter text is one n-gram."""
-    words = [(t or b"").lower().split() for t in texts]
-    flat = hashes.of([x for w in words for x in w])
+    flat, sizes = word_hashes(texts)
     h, first, out = window_hashes(flat, width), 0, []
-    for w in words:
-        n = len(w)
+    for n in sizes:
         if n >= width:
             out.append(np.unique(h[first : first + n - width + 1]))
         elif n:
@@ -116,10 +140,8 @@ def distinct_documents(
 
 
 def _packed(docs: DataFrame, key: str, text: str, carry: list[str], width: int) -> DataFrame:
-    known: dict = {}
-
     def signed(texts):
-        return _signed(shingle_sets(texts, known.setdefault("h", WordHashes()), width))
+        return _signed(shingle_sets(texts, width))
 
     return B.packed(docs, text, carry, signed, "n array<int>, s1 array<long>, s2 array<long>")
 
@@ -167,10 +189,9 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
     n_ranges = B.n_ranges(total, partitions(spark))
 
     def hashed(batches):
-        hashes = WordHashes()
         for b in batches:
             for block, sizes, blob in zip(*(b.column(c).to_pylist() for c in ("block_id", "sizes", "blob")), strict=True):
-                sets = shingle_sets(B.texts_of(blob, sizes), hashes, width)
+                sets = shingle_sets(B.texts_of(blob, sizes), width)
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 if len(h):
                     yield B.range_batch(list(B.by_range(block, h, n_ranges, n)))
@@ -188,10 +209,9 @@ def _indexed(spark: SparkSession, table: DataFrame, classes: DataFrame, width: i
     )
 
     def prefixes(batches):
-        hashes = WordHashes()
         for b in batches:
             for row in b.to_pylist():
-                sets = shingle_sets(B.texts_of(row["blob"], row["sizes"]), hashes, width)
+                sets = shingle_sets(B.texts_of(row["blob"], row["sizes"]), width)
                 _, at = np.unique(np.concatenate(sets), return_inverse=True)
                 df = np.maximum(B.counts_of(row["parts"], int(at.max(initial=-1)) + 1), 1)[at]
                 ends = np.cumsum([len(s) for s in sets])
@@ -256,8 +276,10 @@ def _links(sets: DataFrame, percent: int, rare: int) -> DataFrame:
             now = written(now.select("token", "uid", "n", "m", "near", F.coalesce("c", "uid").alias("c")), "postings")
     for _ in range(OPEN_ROUNDS):
         now = _open(now, percent)
-    live = _met(_combined(now, percent, rare))
-    for found in (_to_largest(live, comp, sets, percent), _verified(_others(live, percent), tested, sets, percent)[0]):
+    near, rest = _apart(now, percent)
+    live = _met(_combined(_open(rest, percent), percent, rare))
+    outside = near.unionByName(live.where("c != top").select("uid", F.col("top").alias("c"))).distinct()
+    for found in (_to_largest(outside, comp, sets, percent), _verified(_others(live, percent), tested, sets, percent)[0]):
         if found is not None:
             links = found if links is None else links.unionByName(found)
     return links if links is not None else post.sparkSession.createDataFrame([], "a long, b long")
@@ -277,6 +299,28 @@ def _open(now: DataFrame, percent: int) -> DataFrame:
     return written(now.join(of, "token").where(useful).select("token", "uid", "n", "m", "near", "c"), "open")
 
 
+def _apart(now: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, c) of sets that may link with one of the component c, and the postings of all other pairs.
+
+    At a token the component with most sets, if it has several, needs no combinations: each other set there is
+    a candidate for the component as a whole, if that has as many of the set's tokens as similar sets share, at sizes
+    that may be. Where at none of the tokens that two sets share one is of that component, both are among the
+    postings outside of it. So the many combinations of a large group's tokens are never made."""
+    least = F.min(F.when(F.col("near"), F.col("n")))
+    has = now.groupBy("token", "c").agg(F.count("*").alias("here"), least.alias("least"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+    has = written(has, "token-components")
+    top = has.groupBy("token").agg(F.max(F.struct("here", "c")).alias("t"))
+    top = written(top.select("token", F.when(F.col("t.here") > 1, F.col("t.c")).alias("top")), "largest")
+    rest = written(now.join(top, "token").where("top is null or c != top"), "rest")
+    pairs = rest.where("top is not null").select("uid", F.col("top").alias("c")).distinct()
+    both = pairs.join(now.select("uid", "token", "n", "m", "near"), "uid").join(has, ["token", "c"])
+    may = (F.col("near") | (F.col("n") > F.col("least"))) & (F.col("fewest") <= _largest("n", "m", percent))
+    both = both.where(may & (F.col("most") >= F.ceil(F.col("n") * percent / 100)))
+    enough = F.col("shared") >= F.least(F.lit(MOST_COMBINED), F.ceil(F.col("n") * percent / 100))
+    near = both.groupBy("uid", "c", "n").agg(F.count("*").alias("shared")).where(enough).select("uid", "c")
+    return written(near, "near-largest"), rest.drop("top")
+
+
 def _combined(now: DataFrame, percent: int, rare: int) -> DataFrame:
     """The index: t1, t2, t3 (0 for none), uid, n, m, c, near.
 
@@ -345,12 +389,12 @@ def _met(index: DataFrame) -> DataFrame:
     return written(index.join(written(top, "largest"), key).where("near or n > least"), "live")
 
 
-def _to_largest(live: DataFrame, comp: DataFrame | None, sets: DataFrame, percent: int, block_members: int = BLOCK_MEMBERS) -> DataFrame | None:
-    """Links between documents and the largest component of one of their keys, one at least where there is any.
+def _to_largest(outside: DataFrame, comp: DataFrame | None, sets: DataFrame, percent: int, block_members: int = BLOCK_MEMBERS) -> DataFrame | None:
+    """Links between documents and a component, the largest of one of their keys (outside: uid, c), one at least where there is any.
 
     A document is compared with all of that component, whose sets are dealt into blocks as in link_counts(); so a
     large component gives a row for each document and block, not for each pair."""
-    left = written(live.where("c != top").select("uid", F.col("top").alias("c")).distinct(), "outside")
+    left = written(outside, "outside")
     tops = left.select("c").distinct()
     right = tops.select(F.col("c").alias("uid"), "c")
     if comp is not None:

@@ -121,3 +121,39 @@ def test_pairs_of_a_shared_pool_are_mostly_left_out_before_verification(spark, m
         assert got.where("n_links > 0").count() == 0
         verified.append({x: sum(k for label, k in seen if label == x) for x in ("pairs", "close-pairs")})
     assert verified[1]["pairs"] > 1000 and verified[1]["close-pairs"] <= 2.2 * max(verified[0]["close-pairs"], 10)
+
+
+def test_a_large_group_makes_no_combinations(spark, monkeypatch):
+    """Near copies of one text and texts that share some of its passages: the index doesn't hold the group's combinations."""
+    r, rows, plain = random.Random(4), {}, jaccard.written
+
+    def counted(df, label, keep=False):
+        out = plain(df, label, keep)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    pool = [" ".join(f"w{r.randrange(5000)}" for _ in range(20)) for _ in range(10)]
+    group = []
+    for _ in range(60):
+        copy = " ".join(pool).split()
+        copy[r.randrange(200)] = f"w{r.randrange(5000)}"
+        group.append(" ".join(copy))
+    others = [" ".join(r.sample(pool, 8)) for _ in range(12)]
+    linked = [" ".join(pool[:9]), " ".join([*pool[1:], "last one"])]
+    data = list(enumerate(group + others + linked))
+    sets = [shingles(t) for _, t in data]
+    want = {i: sum(j != i and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), rare=2).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+    assert min(want[i] for i in (72, 73)) >= 50 and max(want[i] for i in range(60, 72)) < 12
+    assert rows["combinations"] <= 2 * rows["open"] < rows["postings"]
+
+
+def test_word_hashes_tell_all_words_apart():
+    texts = [b" a  B\x0bc\x0c\r\n\t d ", b"", None, "ÉTé \xa0x ab c a bc".encode(), b"a\x1cb a\x00 a ba"]
+    h, sizes = jaccard.word_hashes(texts)
+    words = [w for t in texts for w in (t or b"").lower().split()]
+    assert sizes == [len((t or b"").lower().split()) for t in texts]
+    assert len(h) == len(words) and len({*zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    assert jaccard.word_hashes([])[1] == [] and jaccard.word_hashes([None, b" "])[1] == [0, 0]
