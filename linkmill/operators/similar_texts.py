@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkmill.operators.corpus_weights import words
 from linkmill.operators.joins import dealt_join
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, term): a row for each word and pair of words."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 2)
-    rows = df.select(F.col(key).alias("k"), words.alias("w"))
+    rows = df.select(F.col(key).alias("k"), words(text).alias("w"))
     pairs = F.when(
         F.size("w") > 1,
         F.transform(
